@@ -5,9 +5,9 @@ darts arrive in order of rank, by hashes of the element alone, so that two sets
 regions overlap; the earliest dart of each coordinate is the signature.  Bands of coordinates make candidates.
 
 Documents with the same words are one text from the start.  Within a bucket every text is compared with the smallest
-one (a star, not all pairs).  What the stars leave apart is then compared across their components, bucket by bucket,
-so that no candidate link between different texts is lost; links are verified on the shingles themselves, and the
-classes are the components of the links.
+one (a star, not all pairs).  Members that this leaves in several components meet other hubs, a few rounds long; the
+pairs of different components that are left then are compared one by one, so that no candidate link between different
+texts is lost: tasks compare signatures and return the pairs that may be links.  Links are verified on the shingles themselves, and the classes are the components of the links.
 
 Similarity is the weighted Jaccard of shingles of five lower-case words between white space, each shingle weighing 1
 (or as often as it occurs, with counts=True).  A text with fewer words is one shingle; null, empty and blank texts are
@@ -24,13 +24,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import connected_components, fresh, small_or_none, stored
+from terrane.llm.common import connected_components, fresh, small_or_none, stored, unsliced
 
 WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair misses all bands with probability (1 - 0.8^5)^32 = 3e-6.
 BANDS, ROWS = 32, 5
 #: Most ids that are broadcast when texts are fetched; beyond it the join is shuffled.
 SMALL = 1_000_000
+#: Rounds in which split buckets meet hubs, and the pairs per member that are then compared as they are.
+HUB_ROUNDS, FEW_PAIRS = 8, 4
+#: Members of either side that are compared in one task.
+BLOCK = 1024
+#: Coordinates of the signatures that are compared there, of 16 bits each.
+COMPARED = 1024
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -48,7 +54,7 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts: shingle hashes, sorted and distinct within a text; how often each occurs; how many a text has."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(unsliced(texts).cast(pa.large_string()), "")))
     words = lists.values.dictionary_encode()
     names = [(x or "") for x in words.dictionary.to_pylist()]
     from xxhash import xxh3_64_intdigest
@@ -192,6 +198,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, counts: bool, similarity: float
     return both.where(least >= similarity * (whole - least) - 1e-9).select("src", "dst")
 
 
+def _likely(apart: DataFrame, sets: DataFrame, counts: bool, similarity: float) -> DataFrame:
+    """(src, dst): pairs of one bucket and different components whose signatures agree almost as often as links do.
+
+    The smaller components' members are compared with all members, in tasks of bounded blocks of both, which return
+    only the pairs whose share of equal coordinates is at most five standard deviations under the similarity.
+    """
+
+    def signatures(batches):
+        for b in batches:
+            s = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            n = b.column(2).flatten().to_numpy(zero_copy_only=False) if counts else np.ones(len(s))
+            each = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            full = dart_signatures(s, n, each, COMPARED, seed=2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in full.astype(np.uint16)], pa.binary())], ["k", "sig"])
+
+    wanted = apart.select(F.col("key").alias("id")).distinct()
+    signed_sets = sets.join(wanted, F.col("key") == F.col("id"), "left_semi").select("key", "s", "n").mapInArrow(signatures, "k string, sig binary")
+    rows = apart.join(signed_sets, F.col("key") == F.col("k"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("key"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    minor = rows.where("part <> main").select("b", place("few").alias("i"), each("all").alias("j"), F.lit(True).alias("minor"), "key", "part", "sig")
+    every = rows.select("b", each("few").alias("i"), place("all").alias("j"), F.lit(False).alias("minor"), "key", "part", "sig")
+    least = (similarity - 5 * math.sqrt(similarity * (1 - similarity) / COMPARED)) * COMPARED
+
+    def task(rows):
+        side = rows["minor"].to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(len(side), -1)
+        key, part = np.array(rows["key"].to_pylist(), object), np.array(rows["part"].to_pylist(), object)
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        part = np.unique(part, return_inverse=True)[1]
+        src, dst = [], []
+        for lo in range(0, len(a), 64):
+            own = a[lo : lo + 64]
+            same = np.zeros((len(own), len(b)), np.int16)
+            for c in range(sig.shape[1]):
+                same += sig[own, c][:, None] == sig[b, c][None, :]
+            x, y = np.nonzero((same >= least) & (part[own][:, None] != part[b][None, :]))
+            src += key[own[x]].tolist()
+            dst += key[b[y]].tolist()
+        return pa.table([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
+
+    found = minor.unionByName(every).groupBy("b", "i", "j").applyInArrow(task, "src string, dst string")
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
 def near_classes(docs: DataFrame, text_col: str = "text", counts: bool = False, similarity: float = SIMILARITY) -> DataFrame:
     """(key, class): of every different text (see ``text_key``) that is like another one, its class's smallest key."""
     rows = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
@@ -208,17 +260,26 @@ def near_classes(docs: DataFrame, text_col: str = "text", counts: bool = False,
     sets = stored(shingled(wanted).groupBy("key").agg(F.first("s").alias("s"), F.first("n").alias("n")))
     links = stored(_verified(stars, sets, counts, similarity))
     found = connected_components(links)
-    # buckets whose members the stars leave in several components: their smaller components meet all other members
-    placed = stored(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("part")))
-    split = placed.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("main")).where("parts > 1")
-    split = stored(split.select(F.reverse(F.col("bucket").cast("string")).alias("b"), "main"))
-    apart = placed.withColumn("b", F.reverse(F.col("bucket").cast("string"))).join(split, "b")
-    minor = apart.where("part <> main").select(F.concat("b", F.lit(":")).alias("c"), F.col("key").alias("src"), F.col("part").alias("p1"))
-    every = apart.select(F.concat("b", F.lit(":")).alias("c"), F.col("key").alias("dst"), F.col("part").alias("p2"))
-    rest = minor.join(every, "c").where("p1 <> p2").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    rest = stored(rest.join(stars, ["src", "dst"], "left_anti"))
-    if not rest.isEmpty():
-        found = connected_components(stored(links.union(_verified(rest, sets, counts, similarity))))
+    # Buckets whose members the links so far leave in several components: the smaller components' members meet one
+    # member of the largest, another one every round, as long as that joins components.
+    before = None
+    for turn in range(HUB_ROUNDS + 1):
+        placed = stored(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("part")))
+        by_part = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("hub"))
+        split = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by(F.struct("part", "hub"), F.struct("n", "part")).alias("main")).where("parts > 1")
+        split = stored(split.select(F.reverse(F.col("bucket").cast("string")).alias("b"), F.col("main.part").alias("main"), "main.hub", "all", (F.col("all") - F.col("most")).alias("few")))
+        pairs, rows_left = split.agg(F.sum(F.expr("few * all")), F.sum("all")).first()
+        if not pairs:
+            return found.select(F.col("node").alias("key"), F.col("component").alias("class"))
+        apart = placed.withColumn("b", F.reverse(F.col("bucket").cast("string"))).join(split, "b").select("b", "key", "part", "main", "hub", "all", "few")
+        if pairs <= FEW_PAIRS * rows_left or turn == HUB_ROUNDS or before and pairs > 0.7 * before:
+            break
+        before = pairs
+        tried = stored(apart.where("part <> main").select(F.least("hub", "key").alias("src"), F.greatest("hub", "key").alias("dst")).distinct())
+        links = stored(links.unionByName(_verified(tried, sets, counts, similarity)))
+        found = connected_components(links)
+    rest = stored(_likely(apart, sets, counts, similarity).distinct())
+    found = connected_components(stored(links.union(_verified(rest, sets, counts, similarity))))
     return found.select(F.col("node").alias("key"), F.col("component").alias("class"))
 
 
