@@ -33,4 +33,5 @@ def z_scores(df: DataFrame, fit: DataFrame, columns: tuple[str, ...] = FEATURES)
 def trigrams(text: Column) -> Column:
     """Character trigrams of the padded lower-case text; NULL where fewer than three characters are left."""
     chars = F.regexp_extract_all(F.concat(F.lit("  "), F.lower(text), F.lit("  ")), F.lit("(?s)."), F.lit(0))
-    return F.zip_with(F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), F.concat), F.slice(chars, F.lit(3), F.size(chars)), F.concat)
+    join = lambda a, b: F.concat(a, b)
+    return F.zip_with(F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), join), F.slice(chars, F.lit(3), F.size(chars)), join)
