@@ -42,9 +42,11 @@ def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     Ranks come from counts of distinct values, so that only those meet in a window.
     """
     def ranked(df, c):
-        counts = df.groupBy(*group, c).agg(F.count("*").alias("k"))
-        below = F.sum("k").over(W.partitionBy(*group).orderBy(c).rowsBetween(W.unboundedPreceding, -1))
-        return counts.select(*group, c, (F.coalesce(below, F.lit(0)) + (F.col("k") + 1) / 2).alias(f"r_{c}"))
+        counts = df.groupBy(*group, c).agg(F.count("*").alias("times_"))
+        below = F.sum("times_").over(W.partitionBy(*group).orderBy(c).rowsBetween(W.unboundedPreceding, -1))
+        return counts.select(*group, c, (F.coalesce(below, F.lit(0)) + (F.col("times_") + 1) / 2).alias(f"r_{c}"))
 
     both = rows.select(*group, x, y).join(ranked(rows, x), [*group, x]).join(ranked(rows, y), [*group, y])
-    return both.groupBy(*group).agg(F.count("*").alias("n"), F.when((F.countDistinct(f"r_{x}") > 1) & (F.countDistinct(f"r_{y}") > 1), F.corr(f"r_{x}", f"r_{y}")).alias("rho")).select(*group, "n", "rho")
+    x, y = f"r_{x}", f"r_{y}"
+    spread = F.stddev_pop(x) * F.stddev_pop(y)  # corr() itself divides by zero for a constant column
+    return both.groupBy(*group).agg(F.count("*").alias("n"), F.when(spread > 0, F.covar_pop(x, y) / spread).alias("rho"))
