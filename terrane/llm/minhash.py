@@ -35,7 +35,8 @@ SMALL = 1_000_000
 HUB_ROUNDS, FEW_PAIRS = 8, 4
 #: Members of either side that are compared in one task.
 BLOCK = 1024
-#: Coordinates of the signatures that are compared there, of 16 bits each.
+#: Coordinates of the signatures that are compared there, of 2 bits each: two sets of similarity s agree in a share
+#: s + (1 - s) / 4 of them.
 COMPARED = 1024
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -117,11 +118,9 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray
                 own, d = live[hit], dart[hit]
                 cell = row[own] * k + ((spot[hit] & np.uint64(0xFFFFFFFF)) % np.uint64(k)).astype(np.int64)
                 r = rank[own]
-                order = np.argsort(-r, kind="stable")  # the earliest is written last
-                cell, d, r = cell[order], d[order], r[order]
-                early = r < best_rank[cell]
-                cell, d, r = cell[early], d[early], r[early]
-                best_rank[cell], best[cell] = r, d
+                np.minimum.at(best_rank, cell, r)
+                early = r == best_rank[cell]
+                best[cell[early]] = d[early]
             on = w > high
             e, w, row, limit = e[on], w[on], row[on], limit[on]
             low, high, layer = high, high * 2, layer + 1
@@ -132,6 +131,22 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray
     return out
 
 
+def packed(signatures: np.ndarray) -> np.ndarray:
+    """(sets, coordinates / 32) uint64: two bits of each coordinate."""
+    n, k = signatures.shape
+    parts = (signatures & np.uint64(3)).reshape(n, k // 32, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+    return np.bitwise_or.reduce(parts, axis=2)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows of a, rows of b): how many coordinates of packed signatures are equal."""
+    differ = np.zeros((len(a), len(b)), np.int32)
+    for c in range(a.shape[1]):
+        x = a[:, c][:, None] ^ b[:, c][None, :]
+        differ += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    return 32 * a.shape[1] - differ
+
+
 def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """(sets, bands) int64: a hash of each band's coordinates and its number."""
     n, k = signatures.shape
@@ -210,8 +225,8 @@ def _likely(apart: DataFrame, sets: DataFrame, counts: bool, similarity: float)
             s = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             n = b.column(2).flatten().to_numpy(zero_copy_only=False) if counts else np.ones(len(s))
             each = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            full = dart_signatures(s, n, each, COMPARED, seed=2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in full.astype(np.uint16)], pa.binary())], ["k", "sig"])
+            full = packed(dart_signatures(s, n, each, COMPARED, seed=2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in full], pa.binary())], ["k", "sig"])
 
     wanted = apart.select(F.col("key").alias("id")).distinct()
     signed_sets = sets.join(wanted, F.col("key") == F.col("id"), "left_semi").select("key", "s", "n").mapInArrow(signatures, "k string, sig binary")
@@ -221,21 +236,19 @@ def _likely(apart: DataFrame, sets: DataFrame, counts: bool, similarity: float)
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     minor = rows.where("part <> main").select("b", place("few").alias("i"), each("all").alias("j"), F.lit(True).alias("minor"), "key", "part", "sig")
     every = rows.select("b", each("few").alias("i"), place("all").alias("j"), F.lit(False).alias("minor"), "key", "part", "sig")
-    least = (similarity - 5 * math.sqrt(similarity * (1 - similarity) / COMPARED)) * COMPARED
+    share = similarity + (1 - similarity) / 4
+    least = (share - 5 * math.sqrt(share * (1 - share) / COMPARED)) * COMPARED
 
     def task(rows):
         side = rows["minor"].to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(len(side), -1)
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint64).reshape(len(side), -1)
         key, part = np.array(rows["key"].to_pylist(), object), np.array(rows["part"].to_pylist(), object)
         a, b = np.flatnonzero(side), np.flatnonzero(~side)
         part = np.unique(part, return_inverse=True)[1]
         src, dst = [], []
         for lo in range(0, len(a), 64):
             own = a[lo : lo + 64]
-            same = np.zeros((len(own), len(b)), np.int16)
-            for c in range(sig.shape[1]):
-                same += sig[own, c][:, None] == sig[b, c][None, :]
-            x, y = np.nonzero((same >= least) & (part[own][:, None] != part[b][None, :]))
+            x, y = np.nonzero((agreeing(sig[own], sig[b]) >= least) & (part[own][:, None] != part[b][None, :]))
             src += key[own[x]].tolist()
             dst += key[b[y]].tolist()
         return pa.table([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
