@@ -141,3 +141,11 @@ def test_personal_data_against_brute_force(docs):
 
 def test_array_slices_are_copied():
     assert [w for w in lm.split_words(pa.array(["Ab é", "É b c", None]).slice(1))[1] if w] == ["É", "b", "c"]
+
+
+def test_packed_signatures_agree_as_their_low_bits_do():
+    rng = np.random.default_rng(3)
+    full = rng.integers(0, 1 << 63, (20, 64), dtype=np.uint64)
+    full[1, ::2] = full[0, ::2]
+    low = full & np.uint64(3)
+    assert (minhash.agreeing(minhash.packed(full), minhash.packed(full)) == (low[:, None] == low[None]).sum(axis=2)).all()
