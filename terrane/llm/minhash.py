@@ -17,12 +17,14 @@ one text without words.  A class's document with the smallest id stays (null ids
 from __future__ import annotations
 
 import math
+from base64 import b64encode
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from terrane.llm.common import connected_components, fresh, small_or_none, stored, unsliced
 
@@ -38,58 +40,101 @@ BLOCK = 1024
 #: Coordinates of the signatures that are compared there, of 2 bits each: two sets of similarity s agree in a share
 #: s + (1 - s) / 4 of them.
 COMPARED = 1024
+#: Bytes up to which words are hashed many at once.
+LONG_WORD = 128
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), element by element."""
     x = x + _GOLDEN
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    for shift, factor in ((30, _M1), (27, _M2)):
+        x ^= x >> np.uint64(shift)
+        x *= factor
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    u = (x >> np.uint64(11)).astype(np.float64)
+    u += 0.5
+    u /= float(1 << 53)
+    return u
 
 
-def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: shingle hashes, sorted and distinct within a text; how often each occurs; how many a text has."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' lower-case words between white space, and how many words a text has."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(unsliced(texts).cast(pa.large_string()), "")))
-    words = lists.values.dictionary_encode()
-    names = [(x or "") for x in words.dictionary.to_pylist()]
-    from xxhash import xxh3_64_intdigest
-
-    table = np.array([xxh3_64_intdigest(x) for x in names], np.uint64) if names else np.zeros(0, np.uint64)
-    empty = np.array([x == "" for x in names], bool)
-    index = words.indices.to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    if empty.any():  # blanks at a text's ends split off empty words
-        real = ~empty[index]
-        index, owner = index[real], owner[real]
-    h = table[index]
-    n = np.bincount(owner, minlength=len(texts))
-    starts = np.cumsum(n) - n
-    at = np.arange(len(h)) - starts[owner]
+    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    words = unsliced(lists.values)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = (data.to_pybytes() if data else b"") + bytes(8)
+    start, size = offsets[:-1], np.diff(offsets)
+    if (size == 0).any():  # blanks at a text's ends split off empty words
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[size > 0], minlength=len(n))
+        start, size = start[size > 0], size[size > 0]
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # the eight bytes from each byte on
+    h = mix(size.astype(np.uint64))
+    for j in range(0, min(int(size.max(initial=0)), LONG_WORD), 8):
+        on = np.flatnonzero(size > j)
+        left = np.minimum(size[on] - j, 8).astype(np.uint64)
+        h[on] = mix(h[on] ^ (eight[start[on] + j] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
+    return h, n
+
+
+def text_keys(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A key of 96 bits as 16 characters for each text: the same for texts with the same words in the same order."""
+    ends = np.cumsum(n)
+    place = (np.arange(len(h)) - np.repeat(ends - n, n)).astype(np.uint64)
+    parts = []
+    for seed in (_M1, _M2):
+        terms = mix(h ^ mix(place + seed))
+        total = np.zeros(len(terms) + 1, np.uint64)
+        np.cumsum(terms, out=total[1:])
+        parts.append(mix((total[ends] - total[ends - n]) ^ n.astype(np.uint64)))
+    raw = np.stack(parts, axis=1).view(np.uint8).reshape(len(n), 16)[:, :12].tobytes()
+    return pa.array([b64encode(raw[i : i + 12]).decode() for i in range(0, len(raw), 12)], pa.string())
+
+
+def shingle_hashes(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of all texts in order, repeated ones too, and how many a text has."""
     size = np.minimum(n, WORDS)
-    lead = at <= (n - size)[owner]
+    each = n - size + (n > 0)
+    starts = np.cumsum(n) - n
+    padded = np.concatenate((h, np.zeros(WORDS, np.uint64)))
+    at = np.repeat(starts - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
     rolled = np.zeros(len(h), np.uint64)
     for j in range(WORDS):
-        step = np.roll(h, -j)
-        rolled = np.where(j < size[owner], mix(rolled ^ step), rolled)
-    s, o = rolled[lead], owner[lead]
+        rolled = mix(rolled ^ padded[j : j + len(h)])
+    out = rolled[at]
+    short = np.flatnonzero((n > 0) & (n < WORDS))
+    if len(short):  # the one shingle of a text with fewer words
+        part = np.zeros(len(short), np.uint64)
+        for j in range(WORDS):
+            part = np.where(j < n[short], mix(part ^ padded[starts[short] + j]), part)
+        out[(np.cumsum(each) - each)[short]] = part
+    return out, each
+
+
+def distinct_shingles(s: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes, sorted and distinct within a text; how often each occurs; how many a text has."""
+    o = np.repeat(np.arange(len(each)), each)
     order = np.lexsort((s, o))
     s, o = s[order], o[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
     first = np.flatnonzero(new)
-    return s[first], np.diff(np.append(first, len(s))), np.bincount(o[first], minlength=len(texts))
+    return s[first], np.diff(np.append(first, len(s))), np.bincount(o[first], minlength=len(each))
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """(sets, k) uint64: for every set and coordinate the earliest dart.  Sets without elements get zeros.
 
-    elements and weights are those of all sets in order, sizes how many each set has.
+    elements and weights are those of all sets in order, sizes how many each set has.  An element of weight 1 that is
+    listed twice changes nothing: it throws the same darts again.
     """
     out = np.zeros((len(sizes), k), np.uint64)
     todo = np.flatnonzero(sizes)
@@ -98,31 +143,32 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray
     while len(todo):
         at = np.repeat(starts[todo] - (np.cumsum(sizes[todo]) - sizes[todo]), sizes[todo]) + np.arange(int(sizes[todo].sum()))
         e, w, row = elements[at], weights[at].astype(np.float64), np.repeat(np.arange(len(todo)), sizes[todo])
-        total = np.bincount(row, weights=w, minlength=len(todo))
-        limit = (darts / total)[row]
+        limit = darts / np.bincount(row, weights=w, minlength=len(todo))
         best_rank, best = np.full(len(todo) * k, np.inf), np.zeros(len(todo) * k, np.uint64)
         low, high = 0.0, 1.0  # layers of weight [0, 1), [1, 2), [2, 4), ...: each has darts of its own
         layer = 0
         while len(e):
             key = mix(mix(e ^ np.uint64(seed)) + np.uint64(layer))
-            live = np.arange(len(e))
-            rank = np.zeros(len(e))
-            turn = 0
-            while len(live):
-                turn += 1
-                dart = mix(key[live] + np.uint64(turn * int(_GOLDEN) & (1 << 64) - 1))
-                rank[live] -= np.log(_uniform(dart)) / (high - low)
-                live, dart = (x[rank[live] <= limit[live]] for x in (live, dart))
+            # the first throw: most elements of a long text stop at it, before any logarithm
+            dart = mix(key + _GOLDEN)
+            live = np.flatnonzero(_uniform(dart) >= (np.exp(-limit * (high - low)) * (1 - 1e-12))[row])
+            rank, dart, turn = np.zeros(len(live)), dart[None, live], 1
+            while len(live):  # throws run down, elements across
+                ranks = np.concatenate((rank[None], -np.log(_uniform(dart)) / (high - low))).cumsum(axis=0)[1:]
+                inside = ranks <= limit[row[live]]
                 spot = mix(dart ^ _M1)
-                hit = low + _uniform(spot) * (high - low) < w[live]
-                own, d = live[hit], dart[hit]
-                cell = row[own] * k + ((spot[hit] & np.uint64(0xFFFFFFFF)) % np.uint64(k)).astype(np.int64)
-                r = rank[own]
+                hit = inside & (low + _uniform(spot) * (high - low) < w[live])
+                r, d = ranks[hit], dart[hit]
+                cell = np.broadcast_to(row[live] * k, hit.shape)[hit] + ((spot[hit] & np.uint64(0xFFFFFFFF)) % np.uint64(k)).astype(np.int64)
                 np.minimum.at(best_rank, cell, r)
                 early = r == best_rank[cell]
                 best[cell[early]] = d[early]
+                live, rank = live[inside[-1]], ranks[-1, inside[-1]]
+                turns = min(max((1 << 15) // max(len(live), 1), 1), 32)
+                dart = mix(key[live] + np.arange(turn + 1, turn + turns + 1, dtype=np.uint64)[:, None] * _GOLDEN)
+                turn += turns
             on = w > high
-            e, w, row, limit = e[on], w[on], row[on], limit[on]
+            e, w, row = e[on], w[on], row[on]
             low, high, layer = high, high * 2, layer + 1
         full = np.isfinite(best_rank.reshape(len(todo), k)).all(axis=1)
         out[todo[full]] = best.reshape(len(todo), k)[full]
@@ -157,48 +203,55 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _slices(sizes: np.ndarray, most: int = 1 << 21):
-    ends = np.cumsum(sizes)
+def _slices(texts: pa.Array, most: int = 1 << 22):
+    """(first, after last) of runs of texts of bounded bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     a = 0
-    while a < len(sizes):
+    while a < len(texts):
         z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
         yield a, z
         a = z
 
 
-def text_key(text) -> F.Column:
-    """The same for texts that differ in white space and case only."""
-    return F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")))
+def raw_key(text) -> F.Column:
+    """Finds a row's text again, next to its id; not a proof that texts are the same."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def signed(texts: DataFrame, counts: bool = False) -> DataFrame:
-    """(key, bands array<long>) of (key, text); texts without words have no bands."""
+def signed(docs: DataFrame, id_col: str, text_col: str, counts: bool = False) -> DataFrame:
+    """(id, raw, key, bands array<long>) of every row; texts without words have no bands."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False) + 1
-            for a, z in _slices(sizes):
-                s, n, each = shingles(b.column(1).slice(a, z - a))
-                bands = band_hashes(dart_signatures(s, n if counts else np.ones(len(s)), each, BANDS * ROWS))
-                have = np.flatnonzero(each)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * BANDS), pa.array(bands[have].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a).take(pa.array(have)), lists], ["key", "bands"])
+            for a, z in _slices(b.column(2)):
+                h, n = word_hashes(b.column(2).slice(a, z - a))
+                s, each = shingle_hashes(h, n)
+                times = np.ones(len(s))
+                if counts:
+                    s, times, each = distinct_shingles(s, each)
+                bands = band_hashes(dart_signatures(s, times, each, BANDS * ROWS))
+                offsets = np.concatenate(([0], np.cumsum((each > 0) * BANDS))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[each > 0].ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), text_keys(h, n), lists], ["id", "raw", "key", "bands"])
 
-    return texts.select("key", "text").mapInArrow(run, "key string, bands array<bigint>")
+    rows = docs.select(F.col(id_col).alias("id"), raw_key(F.col(text_col)).alias("raw"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, raw bigint, key string, bands array<bigint>")
 
 
-def shingled(texts: DataFrame) -> DataFrame:
-    """(key, s array<long>, n array<int>): each text's distinct shingles and how often they occur."""
+def shingled(texts: DataFrame, counts: bool = False) -> DataFrame:
+    """(key, s array<long>, n array<int>): each text's distinct shingles and, with counts, how often they occur."""
 
     def run(batches):
         for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False) + 1
-            for a, z in _slices(sizes):
-                s, n, each = shingles(b.column(1).slice(a, z - a))
+            for a, z in _slices(b.column(0)):
+                h, words = word_hashes(b.column(0).slice(a, z - a))
+                s, n, each = distinct_shingles(*shingle_hashes(h, words))
                 offsets = pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))], ["key", "s", "n"])
+                times = pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))) if counts else pa.array([[]] * (z - a), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([text_keys(h, words), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64))), times], ["key", "s", "n"])
 
-    return texts.select("key", "text").mapInArrow(run, "key string, s array<bigint>, n array<int>")
+    return texts.select("text").mapInArrow(run, "key string, s array<bigint>, n array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, counts: bool, similarity: float) -> DataFrame:
@@ -257,20 +310,23 @@ def _likely(apart: DataFrame, sets: DataFrame, counts: bool, similarity: float)
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
-def near_classes(docs: DataFrame, text_col: str = "text", counts: bool = False, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, class): of every different text (see ``text_key``) that is like another one, its class's smallest key."""
-    rows = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    bands = stored(signed(rows, counts).groupBy("key").agg(F.first("bands").alias("bands")))
-    flat = bands.select("key", F.explode("bands").alias("band"))
+def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, class): of every different text that is like another one, its class's smallest key; rows: see ``signed``."""
+    order = F.struct(F.col("id").isNull(), "id", "raw")
+    reps = stored(rows.groupBy("key").agg(F.min_by(F.struct("id", "raw", "bands"), order).alias("r")).select("key", "r.*"))
+    flat = reps.select("key", F.explode("bands").alias("band"))
     # the joins below are on another name of the bucket, so that both sides are shuffled for them and hot buckets can be split
     other = lambda df: df.withColumn("bucket", F.bitwise_not("band")).drop("band")
-    shared = stored(other(flat.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("size")).where("size > 1").select("band", "head")))
-    members = other(flat).join(shared, "bucket")
+    shared = other(flat.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"))
+    shared = stored(other(flat).join(shared, "bucket"))
+    members = shared.join(shared.groupBy("bucket").agg(F.min("key").alias("head")), "bucket")
     stars = stored(members.where("key <> head").select(F.col("head").alias("src"), F.col("key").alias("dst")).distinct())
-    ids = stored(stars.select("src").union(stars.select("dst")).distinct().withColumnRenamed("src", "id"))
-    few = small_or_none(ids, SMALL)
-    wanted = rows.join(few if few is not None else ids, F.col("key") == F.col("id"), "left_semi")
-    sets = stored(shingled(wanted).groupBy("key").agg(F.first("s").alias("s"), F.first("n").alias("n")))
+    ids = stored(stars.select("src").union(stars.select("dst")).distinct().withColumnRenamed("src", "id_"))
+    chosen = reps.join(ids, F.col("key") == F.col("id_"), "left_semi").select(F.col("id").alias("own"), F.col("raw").alias("raw_"))
+    few = small_or_none(chosen, SMALL)
+    wanted = docs.select(F.col(id_col).alias("id"), raw_key(F.col(text_col)).alias("raw"), F.col(text_col).alias("text"))
+    wanted = wanted.join(few if few is not None else chosen, (F.col("raw") == F.col("raw_")) & F.col("id").eqNullSafe(F.col("own")), "left_semi")
+    sets = stored(shingled(wanted, counts).groupBy("key").agg(F.first("s").alias("s"), F.first("n").alias("n")))
     links = stored(_verified(stars, sets, counts, similarity))
     found = connected_components(links)
     # Buckets whose members the links so far leave in several components: the smaller components' members meet one
@@ -298,21 +354,21 @@ def near_classes(docs: DataFrame, text_col: str = "text", counts: bool = False,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """(id_col, class_id, kept) for every row: class_id is the smallest id of its class, kept whether it is the row's own."""
-    classes = near_classes(docs, text_col, counts)
-    keyed = stored(docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key")))
-    named = stored(keyed.groupBy("key").agg(F.min("id").alias("least")).join(classes, "key", "left").select("key", "least", F.coalesce("class", "key").alias("class")))
+    rows = stored(signed(docs, id_col, text_col, counts))
+    classes = near_classes(docs, rows, id_col, text_col, counts)
+    named = stored(rows.groupBy("key").agg(F.min("id").alias("least")).join(classes, "key", "left").select("key", "least", F.coalesce("class", "key").alias("class")))
     heads = named.groupBy("class").agg(F.min("least").alias("class_id"))
     final = named.select("key", F.reverse("class").alias("by")).join(heads.withColumn("by", F.reverse("class")).drop("class"), "by").select(F.reverse("key").alias("turned"), "class_id")
-    return keyed.withColumn("turned", F.reverse("key")).join(final, "turned").select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    keyed = rows.select("id", F.reverse("key").alias("turned"))
+    return keyed.join(final, "turned").select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay: of every class the row with the smallest id, its smallest text and only once."""
-    classes = near_classes(docs, text_col)
-    keyed = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))
-    named = keyed.groupBy("key").agg(F.min("id").alias("id")).join(classes, "key", "left").select("key", "id", F.coalesce("class", "key").alias("class"))
-    stay = named.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m")).select(F.col("m.id").alias("stay_id"), F.col("m.key").alias("stay_key"))
-    key = fresh(docs, "text_key")
-    rows = docs.withColumn(key, text_key(F.col(text_col)))
-    found = rows.join(stored(stay), (F.col(key) == F.col("stay_key")) & F.col(id_col).eqNullSafe(F.col("stay_id")), "left_semi")
-    return found.dropDuplicates([key]).select(*docs.columns)
+    rows = stored(signed(docs, id_col, text_col))
+    classes = near_classes(docs, rows, id_col, text_col)
+    named = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "raw")).alias("m")).join(classes, "key", "left")
+    stay = named.groupBy(F.coalesce("class", "key")).agg(F.min("m").alias("m")).select(F.col("m.id").alias("stay_id"), F.col("m.raw").alias("stay_raw"))
+    raw = fresh(docs, "raw_key")
+    found = docs.withColumn(raw, raw_key(F.col(text_col))).join(stored(stay), (F.col(raw) == F.col("stay_raw")) & F.col(id_col).eqNullSafe(F.col("stay_id")), "left_semi")
+    return found.dropDuplicates([id_col, raw]).select(*docs.columns)
