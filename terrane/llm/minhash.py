@@ -270,7 +270,8 @@ def _likely(apart: DataFrame, sets: DataFrame, counts: bool, similarity: float)
     """(src, dst): pairs of one bucket and different components whose signatures agree almost as often as links do.
 
     The smaller components' members are compared with all members, in tasks of bounded blocks of both, which return
-    only the pairs whose share of equal coordinates is at most five standard deviations under the similarity.
+    only the pairs whose share of equal coordinates is at most five standard deviations under the similarity.  A pair
+    that shares several buckets is returned by that of the first band they agree in, and once.
     """
 
     def signatures(batches):
@@ -279,22 +280,25 @@ def _likely(apart: DataFrame, sets: DataFrame, counts: bool, similarity: float)
             n = b.column(2).flatten().to_numpy(zero_copy_only=False) if counts else np.ones(len(s))
             each = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
             full = packed(dart_signatures(s, n, each, COMPARED, seed=2))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in full], pa.binary())], ["k", "sig"])
+            bands = band_hashes(dart_signatures(s, n, each, BANDS * ROWS))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (full, bands))], ["k", "sig", "bands"])
 
     wanted = apart.select(F.col("key").alias("id")).distinct()
-    signed_sets = sets.join(wanted, F.col("key") == F.col("id"), "left_semi").select("key", "s", "n").mapInArrow(signatures, "k string, sig binary")
-    rows = apart.join(signed_sets, F.col("key") == F.col("k"))
+    signed_sets = sets.join(wanted, F.col("key") == F.col("id"), "left_semi").select("key", "s", "n").mapInArrow(signatures, "k string, sig binary, bands binary")
+    rows = apart.join(signed_sets, F.col("key") == F.col("k")).select("*", F.bitwise_not(F.reverse("b").cast("long")).alias("band"), (F.col("part") == F.col("main")).alias("major"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("key"), blocks(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    minor = rows.where("part <> main").select("b", place("few").alias("i"), each("all").alias("j"), F.lit(True).alias("minor"), "key", "part", "sig")
-    every = rows.select("b", each("few").alias("i"), place("all").alias("j"), F.lit(False).alias("minor"), "key", "part", "sig")
+    minor = rows.where("part <> main").select("b", place("few").alias("i"), each("all").alias("j"), F.lit(True).alias("minor"), "major", "band", "key", "part", "sig", "bands")
+    every = rows.select("b", each("few").alias("i"), place("all").alias("j"), F.lit(False).alias("minor"), "major", "band", "key", "part", "sig", "bands")
     share = similarity + (1 - similarity) / 4
     least = (share - 5 * math.sqrt(share * (1 - share) / COMPARED)) * COMPARED
 
     def task(rows):
         side = rows["minor"].to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint64).reshape(len(side), -1)
+        bands = np.frombuffer(b"".join(rows["bands"].to_pylist()), np.int64).reshape(len(side), -1)
+        band, major = rows["band"][0].as_py(), rows["major"].to_numpy(zero_copy_only=False)
         key, part = np.array(rows["key"].to_pylist(), object), np.array(rows["part"].to_pylist(), object)
         a, b = np.flatnonzero(side), np.flatnonzero(~side)
         part = np.unique(part, return_inverse=True)[1]
@@ -302,8 +306,13 @@ def _likely(apart: DataFrame, sets: DataFrame, counts: bool, similarity: float)
         for lo in range(0, len(a), 64):
             own = a[lo : lo + 64]
             x, y = np.nonzero((agreeing(sig[own], sig[b]) >= least) & (part[own][:, None] != part[b][None, :]))
-            src += key[own[x]].tolist()
-            dst += key[b[y]].tolist()
+            x, y = own[x], b[y]
+            once = major[y] | (key[x] < key[y])  # two members of smaller components meet twice
+            x, y = x[once], y[once]
+            same = bands[x] == bands[y]
+            here = bands[x, same.argmax(axis=1)] == band
+            src += key[x[here]].tolist()
+            dst += key[y[here]].tolist()
         return pa.table([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
 
     found = minor.unionByName(every).groupBy("b", "i", "j").applyInArrow(task, "src string, dst string")
