@@ -2,36 +2,155 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.functions.vectors import distance, hash_rank
+from terrane.sources.tables import stored
 
-#: Partners that an anchor is offered: those that follow it in its subset's permutation.
+#: Partners that an anchor is offered first: those that follow it in its subset's permutation.  Where they give too few
+#: pairs, the rest of the subset is searched.
 OFFERED = 24
 BANDS = {"random": (0.0, float("inf")), "matched": (0.0, 0.5), "mismatched": (1.5, float("inf"))}
+#: Rows of a block that a task compares with another one, and the width of the cells by whose order rows become blocks.
+BLOCK, CELL = 2048, 0.5
 
 
-def offered(rows: DataFrame, seed: int, many: int = OFFERED) -> DataFrame:
-    """(subset, anchor_id, positive_id, d): every row with the ``many`` rows after it in a ring ordered by hash.
+def ring(rows: DataFrame, seed: int) -> DataFrame:
+    """(subset, id, z, r, n): each row's place in its subset's permutation by hash, and the subset's size.
 
-    ``rows`` has subset, id and z (array).  Work grows with the rows times ``many``, not with pairs of a subset.
+    Places are counted in ranges of the hash and shifted by the sizes of the ranges before, so no task ranks a subset.
     """
-    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("subset").orderBy(hash_rank(seed, F.col("id")), "id")) - 1)
-    sizes = rows.groupBy("subset").agg(F.count("*").alias("n"))
-    ranked = ranked.join(sizes, "subset")
-    steps = ranked.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(many)))).where("step < n").select("subset", F.col("id").alias("anchor_id"), F.col("z").alias("za"), ((F.col("r") + F.col("step")) % F.col("n")).alias("r"))
+    hashed = rows.select("subset", "id", "z", hash_rank(seed, F.col("id")).alias("h")).withColumn("part", F.substring("h", 1, 3))
+    sizes = hashed.groupBy("subset", "part").agg(F.count("*").alias("m"))
+    whole = W.partitionBy("subset")
+    before = F.sum("m").over(whole.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("subset", "part", F.coalesce(before, F.lit(0)).alias("start"), F.sum("m").over(whole).alias("n"))
+    place = F.row_number().over(W.partitionBy("subset", "part").orderBy("h", "id")) - 1
+    return hashed.withColumn("place", place).join(starts, ["subset", "part"]).select("subset", "id", "z", (F.col("place") + F.col("start")).alias("r"), "n")
+
+
+def partners(ranked: DataFrame, steps: DataFrame) -> DataFrame:
+    """(subset, anchor_id, positive_id, d, step) of ``steps``: (subset, anchor_id, za, r of the anchor, step, n)."""
+    at = steps.select("subset", "anchor_id", "za", "step", ((F.col("r") + F.col("step")) % F.col("n")).alias("r"))
     other = ranked.select("subset", "r", F.col("id").alias("positive_id"), F.col("z").alias("zp"))
-    return steps.join(other, ["subset", "r"]).select("subset", "anchor_id", "positive_id", distance(F.col("za"), F.col("zp")).alias("d"))
+    return at.join(other, ["subset", "r"]).select("subset", "anchor_id", "positive_id", distance(F.col("za"), F.col("zp")).alias("d"), "step")
+
+
+def offered(ranked: DataFrame, many: int = OFFERED) -> DataFrame:
+    """(subset, anchor_id, positive_id, d, step): every row with the ``many`` rows after it in its ring."""
+    steps = ranked.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(many)).cast("array<bigint>"))).where("step < n")
+    return partners(ranked, steps.select("subset", F.col("id").alias("anchor_id"), F.col("z").alias("za"), "r", "step", "n"))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(block, subset, n, lo, hi, z, r, need) of (subset, n, z, r, need): near rows together, at most BLOCK, packed.
+
+    Rows are sorted by the interleaved bits of their cells; equal cells are cut by place, so copies don't meet in a task.
+    """
+    cell = lambda i: F.greatest(F.lit(0), F.least(F.lit(31), F.floor(F.col("z")[i] / CELL).cast("int") + 16)).cast("bigint")
+    code = sum((F.shiftleft(F.shiftright(cell(i), b).bitwiseAND(1), 6 * b + i) for b in range(5) for i in range(6)), F.lit(0))
+    spread = rows.withColumn("code", F.when(F.size("z") == 6, code).otherwise(F.lit(0))).repartitionByRange("subset", "code", "r").sortWithinPartitions("subset", "code", "r")
+
+    def pack(batches):
+        for b in batches:
+            subset = b.column(0).to_pylist()
+            n, r, need = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 3, 4))
+            z = np.array(b.column(2).to_pylist(), np.float64).reshape(len(r), -1)
+            out, a = [], 0
+            while a < len(r):
+                e = a + 1
+                while e < len(r) and e - a < BLOCK and subset[e] == subset[a]:
+                    e += 1
+                part = z[a:e]
+                out.append((subset[a], n[a], part.min(axis=0).tolist(), part.max(axis=0).tolist(), part.tobytes(), r[a:e].tobytes(), need[a:e].tobytes()))
+                a = e
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()], strict=True)], ["subset", "n", "lo", "hi", "z", "r", "need"])
+
+    packed = spread.select("subset", "n", "z", "r", "need").mapInArrow(pack, "subset string, n bigint, lo array<double>, hi array<double>, z binary, r binary, need binary")
+    return stored(packed.withColumn("block", F.monotonically_increasing_id()))
+
+
+def searched(ranked: DataFrame, short: DataFrame, low: float, high: float, many: int = OFFERED) -> DataFrame:
+    """(subset, r, step): the next admissible rows in the ring after the offered ones, for (subset, n, z, r, need).
+
+    Exact: a block of anchors meets every block of its subset that can have a row within the band, by their bounding
+    boxes.  A block returns at most the need of each anchor, so rows grow with anchors, not pairs.
+    """
+    anchors, every = blocks(short), blocks(ranked.select("subset", "n", "z", "r", F.lit(0).alias("need")))
+    box = lambda df, p: df.select("subset", F.col("block").alias(p), F.col("lo").alias(f"lo_{p}"), F.col("hi").alias(f"hi_{p}"))
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)
+    up, down = F.zip_with("lo_c", "hi_a", lambda x, y: x - y), F.zip_with("lo_a", "hi_c", lambda x, y: x - y)
+    least = square(F.zip_with(up, down, lambda x, y: F.greatest(x, y, F.lit(0.0))))
+    most = square(F.zip_with(up, down, lambda x, y: F.greatest(-x, -y)))
+    reach = (least <= high * high * (1 + 1e-9)) & (most >= low * low * (1 - 1e-9))
+    near = box(anchors, "a").join(box(every, "c"), "subset").where(reach).select("a", "c")
+    left = anchors.select(F.col("block").alias("a"), "subset", "n", F.col("z").alias("za"), F.col("r").alias("ra"), "need")
+    both = near.join(every.select(F.col("block").alias("c"), F.col("z").alias("zc"), F.col("r").alias("rc")), "c").join(left.hint("merge"), "a")  # sorted by a, so a task merges what a block of anchors finds
+
+    def first(at, step, need):
+        order = np.lexsort((step, at))
+        at, step = at[order], step[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < need[at]
+        return at[keep], step[keep]
+
+    def out(row, held):
+        at, step = held
+        ra = np.frombuffer(row["ra"], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([row["subset"]] * len(at), pa.string()), pa.array(ra[at]), pa.array(step)], ["subset", "r", "step"])
+
+    def compare(batches):
+        last = held = None
+        for row in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
+            if last is not None and last["a"] != row["a"]:
+                yield out(last, held)
+                held = None
+            ra, rc, need = (np.frombuffer(row[k], np.int64) for k in ("ra", "rc", "need"))
+            za, zc = (np.frombuffer(row[k], np.float64).reshape(len(r), -1) for k, r in (("za", ra), ("zc", rc)))
+            found = [held] if held else []
+            for s in range(0, len(ra), 256):
+                d = np.zeros((len(ra[s : s + 256]), len(rc)))
+                for i in range(za.shape[1]):
+                    d += np.square(za[s : s + 256, i, None] - zc[None, :, i])
+                d = np.sqrt(d)
+                at, other = np.nonzero((d >= low) & (d <= high))
+                at = at + s
+                step = (rc[other] - ra[at]) % row["n"]
+                fit = step > many
+                found.append(first(at[fit], step[fit], need))
+            last, held = row, first(*(np.concatenate(x) for x in zip(*found, strict=True)), need)
+        if last is not None:
+            yield out(last, held)
+
+    return both.select("a", "subset", "n", "za", "ra", "need", "zc", "rc").mapInArrow(compare, "subset string, r bigint, step bigint")
 
 
 def build(rows: DataFrame, kind: str, uses: int, seed: int) -> DataFrame:
-    """(subset, anchor_id, positive_id, ts_dist, use): each anchor's first ``uses`` admissible partners by hash."""
+    """(subset, anchor_id, positive_id, ts_dist, use): each anchor's first ``uses`` admissible partners.
+
+    Partners offered by the ring come first, by hash; an anchor with too few of them gets the next ones of its whole
+    subset in the order of the ring, so that one has fewer than ``uses`` only if the subset has no more.
+    """
     low, high = BANDS[kind]
-    fit = offered(rows, seed).where((F.col("d") >= low) & (F.col("d") <= high))
+    ranked = stored(ring(rows, seed))
+    fit = offered(ranked).where((F.col("d") >= low) & (F.col("d") <= high))
     use = F.row_number().over(W.partitionBy("anchor_id").orderBy(hash_rank(seed, F.col("anchor_id"), F.col("positive_id")), "positive_id"))
-    return fit.withColumn("use", use).where(F.col("use") <= uses).select("subset", "anchor_id", "positive_id", F.col("d").alias("ts_dist"), "use")
+    names = ["subset", "anchor_id", "positive_id", F.col("d").alias("ts_dist"), "use"]
+    first = stored(fit.withColumn("use", use).where(F.col("use") <= uses).select(*names))
+    have = first.groupBy(F.col("anchor_id").alias("id")).agg(F.count("*").alias("have"))
+    short = ranked.where(F.col("n") > OFFERED + 1).join(have, "id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < uses)
+    short = stored(short.select("subset", "id", "n", "z", "r", "have", (F.lit(uses) - F.col("have")).alias("need")))
+    if short.isEmpty():
+        return first
+    found = searched(ranked, short.select("subset", "n", "z", "r", "need"), low, high)
+    steps = found.withColumn("k", F.row_number().over(W.partitionBy("subset", "r").orderBy("step"))).join(short, ["subset", "r"]).where(F.col("k") <= F.col("need"))
+    more = partners(ranked, steps.select("subset", F.col("id").alias("anchor_id"), F.col("z").alias("za"), "r", "step", "n"))
+    uses_of = steps.select(F.col("subset"), F.col("id").alias("anchor_id"), "step", (F.col("have") + F.col("k")).cast("int").alias("use"))
+    return first.unionByName(more.join(uses_of, ["subset", "anchor_id", "step"]).select(*names))
 
 
 def report(pairs: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Every registered query with SQL gives DuckDB's rows on the smallest tables; closed forms for the rest."""
 
+import numpy as np
 import pytest
 from oracle import check
 from pyspark.sql import functions as F
 
-from terrane.operators import agreement, corpus, graph, results
+from terrane.operators import agreement, corpus, graph, pairs, results
 from terrane.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,21 @@ def test_disintegrated_and_keys(spark):
     assert [r[0] for r in rows.select(results.disintegrated(F.col("c"), F.col("n"))).collect()] == [True, True, True, False]
     keys = spark.createDataFrame([("0.05",), ("0.050",), ("",), (None,), ("NaN",)], "k string").select(results.canonical(F.col("k")).alias("k"))
     assert [r["k"] for r in keys.collect()] == ["0.05", "0.05", "", "", ""]
+
+
+@pytest.mark.parametrize("kind", ["matched", "mismatched"])
+def test_pairs_search_the_whole_subset(spark, kind):
+    rng = np.random.default_rng(0)
+    z = rng.normal(size=(400, 6)) * (1.0 if kind == "matched" else 0.4)
+    z[1:60:3] = z[0:60:3] + 0.01
+    z[100:130] = z[100]
+    rows = spark.createDataFrame([(i, "s", [float(v) for v in r]) for i, r in enumerate(z)] + [(1000 + i, "t", [float(v) for v in r]) for i, r in enumerate(z[:30])], "id long, subset string, z array<double>")
+    got = pairs.build(rows, kind, 3, 7).collect()
+    low, high = pairs.BANDS[kind]
+    d = np.linalg.norm(z[:, None] - z[None], axis=2)
+    for base, own in ((0, d), (1000, d[:30, :30])):
+        fit = (own >= low) & (own <= high) & ~np.eye(len(own), dtype=bool)
+        for a in range(len(own)):
+            mine = sorted((r["use"], r["positive_id"] - base) for r in got if r["anchor_id"] == base + a)
+            assert [u for u, _ in mine] == list(range(1, min(3, fit[a].sum()) + 1))
+            assert len({p for _, p in mine}) == len(mine) and all(fit[a, p] for _, p in mine)
