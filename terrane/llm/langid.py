@@ -12,18 +12,20 @@ repeated rows give repeated results.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.llm.common import fresh, stored
 
-#: Hash buckets of the n-grams, and about how many texts of each language are learned from (the bounded sample).
+#: Hash buckets of the n-grams, and how many different texts of each language are learned from at most.
 BUCKETS, PER_LANGUAGE = 2048, 400
 #: Most languages that are learned; they bound the model and what the driver gathers.
 LANGUAGES = 200
@@ -142,24 +144,47 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, text_col: str, lang_col: str, usable: Column, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on a hash sample of about ``per_language`` labelled texts of each language (all, where there are fewer).
+    """Fit on the ``per_language`` different texts of each language with the smallest hashes (all, where there are fewer).
 
-    Languages beyond the LANGUAGES most frequent are not learned.  The driver gathers features, never texts.
+    Copies count once, so every language with a text that has a letter is learned, however its rows repeat.  Languages
+    beyond the LANGUAGES most frequent are not learned, with a warning.  The driver gathers features, never texts.
     """
-    labelled = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = stored(labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES))
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.join(F.broadcast(sizes), "lang").where(share * F.col("count") < per_language).select("lang", "text")
+    labelled = docs.where(usable & F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = stored(labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1))
+    if sizes.count() > LANGUAGES:
+        warnings.warn(f"only the {LANGUAGES} most frequent languages are learned", stacklevel=2)
+    labelled = labelled.join(F.broadcast(sizes.orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")), "lang").withColumn("h", F.xxhash64("text"))
+
+    def smallest(batches):
+        held = {}
+        for b in batches:
+            langs, h = b.column(0).dictionary_encode(), b.column(1).to_numpy(zero_copy_only=False)
+            place = langs.indices.to_numpy(zero_copy_only=False)
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                held[lang] = np.unique(np.concatenate((held.get(lang, h[:0]), h[place == i])))[:per_language]
+        for lang, h in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h, pa.int64())], ["lang", "h"])
+
+    # each task sends at most per_language hashes of a language; the largest of the smallest ones is the language's bound
+    hashes = labelled.select("lang", "h").mapInArrow(smallest, "lang string, h bigint").distinct()
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    bounds = stored(hashes.withColumn("place", place).where(F.col("place") <= per_language).groupBy("lang").agg(F.max("h").alias("bound")))
+    chosen = labelled.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "text", "h")
 
     def run(batches):
+        seen = set()
         for b in batches:
-            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+            langs, texts, h = (b.column(i).to_pylist() for i in range(3))
+            rows = []
+            for i, key in enumerate(zip(langs, h, strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    rows.append(i)
             for a, z in _slices([texts[i] for i in rows]):
                 x = features([texts[i] for i in rows[a:z]]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in rows[a:z]], pa.string()), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in rows[a:z]], pa.string()), pa.array([h[i] for i in rows[a:z]], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "h", "x"])
 
-    found = chosen.mapInArrow(run, "lang string, x binary").toArrow().to_pydict()
+    found = chosen.mapInArrow(run, "lang string, h bigint, x binary").dropDuplicates(["lang", "h"]).toArrow().to_pydict()
     order = sorted(range(len(found["lang"])), key=lambda i: (found["lang"][i], found["x"][i]))
     x = np.array([np.frombuffer(found["x"][i], np.float32) for i in order], np.float64).reshape(-1, BUCKETS)
     return fit(x, [found["lang"][i] for i in order])

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import check
+from pyspark.sql import functions as F
 
 from terrane.llm import bpe, caps, chat, langid, lm, media, minhash, mixing, pii, queries
 
@@ -90,6 +91,19 @@ def test_language_defined_results(docs):
     assert langid.keep_identified(docs).columns == docs.columns
 
 
+def test_language_of_many_copies_is_learned(spark):
+    rows = [(f"das ist ein deutscher satz nummer {c}", "de") for c in "abcde" for _ in range(1000)] + [(f"this is an english sentence {i}", "en") for i in range(30)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    learned = []
+    fit = langid.fit
+    try:
+        langid.fit = lambda x, langs: learned.extend(langs) or fit(x, langs)
+        langid.train(df, "text", "lang", F.lit(True), 20)
+    finally:
+        langid.fit = fit
+    assert {n: learned.count(n) for n in set(learned)} == {"de": 5, "en": 20}
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a = {i: float(rng.integers(1, 9)) for i in range(300)}
