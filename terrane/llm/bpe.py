@@ -4,10 +4,11 @@
 file's pattern, bytes as letters, an end mark on every word).  Encoding puts the symbols of all new words of a batch in
 one flat array; each round looks up every neighbouring pair by binary search over the sorted pair keys, finds the
 lowest rank of each word and merges its pairs from left to right, until no word has a known pair.  Runs between blanks
-that the task has seen before come from a bounded table.
+that the task has seen before come from a table of bounded bytes, which is dropped when the task ends.
 
 Defined results: a null text is an empty text and has no tokens; texts are encoded whole, whatever their length;
-special tokens' strings inside a text become those tokens, as in the library.
+special tokens' strings inside a text become those tokens, as in the library.  Rows are encoded one by one: repeated rows
+give repeated results, an empty table gives no rows, columns that aren't asked for are left out.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most runs between blanks that a task remembers; beyond it the table starts anew.
-REMEMBERED = 1_000_000
-#: Characters that are encoded together.
-SLICE = 1 << 21
+from terrane.llm.common import byte_slices
+
+#: Bytes of runs between blanks that a task remembers; beyond them the table starts anew.
+REMEMBERED = 1 << 24
+#: A remembered run's bytes besides its letters.
+ENTRY = 160
+#: Bytes of texts that are encoded together, and ids that are decoded together.
+SLICE, TOKENS = 1 << 21, 1 << 19
 _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
 
@@ -62,11 +67,15 @@ class Codec:
         self.spaces = regex.compile(f"[{_SPACE}]+")
         self.separators = [chr(i) for i in range(0x1C, 0x20)]  # blanks to str.split(), not to the library
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, int] = {}  # a lower-case run without blanks -> its place in starts, sizes
-        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.forget()
         self.digits = Pieces([f"{i} ".encode() for i in range(self.size)])
         self.spelled = Pieces([f"{t} ".encode() for t in self.tokens])
 
+    def forget(self) -> None:
+        """Start with an empty table: a lower-case run without blanks -> its place in starts, sizes."""
+        self.known: dict[str, int] = {}
+        self.flat, self.sizes, self.held = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+
     def runs(self, text: str) -> list[str]:
         """The runs of a text between blanks, in lower case; special tokens stay whole."""
         if self.marks is not None and "<|" in text and self.marks.search(text):
@@ -161,10 +170,11 @@ class Codec:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = list(dict.fromkeys(runs[i] for i in missing.tolist()))
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, self.flat, self.sizes = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
+            if self.held > REMEMBERED:
+                self.forget()
                 new, missing = list(dict.fromkeys(runs)), np.arange(len(runs))
             self.learn(new)
+            self.held += sum(map(len, new)) + ENTRY * len(new)
             at[missing] = np.fromiter((self.known[runs[i]] for i in missing.tolist()), np.int64, len(missing))
         size = self.sizes[at]
         ends = np.cumsum(size)
@@ -213,15 +223,17 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _slices(sizes: list[int]):
-    a, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > SLICE:
-            yield a, i
-            a, held = i, 0
-        held += n
-    if sizes:
-        yield a, len(sizes)
+def _counted(counts: np.ndarray):
+    """(first, after last) of runs of texts of bounded ids together."""
+    ends, a = np.cumsum(counts + 1), 0
+    while a < len(counts):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOKENS, "right")))
+        yield a, z
+        a = z
+
+
+def _digests(c: Codec, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    return [hashlib.sha256(x).hexdigest() for x in c.ids_text(ids, counts)]
 
 
 def encode_texts(df: DataFrame, text_col: str, keep: list[str], vocabulary: str = "word_bpe_49k.json", ids_col: str = "ids") -> DataFrame:
@@ -232,12 +244,11 @@ def encode_texts(df: DataFrame, text_col: str, keep: list[str], vocabulary: str
 
     def run(batches):
         c = codec(vocabulary_path(vocabulary))
-        for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            for lo, hi in _slices([len(t) + 1 for t in texts]):
-                ids, counts = c.encode(texts[lo:hi])
-                rows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([rows, *(b.column(i + 1).slice(lo, hi - lo) for i in range(len(keep)))], ["ids", *(f"k{i}" for i in range(len(keep)))])
+        for b in byte_slices(batches, 0, SLICE):
+            ids, counts = c.encode([t or "" for t in b.column(0).to_pylist()])
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([rows, *b.columns[1:]], ["ids", *(f"k{i}" for i in range(len(keep)))])
+        c.forget()
 
     done = source.mapInArrow(run, out)
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(ids_col))
@@ -257,17 +268,34 @@ def decode_ids(df: DataFrame, ids_col: str, keep: list[str], vocabulary: str = "
             first = lists.offsets[0].as_py() if len(lists) else 0
             values = lists.values.to_numpy(zero_copy_only=False)[first:]
             starts = np.concatenate(([0], np.cumsum(counts)))
-            for lo, hi in _slices((4 * counts + 1).tolist()):
+            for lo, hi in _counted(counts):
                 ids = values[starts[lo] : starts[hi]]
-                digests = [hashlib.sha256(x).hexdigest() for x in c.ids_text(ids, counts[lo:hi])]
                 decoded = pa.array(c.decode(ids, counts[lo:hi]), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(counts[lo:hi], pa.int64()), pa.array(digests, pa.string()), decoded, *(b.column(i + 1).slice(lo, hi - lo) for i in range(len(keep)))], ["n_tokens", "ids_sha256", "decoded", *(f"k{i}" for i in range(len(keep)))])
+                yield pa.RecordBatch.from_arrays([pa.array(counts[lo:hi], pa.int64()), pa.array(_digests(c, ids, counts[lo:hi]), pa.string()), decoded, *(x.slice(lo, hi - lo) for x in b.columns[1:])], ["n_tokens", "ids_sha256", "decoded", *(f"k{i}" for i in range(len(keep)))])
 
     done = source.mapInArrow(run, out)
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids_sha256", "decoded")
 
 
+def round_trip(df: DataFrame, text_col: str, keep: list[str], vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+    """The columns ``keep``, n_tokens, ids_sha256 and decoded_sha256: ``encode_texts`` and ``decode_ids`` of every text in
+    one pass, so that neither ids nor decoded texts leave the task."""
+    types = [df.schema[c] for c in keep]
+    source = df.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    out = ", ".join(["n_tokens bigint, ids_sha256 string, decoded_sha256 string", *(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(types))])
+
+    def run(batches):
+        c = codec(vocabulary_path(vocabulary))
+        for b in byte_slices(batches, 0, SLICE):
+            ids, counts = c.encode([t or "" for t in b.column(0).to_pylist()])
+            decoded = [hashlib.sha256(x).hexdigest() for x in c.decode(ids, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()), pa.array(_digests(c, ids, counts), pa.string()), pa.array(decoded, pa.string()), *b.columns[1:]], ["n_tokens", "ids_sha256", "decoded_sha256", *(f"k{i}" for i in range(len(keep)))])
+        c.forget()
+
+    done = source.mapInArrow(run, out)
+    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def bpe_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document: encoded, then decoded from the ids."""
-    back = decode_ids(encode_texts(docs, "text", ["doc_id"]), "ids", ["doc_id"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, "text", ["doc_id"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

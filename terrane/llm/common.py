@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,13 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share.  A session without one gets a folder of its own if it runs on one
+    machine, as tests do; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -40,7 +45,29 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def byte_slices(batches, column: int = 0, most: int = 1 << 22, rows: int = 4096):
+    """The batches in slices of at most ``most`` bytes in a text column and ``rows`` rows; a longer text is a slice of its own."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, a = np.cumsum(sizes.astype(np.int64)), 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            z = min(z, a + rows)
+            yield b.slice(a, z - a)
+            a = z
 
 
 def unsliced(values: pa.Array) -> pa.Array:
@@ -53,17 +80,18 @@ def small_or_none(df: DataFrame, most: int) -> DataFrame | None:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else None
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph as (node, component), component being the smallest node.
 
     ``edges`` has the columns src and dst of one orderable type.  Each round keeps, for every node, the smallest
     label among itself and its neighbours, then jumps to the label of that label.  Labels spread by joins on one
     endpoint and an aggregation on the other, so that a hub's rows are summed before the shuffle and its join can
-    be split; every round is stored in the shared folder.  Nodes without an edge don't appear.
+    be split; every round is stored in the shared folder and the one before deleted.  Every round with a change lowers
+    a label, so rounds end.  Nodes without an edge don't appear.
     """
     both = stored(edges.where("src <> dst").select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = stored(both.groupBy("src").agg(F.least(F.first("src"), F.min("dst")).alias("component")).withColumnRenamed("src", "node"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both.dst == labels.node).select(F.col("src").alias("node"), F.col("component").alias("next"))
         seen = near.unionByName(labels.select("node", F.col("component").alias("next"))).groupBy("node").agg(F.min("next").alias("next"))
         up = labels.select(F.col("node").alias("up_node"), F.col("component").alias("up"))
@@ -71,9 +99,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         jumped = stored(jumped)
         before = labels.select("node", F.col("component").alias("old"))
         changed = not jumped.join(before, "node").where("component <> old").isEmpty()
+        release(labels)
         labels = jumped
         if not changed:
-            break
-    else:
-        raise RuntimeError(f"components haven't settled after {rounds} rounds")
-    return labels
+            release(both)
+            return labels

@@ -4,15 +4,18 @@ A first layer of linear support vector machines tells language families apart, o
 languages of a family apart.  Features are hashed byte 1- to 3-grams of the whole lower-case text.  Families are
 learned too: languages whose mean features are alike are merged, until about the square root of their number remain.
 
+Whether a text is in a learned language at all is another question than which: its features' cosine with the mean of
+the language it is given has to reach what learned texts of that length reach.  That bound is learned from the learned
+texts and from windows of them, and doesn't depend on the number of languages or families.
+
 Defined results: null texts and texts without a letter give ``und`` with score 0; without any labelled text every
-text gives ``und``; with one language every text with a letter gives it.  Rows are scored one by one, so ties and
-repeated rows give repeated results.
+text gives ``und``; with one language every text with a letter gives it; no rows give no rows.  Rows are scored one by
+one, so ties and repeated rows give repeated results.  A text of any length is read whole, in pieces.
 """
 
 from __future__ import annotations
 
 import re
-import warnings
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -23,43 +26,64 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import fresh, stored
+from terrane.llm.common import byte_slices, fresh, stored
 
 #: Hash buckets of the n-grams, and how many different texts of each language are learned from at most.
 BUCKETS, PER_LANGUAGE = 2048, 400
-#: Most languages that are learned; they bound the model and what the driver gathers.
-LANGUAGES = 200
+#: Most texts that are learned from in all.  With more than ROWS / PER_LANGUAGE languages each gets an equal share of
+#: them, so that every language is learned.
+ROWS = 16_000
+#: Bytes of texts whose features are worked out at once.
+PIECE = 1 << 20
+#: Lengths (bytes) from which texts have bounds of their own for being in a learned language; shorter texts always are.
+LENGTHS = (32, 64, 128, 256, 1024, 4096)
+#: Texts of a length that set its bound at least, and the bound's share of their least cosine.
+SEEN, SLACK = 20, 0.92
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(texts: list[str]) -> np.ndarray:
     """Unit vectors (n, BUCKETS): square roots of the shares of hashed byte n-grams."""
-    data = [(t.lower() + " ").encode("utf-8", "replace") for t in texts]
-    sizes = np.array([len(x) for x in data])
-    raw = np.frombuffer(b"".join(data), np.uint8).astype(np.int32)
-    doc = np.repeat(np.arange(len(data), dtype=np.int32) * BUCKETS, sizes)
-    counts = np.zeros(len(data) * BUCKETS)
-    key = raw.copy()
-    for n in range(3):
-        if n:
-            key = key[:-1] * 257 + raw[n:]
-        mixed = (key * np.int32(-1640531527) >> 15) & (BUCKETS - 1)
-        mixed += doc[: len(key)]
-        counts += np.bincount(mixed, minlength=len(counts))
-    x = np.sqrt(counts.reshape(len(data), BUCKETS))
+    data = [t.lower().encode("utf-8", "replace") + b" " for t in texts]
+    counts = np.zeros((len(data), BUCKETS))
+    pieces, held = [], 0  # (text, its bytes and the two after them, how many n-grams start here)
+    for i, raw in enumerate(data):
+        for a in range(0, len(raw), PIECE):
+            part = raw[a : a + PIECE]
+            if pieces and held + len(part) > PIECE:
+                _count(pieces, counts)
+                pieces, held = [], 0
+            pieces.append((i, raw[a : a + PIECE + 2], len(part)))
+            held += len(part)
+    _count(pieces, counts)
+    x = np.sqrt(counts)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _slices(texts: list[str], most: int = 1 << 20, rows: int = 512):
-    a, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > a and (held + len(t) > most or i - a >= rows):
-            yield a, i
-            a, held = i, 0
-        held += len(t)
-    if texts:
-        yield a, len(texts)
+def _count(pieces: list[tuple[int, bytes, int]], counts: np.ndarray) -> None:
+    """Add the n-grams of pieces of texts."""
+    rows, place = np.unique([i for i, _, _ in pieces], return_inverse=True)
+    sizes = np.array([len(r) for _, r, _ in pieces])
+    raw = np.frombuffer(b"".join(r for _, r, _ in pieces) + b"\0\0", np.uint8).astype(np.int32)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))  # bytes of the piece from here on
+    at = np.repeat(sizes, sizes) - left
+    inside = at < np.repeat([n for _, _, n in pieces], sizes)
+    doc = np.repeat(place.astype(np.int32) * BUCKETS, sizes)
+    key, n = raw[: len(left)], len(left)
+    total = np.zeros(len(rows) * BUCKETS)
+    for k in range(3):
+        if k:
+            key = key * 257 + raw[k : n + k]
+        on = inside & (left > k)
+        mixed = (key[on] * np.int32(-1640531527) >> 15) & (BUCKETS - 1)
+        total += np.bincount(mixed + doc[on], minlength=len(total))
+    counts[rows] += total.reshape(-1, BUCKETS)
+
+
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    """0 for texts shorter than all of LENGTHS, else the number of those they reach."""
+    return np.searchsorted(LENGTHS, sizes, "right")
 
 
 def svm(x: np.ndarray, y: np.ndarray, steps: int = 400, reg: float = 1e-3) -> tuple[np.ndarray, float, float]:
@@ -85,52 +109,89 @@ def svm(x: np.ndarray, y: np.ndarray, steps: int = 400, reg: float = 1e-3) -> tu
 
 @dataclass
 class Model:
-    """families: languages of each; gates: one machine a family against the others; pairs: (a, b) machines, a positive."""
+    """families: languages of each; gates: one machine a family against the others; pairs: (a, b) machines, a positive;
+    means: unit mean features of each language; bounds: least cosine with them, by length class."""
 
     families: list[list[str]]
     gates: np.ndarray
     pairs: dict[tuple[str, str], np.ndarray]
+    means: dict[str, np.ndarray]
+    bounds: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """A language and a score from 0 to 1 for each text."""
-        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """A language, a score from 0 to 1, and whether it is in that language at all, for each text."""
+        langs, scores, clear = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.families else []
-        known = [texts[i] for i in rows]
-        for a, z in _slices(known):
-            x = np.hstack((features(known[a:z]), np.ones((z - a, 1))))
-            gate = 1 / (1 + np.exp(-np.clip((x @ self.gates[:, :-1].T) * self.gates[:, -1], -50, 50)))
-            gate /= gate.sum(axis=1, keepdims=True)
-            family = gate.argmax(axis=1)
-            for f in np.unique(family):
-                own, names = np.flatnonzero(family == f), self.families[f]
-                chance = np.zeros((len(own), len(names)))
-                for (p, q), m in self.pairs.items():
-                    if p in names:
-                        s = 1 / (1 + np.exp(-np.clip((x[own] @ m[:-1]) * m[-1], -50, 50)))
-                        chance[:, names.index(p)] += s
-                        chance[:, names.index(q)] += 1 - s
-                if len(names) == 1:
-                    chance += 1
-                best = chance.argmax(axis=1)
-                won = chance[np.arange(len(own)), best] / max(len(names) - 1, 1)
-                for i, j, s in zip(own, best, won * gate[own, f], strict=True):
-                    langs[rows[a + i]], scores[rows[a + i]] = names[j], min(max(float(s), 0.0), 1.0)
-        return langs, scores
-
-
-def fit(x: np.ndarray, langs: list[str]) -> Model:
-    """The two layers from features and their languages."""
+        for a in range(0, len(rows), 512):
+            own = rows[a : a + 512]
+            x = features([texts[i] for i in own])
+            sizes = np.array([len(texts[i].encode("utf-8", "replace")) for i in own])
+            for i, lang, score, good in zip(own, *self.place(x, sizes), strict=True):
+                langs[i], scores[i], clear[i] = lang, score, good
+        return langs, scores, clear
+
+    def place(self, x: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """``predict`` of texts by their features and bytes."""
+        gate = 1 / (1 + np.exp(-np.clip((x @ self.gates[:, :-2].T + self.gates[:, -2]) * self.gates[:, -1], -50, 50)))
+        gate /= gate.sum(axis=1, keepdims=True)
+        family = gate.argmax(axis=1)
+        langs, scores, near = [UNKNOWN] * len(x), np.zeros(len(x)), np.zeros(len(x))
+        for f in np.unique(family):
+            own, names = np.flatnonzero(family == f), self.families[f]
+            chance = np.zeros((len(own), len(names)))
+            for (i, p), (j, q) in combinations(enumerate(names), 2):
+                m = self.pairs[p, q]
+                s = 1 / (1 + np.exp(-np.clip((x[own] @ m[:-2] + m[-2]) * m[-1], -50, 50)))
+                chance[:, i] += s
+                chance[:, j] += 1 - s
+            if len(names) == 1:
+                chance += 1
+            best = chance.argmax(axis=1)
+            won = chance[np.arange(len(own)), best] / max(len(names) - 1, 1)
+            scores[own] = np.clip(won * gate[own, f], 0, 1)
+            near[own] = (x[own] * np.array([self.means[n] for n in names])[best]).sum(axis=1)
+            for i, j in zip(own, best, strict=True):
+                langs[i] = names[j]
+        return langs, scores, near >= self.bounds[length_class(sizes)]
+
+
+def families(mean: np.ndarray) -> list[list[int]]:
+    """Rows of ``mean`` merged by average likeness until about the square root of their number remain."""
+    like, size = mean @ mean.T, np.ones(len(mean))
+    np.fill_diagonal(like, -np.inf)
+    groups = {i: [i] for i in range(len(mean))}
+    while len(groups) > max(1, round(len(mean) ** 0.5)):
+        a, b = sorted(divmod(int(like.argmax()), len(mean)))
+        row = (like[a] * size[a] + like[b] * size[b]) / (size[a] + size[b])
+        row[[a, b]] = -np.inf
+        row[np.isinf(like[a]) | np.isinf(like[b])] = -np.inf
+        like[a], like[:, a] = row, row
+        like[b], like[:, b] = -np.inf, -np.inf
+        size[a] += size[b]
+        groups[a] += groups.pop(b)
+    return sorted(sorted(g) for g in groups.values())
+
+
+def fit(x: np.ndarray, langs: list[str], near: np.ndarray | None = None, sizes: np.ndarray | None = None) -> Model:
+    """The two layers from features and their languages.
+
+    near, sizes: features and bytes of windows of the same texts, for the bounds; without them every text is clear.
+    """
     names = sorted(set(langs))
+    none = np.full(len(LENGTHS) + 1, -1.0)
     if not names:
-        return Model([], np.zeros((0, BUCKETS + 2)), {})
+        return Model([], np.zeros((0, BUCKETS + 2)), {}, {}, none)
     y = np.array(langs)
-    groups = [[n] for n in names]
-    mean = {n: x[y == n].mean(axis=0) for n in names}
-    while len(groups) > max(1, round(len(names) ** 0.5)):
-        near = lambda p: np.mean([mean[a] @ mean[b] for a in groups[p[0]] for b in groups[p[1]]])
-        a, b = max(combinations(range(len(groups)), 2), key=near)
-        groups[a] += groups.pop(b)
-    groups = [sorted(g) for g in groups]
+    mean = np.array([x[y == n].mean(axis=0) for n in names])
+    groups = [[names[i] for i in g] for g in families(mean)]
+    mean /= np.linalg.norm(mean, axis=1, keepdims=True)
+    bounds = none.copy()
+    if near is not None:
+        cosines = (near * mean[np.searchsorted(names, y)]).sum(axis=1)
+        for c in range(1, len(bounds)):
+            own = cosines[length_class(sizes) == c]
+            # under what all learned texts of the length have; too few of them: the bound of the next shorter ones
+            bounds[c] = SLACK * own.min() if len(own) >= SEEN else bounds[c - 1]
 
     def machine(positive: np.ndarray, rows: np.ndarray) -> np.ndarray:
         w, b, slope = svm(x[rows], np.where(positive[rows], 1.0, -1.0))
@@ -140,20 +201,17 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     one = np.concatenate((np.zeros(BUCKETS), [1.0, 1.0]))
     gates = np.array([machine(np.isin(y, g), every) if len(groups) > 1 else one for g in groups])
     pairs = {(p, q): machine(y == p, np.flatnonzero((y == p) | (y == q))) for g in groups for p, q in combinations(g, 2)}
-    return Model(groups, gates, pairs)
+    return Model(groups, gates, pairs, dict(zip(names, mean, strict=True)), bounds)
 
 
-def train(docs: DataFrame, text_col: str, lang_col: str, usable: Column, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on the ``per_language`` different texts of each language with the smallest hashes (all, where there are fewer).
+def train(docs: DataFrame, text_col: str, lang_col: str, usable: Column, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Model:
+    """Fit on the different texts of each language with the smallest hashes: ``per_language`` of them or its equal share
+    of ``rows``, whichever is less (all, where there are fewer).
 
-    Copies count once, so every language with a text that has a letter is learned, however its rows repeat.  Languages
-    beyond the LANGUAGES most frequent are not learned, with a warning.  The driver gathers features, never texts.
+    Copies count once, so every language with a text that has a letter is learned, however its rows repeat.  More
+    languages than ``rows`` are an error.  The driver gathers features, never texts.
     """
-    labelled = docs.where(usable & F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = stored(labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1))
-    if sizes.count() > LANGUAGES:
-        warnings.warn(f"only the {LANGUAGES} most frequent languages are learned", stacklevel=2)
-    labelled = labelled.join(F.broadcast(sizes.orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")), "lang").withColumn("h", F.xxhash64("text"))
+    labelled = docs.where(usable & F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("h", F.xxhash64("text"))
 
     def smallest(batches):
         held = {}
@@ -168,43 +226,61 @@ def train(docs: DataFrame, text_col: str, lang_col: str, usable: Column, per_lan
     # each task sends at most per_language hashes of a language; the largest of the smallest ones is the language's bound
     hashes = labelled.select("lang", "h").mapInArrow(smallest, "lang string, h bigint").distinct()
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    bounds = stored(hashes.withColumn("place", place).where(F.col("place") <= per_language).groupBy("lang").agg(F.max("h").alias("bound")))
-    chosen = labelled.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "text", "h")
+    placed = stored(hashes.withColumn("place", place).where(F.col("place") <= per_language))
+    languages = placed.where("place = 1").count()
+    if languages > rows:
+        raise ValueError(f"{languages} languages, of which at most {rows} can be learned")
+    each = min(per_language, rows // max(languages, 1))
+    bounds = placed.where(F.col("place") <= each).groupBy("lang").agg(F.max("h").alias("bound"))
+    chosen = labelled.join(F.broadcast(bounds), "lang").where("h <= bound").select("text", "lang", "h")  # bounds: ``rows`` rows at most
 
     def run(batches):
         seen = set()
-        for b in batches:
-            langs, texts, h = (b.column(i).to_pylist() for i in range(3))
-            rows = []
-            for i, key in enumerate(zip(langs, h, strict=True)):
+        for b in byte_slices(batches, 0, PIECE, 256):
+            new = []
+            for i, key in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 if key not in seen:
                     seen.add(key)
-                    rows.append(i)
-            for a, z in _slices([texts[i] for i in rows]):
-                x = features([texts[i] for i in rows[a:z]]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in rows[a:z]], pa.string()), pa.array([h[i] for i in rows[a:z]], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "h", "x"])
-
-    found = chosen.mapInArrow(run, "lang string, h bigint, x binary").dropDuplicates(["lang", "h"]).toArrow().to_pydict()
+                    new.append((i, *key))
+            if not new:
+                continue
+            texts = b.column(0).take(pa.array([i for i, _, _ in new])).to_pylist()
+            whole, parts = features(texts).astype(np.float32), [_window(t, h) for t, (_, _, h) in zip(texts, new, strict=True)]
+            near, sizes = features(parts).astype(np.float32), [len(p.encode("utf-8", "replace")) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k, _ in new], pa.string()), pa.array([h for _, _, h in new], pa.int64()), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (whole, near)), pa.array(sizes, pa.int64())], ["lang", "h", "x", "near", "size"])
+
+    found = chosen.mapInArrow(run, "lang string, h bigint, x binary, near binary, size bigint").dropDuplicates(["lang", "h"]).toArrow().to_pydict()
     order = sorted(range(len(found["lang"])), key=lambda i: (found["lang"][i], found["x"][i]))
-    x = np.array([np.frombuffer(found["x"][i], np.float32) for i in order], np.float64).reshape(-1, BUCKETS)
-    return fit(x, [found["lang"][i] for i in order])
+    x, near = (np.array([np.frombuffer(found[c][i], np.float32) for i in order]).reshape(-1, BUCKETS) for c in ("x", "near"))
+    return fit(x, [found["lang"][i] for i in order], near, np.array([found["size"][i] for i in order], np.int64))
+
+
+def _window(text: str, h: int) -> str:
+    """A part of a text, its length and place chosen by the text's hash: all lengths from 32 characters on."""
+    n = min(len(text), 32 << h % 9)
+    start = (h >> 8) % (len(text) - n + 1)
+    return text[start : start + n]
+
 
+def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", clear_out: str | None = None) -> DataFrame:
+    """``docs`` with two or three more columns, which replace columns of those names.  No shuffle.
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with two more columns, which replace columns of those names.  No shuffle."""
-    kept = docs.drop(lang_out, score_out)
+    clear_out: whether the text is in the language at all, see above.
+    """
+    kept = docs.drop(*[c for c in (lang_out, score_out, clear_out) if c and c != text_col])
     place = kept.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept.schema)]
-    schema = T.StructType([*fields, T.StructField("p", T.StringType()), T.StructField("s", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField("p", T.StringType()), T.StructField("s", T.DoubleType()), T.StructField("k", T.BooleanType())])
 
     def run(batches):
-        for b in batches:
-            langs, scores = shared.value.predict(b.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.fieldNames())
+        for b in byte_slices(batches, place, PIECE, 512):
+            langs, scores, clear = shared.value.predict(b.column(place).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(clear, pa.bool_())], schema.fieldNames())
 
     done = kept.toDF(*[f.name for f in fields]).mapInArrow(run, schema)
-    return done.toDF(*kept.columns, lang_out, score_out)
+    done = done.toDF(*kept.columns, lang_out, score_out, clear_out or fresh(kept, "clear"))
+    return done if clear_out else done.select(*done.columns[:-1])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -218,10 +294,9 @@ def language_of(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The documents with a language: rejected are those without a letter and those whose score is under ``least``."""
-    lang, score = fresh(docs, "lang_found"), fresh(docs, "lang_score")
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents in a learned language: rejected are those without a letter and those unlike any text of the language
+    they'd be given.  Null texts go, repeated rows stay or go together, columns stay as they are."""
+    lang, score, clear = fresh(docs, "lang_found"), fresh(docs, "lang_score"), fresh(docs, "lang_clear")
     model = train(docs, "text", "lang", ~held_out())
-    return identify(docs, model, "text", lang, score).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
-
-
+    return identify(docs, model, "text", lang, score, clear).where((F.col(lang) != UNKNOWN) & F.col(clear)).select(*docs.columns)

@@ -97,7 +97,7 @@ def test_language_of_many_copies_is_learned(spark):
     learned = []
     fit = langid.fit
     try:
-        langid.fit = lambda x, langs: learned.extend(langs) or fit(x, langs)
+        langid.fit = lambda x, langs, *more: learned.extend(langs) or fit(x, langs, *more)
         langid.train(df, "text", "lang", F.lit(True), 20)
     finally:
         langid.fit = fit
