@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrane.operators.ranks import running
+
 
 def contingency(parts: DataFrame) -> DataFrame:
     """(seed_a, seed_b, a, b, n) over points that both partitions (seed, vec_id, node) cover."""
@@ -36,17 +38,35 @@ def jackknife(values: DataFrame) -> DataFrame:
     return means.agg(F.count("*").alias("seeds"), F.when(F.count("*") >= 3, F.sqrt((F.count("*") - 1) * F.var_pop("m"))).alias("se"))
 
 
-def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """(group, n, rho): correlation of average ranks; NULL for constant columns.
+def average_ranks(rows: DataFrame, group: list[str], c: str, bounded: bool = False) -> DataFrame:
+    """(group, c, r_c): the average rank of every distinct value; only distinct values are ordered.
 
-    Ranks come from counts of distinct values, so that only those meet in a window.
+    bounded: a group's distinct values are known to be few; else they are ranked in ranges.
     """
-    def ranked(df, c):
-        counts = df.groupBy(*group, c).agg(F.count("*").alias("times_"))
-        below = F.sum("times_").over(W.partitionBy(*group).orderBy(c).rowsBetween(W.unboundedPreceding, -1))
-        return counts.select(*group, c, (F.coalesce(below, F.lit(0)) + (F.col("times_") + 1) / 2).alias(f"r_{c}"))
+    counts = rows.groupBy(*group, c).agg(F.count("*").alias("times_"))
+    if bounded:
+        counts = counts.withColumn("below_", F.coalesce(F.sum("times_").over(W.partitionBy(*group).orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        counts = running(counts, group, [c], "below_", F.col("times_"))
+    return counts.select(*group, c, (F.col("below_") + (F.col("times_") + 1) / 2).alias(f"r_{c}"))
+
 
-    both = rows.select(*group, x, y).join(ranked(rows, x), [*group, x]).join(ranked(rows, y), [*group, y])
+def spearman(rows: DataFrame, group: list[str], x: str, y: str, bounded: bool = False) -> DataFrame:
+    """(group, n, rho): correlation of average ranks; NULL for constant columns.  Rows with a NULL are left out."""
+    rows = rows.select(*group, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = rows.join(average_ranks(rows, group, x, bounded), [*group, x]).join(average_ranks(rows, group, y, bounded), [*group, y])
     x, y = f"r_{x}", f"r_{y}"
     spread = F.stddev_pop(x) * F.stddev_pop(y)  # corr() itself divides by zero for a constant column
     return both.groupBy(*group).agg(F.count("*").alias("n"), F.when(spread > 0, F.covar_pop(x, y) / spread).alias("rho"))
+
+
+def bootstrap(stats: DataFrame, names: list[str]) -> DataFrame:
+    """One row: mean_<stat> and cv_<stat> over the seeds (0 where the mean is 0), and the number of seeds."""
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    cv = lambda c: F.when(mean(c) == 0, 0.0).otherwise(F.coalesce(F.stddev_samp(c), F.lit(0.0)) / mean(c))
+    return stats.agg(*[mean(c).alias(f"mean_{c}") for c in names], *[cv(c).alias(f"cv_{c}") for c in names], F.count("*").alias("n_successful_seeds"))
+
+
+def pair_summary(pairs: DataFrame) -> DataFrame:
+    """One row: mean and deviation of ari and nmi (0 where there are too few pairs), and the number of pairs."""
+    return pairs.agg(F.count("*").alias("pairs"), *[F.coalesce(f(c), F.lit(0.0)).alias(f"{n}_{c}") for c in ("ari", "nmi") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])

@@ -7,20 +7,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.vectors import as_doubles, hash_rank
+from terrane.functions.vectors import as_doubles, dot, hash_rank
+from terrane.operators.graph import min_labels
+from terrane.sources.tables import stored
 
 CELLS, OVERLAP, RADIUS, LEAST = 4, 0.3, 0.72, 3
+#: Seeds of the bootstrap, and points of a cell that one task compares with as many others.
+SEEDS, BLOCK = 25, 2048
 
 
-def seeds(spark, first: int = 42, many: int = 3) -> DataFrame:
+def seeds(spark, first: int = 42, many: int = SEEDS) -> DataFrame:
     return spark.range(first, first + many).select(F.col("id").cast("int").alias("seed"))
 
 
 def lens(vectors: DataFrame, by_seed: DataFrame) -> DataFrame:
-    """(seed, vec_id, u, v): two projections with signs by hash; the seeds are few rows, so their broadcast is bounded."""
-    parts = vectors.select("vec_id", F.posexplode(as_doubles(F.col("embedding"))).alias("pos", "x")).crossJoin(F.broadcast(by_seed))
-    sign = lambda axis: F.when(F.substring(hash_rank(axis, F.col("seed"), F.col("pos")), 1, 1) < "8", 1.0).otherwise(-1.0)
-    return parts.groupBy("seed", "vec_id").agg(F.sum(F.col("x") * sign(1)).alias("u"), F.sum(F.col("x") * sign(2)).alias("v"))
+    """(seed, vec_id, u, v): two projections with signs by hash.
+
+    The signs of a seed are two arrays as long as the longest vector; seeds are few rows, so their broadcast is bounded,
+    and a projection is a product of arrays, without a shuffle.
+    """
+    whole = vectors.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d"))
+    sign = lambda axis: F.transform(F.sequence(F.lit(0), F.greatest(F.col("d") - 1, F.lit(0))), lambda p: F.when(F.substring(hash_rank(axis, F.col("seed"), p), 1, 1) < "8", 1.0).otherwise(-1.0))
+    signs = by_seed.crossJoin(F.broadcast(whole)).select("seed", sign(1).alias("s1"), sign(2).alias("s2"))
+    rows = vectors.select("vec_id", as_doubles(F.col("embedding")).alias("x")).where(F.size("x") > 0).crossJoin(F.broadcast(signs))
+    along = lambda s: dot(F.col("x"), F.slice(s, F.lit(1), F.size("x")))
+    return rows.select("seed", "vec_id", along("s1").alias("u"), along("s2").alias("v"))
 
 
 def cover(points: DataFrame, cells: int = CELLS, overlap: float = OVERLAP) -> DataFrame:
@@ -44,8 +55,19 @@ def cover(points: DataFrame, cells: int = CELLS, overlap: float = OVERLAP) -> Da
 def clusters(members: DataFrame, vectors: DataFrame, radius: float = RADIUS, least: int = LEAST) -> DataFrame:
     """(seed, node, vec_id): components of the graph of cosine distances up to ``radius`` inside each cell.
 
-    A node is named by its cell and smallest member; components of fewer than ``least`` are noise.  A cell is a task.
+    A node is named by its cell and smallest member; components of fewer than ``least`` members are noise.  Equal
+    vectors are one point.  A cell's points are dealt to blocks by hash; a task compares two blocks and returns a
+    spanning forest, so that its memory doesn't grow with the cell, and forests of several blocks are joined as a graph.
     """
+    copies = stored(vectors.select("vec_id", F.xxhash64("embedding").alias("h"), F.col("embedding").alias("x")))
+    reps = stored(copies.groupBy("h", "x").agg(F.min("vec_id").alias("rep")))
+    owner = stored(copies.join(reps, ["h", "x"]).select("vec_id", "rep"))
+    cell = ["seed", "cx", "cy"]
+    points = members.join(reps.select(F.col("rep").alias("vec_id"), "x"), "vec_id")
+    sizes = stored(points.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    most = sizes.agg(F.max("blocks")).first()[0] or 1
+    own = points.join(sizes, cell).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*cell, F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "vec_id", "x")
 
     def task(key, rows):
         ids = rows["vec_id"].to_numpy()
@@ -55,17 +77,24 @@ def clusters(members: DataFrame, vectors: DataFrame, radius: float = RADIUS, lea
         near = np.vstack([x[a : a + 1024] @ x.T >= 1 - radius for a in range(0, len(x), 1024)])
         label = np.arange(len(ids))
         while True:
-            new = np.minimum(label, np.where(near, label[None, :], len(ids)).min(axis=1))
+            new = np.minimum(label, np.where(near, label[None, :].astype(np.int32), np.int32(len(ids))).min(axis=1))
+            new = new[new]
             if (new == label).all():
                 break
             label = new
-        keep = np.bincount(label, minlength=len(ids))[label] >= least
-        seed, cx, cy = (k.as_py() for k in key)
-        names = [f"{cx}-{cy}-{ids[i]}" for i in label[keep]]
-        return pa.table([pa.array([seed] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array(ids[keep], pa.int64())], ["seed", "node", "vec_id"])
-
-    rows = members.join(vectors.select("vec_id", F.col("embedding").alias("x")), "vec_id")
-    return rows.groupBy("seed", "cx", "cy").applyInArrow(task, "seed int, node string, vec_id bigint")
+        seed, cx, cy = (k.as_py() for k in key[:3])
+        n = len(ids)
+        return pa.table([pa.array([seed] * n, pa.int32()), pa.array([cx] * n, pa.int32()), pa.array([cy] * n, pa.int32()), pa.array(ids[label], pa.int64()), pa.array(ids, pa.int64())], ["seed", "cx", "cy", "root", "rep"])
+
+    forest = dealt.groupBy(*cell, "lo", "hi").applyInArrow(task, "seed int, cx int, cy int, root bigint, rep bigint")
+    if most > 1:
+        forest = stored(forest)
+        labels = min_labels(forest.select(*cell, F.col("root").alias("src"), F.col("rep").alias("dst")), tuple(cell))
+        labels = labels.select(*cell, F.col("node").alias("rep"), F.col("component").alias("root"))
+        forest = forest.select(*cell, "rep").distinct().join(labels, [*cell, "rep"], "left").select(*cell, F.coalesce("root", "rep").alias("root"), "rep")
+    placed = forest.join(owner, "rep")
+    large = stored(placed.groupBy(*cell, "root").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*cell, "root"))
+    return placed.join(large, [*cell, "root"]).select("seed", F.concat_ws("-", "cx", "cy", "root").alias("node"), "vec_id")
 
 
 def nerve(nodes: DataFrame) -> DataFrame:

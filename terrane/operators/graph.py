@@ -5,31 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.sources.tables import release, stored
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(seed, node, component): the smallest node that can be reached, by rounds of min-label spreading."""
-    both = edges.select("seed", "src", "dst").union(edges.select("seed", F.col("dst"), F.col("src"))).distinct().persist()
-    labels = nodes.select("seed", "node").distinct().withColumn("component", F.col("node")).persist()
-    for _ in range(rounds):
-        step = both.join(labels.withColumnRenamed("node", "dst"), ["seed", "dst"]).select("seed", F.col("src").alias("node"), "component")
-        new = step.union(labels.select("seed", "node", "component")).groupBy("seed", "node").agg(F.min("component").alias("component")).persist()
-        still = new.join(labels.withColumnRenamed("component", "old"), ["seed", "node"]).where("component <> old").isEmpty()
+
+def min_labels(edges: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """(key, node, component): of every node with an edge (key, src, dst) the smallest node that can be reached.
+
+    Each round takes the smallest label of a node and its neighbours, then the label of that label, so that labels
+    jump along chains.  Labels spread by joins on one endpoint and an aggregation on the other: a hub's rows are summed
+    before the shuffle, and its join can be split.  Every round is stored and the one before deleted; a round with a
+    change lowers a label, so rounds end.
+    """
+    k, apart = list(key), edges.where("src <> dst")
+    both = stored(apart.select(*k, "src", "dst").union(apart.select(*k, "dst", "src")).distinct())
+    labels = stored(both.groupBy(*k, F.col("src").alias("node")).agg(F.min("dst").alias("least")).select(*k, "node", F.least("node", "least").alias("component")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "dst"), [*k, "dst"]).select(*k, F.col("src").alias("node"), "component")
+        seen = near.union(labels.select(*k, "node", "component")).groupBy(*k, "node").agg(F.min("component").alias("next"))
+        up = labels.select(*k, F.col("node").alias("next"), F.col("component").alias("up"))
+        new = stored(seen.join(up, [*k, "next"], "left").select(*k, "node", F.least("next", F.coalesce("up", "next")).alias("component")))
+        still = new.join(labels.withColumnRenamed("component", "old"), [*k, "node"]).where("component <> old").isEmpty()
+        release(labels)
         labels = new
         if still:
+            release(both)
             return labels
-    raise RuntimeError("components haven't settled")
-
-
-def hops(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(seed, src, dst, hops): shortest paths of up to ``most`` edges, by a frontier that only takes new pairs."""
-    both = edges.select("seed", "src", "dst").union(edges.select("seed", F.col("dst"), F.col("src"))).distinct()
-    found = nodes.select("seed", F.col("node").alias("src"), F.col("node").alias("dst")).distinct().withColumn("hops", F.lit(0))
-    edge = both.select(F.col("seed").alias("s"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    frontier = found
-    for h in range(1, most + 1):
-        reached = frontier.join(edge, (F.col("seed") == F.col("s")) & (F.col("dst") == F.col("a"))).select("seed", "src", F.col("b").alias("dst")).distinct()
-        frontier = reached.join(found, ["seed", "src", "dst"], "left_anti").withColumn("hops", F.lit(h))
-        found = found.union(frontier)
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed, node, component): the smallest node that can be reached."""
+    labels = min_labels(edges, ("seed",))
+    return nodes.select("seed", "node").distinct().join(labels, ["seed", "node"], "left").select("seed", "node", F.coalesce("component", "node").alias("component"))
+
+
+def hops(sources: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(seed, src, dst, hops): shortest paths from the nodes ``sources`` (seed, node), of up to ``most`` edges.
+
+    A frontier is stored and takes only nodes that neither it nor the one before holds, which in an undirected graph
+    are all that could come again.  It stops when a frontier is empty.  Rows are sources times nodes that they reach.
+    """
+    edge = stored(edges.select("seed", "src", "dst").union(edges.select("seed", "dst", "src")).distinct().toDF("seed", "dst", "next"))
+    last = frontier = stored(sources.select("seed", F.col("node").alias("src"), F.col("node").alias("dst")).distinct())
+    found, h = frontier.withColumn("hops", F.lit(0)), 0
+    while most is None or h < most:
+        h += 1
+        reached = frontier.join(edge, ["seed", "dst"]).select("seed", "src", F.col("next").alias("dst")).distinct()
+        before = frontier if last is frontier else frontier.union(last)
+        last, frontier = frontier, stored(reached.join(before, ["seed", "src", "dst"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        found = found.union(frontier.withColumn("hops", F.lit(h)))
     return found
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.functions.vectors import distance, hash_rank
+from terrane.operators.corpus import largest_remainder
+from terrane.operators.ranks import placed
 from terrane.sources.tables import stored
 
 #: Partners that an anchor is offered first: those that follow it in its subset's permutation.  Where they give too few
@@ -20,17 +24,10 @@ BLOCK, CELL = 2048, 0.5
 
 
 def ring(rows: DataFrame, seed: int) -> DataFrame:
-    """(subset, id, z, r, n): each row's place in its subset's permutation by hash, and the subset's size.
-
-    Places are counted in ranges of the hash and shifted by the sizes of the ranges before, so no task ranks a subset.
-    """
-    hashed = rows.select("subset", "id", "z", hash_rank(seed, F.col("id")).alias("h")).withColumn("part", F.substring("h", 1, 3))
-    sizes = hashed.groupBy("subset", "part").agg(F.count("*").alias("m"))
-    whole = W.partitionBy("subset")
-    before = F.sum("m").over(whole.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("subset", "part", F.coalesce(before, F.lit(0)).alias("start"), F.sum("m").over(whole).alias("n"))
-    place = F.row_number().over(W.partitionBy("subset", "part").orderBy("h", "id")) - 1
-    return hashed.withColumn("place", place).join(starts, ["subset", "part"]).select("subset", "id", "z", (F.col("place") + F.col("start")).alias("r"), "n")
+    """(subset, id, z, r, n): each row's place in its subset's permutation by hash, and the subset's size."""
+    hashed = rows.select("subset", "id", "z", hash_rank(seed, F.col("id")).alias("h"))
+    sizes = hashed.groupBy("subset").agg(F.count("*").alias("n"))  # one row per subset
+    return placed(hashed, ["subset"], ["h", "id"], "r").join(sizes, "subset").select("subset", "id", "z", "r", "n")
 
 
 def partners(ranked: DataFrame, steps: DataFrame) -> DataFrame:
@@ -130,34 +127,125 @@ def searched(ranked: DataFrame, short: DataFrame, low: float, high: float, many:
 
 
 def build(rows: DataFrame, kind: str, uses: int, seed: int) -> DataFrame:
-    """(subset, anchor_id, positive_id, ts_dist, use): each anchor's first ``uses`` admissible partners.
+    """(subset, anchor_id, positive_id, ts_dist, use, r): each anchor's first ``uses`` admissible partners and its place.
 
-    Partners offered by the ring come first, by hash; an anchor with too few of them gets the next ones of its whole
-    subset in the order of the ring, so that one has fewer than ``uses`` only if the subset has no more.
+    Partners come in the order of the ring from the anchor on.  The first OFFERED are tried by a join; an anchor with
+    too few of them gets the next ones of its whole subset, so that one has fewer than ``uses`` only if the subset has
+    no more.
     """
     low, high = BANDS[kind]
     ranked = stored(ring(rows, seed))
     fit = offered(ranked).where((F.col("d") >= low) & (F.col("d") <= high))
-    use = F.row_number().over(W.partitionBy("anchor_id").orderBy(hash_rank(seed, F.col("anchor_id"), F.col("positive_id")), "positive_id"))
+    use = F.row_number().over(W.partitionBy("anchor_id").orderBy("step"))
     names = ["subset", "anchor_id", "positive_id", F.col("d").alias("ts_dist"), "use"]
-    first = stored(fit.withColumn("use", use).where(F.col("use") <= uses).select(*names))
-    have = first.groupBy(F.col("anchor_id").alias("id")).agg(F.count("*").alias("have"))
+    first_ = stored(fit.withColumn("use", use).where(F.col("use") <= uses).select(*names))
+    have = first_.groupBy(F.col("anchor_id").alias("id")).agg(F.count("*").alias("have"))
     short = ranked.where(F.col("n") > OFFERED + 1).join(have, "id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < uses)
     short = stored(short.select("subset", "id", "n", "z", "r", "have", (F.lit(uses) - F.col("have")).alias("need")))
-    if short.isEmpty():
-        return first
-    found = searched(ranked, short.select("subset", "n", "z", "r", "need"), low, high)
-    steps = found.withColumn("k", F.row_number().over(W.partitionBy("subset", "r").orderBy("step"))).join(short, ["subset", "r"]).where(F.col("k") <= F.col("need"))
-    more = partners(ranked, steps.select("subset", F.col("id").alias("anchor_id"), F.col("z").alias("za"), "r", "step", "n"))
-    uses_of = steps.select(F.col("subset"), F.col("id").alias("anchor_id"), "step", (F.col("have") + F.col("k")).cast("int").alias("use"))
-    return first.unionByName(more.join(uses_of, ["subset", "anchor_id", "step"]).select(*names))
-
-
-def report(pairs: DataFrame) -> DataFrame:
-    """Per subset: pairs, distinct anchors and partners, and the most uses of an anchor."""
-    return pairs.groupBy("subset").agg(F.count("*").alias("pairs"), F.countDistinct("anchor_id").alias("anchors"), F.countDistinct("positive_id").alias("partners"), F.max("use").cast("long").alias("max_use"))
+    out = first_
+    if not short.isEmpty():
+        found = searched(ranked, short.select("subset", "n", "z", "r", "need"), low, high)
+        steps = found.withColumn("k", F.row_number().over(W.partitionBy("subset", "r").orderBy("step"))).join(short, ["subset", "r"]).where(F.col("k") <= F.col("need"))
+        more = partners(ranked, steps.select("subset", F.col("id").alias("anchor_id"), F.col("z").alias("za"), "r", "step", "n"))
+        uses_of = steps.select(F.col("subset"), F.col("id").alias("anchor_id"), "step", (F.col("have") + F.col("k")).cast("int").alias("use"))
+        out = first_.unionByName(more.join(uses_of, ["subset", "anchor_id", "step"]).select(*names))
+    return out.join(ranked.select(F.col("id").alias("anchor_id"), "r"), "anchor_id").select("subset", "anchor_id", "positive_id", "ts_dist", "use", "r")
+
+
+def guarded(rows: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """``rows`` if all are training rows and none has an id of ``held``; else an error."""
+    if "split" in rows.columns and not rows.where("split is distinct from 'train'").isEmpty():
+        raise ValueError("there are rows whose split is not 'train'")
+    if held is not None and not rows.join(held.select("id"), "id", "left_semi").isEmpty():
+        raise ValueError("there are ids of held-out rows")
+    return rows
+
+
+def wanted(rows: DataFrame, kind: str, many: int, seed: int, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, report): ``many`` pairs of training rows (id, subset, z), or all there are.
+
+    A subset's quota is its share of ``many`` by largest remainder, met by its anchors' first pairs in the order of the
+    ring.  What subsets fall short of is filled from all subsets: anchors' first pairs, then second ones, and so on, by
+    hash.  No pair comes twice; pairs: (subset, anchor_id, positive_id, ts_dist, use, filled, place), place being the
+    pair's place in a shuffle.  report: a row per subset, (subset, n, quota, pairs, shortfall, filled, max_use, anchors,
+    dead), dead being anchors that were to be used once more and had no partner left.
+    """
+    if kind not in BANDS:
+        raise ValueError(f"kind must be one of {tuple(BANDS)}")
+    if many <= 0:
+        raise ValueError("the number of pairs must be positive")
+    rows = guarded(rows, held)
+    sizes = stored(rows.groupBy("subset").agg(F.count("*").alias("n")))
+    n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    uses = math.ceil(many / max(n, 1)) + 1
+    every = stored(build(rows.select("id", "subset", "z"), kind, uses, seed))
+    quota = stored(largest_remainder(sizes, many))
+    ones = placed(every.where("use = 1"), ["subset"], ["r", "anchor_id"], "at").join(quota, "subset")
+    met = stored(ones.where("at < quota").select("subset", "anchor_id", "positive_id", "ts_dist", "use"))
+    left = many - met.count()
+    rest = every.join(met.select("anchor_id", "use"), ["anchor_id", "use"], "left_anti")
+    by_use = stored(rest.groupBy("use").agg(F.count("*").alias("m")).select("use", "m", F.coalesce(F.sum("m").over(W.orderBy("use").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")))  # one row per use
+    hashed = rest.withColumn("h", hash_rank(seed, F.col("use"), F.col("anchor_id")))
+    more = placed(hashed, ["use"], ["h", "anchor_id"], "at").join(F.broadcast(by_use), "use").where(F.col("before") + F.col("at") < left)
+    names = ["subset", "anchor_id", "positive_id", "ts_dist", "use"]
+    chosen = met.withColumn("filled", F.lit(False)).unionByName(more.select(*names).withColumn("filled", F.lit(True)))
+    shuffled = placed(chosen.withColumn("h", hash_rank(seed, F.col("anchor_id"), F.col("positive_id"))), [], ["h", "anchor_id", "positive_id"]).drop("h")
+    pairs = stored(shuffled.select(*names, "filled", F.col("place").cast("long").alias("place")))
+    last = pairs.agg(F.coalesce(F.max("use"), F.lit(1))).first()[0]
+    have = every.groupBy("anchor_id").agg(F.count("*").alias("have"))
+    dead = rows.select("subset", F.col("id").alias("anchor_id")).join(have, "anchor_id", "left").where(F.coalesce("have", F.lit(0)) < last).groupBy("subset").agg(F.count("*").alias("dead"))
+    built = pairs.groupBy("subset").agg(F.count("*").alias("pairs"), F.count_if("filled").alias("filled"), F.max("use").cast("long").alias("max_use"), F.countDistinct("anchor_id").alias("anchors"))
+    report = sizes.join(quota, "subset").join(built, "subset", "left").join(dead, "subset", "left").na.fill(0)
+    return pairs, report.select("subset", "n", "quota", "pairs", (F.col("quota") - F.col("pairs") + F.col("filled")).alias("shortfall"), "filled", "max_use", "anchors", "dead")
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs with both texts, from (id, text)."""
     return pairs.join(texts.toDF("anchor_id", "anchor"), "anchor_id").join(texts.toDF("positive_id", "positive"), "positive_id")
+
+
+def negatives(pairs: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+    """(anchor_id, positive_id, negative_id): a row of all ``rows`` (id) for each pair, never one of its own two.
+
+    Pairs and rows are placed by hash; a pair takes the row at its place, or the first after it that isn't its own.
+    """
+    ring_ = stored(placed(rows.select("id", hash_rank(seed + 2, F.col("id")).alias("h")), [], ["h", "id"], "k").select("id", "k"))
+    n = ring_.count()
+    at = placed(pairs.select("anchor_id", "positive_id", hash_rank(seed + 3, F.col("anchor_id"), F.col("positive_id")).alias("h")), [], ["h", "anchor_id", "positive_id"], "k")
+    tries = at.select("anchor_id", "positive_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("k") + i) % max(n, 1)).alias("k")) for i in range(3)])).alias("t")).select("anchor_id", "positive_id", "t.i", "t.k")
+    fit = tries.join(ring_, "k").where((F.col("id") != F.col("anchor_id")) & (F.col("id") != F.col("positive_id")))
+    return fit.groupBy("anchor_id", "positive_id").agg(F.min_by("id", "i").alias("negative_id"))
+
+
+def batches(pairs: DataFrame, size: int, seed: int, shards: int = 1) -> DataFrame:
+    """(shard, batch, anchor_id, positive_id): batches of ``size`` pairs in which no id comes twice; what is left at the
+    end of a shard is dropped.
+
+    Filling batches is sequential: a pair whose ids its batch holds waits for the next one.  A task fills the batches of
+    a shard, pairs being dealt to ``shards`` by hash, so take shards in proportion to the pairs.
+    """
+    hashed = pairs.select("anchor_id", "positive_id", hash_rank(seed, F.col("anchor_id"), F.col("positive_id")).alias("h"))
+    dealt = hashed.withColumn("shard", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % shards).cast("int"))
+
+    def fill(key, rows):
+        order = np.argsort(np.array(rows["h"].to_pylist(), object))
+        a, p = (np.array(rows[c].to_pylist(), object)[order] for c in ("anchor_id", "positive_id"))
+        waiting, out, number = range(len(order)), [], 0
+        while len(waiting) >= size:
+            batch, used, later = [], set(), []
+            for i in waiting:
+                if len(batch) == size or a[i] in used or p[i] in used:
+                    later.append(i)
+                else:
+                    batch.append(i)
+                    used |= {a[i], p[i]}
+            if len(batch) < size:
+                break
+            out += [(number, i) for i in batch]
+            waiting, number = later, number + 1
+        at = [i for _, i in out]
+        kind = rows.schema.field("anchor_id").type
+        return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([b for b, _ in out], pa.int32()), pa.array(a[at].tolist(), kind), pa.array(p[at].tolist(), kind)], ["shard", "batch", "anchor_id", "positive_id"])
+
+    kind = pairs.schema["anchor_id"].dataType.simpleString()
+    return dealt.groupBy("shard").applyInArrow(fill, f"shard int, batch int, anchor_id {kind}, positive_id {kind}")

@@ -7,52 +7,50 @@ from pyspark.sql import functions as F
 from terrane.functions import losses, text
 from terrane.functions.vectors import hash_rank
 from terrane.operators import agreement, classify, corpus, cover, geometry, graph, pairs, results
-from terrane.sources.tables import table
+from terrane.plans.base import DIGITS, QUERIES, SQL, query, rounded
+from terrane.sources.tables import stored, table
 
-CAP, DIGITS = 20, 6
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
+#: Evaluation rows of a subset, and the smaller number of them where pairs are built from the rest.
+CAP, PAIR_CAP = 20, 4
+#: Cells of an axis for the driver's few vectors; the operator's own default is finer.
+CELLS = 4
 
 
 def queries() -> dict:
+    from terrane.plans import layers, reports  # noqa: F401  they register theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
-def rounded(df, *names):
-    return df.select(*[F.round(c, DIGITS).alias(c) if c in names else c for c in df.columns])
-
-
 CORPUS = "corpus AS (SELECT doc_id AS id, text, coalesce(source, 'unknown') AS subset, coalesce(lang, 'unknown') AS domain FROM documents WHERE regexp_matches(text, '\\S'))"
-SPLIT = f"""{CORPUS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY md5('42:' || id), id) AS rn FROM corpus),
-placed AS (SELECT id, row_number() OVER (ORDER BY subset, rn) - 1 AS place FROM ranked WHERE rn <= {CAP}),
+def split_sql(cap):
+    return f"""{CORPUS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY md5('42:' || id), id) AS rn FROM corpus),
+placed AS (SELECT id, row_number() OVER (ORDER BY subset, rn) - 1 AS place FROM ranked WHERE rn <= {cap}),
 split AS (SELECT corpus.*, CASE WHEN place IS NULL THEN 'train' ELSE 'eval' END AS split, coalesce(place, -1)::BIGINT AS eval_order FROM corpus LEFT JOIN placed USING (id))"""
-FEATS = f"""{CORPUS}, raw AS (SELECT id, subset, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'))::DOUBLE AS lexicon_count, greatest(len(regexp_extract_all(text, '[.!?]+')), 1)::DOUBLE AS sentence_count,
+
+
+SPLIT = split_sql(CAP)
+_RAW = """raw AS (SELECT id, subset, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))::DOUBLE AS lexicon_count, greatest(len(regexp_extract_all(text, '[.!?]+')), 1)::DOUBLE AS sentence_count,
  len(regexp_extract_all(lower(text), '[aeiouy]+'))::DOUBLE AS syllable_count, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: len(regexp_extract_all(w, '[aeiouy]+')) >= 3))::DOUBLE AS difficult_words FROM corpus),
-feats AS (SELECT *, lexicon_count / sentence_count AS avg_sentence_length, 206.835 - 1.015 * lexicon_count / sentence_count - 84.6 * syllable_count / greatest(lexicon_count, 1) AS flesch_reading_ease FROM raw)"""
+feats AS MATERIALIZED (SELECT *, lexicon_count / sentence_count AS avg_sentence_length, 206.835 - 1.015 * lexicon_count / sentence_count - 84.6 * syllable_count / greatest(lexicon_count, 1) AS flesch_reading_ease FROM raw)"""
+FEATS = f"{CORPUS}, {_RAW}"
 NAMES = text.FEATURES
-FIT = f"{FEATS}, fit AS (SELECT {', '.join(f'avg({c}) AS mu_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS sd_{c}' for c in NAMES)} FROM feats)"
-Z = f"{FIT}, z AS (SELECT id, subset, [{', '.join(f'({c} - mu_{c}) / sd_{c}' for c in NAMES)}] AS z FROM feats, fit)"
+_FIT = f"{', '.join(f'avg({c}) AS mu_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS sd_{c}' for c in NAMES)}"
+FIT = f"{split_sql(PAIR_CAP)}, {_RAW}, fit AS (SELECT {_FIT} FROM feats WHERE id IN (SELECT id FROM split WHERE split = 'train'))"
+Z = f"{FIT}, z AS (SELECT feats.id, feats.subset, split.split, [{', '.join(f'({c} - mu_{c}) / sd_{c}' for c in NAMES)}] AS z FROM feats JOIN split USING (id), fit)"
 
 
 def docs(spark, d):
     return corpus.corpus(table(spark, d, "documents"))
 
 
-def split(spark, d):
-    return corpus.with_split(docs(spark, d), CAP)
+def split(spark, d, cap=CAP):
+    return corpus.with_split(docs(spark, d), cap)
 
 
 def features(spark, d):
@@ -60,9 +58,15 @@ def features(spark, d):
 
 
 def z_rows(spark, d):
-    f = features(spark, d)
-    z = text.z_scores(f, f)
-    return z.select("id", "subset", F.array(*[F.col(f"z_{c}") for c in NAMES]).alias("z"))
+    """(id, subset, split, z): features of all rows, standardized by the training rows; texts are read once for them."""
+    rows = split(spark, d, PAIR_CAP).select("id", "split")
+    f = stored(features(spark, d).select("id", "subset", *NAMES).join(rows, "id"))
+    z = text.z_scores(f, f.where("split = 'train'"))
+    return z.select("id", "subset", "split", F.array(*[F.col(f"z_{c}") for c in NAMES]).alias("z"))
+
+
+def train_rows(spark, d):
+    return z_rows(spark, d).where("split = 'train'")
 
 
 @query(f"WITH {SPLIT} SELECT id, subset, domain, split, eval_order, length(text)::BIGINT AS chars FROM split")
@@ -103,7 +107,8 @@ def text_features(spark, d):
 
 @query(f"WITH {FIT} SELECT {', '.join(f'round({p}_{c}, {DIGITS}) AS {p}_{c}' for c in NAMES for p in ('mu', 'sd'))} FROM fit")
 def standardizer(spark, d):
-    out = text.standardizer(features(spark, d))
+    rows = split(spark, d, PAIR_CAP).where("split = 'train'").select("id")
+    out = text.standardizer(features(spark, d).join(rows, "id", "left_semi"))
     return rounded(out, *out.columns)
 
 
@@ -115,34 +120,68 @@ def zscores(spark, d):
 def _pair_sql(kind):
     low, high = pairs.BANDS[kind]
     band = f"d >= {low}" + (f" AND d <= {high}" if high < 1e9 else "")
-    return f"""{Z}, ring AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY md5('7:' || id), id) - 1 AS r, count(*) OVER (PARTITION BY subset) AS n FROM z),
-offered AS (SELECT a.subset, a.id AS anchor_id, p.id AS positive_id, list_distance(a.z, p.z) AS d FROM ring a, range(1, {pairs.OFFERED + 1}) s(step) JOIN ring p ON p.subset = a.subset AND p.r = (a.r + step) % a.n WHERE step < a.n),
-pairs AS (SELECT subset, anchor_id, positive_id, d AS ts_dist, row_number() OVER (PARTITION BY anchor_id ORDER BY md5('7:' || anchor_id || ':' || positive_id), positive_id) AS use FROM offered WHERE {band} QUALIFY use <= 3)"""
+    return f"""{Z}, ring AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY md5('7:' || id), id) - 1 AS r, count(*) OVER (PARTITION BY subset) AS n FROM z WHERE split = 'train'),
+every AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY step) AS use FROM (SELECT a.subset, a.id AS anchor_id, p.id AS positive_id, a.r, (p.r - a.r + a.n) % a.n AS step, list_distance(a.z, p.z) AS d FROM ring a JOIN ring p ON p.subset = a.subset AND p.id <> a.id) WHERE {band} QUALIFY use <= 3),
+many AS (SELECT 2 * count(*) AS many FROM ring), s AS (SELECT subset, count(*) AS n FROM ring GROUP BY 1), e AS (SELECT subset, n, n * many / (SELECT sum(n) FROM s) AS x FROM s, many),
+quota AS (SELECT subset, n, (floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, subset) <= (SELECT many FROM many) - (SELECT sum(floor(x)) FROM e) THEN 1 ELSE 0 END)::BIGINT AS quota FROM e),
+met AS MATERIALIZED (SELECT subset, anchor_id, positive_id, d, use FROM (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY r, anchor_id) AS nth FROM every WHERE use = 1) JOIN quota USING (subset) WHERE nth <= quota),
+more AS (SELECT subset, anchor_id, positive_id, d, use, row_number() OVER (ORDER BY use, md5('7:' || use || ':' || anchor_id), anchor_id) AS k FROM every WHERE (anchor_id, use) NOT IN (SELECT (anchor_id, use) FROM met) QUALIFY k <= (SELECT many FROM many) - (SELECT count(*) FROM met)),
+pairs AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5('7:' || anchor_id || ':' || positive_id), anchor_id, positive_id) - 1 AS place FROM (SELECT subset, anchor_id, positive_id, d AS ts_dist, use, false AS filled FROM met UNION ALL SELECT subset, anchor_id, positive_id, d, use, true FROM more))"""
+
+
+def _wanted(spark, d, kind):
+    rows = stored(z_rows(spark, d))
+    train = rows.where("split = 'train'")
+    return pairs.wanted(train, kind, 2 * max(train.count(), 1), 7, rows.where("split = 'eval'"))
 
 
 def _pairs(kind):
-    @query(f"WITH {_pair_sql(kind)} SELECT subset, anchor_id, positive_id, round(ts_dist, {DIGITS}) AS ts_dist, use FROM pairs")
+    @query(f"WITH {_pair_sql(kind)} SELECT subset, anchor_id, positive_id, round(ts_dist, {DIGITS}) AS ts_dist, use, filled, place FROM pairs", name=f"pairs_{kind}")
     def run(spark, d):
-        return rounded(pairs.build(z_rows(spark, d), kind, 3, 7), "ts_dist")
+        return rounded(_wanted(spark, d, kind)[0], "ts_dist")
 
-    QUERIES[f"pairs_{kind}"], SQL[f"pairs_{kind}"] = QUERIES.pop("run"), SQL.pop("run")
+    @query(f"""WITH {_pair_sql(kind)}, built AS (SELECT subset, count(*) AS pairs, count(*) FILTER (filled) AS filled, max(use) AS max_use, count(DISTINCT anchor_id) AS anchors FROM pairs GROUP BY subset),
+dead AS (SELECT subset, count(*) AS dead FROM ring LEFT JOIN (SELECT anchor_id, count(*) AS have FROM every GROUP BY 1) ON anchor_id = id WHERE coalesce(have, 0) < (SELECT coalesce(max(use), 1) FROM pairs) GROUP BY subset)
+SELECT subset, quota.n, quota, coalesce(pairs, 0) AS pairs, quota - coalesce(pairs, 0) + coalesce(filled, 0) AS shortfall, coalesce(filled, 0) AS filled, coalesce(max_use, 0) AS max_use, coalesce(anchors, 0) AS anchors, coalesce(dead, 0) AS dead FROM quota LEFT JOIN built USING (subset) LEFT JOIN dead USING (subset)""", name="pair_report" if kind == "matched" else f"pair_report_{kind}")
+    def report(spark, d):
+        return _wanted(spark, d, kind)[1]
 
 
 for _kind in pairs.BANDS:
     _pairs(_kind)
 
 
-@query(f"WITH {_pair_sql('matched')} SELECT subset, count(*) AS pairs, count(DISTINCT anchor_id) AS anchors, count(DISTINCT positive_id) AS partners, max(use) AS max_use FROM pairs GROUP BY subset")
-def pair_report(spark, d):
-    return pairs.report(pairs.build(z_rows(spark, d), "matched", 3, 7))
-
-
 @query(f"WITH {_pair_sql('matched')} SELECT anchor_id, positive_id, md5(a.text) AS anchor, md5(p.text) AS positive FROM pairs JOIN corpus a ON a.id = anchor_id JOIN corpus p ON p.id = positive_id")
 def pair_text_join(spark, d):
-    found = pairs.with_texts(pairs.build(z_rows(spark, d), "matched", 3, 7), docs(spark, d).select("id", F.md5("text")))
+    found = pairs.with_texts(_wanted(spark, d, "matched")[0], docs(spark, d).select("id", F.md5("text")))
     return found.select("anchor_id", "positive_id", "anchor", "positive")
 
 
+@query(f"WITH {_pair_sql('random')} SELECT place, anchor_id, positive_id FROM pairs WHERE place < 100")
+def first_pairs(spark, d):
+    """The first pairs of the shuffle."""
+    return _wanted(spark, d, "random")[0].where("place < 100").select("place", "anchor_id", "positive_id")
+
+
+@query(f"""WITH {_pair_sql('random')}, rows AS (SELECT id, row_number() OVER (ORDER BY md5('9:' || id), id) - 1 AS k FROM ring), spot AS (SELECT anchor_id, positive_id, row_number() OVER (ORDER BY md5('10:' || anchor_id || ':' || positive_id), anchor_id, positive_id) - 1 AS k FROM pairs)
+SELECT anchor_id, positive_id, arg_min(id, i) AS negative_id FROM spot, range(3) t(i) JOIN rows ON rows.k = (spot.k + i) % (SELECT count(*) FROM rows) WHERE id <> anchor_id AND id <> positive_id GROUP BY ALL""")
+def pair_negatives(spark, d):
+    """A training row for each pair that is neither of its two."""
+    return pairs.negatives(_wanted(spark, d, "random")[0], train_rows(spark, d), 7)
+
+
+@query(f"""WITH {_pair_sql('random')} SELECT count(*) AS pairs, count(DISTINCT (anchor_id, positive_id)) AS distinct_pairs FROM pairs""")
+def pair_counts(spark, d):
+    return _wanted(spark, d, "random")[0].agg(F.count("*").alias("pairs"), F.countDistinct("anchor_id", "positive_id").alias("distinct_pairs"))
+
+
+@query()
+def duplicate_free_batches(spark, d):
+    """Batches of 16 pairs in which no id comes twice, filled one after the other within a shard."""
+    found = _wanted(spark, d, "matched")[0]
+    return pairs.batches(found, 16, 7, shards=8)
+
+
 @query(f"""WITH {CORPUS}, s AS (SELECT subset, count(*) AS n FROM corpus GROUP BY 1), e AS (SELECT subset, n * 100 / (SELECT sum(n) FROM s) AS x FROM s),
 r AS (SELECT *, floor(x) AS q, row_number() OVER (ORDER BY x - floor(x) DESC, subset) AS r FROM e) SELECT subset, (q + CASE WHEN r <= 100 - (SELECT sum(q) FROM r) THEN 1 ELSE 0 END)::BIGINT AS quota FROM r""")
 def pair_quotas(spark, d):
@@ -180,10 +219,10 @@ def class_cohesion(spark, d):
     return rounded(geometry.class_cohesion(table(spark, d, "embeddings")), "within")
 
 
-LENS = """lens AS MATERIALIZED (SELECT seed, vec_id, sum(x * CASE WHEN md5('1:' || seed || ':' || pos)[1] < '8' THEN 1 ELSE -1 END) AS u, sum(x * CASE WHEN md5('2:' || seed || ':' || pos)[1] < '8' THEN 1 ELSE -1 END) AS v
- FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings), range(42, 45) s(seed) GROUP BY ALL)"""
-_T = lambda c: f"(({c} - {c}0) / CASE WHEN {c}1 > {c}0 THEN ({c}1 - {c}0) / {cover.CELLS} ELSE 1 END)"
-_B = lambda c: f"least({cover.CELLS - 1}, greatest(0, floor({_T(c)} - {cover.OVERLAP / 2})))::INTEGER AS {c}a, least({cover.CELLS - 1}, floor({_T(c)} + {cover.OVERLAP / 2}))::INTEGER AS {c}b"
+LENS = f"""lens AS MATERIALIZED (SELECT seed, vec_id, sum(x * CASE WHEN md5('1:' || seed || ':' || pos)[1] < '8' THEN 1 ELSE -1 END) AS u, sum(x * CASE WHEN md5('2:' || seed || ':' || pos)[1] < '8' THEN 1 ELSE -1 END) AS v
+ FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings), range(42, {42 + cover.SEEDS}) s(seed) GROUP BY ALL)"""
+_T = lambda c: f"(({c} - {c}0) / CASE WHEN {c}1 > {c}0 THEN ({c}1 - {c}0) / {CELLS} ELSE 1 END)"
+_B = lambda c: f"least({CELLS - 1}, greatest(0, floor({_T(c)} - {cover.OVERLAP / 2})))::INTEGER AS {c}a, least({CELLS - 1}, floor({_T(c)} + {cover.OVERLAP / 2}))::INTEGER AS {c}b"
 COVER = f"""{LENS}, e AS (SELECT seed, min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM lens GROUP BY seed), b AS (SELECT seed, vec_id, {_B('u')}, {_B('v')} FROM lens JOIN e USING (seed)),
 cells AS MATERIALIZED (SELECT seed, vec_id, cx, unnest(range(va, vb + 1)) AS cy FROM (SELECT *, unnest(range(ua, ub + 1)) AS cx FROM b))"""
 NODES = f"""{COVER}, near AS MATERIALIZED (SELECT a.seed, a.cx, a.cy, a.vec_id AS a, b.vec_id AS b FROM cells a JOIN cells b ON a.seed = b.seed AND a.cx = b.cx AND a.cy = b.cy JOIN embeddings p ON p.vec_id = a.vec_id JOIN embeddings q ON q.vec_id = b.vec_id
@@ -200,12 +239,12 @@ def points(spark, d):
 
 
 def nodes(spark, d):
-    return cover.clusters(cover.cover(points(spark, d)), table(spark, d, "embeddings"))
+    return cover.clusters(cover.cover(points(spark, d), CELLS), table(spark, d, "embeddings"))
 
 
 @query(f"WITH {COVER} SELECT seed::INTEGER AS seed, vec_id, cx, cy FROM cells")
 def cover_membership(spark, d):
-    return cover.cover(points(spark, d))
+    return cover.cover(points(spark, d), CELLS)
 
 
 @query(f"WITH {LENS} SELECT seed::INTEGER AS seed, vec_id, round(u, {DIGITS}) AS u, round(v, {DIGITS}) AS v FROM lens")
@@ -220,7 +259,7 @@ def mapper_nodes(spark, d):
 
 @query(f"WITH RECURSIVE {EDGES} SELECT seed::INTEGER AS seed, src, dst FROM edges")
 def mapper_edges(spark, d):
-    return cover.nerve(nodes(spark, d).persist())
+    return cover.nerve(stored(nodes(spark, d)))
 
 
 @query(f"WITH RECURSIVE {PARTS} SELECT seed::INTEGER AS seed, vec_id, node FROM parts")
@@ -230,7 +269,7 @@ def doc_partition(spark, d):
 
 @query(f"WITH RECURSIVE {COMPS} SELECT seed::INTEGER AS seed, node, component FROM comps")
 def components(spark, d):
-    n = nodes(spark, d).persist()
+    n = stored(nodes(spark, d))
     return graph.components(n, cover.nerve(n))
 
 
@@ -239,8 +278,8 @@ k AS (SELECT seed, count(*) AS n_components, max(n) AS largest FROM (SELECT seed
 SELECT seed::INTEGER AS seed, n_nodes, coalesce(n_edges, 0) AS n_edges, n_components, round(coverage, 6) AS coverage, round(mean_size, 6) AS mean_size, median_size::DOUBLE AS median_size, round(largest / n_nodes, 6) AS largest_share,
  greatest(coalesce(n_edges, 0) - n_nodes + n_components, 0) AS b1, round(2 * coalesce(n_edges, 0) / n_nodes, 6) AS avg_degree, round(CASE WHEN n_nodes > 1 THEN 2 * coalesce(n_edges, 0) / (n_nodes * (n_nodes - 1)) ELSE 0 END, 6) AS density FROM g JOIN k USING (seed) JOIN cov USING (seed) LEFT JOIN w USING (seed)""")
 def graph_stats(spark, d):
-    n = nodes(spark, d).persist()
-    out = graph.statistics(n, cover.nerve(n).persist(), table(spark, d, "embeddings").count())
+    n = stored(nodes(spark, d))
+    out = graph.statistics(n, stored(cover.nerve(n)), table(spark, d, "embeddings").count())
     return rounded(out, "coverage", "mean_size", "largest_share", "avg_degree", "density")
 
 
@@ -249,37 +288,34 @@ def purity(spark, d):
     return rounded(cover.purity(nodes(spark, d), table(spark, d, "embeddings")), "weighted", "mean")
 
 
-def labelled_parts(spark, d):
-    """Five partitions of the documents, by their subset, language and digests of their texts."""
-    rows = docs(spark, d).select("id", "subset", "domain", F.md5("text").alias("h"))
-    each = F.array(*[F.struct(F.lit(i).alias("seed"), c.alias("node")) for i, c in enumerate([F.col("subset"), F.col("domain"), F.substring("h", 1, 1), F.concat("domain", F.substring("h", 1, 1)), F.concat("subset", "domain")])])
-    return rows.select("id", F.explode(each).alias("p")).select("p.seed", F.col("id").alias("vec_id"), "p.node")
+AGREE = f"""{PARTS}, t AS (SELECT x.seed AS seed_a, y.seed AS seed_b, x.node AS a, y.node AS b, count(*) AS n FROM parts x JOIN parts y ON x.vec_id = y.vec_id AND x.seed < y.seed GROUP BY ALL),
+w AS (SELECT seed_a, seed_b, sum(n) AS t, sum(n * (n - 1) / 2) AS ij, sum(n * ln(n)) AS h FROM t GROUP BY ALL), pa AS (SELECT seed_a, seed_b, sum(m * (m - 1) / 2) AS p, sum(m * ln(m)) AS h FROM (SELECT seed_a, seed_b, a, sum(n) AS m FROM t GROUP BY ALL) GROUP BY ALL), pb AS (SELECT seed_a, seed_b, sum(m * (m - 1) / 2) AS p, sum(m * ln(m)) AS h FROM (SELECT seed_a, seed_b, b, sum(n) AS m FROM t GROUP BY ALL) GROUP BY ALL),
+agree AS MATERIALIZED (SELECT seed_a, seed_b, CASE WHEN abs((pa.p + pb.p) / 2 - pa.p * pb.p / (t * (t - 1) / 2)) < 1e-12 THEN 1 ELSE (ij - pa.p * pb.p / (t * (t - 1) / 2)) / ((pa.p + pb.p) / 2 - pa.p * pb.p / (t * (t - 1) / 2)) END AS ari,
+ CASE WHEN ln(t) - pa.h / t + ln(t) - pb.h / t <= 1e-12 THEN 1 ELSE (ln(t) - pa.h / t + ln(t) - pb.h / t - (ln(t) - w.h / t)) / ((ln(t) - pa.h / t + ln(t) - pb.h / t) / 2) END AS nmi FROM w JOIN pa USING (seed_a, seed_b) JOIN pb USING (seed_a, seed_b) WHERE t > 1)"""
 
 
-LP = f"{CORPUS}, parts AS MATERIALIZED (SELECT 0 AS seed, id AS vec_id, subset AS node FROM corpus UNION ALL SELECT 1, id, domain FROM corpus UNION ALL SELECT 2, id, md5(text)[1] FROM corpus UNION ALL SELECT 3, id, domain || md5(text)[1] FROM corpus UNION ALL SELECT 4, id, subset || domain FROM corpus)"
-AGREE = f"""{LP}, t AS (SELECT x.seed AS seed_a, y.seed AS seed_b, x.node AS a, y.node AS b, count(*) AS n FROM parts x JOIN parts y ON x.vec_id = y.vec_id AND x.seed < y.seed GROUP BY ALL),
-w AS (SELECT seed_a, seed_b, sum(n) AS t, sum(n * (n - 1) / 2) AS ij, sum(n * ln(n)) AS h FROM t GROUP BY ALL), pa AS (SELECT seed_a, seed_b, sum(m * (m - 1) / 2) AS p, sum(m * ln(m)) AS h FROM (SELECT seed_a, seed_b, a, sum(n) AS m FROM t GROUP BY ALL) GROUP BY ALL), pb AS (SELECT seed_a, seed_b, sum(m * (m - 1) / 2) AS p, sum(m * ln(m)) AS h FROM (SELECT seed_a, seed_b, b, sum(n) AS m FROM t GROUP BY ALL) GROUP BY ALL),
-agree AS (SELECT seed_a, seed_b, (ij - pa.p * pb.p / (t * (t - 1) / 2)) / ((pa.p + pb.p) / 2 - pa.p * pb.p / (t * (t - 1) / 2)) AS ari, (ln(t) - pa.h / t + ln(t) - pb.h / t - (ln(t) - w.h / t)) / ((ln(t) - pa.h / t + ln(t) - pb.h / t) / 2) AS nmi FROM w JOIN pa USING (seed_a, seed_b) JOIN pb USING (seed_a, seed_b))"""
+def agreements(spark, d):
+    """Agreement of the covers' partitions of every two seeds."""
+    return agreement.ari_nmi(stored(cover.partition(nodes(spark, d))))
 
 
-@query(f"WITH {AGREE} SELECT seed_a, seed_b, round(ari, 6) AS ari, round(nmi, 6) AS nmi FROM agree")
+@query(f"WITH RECURSIVE {AGREE} SELECT seed_a::INTEGER AS seed_a, seed_b::INTEGER AS seed_b, round(ari, 6) AS ari, round(nmi, 6) AS nmi FROM agree")
 def pairwise_agreement(spark, d):
-    return rounded(agreement.ari_nmi(labelled_parts(spark, d)), "ari", "nmi")
+    return rounded(agreements(spark, d), "ari", "nmi")
 
 
-@query(f"WITH {AGREE} SELECT count(*) AS pairs, round(coalesce(avg(ari), 0), 6) AS mean_ari, round(coalesce(stddev_samp(ari), 0), 6) AS sd_ari, round(coalesce(avg(nmi), 0), 6) AS mean_nmi, round(coalesce(stddev_samp(nmi), 0), 6) AS sd_nmi FROM agree")
+@query(f"WITH RECURSIVE {AGREE} SELECT count(*) AS pairs, round(coalesce(avg(ari), 0), 6) AS mean_ari, round(coalesce(stddev_samp(ari), 0), 6) AS sd_ari, round(coalesce(avg(nmi), 0), 6) AS mean_nmi, round(coalesce(stddev_samp(nmi), 0), 6) AS sd_nmi FROM agree")
 def bootstrap_summary(spark, d):
-    a = agreement.ari_nmi(labelled_parts(spark, d))
-    return a.agg(F.count("*").alias("pairs"), *[F.round(F.coalesce(f(c), F.lit(0.0)), 6).alias(f"{n}_{c}") for c in ("ari", "nmi") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    return rounded(agreement.pair_summary(agreements(spark, d)), "mean_ari", "sd_ari", "mean_nmi", "sd_nmi")
 
 
-@query(f"WITH {AGREE}, s AS (SELECT unnest(range(5)) AS k), m AS (SELECT k, avg(ari) AS m FROM s JOIN agree ON k <> seed_a AND k <> seed_b GROUP BY k) SELECT count(*) AS seeds, round(sqrt((count(*) - 1) * var_pop(m)), 6) AS se FROM m")
+@query(f"WITH RECURSIVE {AGREE}, s AS (SELECT DISTINCT unnest([seed_a, seed_b]) AS k FROM agree), m AS (SELECT k, avg(ari) AS m FROM s JOIN agree ON k <> seed_a AND k <> seed_b GROUP BY k) SELECT count(*) AS seeds, round(sqrt((count(*) - 1) * var_pop(m)), 6) AS se FROM m")
 def jackknife_se(spark, d):
-    return rounded(agreement.jackknife(agreement.ari_nmi(labelled_parts(spark, d)).select("seed_a", "seed_b", F.col("ari").alias("value"))), "se")
+    return rounded(agreement.jackknife(agreements(spark, d).select("seed_a", "seed_b", F.col("ari").alias("value"))), "se")
 
 
 @query(f"WITH {FEATS}, r AS (SELECT subset, rank() OVER (PARTITION BY subset ORDER BY lexicon_count) + (count(*) OVER (PARTITION BY subset, lexicon_count) - 1) / 2 AS a, rank() OVER (PARTITION BY subset ORDER BY avg_sentence_length) + (count(*) OVER (PARTITION BY subset, avg_sentence_length) - 1) / 2 AS b FROM feats) SELECT subset, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY subset")
-def anchor_rho(spark, d):
+def feature_rank_correlation(spark, d):
     return rounded(agreement.spearman(features(spark, d), ["subset"], "lexicon_count", "avg_sentence_length"), "rho")
 
 
@@ -386,7 +422,7 @@ def lr_cv(spark, d):
 @query("""WITH c AS (SELECT doc_id AS id, string_split('  ' || lower(text) || '  ', '') AS c FROM documents WHERE text IS NOT NULL),
 t AS (SELECT id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM c), n AS (SELECT id, g, count(*) AS n FROM t GROUP BY ALL),
 h AS (SELECT id, n, ('0x' || substr(md5('3:' || g), 1, 4))::BIGINT % 16 AS dim, md5('4:' || g)[1] < '8' AS up FROM n) SELECT id, dim, sum(CASE WHEN up THEN n ELSE -n END)::BIGINT AS x FROM h GROUP BY ALL""")
-def random_projection(spark, d):
+def hashed_trigrams(spark, d):
     """Trigrams fold into 16 signed hash buckets a text."""
     grams = docs_all(spark, d).select("id", F.explode(text.trigrams(F.col("text"))).alias("g")).where("g is not null").groupBy("id", "g").agg(F.count("*").alias("n"))
     signed = F.when(F.substring(hash_rank(4, F.col("g")), 1, 1) < "8", F.col("n")).otherwise(-F.col("n"))
