@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from terrane.llm.common import byte_slices
 
 #: Bytes of runs between blanks that a task remembers; beyond them the table starts anew.
-REMEMBERED = 1 << 24
+REMEMBERED = 1 << 26
 #: A remembered run's bytes besides its letters.
 ENTRY = 160
 #: Bytes of texts that are encoded together, and ids that are decoded together.
-SLICE, TOKENS = 1 << 21, 1 << 19
+SLICE, TOKENS = 1 << 20, 1 << 18
 _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
 

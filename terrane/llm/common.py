@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
+
+from terrane.operators.graph import min_labels
+from terrane.sources.tables import release, shared_dir, stored, table
 
+__all__ = ["byte_slices", "connected_components", "fresh", "mix", "release", "shared_dir", "small_or_none", "stored", "string_hashes", "table", "unsliced"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables, by whatever file system the folder names."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes up to which strings are hashed many at once.
+LONG_WORD = 128
+GOLDEN, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -25,40 +27,35 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  A session without one gets a folder of its own if it runs on one
-    machine, as tests do; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: ``df`` written to the shared folder and read back, which outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.stored_path = path
-    return back
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables of ``stored`` that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def byte_slices(batches, column: int = 0, most: int = 1 << 22, rows: int = 4096):
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64), element by element."""
+    x = x + GOLDEN
+    for shift, factor in ((30, M1), (27, M2)):
+        x ^= x >> np.uint64(shift)
+        x *= factor
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def string_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings without nulls, eight bytes of all of them at a time."""
+    words = unsliced(words.cast(pa.large_string()))
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = (data.to_pybytes() if data else b"") + bytes(8)
+    start, size = offsets[:-1], np.diff(offsets)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # the eight bytes from each byte on
+    h = mix(size.astype(np.uint64))
+    for j in range(0, min(int(size.max(initial=0)), LONG_WORD), 8):
+        on = np.flatnonzero(size > j)
+        left = np.minimum(size[on] - j, 8).astype(np.uint64)
+        h[on] = mix(h[on] ^ (eight[start[on] + j] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
+    return h
+
+
+def byte_slices(batches, column: int = 0, most: int = 1 << 21, rows: int = 2048):
     """The batches in slices of at most ``most`` bytes in a text column and ``rows`` rows; a longer text is a slice of its own."""
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -68,6 +65,7 @@ def byte_slices(batches, column: int = 0, most: int = 1 << 22, rows: int = 4096)
             z = min(z, a + rows)
             yield b.slice(a, z - a)
             a = z
+            pa.default_memory_pool().release_unused()  # so that a worker between tasks holds little
 
 
 def unsliced(values: pa.Array) -> pa.Array:
@@ -81,26 +79,6 @@ def small_or_none(df: DataFrame, most: int) -> DataFrame | None:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of an undirected graph as (node, component), component being the smallest node.
-
-    ``edges`` has the columns src and dst of one orderable type.  Each round keeps, for every node, the smallest
-    label among itself and its neighbours, then jumps to the label of that label.  Labels spread by joins on one
-    endpoint and an aggregation on the other, so that a hub's rows are summed before the shuffle and its join can
-    be split; every round is stored in the shared folder and the one before deleted.  Every round with a change lowers
-    a label, so rounds end.  Nodes without an edge don't appear.
-    """
-    both = stored(edges.where("src <> dst").select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = stored(both.groupBy("src").agg(F.least(F.first("src"), F.min("dst")).alias("component")).withColumnRenamed("src", "node"))
-    while True:
-        near = both.join(labels, both.dst == labels.node).select(F.col("src").alias("node"), F.col("component").alias("next"))
-        seen = near.unionByName(labels.select("node", F.col("component").alias("next"))).groupBy("node").agg(F.min("next").alias("next"))
-        up = labels.select(F.col("node").alias("up_node"), F.col("component").alias("up"))
-        jumped = seen.join(up, F.col("next") == F.col("up_node"), "left").select("node", F.least("next", F.coalesce("up", "next")).alias("component"))
-        jumped = stored(jumped)
-        before = labels.select("node", F.col("component").alias("old"))
-        changed = not jumped.join(before, "node").where("component <> old").isEmpty()
-        release(labels)
-        labels = jumped
-        if not changed:
-            release(both)
-            return labels
+    """Components of an undirected graph with the edges (src, dst), as (node, component), component being the smallest
+    node.  Nodes without an edge don't appear."""
+    return min_labels(edges)

@@ -22,11 +22,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.llm.common import byte_slices, fresh, stored
+from terrane.operators.ranks import placed
 
 #: Hash buckets of the n-grams, and how many different texts of each language are learned from at most.
 BUCKETS, PER_LANGUAGE = 2048, 400
@@ -225,13 +225,12 @@ def train(docs: DataFrame, text_col: str, lang_col: str, usable: Column, per_lan
 
     # each task sends at most per_language hashes of a language; the largest of the smallest ones is the language's bound
     hashes = labelled.select("lang", "h").mapInArrow(smallest, "lang string, h bigint").distinct()
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    placed = stored(hashes.withColumn("place", place).where(F.col("place") <= per_language))
-    languages = placed.where("place = 1").count()
+    smallest_ones = stored(placed(hashes, ["lang"], ["h"]).where(F.col("place") < per_language))
+    languages = smallest_ones.where("place = 0").count()
     if languages > rows:
         raise ValueError(f"{languages} languages, of which at most {rows} can be learned")
     each = min(per_language, rows // max(languages, 1))
-    bounds = placed.where(F.col("place") <= each).groupBy("lang").agg(F.max("h").alias("bound"))
+    bounds = smallest_ones.where(F.col("place") < each).groupBy("lang").agg(F.max("h").alias("bound"))
     chosen = labelled.join(F.broadcast(bounds), "lang").where("h <= bound").select("text", "lang", "h")  # bounds: ``rows`` rows at most
 
     def run(batches):

@@ -1,25 +1,27 @@
-"""Scoring texts with a log-bilinear model trained by noise-contrastive estimation.
+"""Scoring texts with a class-factored log-bilinear model trained by noise-contrastive estimation.
 
-Tokens are words between white space with A-Z in lower case, and an end per text.  The model predicts a token's class
-from the classes of the two tokens before it: a frequent word is a class of its own, the end is one, and all other
-words fall into classes by the hash of their last two bytes.  Within such a class a known word has the probability
+Tokens are words between white space with A-Z in lower case, and an end per text.  The model has OUTPUTS outcomes: the
+end, the WORDS most frequent words, and OTHERS classes of all other words by their last three bytes.  A context vector
+is the sum of the input vectors of the tokens before, each scaled by a vector of its place.  It predicts the outcome's
+group, then the outcome in the group; both are log-bilinear and normalised over all groups and over all outcomes of the
+group, by matrix products over many contexts at once.  Within a class of other words a known word has the probability
 (c - D) / N_class, c being its count in the training texts, and unknown words together the rest, D V_class / N_class
 (absolute discounting), so that the probabilities of all known words and of an unknown one add up to one.
 
-Counting covers all training texts.  Words whose share of all tokens is at least one in HOT_SHARE (so at most HOT_SHARE
-words) are broadcast; the counts of all others meet the texts by a shuffled join.  Each training round is a pass over all
-training texts: a task counts its class trigrams, takes noise-contrastive steps on batches drawn from them, and Spark
-averages the tasks' parameters, weighted by tokens.  Scoring multiplies context vectors and output vectors in batches
-and normalises over all classes.
+Texts are split twice: to count words, and to turn every text into the numbers of its outcomes, which are stored.  Each
+training round is a pass over all stored numbers of the training texts: a task takes noise-contrastive steps over all of
+its tokens, in batches that grow up to BATCH, and Spark averages the tasks' parameters, weighted by tokens.  Words whose
+share of all tokens is at least one in HOT_SHARE (so at most HOT_SHARE words) are broadcast as sorted hashes; the counts
+of all others meet the texts by a shuffled join.
 
 Defined results: a null text is empty and has one token, its end; without training texts every count is 0; rows
 are scored one by one, so repeated rows give repeated results, and repeated training rows count as often as they occur.
+Of words with equal counts the smaller ones are outcomes of their own; no rows give no rows.
 """
 
 from __future__ import annotations
 
-import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +30,39 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import stored, unsliced
+from terrane.llm.common import byte_slices, string_hashes, stored, unsliced
 
-#: Words that are classes, classes of other words, dimensions of the vectors.
-WORDS, OTHERS, WIDTH = 255, 64, 16
-CLASSES = WORDS + 1 + OTHERS
+#: Groups of outcomes, and outcomes of a group.
+GROUPS, EACH = 64, 64
+OUTPUTS = GROUPS * EACH
+#: Words that are outcomes, and classes of other words; the one left is the end.
+OTHERS = 1024
+WORDS = OUTPUTS - 1 - OTHERS
+#: Dimensions of the vectors, and tokens of a context.
+WIDTH, BEFORE = 16, 3
 #: At most this many words are broadcast, none longer than LONGEST bytes.
 HOT_SHARE, LONGEST = 1_000_000, 64
-#: Rounds of training, batches of a task in a round, their size, and noise samples of a batch.
-ROUNDS, STEPS, BATCH, NOISE = 2, 250, 4096, 64
+#: Rounds of training, the largest batch, noise samples of a batch at either level, and the adaptive rate of the first round.
+ROUNDS, BATCH, NOISE, RATE = 2, 16384, 32, 0.1
+#: Bytes of texts, and tokens, that are worked on at once.
+SLICE, TOKENS = 1 << 22, 1 << 18
 #: The end as a token: no word contains a blank.
 END = " "
 
 
-def other_class(word: str) -> int:
-    """The class of a word that isn't one itself."""
-    return WORDS + 1 + zlib.crc32(word.encode()[-2:]) % OTHERS
+def outcome(rank: np.ndarray | int):
+    """The outcome of a rank: 0 is the end, then words by frequency, then classes.  Ranks take turns in the groups."""
+    return rank % GROUPS * EACH + rank // GROUPS
 
 
 @dataclass
 class Model:
-    """known: count and class of the broadcast words; discount: D; mass, unknown: log10 of N and of D V of every class
-    of other words."""
+    """hot, hot_count, hot_out: sorted hashes, counts and outcomes of the broadcast words; discount: D; mass, unknown: log10
+    of N and of D V of every outcome that is a class; unigram: shares of outcomes."""
 
-    known: dict[str, tuple[int, int]]
+    hot: np.ndarray
+    hot_count: np.ndarray
+    hot_out: np.ndarray
     tokens: int
     distinct: int
     ends: int
@@ -59,264 +70,304 @@ class Model:
     discount: float
     mass: np.ndarray
     unknown: np.ndarray
-    inputs: np.ndarray = field(default=None)
-    outputs: np.ndarray = field(default=None)
-    near: np.ndarray = field(default=None)
-    bias: np.ndarray = field(default=None)
+    params: dict[str, np.ndarray] = field(default_factory=dict)
 
     def start(self, seed: int = 3) -> Model:
+        """Random vectors; biases that give every outcome its share."""
         rng = np.random.default_rng(seed)
-        self.inputs, self.outputs = rng.normal(0, 0.1, (CLASSES + 1, WIDTH)), rng.normal(0, 0.1, (CLASSES, WIDTH))
-        self.near, self.bias = np.ones((2, WIDTH)), np.log(self.unigram)
+        draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        share, inner = self.shares()
+        self.params = {"inputs": draw(OUTPUTS + 1, WIDTH), "near": np.ones((BEFORE, WIDTH), np.float32), "heads": draw(GROUPS, WIDTH), "head_bias": np.log(share).astype(np.float32), "outputs": draw(OUTPUTS, WIDTH), "bias": np.log(inner).ravel().astype(np.float32)}
         return self
 
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the groups, and of the outcomes in their group."""
+        parts = self.unigram.reshape(GROUPS, EACH)
+        return parts.sum(axis=1), parts / parts.sum(axis=1, keepdims=True)
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Word numbers of all texts, the distinct words, and how many words each text has."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(unsliced(texts).cast(pa.large_string()), ""))
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Word numbers of all texts, the distinct words (A-Z in lower case), and how many words each text has."""
+    flat = unsliced(pc.fill_null(texts.cast(pa.large_string()), ""))
+    _, offsets, data = flat.buffers()
+    raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    lower = raw + (((raw >= 65) & (raw <= 90)) << 5).astype(np.uint8)
+    flat = pa.LargeStringArray.from_buffers(len(flat), offsets, pa.py_buffer(lower))
+    lists = pc.ascii_split_whitespace(flat)
     coded = lists.values.dictionary_encode()
-    lower = [w.encode().lower().decode() for w in coded.dictionary.to_pylist()]  # of bytes, so A-Z only
-    place = {w: i for i, w in enumerate(dict.fromkeys(lower))}
-    words = list(place)
-    index = np.array([place[w] for w in lower], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if lower else np.zeros(0, np.int64)
+    index, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
     counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    if "" in words:
-        blank = words.index("")
+    blank = pc.index(words, "").as_py() if len(words) else -1
+    if blank >= 0:  # blanks at a text's ends split off empty words
         owner = np.repeat(np.arange(len(counts)), counts)[index != blank]
         index, counts = index[index != blank], np.bincount(owner, minlength=len(counts))
     return index, words, counts
 
 
-def _batches(batches, most: int = 1 << 23):
-    """The batches in slices of bounded bytes: (slice, its texts)."""
-    for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False)
-        ends, a = np.cumsum(sizes), 0
-        while a < b.num_rows:
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-            yield b.slice(a, z - a)
-            a = z
+def other_classes(words: pa.Array) -> np.ndarray:
+    """The outcome of each word as one of the others, by a hash of its last three bytes."""
+    words = unsliced(words.cast(pa.large_string()))
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    raw, code = np.frombuffer(data or b"", np.uint8), np.zeros(len(words), np.uint32)
+    for j in range(3):
+        at = ends[1:] - 1 - j
+        have = at >= ends[:-1]
+        code[have] = code[have] * np.uint32(257) + raw[at[have]] + np.uint32(1)
+    mixed = (code.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(12)) % np.uint64(OTHERS)
+    return outcome(1 + WORDS + mixed.astype(np.int64))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(token, class, c) of a table with the one column text; the end is a token."""
 
     def run(batches):
-        for b in _batches(batches):
+        for b in byte_slices(batches, 0, SLICE):
             index, words, _ = split_words(b.column(0))
             n = np.bincount(index, minlength=len(words))
             have = np.flatnonzero(n)
-            names = [words[i] for i in have.tolist()] + [END]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([other_class(w) for w in names], pa.int32()), pa.array(np.append(n[have], b.num_rows), pa.int64())], ["token", "class", "n"])
+            names = pa.concat_arrays([words.take(pa.array(have)).cast(pa.string()), pa.array([END], pa.string())])
+            yield pa.RecordBatch.from_arrays([names, pa.array(other_classes(names), pa.int32()), pa.array(np.append(n[have], b.num_rows), pa.int64())], ["token", "class", "n"])
 
     return texts.mapInArrow(run, "token string, class int, n bigint").groupBy("token").agg(F.first("class").alias("class"), F.sum("n").alias("c"))
 
 
-def _classes(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Class and count of each word; -1 for counts that aren't broadcast."""
-    found = [model.known.get(w) for w in words]
-    count = np.array([f[0] if f else -1 for f in found], np.int64)
-    return np.array([f[1] if f else other_class(w) for f, w in zip(found, words, strict=True)], np.int64), count
-
-
-def _sequences(cls: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens with ends put in: context (two classes as a number), class, and text."""
-    n = counts + 1
-    ends = np.cumsum(n) - 1
-    seq = np.empty(int(n.sum()), np.int64)
-    inner = np.ones(len(seq), bool)
-    inner[ends] = False
-    seq[inner], seq[ends] = cls, WORDS
-    owner = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(seq)) - np.repeat(ends - n + 1, n)
-    one = np.where(at > 0, np.roll(seq, 1), CLASSES)
-    two = np.where(at > 1, np.roll(seq, 2), CLASSES)
-    return two * (CLASSES + 1) + one, seq, owner
-
-
-def _summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by index, as an array of n rows."""
-    width = rows.shape[1]
-    return np.bincount((index[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width)
-
-
-def train_step(m: Model, context: np.ndarray, target: np.ndarray, noise: np.ndarray, sums: dict[str, np.ndarray], rate: float = 0.2) -> None:
-    """One noise-contrastive step with the noise shared by the batch; adaptive rates."""
-    two, one = context // (CLASSES + 1), context % (CLASSES + 1)
-    r1, r2 = m.inputs[one], m.inputs[two]
-    v = r1 * m.near[0] + r2 * m.near[1]
-    log_noise = np.log(len(noise) * m.unigram)
-    data = (v * m.outputs[target]).sum(axis=1) + m.bias[target] - log_noise[target]
-    other = v @ m.outputs[noise].T + m.bias[noise] - log_noise[noise]
-    up = 1 / (1 + np.exp(np.clip(data, -40, 40)))
-    down = -1 / (1 + np.exp(-np.clip(other, -40, 40)))
-    dv = up[:, None] * m.outputs[target] + down @ m.outputs[noise]
-    grads = {"inputs": np.zeros_like(m.inputs), "outputs": np.zeros_like(m.outputs), "bias": np.zeros_like(m.bias), "near": np.stack(((dv * r1).sum(axis=0), (dv * r2).sum(axis=0)))}
-    grads["inputs"] += _summed(one, dv * m.near[0], CLASSES + 1) + _summed(two, dv * m.near[1], CLASSES + 1)
-    grads["outputs"] += _summed(target, up[:, None] * v, CLASSES) + _summed(noise, down.T @ v, CLASSES)
-    grads["bias"] += np.bincount(target, up, CLASSES) + np.bincount(noise, down.sum(axis=0), CLASSES)
-    for name, g in grads.items():
-        g /= len(context)
-        s = sums.setdefault(name, np.full_like(g, 1e-8))
-        s += g * g
-        getattr(m, name)[...] += rate * g / np.sqrt(s)
-
-
-def train_round(texts: DataFrame, model: Model, number: int) -> Model:
-    """One pass over all training texts (one column text) and the average of the tasks' parameters."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        base = shared.value
-        m = Model(base.known, base.tokens, base.distinct, base.ends, base.unigram, base.discount, base.mass, base.unknown, base.inputs.copy(), base.outputs.copy(), base.near.copy(), base.bias.copy())
-        codes, counts, pending, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-        def merged(codes, counts, pending):
-            own, n = np.unique(np.concatenate(pending), return_counts=True)
-            every, inverse = np.unique(np.concatenate((codes, own)), return_inverse=True)
-            return every, np.bincount(inverse, weights=np.concatenate((counts, n))).astype(np.int64)
-
-        for b in _batches(batches):
-            index, words, n = split_words(b.column(0))
-            cls, _ = _classes(m, words)
-            context, target, _ = _sequences(cls[index], n)
-            pending.append(context * CLASSES + target)
-            held += len(target)
-            if held > 4_000_000:
-                codes, counts = merged(codes, counts, pending)
-                pending, held = [], 0
-        if pending:
-            codes, counts = merged(codes, counts, pending)
-        weight = int(counts.sum())
-        if not weight:
-            return
-        rng = np.random.default_rng((number, TaskContext.get().partitionId() if TaskContext.get() else 0))
-        cut, sums = np.cumsum(counts), {}
-        for _ in range(STEPS):
-            drawn = codes[np.searchsorted(cut, rng.integers(0, weight, BATCH), "right")]
-            train_step(m, drawn // CLASSES, drawn % CLASSES, rng.choice(CLASSES, NOISE, p=m.unigram), sums)
-        table = np.zeros((CLASSES + 2, 2 * WIDTH + 1))
-        table[: CLASSES + 1, :WIDTH], table[:CLASSES, WIDTH:-1], table[:CLASSES, -1] = m.inputs, m.outputs, m.bias
-        table[-1, : 2 * WIDTH] = m.near.ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table)), pa.int32()), pa.array(np.full(len(table), float(weight))), *(pa.array(c * weight) for c in table.T)], ["row", "weight", *(f"v{j}" for j in range(table.shape[1]))])
-
-    cols = [f"v{j}" for j in range(2 * WIDTH + 1)]
-    parts = texts.mapInArrow(run, "row int, weight double, " + ", ".join(f"{c} double" for c in cols))
-    rows = parts.groupBy("row").agg(*[(F.sum(c) / F.sum("weight")).alias(c) for c in cols]).collect()  # CLASSES + 2 rows
-    if not rows:
-        return model
-    table = np.array([[r[c] for c in cols] for r in sorted(rows, key=lambda r: r["row"])])
-    model.inputs, model.outputs, model.bias = table[: CLASSES + 1, :WIDTH], table[:CLASSES, WIDTH:-1], table[:CLASSES, -1]
-    model.near = table[-1, : 2 * WIDTH].reshape(2, WIDTH)
-    return model
-
-
 def prepare(counts: DataFrame) -> Model:
-    """A model without parameters, from all counts (token, class, c)."""
-    tokens, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    tokens = tokens or 0
-    top = {r["token"]: i for i, r in enumerate(counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(WORDS).select("token").collect())}
-    ends = sum(r["c"] for r in counts.where(F.col("token") == END).collect())
-    hot = counts.where((F.col("c") * HOT_SHARE >= tokens) & (F.octet_length("token") <= LONGEST) & (F.col("token") != END)).select("token", "class", "c").toArrow().to_pydict()
-    known = {t: (c, top.get(t, k)) for t, k, c in zip(hot["token"], hot["class"], hot["c"], strict=True)}
-    known |= {r["token"]: (r["c"], top[r["token"]]) for r in counts.where(F.col("token").isin(list(top))).collect()}
-    mass = np.zeros(CLASSES)
-    sizes = np.zeros(CLASSES)
-    for w, i in top.items():
-        mass[i] = known[w][0]
-    mass[WORDS] = ends
+    """A model at its start, from all counts (token, class, c)."""
+    tokens, distinct, ends = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("token") == END, F.col("c")))).first()
+    tokens, ends = tokens or 0, ends or 0
+    words = counts.where(F.col("token") != END)
+    top = words.orderBy(F.desc("c"), "token").limit(WORDS).select("token", "c").toArrow()
+    hot = words.where((F.col("c") * HOT_SHARE >= tokens) & (F.octet_length("token") <= LONGEST)).select("token", "class", "c").toArrow()
+    hashes, count, out = string_hashes(_column(hot, "token", pa.string())), _column(hot, "c", pa.int64()).to_numpy(), _column(hot, "class", pa.int64()).to_numpy().copy()
+    top_hashes, top_count = string_hashes(_column(top, "token", pa.string())), _column(top, "c", pa.int64()).to_numpy()
+    top_out = outcome(np.arange(1, len(top_hashes) + 1))
+    new = ~np.isin(hashes, top_hashes)
+    hashes, count, out = (np.concatenate(x) for x in ((top_hashes, hashes[new]), (top_count, count[new]), (top_out, out[new])))
+    order = np.argsort(hashes)
+    mass, sizes = np.zeros(OUTPUTS), np.zeros(OUTPUTS)
+    mass[outcome(0)], mass[top_out] = ends, top_count
+    least, last = (int(top_count[-1]), top["token"][-1].as_py()) if len(top_count) == WORDS else (0, "")
+    rest = words.where((F.col("c") < least) | (F.col("c") == least) & (F.col("token") > last)).groupBy("class")
     once, twice = 0, 0
-    other = counts.where(~F.col("token").isin([*top, END])).groupBy("class")
-    for r in other.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).collect():
+    for r in rest.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).collect():  # OTHERS rows
         mass[r["class"]], sizes[r["class"]] = r["n"], r["v"]
         once, twice = once + r["one"], twice + r["two"]
     discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-    unigram = (mass + 1) / (mass + 1).sum()
     full = sizes > 0
-    unknown = np.where(full, np.log10(discount * np.where(full, sizes, 1)), 0)
-    return Model(known, tokens, distinct, ends, unigram, discount, np.where(full, np.log10(np.where(full, mass, 1)), 0), unknown).start()
+    return Model(hashes[order], count[order], out[order], tokens, distinct, ends, (mass + 1) / (mass + 1).sum(), discount, np.where(full, np.log10(np.where(full, mass, 1)), 0), np.where(full, np.log10(discount * np.where(full, sizes, 1)), 0)).start()
 
 
-class Scorer:
-    """Log10 probabilities of classes; contexts' normalisers are kept."""
+def _column(table: pa.Table, name: str, kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([c.cast(kind) for c in table[name].chunks]) if table[name].num_chunks else pa.array([], kind)
 
-    def __init__(self, m: Model):
-        self.m = m
-        self.norm = np.full((CLASSES + 1) ** 2, np.nan)
-        self.outputs = m.outputs.astype(np.float32)
 
-    def contexts(self, c: np.ndarray) -> np.ndarray:
-        m = self.m
-        return (m.inputs[c % (CLASSES + 1)] * m.near[0] + m.inputs[c // (CLASSES + 1)] * m.near[1]).astype(np.float32)
+IS_CLASS = np.zeros(OUTPUTS, bool)
+IS_CLASS[outcome(np.arange(1 + WORDS, OUTPUTS))] = True
 
-    def score(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        new = np.zeros(len(self.norm), bool)
-        new[context] = True
-        new = np.flatnonzero(new & np.isnan(self.norm))
-        for a in range(0, len(new), 8192):
-            logits = self.contexts(new[a : a + 8192]) @ self.outputs.T + self.m.bias.astype(np.float32)
-            high = logits.max(axis=1)
-            self.norm[new[a : a + 8192]] = high + np.log(np.exp(logits - high[:, None]).sum(axis=1))
-        out = np.empty(len(context))
-        for a in range(0, len(context), 1 << 18):
-            c, t = context[a : a + (1 << 18)], target[a : a + (1 << 18)]
-            out[a : a + len(c)] = np.einsum("ij,ij->i", self.contexts(c), self.outputs[t]) + self.m.bias[t] - self.norm[c]
-        return out / np.log(10)
 
+def numbered(docs: DataFrame, learned: Column, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, learned, ids, known, base, inner, rare, times) of every row.
 
-def score_texts(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, learned, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    ids: outcomes of all tokens; base: the sum of log10(c + 1) of words; inner: the words' log10 shares of their classes;
+    rare, times: the words whose counts aren't broadcast, which count as unknown in known, base and inner.
+    """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    training = docs.where(learned).select(F.col(text_col).alias("text"))
-    counts = stored(count_words(training))
-    model = prepare(counts)
-    for number in range(ROUNDS):
-        model = train_round(training, model, number)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, params={}))
 
     def run(batches):
         m = shared.value
-        scorer = Scorer(m)
         number = TaskContext.get().partitionId() << 40
-        for b in _batches(batches):
+        for b in byte_slices(batches, 0, SLICE):
             index, words, n = split_words(b.column(0))
-            cls, count = _classes(m, words)
-            context, target, owner = _sequences(cls[index], n)
-            rows = len(n)
-            score = np.bincount(owner, weights=scorer.score(context, target), minlength=rows)
-            doc = np.repeat(np.arange(rows), n)
-            c, k = count[index], cls[index]
-            loose = k > WORDS
-            base = np.bincount(doc, weights=np.log10(np.maximum(c, 0) + 1.0), minlength=rows)
-            # words that aren't broadcast count as unknown here; the join makes up for those that it finds
-            inside = np.where(c > 0, np.log10(np.maximum(c, 1) - m.discount), m.unknown[k]) - m.mass[k]
-            score += np.bincount(doc, weights=np.where(loose, inside, 0), minlength=rows)
-            known = np.bincount(doc, weights=c > 0, minlength=rows).astype(np.int64)
-            rare = np.flatnonzero(c < 0)
-            code, times = np.unique(doc[rare] * max(len(words), 1) + index[rare], return_counts=True)
+            rows, doc = len(n), np.repeat(np.arange(len(n)), n)
+            h, out, count = string_hashes(words), other_classes(words), np.full(len(words), -1, np.int64)
+            at = np.minimum(np.searchsorted(m.hot, h), max(len(m.hot) - 1, 0))
+            if len(m.hot):
+                found = m.hot[at] == h
+                out[found], count[found] = m.hot_out[at[found]], m.hot_count[at[found]]
+            inside = np.where(count > 0, np.log10(np.maximum(count, 1) - m.discount), m.unknown[out]) - m.mass[out]
+            inside = np.where(IS_CLASS[out], inside, 0.0)
+            lengths = np.concatenate(([0], np.cumsum(n + 1)))
+            ids = np.full(int(lengths[-1]), outcome(0), np.int32)
+            ids[np.arange(len(doc)) + doc] = out[index]  # an end after every text before
+            c = count[index]
+            sums = lambda w: np.bincount(doc, weights=w, minlength=rows)
+            cold = np.flatnonzero(c < 0)
+            code, times = np.unique(doc[cold] * max(len(words), 1) + index[cold], return_counts=True)
             of, word = code // max(len(words), 1), code % max(len(words), 1)
             lists = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=rows)))).astype(np.int32))
-            names = pa.array(words, pa.string()).take(pa.array(word)) if len(word) else pa.array([], pa.string())
+            names = words.take(pa.array(word)).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(number + np.arange(rows)), b.column(1), b.column(2), pa.array(n + 1), pa.array(known), pa.array(base.astype(np.float64)), pa.array(score.astype(np.float64)), pa.ListArray.from_arrays(lists, names), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int64)))],
-                ["row", "id", "learned", "n_tokens", "known", "base", "score", "rare", "times"],
+                [pa.array(number + np.arange(rows)), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), pa.array(ids)), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(np.log10(np.maximum(count, 0) + 1.0)[index])), pa.array(sums(inside[index])), pa.ListArray.from_arrays(lists, names), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int64)))],
+                ["row", "id", "learned", "ids", "known", "base", "inner", "rare", "times"],
             )
             number += rows
 
-    out = f"row bigint, id {kind}, learned boolean, n_tokens bigint, known bigint, base double, score double, rare array<string>, times array<bigint>"
-    scored = stored(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), learned.alias("learned")).mapInArrow(run, out))
-    loose = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("n"))
+    out = f"row bigint, id {kind}, learned boolean, ids array<int>, known bigint, base double, inner double, rare array<string>, times array<bigint>"
+    return docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), learned.alias("learned")).mapInArrow(run, out)
+
+
+def contexts(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(tokens, BEFORE): the tokens before each token of its text, the nearest first; OUTPUTS stands before the first."""
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(len(ids)) - np.repeat(starts, sizes)
+    out = np.full((len(ids), BEFORE), OUTPUTS, np.int32)
+    for j in range(BEFORE):
+        inside = np.flatnonzero(at > j)
+        out[inside, j] = ids[inside - 1 - j]
+    return out
+
+
+def _lists(batches, column: int):
+    """(batch, its ids, their sizes) in pieces of about TOKENS tokens, one text at least."""
+    for b in batches:
+        sizes = pc.fill_null(pc.list_value_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, a = np.cumsum(sizes), 0
+        while a < len(sizes):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOKENS, "right")))
+            part = b.slice(a, z - a)
+            yield part, part.column(column).flatten().to_numpy(zero_copy_only=False), sizes[a:z]
+            a = z
+
+
+def vectors(p: dict[str, np.ndarray], before: np.ndarray) -> np.ndarray:
+    return sum(p["inputs"][before[:, j]] * p["near"][j] for j in range(BEFORE))
+
+
+def contrast(v: np.ndarray, out: np.ndarray, bias: np.ndarray, share: np.ndarray, noise: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The gradient by the scores of every outcome: noise says how often each was drawn as noise for the whole batch."""
+    scores = v @ out.T + (bias - np.log(share * noise.sum()).astype(np.float32))
+    by_data = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+    own = np.arange(len(v)), target
+    grad = -by_data * noise.astype(np.float32)
+    grad[own] += 1 - by_data[own]
+    return grad
+
+
+def train_step(m: Model, before: np.ndarray, target: np.ndarray, rng: np.random.Generator, sums: dict[str, np.ndarray], rate: float) -> None:
+    """One noise-contrastive step at both levels, the noise shared by the batch; adaptive rates."""
+    p, (share, inner), n = m.params, m.shares(), len(target)
+    parts = [p["inputs"][before[:, j]] for j in range(BEFORE)]
+    v = sum(x * w for x, w in zip(parts, p["near"], strict=True))
+    group = target // EACH
+    by_head = contrast(v, p["heads"], p["head_bias"], share, rng.multinomial(NOISE, share), group)
+    dv = by_head @ p["heads"]
+    grads = {"heads": by_head.T @ v, "head_bias": by_head.sum(axis=0), "outputs": np.zeros_like(p["outputs"]), "bias": np.zeros_like(p["bias"])}
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    noise = rng.multinomial(NOISE, inner)
+    for g in range(GROUPS):
+        own = order[cuts[g] : cuts[g + 1]]
+        if len(own):
+            at = slice(g * EACH, (g + 1) * EACH)
+            by_out = contrast(v[own], p["outputs"][at], p["bias"][at], inner[g], noise[g], target[own] - g * EACH)
+            dv[own] += by_out @ p["outputs"][at]
+            grads["outputs"][at], grads["bias"][at] = by_out.T @ v[own], by_out.sum(axis=0)
+    grads["near"] = np.stack([(dv * x).sum(axis=0) for x in parts])
+    index, rows = before.T.ravel(), np.concatenate([dv * w for w in p["near"]])
+    grads["inputs"] = np.stack([np.bincount(index, rows[:, k], OUTPUTS + 1) for k in range(WIDTH)], axis=1)
+    for name, g in grads.items():
+        g = (g / n).astype(np.float32)
+        s = sums[name]
+        s += g * g
+        p[name] += rate * g / np.sqrt(s)
+
+
+def train_round(ids: DataFrame, model: Model, number: int) -> Model:
+    """A pass over all training texts (one column ids) and the average of the tasks' parameters, weighted by tokens."""
+    shared = ids.sparkSession.sparkContext.broadcast(replace(model, hot=None, hot_count=None, hot_out=None))
+    width = 2 * WIDTH + 1
+
+    def run(batches):
+        base = shared.value
+        m = replace(base, params={k: v.copy() for k, v in base.params.items()})
+        sums = {k: np.full_like(v, 1e-6) for k, v in m.params.items()}
+        rng, seen = np.random.default_rng((number, TaskContext.get().partitionId() if TaskContext.get() else 0)), 0
+        for _, flat, sizes in _lists(batches, 0):
+            before, order, a = contexts(flat, sizes), rng.permutation(len(flat)), 0
+            while a < len(order):
+                own = order[a : a + min(BATCH, 256 + seen // 16)]
+                train_step(m, before[own], flat[own], rng, sums, RATE / (1 + number))
+                a, seen = a + len(own), seen + len(own)
+        if not seen:
+            return
+        # rows: outcomes and the start, groups, places
+        p, table = m.params, np.zeros((OUTPUTS + 1 + GROUPS + BEFORE, width))
+        table[: OUTPUTS + 1, :WIDTH], table[:OUTPUTS, WIDTH:-1], table[:OUTPUTS, -1] = p["inputs"], p["outputs"], p["bias"]
+        table[OUTPUTS + 1 : -BEFORE, :WIDTH], table[OUTPUTS + 1 : -BEFORE, -1], table[-BEFORE:, :WIDTH] = p["heads"], p["head_bias"], p["near"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table)), pa.int32()), pa.array(np.full(len(table), float(seen))), *(pa.array(c * seen) for c in table.T)], ["row", "weight", *(f"v{j}" for j in range(width))])
+
+    cols = [f"v{j}" for j in range(width)]
+    parts = ids.mapInArrow(run, "row int, weight double, " + ", ".join(f"{c} double" for c in cols))
+    rows = parts.groupBy("row").agg(*[(F.sum(c) / F.sum("weight")).alias(c) for c in cols]).collect()  # OUTPUTS + GROUPS + 4 rows
+    if not rows:
+        return model
+    table = np.array([[r[c] for c in cols] for r in sorted(rows, key=lambda r: r["row"])], np.float32)
+    heads = table[OUTPUTS + 1 : -BEFORE]
+    return replace(model, params={"inputs": table[: OUTPUTS + 1, :WIDTH].copy(), "outputs": table[:OUTPUTS, WIDTH:-1].copy(), "bias": table[:OUTPUTS, -1].copy(), "heads": heads[:, :WIDTH].copy(), "head_bias": heads[:, -1].copy(), "near": table[-BEFORE:, :WIDTH].copy()})
+
+
+def log_probabilities(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the outcomes' probabilities, normalised at both levels."""
+
+    def chosen(v, out, bias, own):
+        scores = v @ out.T + bias
+        high = scores.max(axis=1)
+        picked = scores[np.arange(len(v)), own]
+        scores -= high[:, None]
+        return picked - high - np.log(np.exp(scores, out=scores).sum(axis=1))
+
+    v, group, out = vectors(p, before), target // EACH, np.empty(len(target))
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    v, own = v[order], target[order]
+    got = chosen(v, p["heads"], p["head_bias"], own // EACH).astype(np.float64)
+    cuts = np.searchsorted(own // EACH, np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        a, z, at = cuts[g], cuts[g + 1], slice(g * EACH, (g + 1) * EACH)
+        if z > a:
+            got[a:z] += chosen(v[a:z], p["outputs"][at], p["bias"][at], own[a:z] - g * EACH)
+    out[order] = got
+    return out
+
+
+def score_texts(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, learned, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    counts = stored(count_words(docs.where(learned).select(F.col(text_col).alias("text"))))
+    model = prepare(counts)
+    rows = stored(numbered(docs, learned, model, id_col, text_col))
+    for number in range(ROUNDS):
+        model = train_round(rows.where("learned").select("ids"), model, number)
+    shared = docs.sparkSession.sparkContext.broadcast(model.params)
+
+    def run(batches):
+        for b, flat, sizes in _lists(batches, 0):
+            scores = np.concatenate([log_probabilities(shared.value, x, flat[a : a + TOKENS]) for a in range(0, len(flat), TOKENS) for x in [_around(flat, sizes, a)]]) if len(flat) else flat
+            total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=scores, minlength=len(sizes)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:6], pa.array(sizes), pa.array(b.column(6).to_numpy(zero_copy_only=False) + total)], ["row", "id", "learned", "known", "base", "n_tokens", "score"])
+
+    scored = rows.select("ids", "row", "id", "learned", "known", "base", "inner").mapInArrow(run, f"row bigint, id {kind}, learned boolean, known bigint, base double, n_tokens bigint, score double")
     cold = counts.where((F.col("c") * HOT_SHARE < model.tokens) | (F.octet_length("token") > LONGEST)).select("token", "c", F.get(F.array(*[F.lit(float(u)) for u in model.unknown]), "class").alias("unknown"))
+    loose = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("n"))
     met = loose.join(cold, "token").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum(F.col("n") * (F.log10(F.col("c") - model.discount) - F.col("unknown"))).alias("known_more"), F.sum("n").alias("found"))
     end = float(np.log10(model.ends + 1.0))
     whole = float(np.log10(model.tokens + model.distinct + 1))
-    more = F.coalesce("more", F.lit(0.0))
     return scored.join(met, "row", "left").select(
         F.col("id").alias(id_col), "learned", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0)) + F.lit(1 if model.tokens else 0)).cast("long").alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + more + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (F.col("score") + F.coalesce("known_more", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (F.col("score") + F.coalesce("known_more", F.lit(0.0))).alias("score"),
     )
 
 
+def _around(flat: np.ndarray, sizes: np.ndarray, a: int) -> np.ndarray:
+    """``contexts`` of the TOKENS tokens from a on."""
+    if len(flat) <= TOKENS:
+        return contexts(flat, sizes)
+    lo, hi, ends = max(a - BEFORE, 0), min(a + TOKENS, len(flat)), np.cumsum(sizes)
+    inner = np.diff(np.concatenate(([lo], ends[(ends > lo) & (ends < hi)], [hi])))
+    return contexts(flat[lo:hi], inner)[a - lo :]
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))

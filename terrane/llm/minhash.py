@@ -24,9 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
-from terrane.llm.common import connected_components, fresh, small_or_none, stored, unsliced
+from terrane.llm.common import GOLDEN, M1, M2, byte_slices, connected_components, fresh, mix, small_or_none, stored, string_hashes, unsliced
 
 WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair misses all bands with probability (1 - 0.8^5)^32 = 3e-6.
@@ -40,19 +39,6 @@ BLOCK = 1024
 #: Coordinates of the signatures that are compared there, of 2 bits each: two sets of similarity s agree in a share
 #: s + (1 - s) / 4 of them.
 COMPARED = 1024
-#: Bytes up to which words are hashed many at once.
-LONG_WORD = 128
-_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64), element by element."""
-    x = x + _GOLDEN
-    for shift, factor in ((30, _M1), (27, _M2)):
-        x ^= x >> np.uint64(shift)
-        x *= factor
-    x ^= x >> np.uint64(31)
-    return x
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -66,23 +52,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' lower-case words between white space, and how many words a text has."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(unsliced(texts).cast(pa.large_string()), "")))
     n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    words = unsliced(lists.values)
-    _, offsets, data = words.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
-    data = (data.to_pybytes() if data else b"") + bytes(8)
-    start, size = offsets[:-1], np.diff(offsets)
+    words = lists.values
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
     if (size == 0).any():  # blanks at a text's ends split off empty words
         n = np.bincount(np.repeat(np.arange(len(n)), n)[size > 0], minlength=len(n))
-        start, size = start[size > 0], size[size > 0]
-    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # the eight bytes from each byte on
-    h = mix(size.astype(np.uint64))
-    for j in range(0, min(int(size.max(initial=0)), LONG_WORD), 8):
-        on = np.flatnonzero(size > j)
-        left = np.minimum(size[on] - j, 8).astype(np.uint64)
-        h[on] = mix(h[on] ^ (eight[start[on] + j] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))))
-    for i in np.flatnonzero(size > LONG_WORD).tolist():
-        h[i] = xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
-    return h, n
+        words = words.filter(pa.array(size > 0))
+    return string_hashes(words), n
 
 
 def text_keys(h: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -90,7 +65,7 @@ def text_keys(h: np.ndarray, n: np.ndarray) -> pa.Array:
     ends = np.cumsum(n)
     place = (np.arange(len(h)) - np.repeat(ends - n, n)).astype(np.uint64)
     parts = []
-    for seed in (_M1, _M2):
+    for seed in (M1, M2):
         terms = mix(h ^ mix(place + seed))
         total = np.zeros(len(terms) + 1, np.uint64)
         np.cumsum(terms, out=total[1:])
@@ -150,13 +125,13 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray
         while len(e):
             key = mix(mix(e ^ np.uint64(seed)) + np.uint64(layer))
             # the first throw: most elements of a long text stop at it, before any logarithm
-            dart = mix(key + _GOLDEN)
+            dart = mix(key + GOLDEN)
             live = np.flatnonzero(_uniform(dart) >= (np.exp(-limit * (high - low)) * (1 - 1e-12))[row])
             rank, dart, turn = np.zeros(len(live)), dart[None, live], 1
             while len(live):  # throws run down, elements across
                 ranks = np.concatenate((rank[None], -np.log(_uniform(dart)) / (high - low))).cumsum(axis=0)[1:]
                 inside = ranks <= limit[row[live]]
-                spot = mix(dart ^ _M1)
+                spot = mix(dart ^ M1)
                 hit = inside & (low + _uniform(spot) * (high - low) < w[live])
                 r, d = ranks[hit], dart[hit]
                 cell = np.broadcast_to(row[live] * k, hit.shape)[hit] + ((spot[hit] & np.uint64(0xFFFFFFFF)) % np.uint64(k)).astype(np.int64)
@@ -165,7 +140,7 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray
                 best[cell[early]] = d[early]
                 live, rank = live[inside[-1]], ranks[-1, inside[-1]]
                 turns = min(max((1 << 15) // max(len(live), 1), 1), 32)
-                dart = mix(key[live] + np.arange(turn + 1, turn + turns + 1, dtype=np.uint64)[:, None] * _GOLDEN)
+                dart = mix(key[live] + np.arange(turn + 1, turn + turns + 1, dtype=np.uint64)[:, None] * GOLDEN)
                 turn += turns
             on = w > high
             e, w, row = e[on], w[on], row[on]
@@ -203,16 +178,6 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _slices(texts: pa.Array, most: int = 1 << 22):
-    """(first, after last) of runs of texts of bounded bytes together."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    a = 0
-    while a < len(texts):
-        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield a, z
-        a = z
-
-
 def raw_key(text) -> F.Column:
     """Finds a row's text again, next to its id; not a proof that texts are the same."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -223,17 +188,16 @@ def signed(docs: DataFrame, id_col: str, text_col: str, counts: bool = False) ->
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            for a, z in _slices(b.column(2)):
-                h, n = word_hashes(b.column(2).slice(a, z - a))
-                s, each = shingle_hashes(h, n)
-                times = np.ones(len(s))
-                if counts:
-                    s, times, each = distinct_shingles(s, each)
-                bands = band_hashes(dart_signatures(s, times, each, BANDS * ROWS))
-                offsets = np.concatenate(([0], np.cumsum((each > 0) * BANDS))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[each > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), text_keys(h, n), lists], ["id", "raw", "key", "bands"])
+        for b in byte_slices(batches, 2):
+            h, n = word_hashes(b.column(2))
+            s, each = shingle_hashes(h, n)
+            times = np.ones(len(s))
+            if counts:
+                s, times, each = distinct_shingles(s, each)
+            bands = band_hashes(dart_signatures(s, times, each, BANDS * ROWS))
+            offsets = np.concatenate(([0], np.cumsum((each > 0) * BANDS))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[each > 0].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text_keys(h, n), lists], ["id", "raw", "key", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), raw_key(F.col(text_col)).alias("raw"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, raw bigint, key string, bands array<bigint>")
@@ -243,13 +207,12 @@ def shingled(texts: DataFrame, counts: bool = False) -> DataFrame:
     """(key, s array<long>, n array<int>): each text's distinct shingles and, with counts, how often they occur."""
 
     def run(batches):
-        for b in batches:
-            for a, z in _slices(b.column(0)):
-                h, words = word_hashes(b.column(0).slice(a, z - a))
-                s, n, each = distinct_shingles(*shingle_hashes(h, words))
-                offsets = pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32))
-                times = pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))) if counts else pa.array([[]] * (z - a), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([text_keys(h, words), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64))), times], ["key", "s", "n"])
+        for b in byte_slices(batches):
+            h, words = word_hashes(b.column(0))
+            s, n, each = distinct_shingles(*shingle_hashes(h, words))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32))
+            times = pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))) if counts else pa.array([[]] * len(words), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([text_keys(h, words), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64))), times], ["key", "s", "n"])
 
     return texts.select("text").mapInArrow(run, "key string, s array<bigint>, n array<int>")
 

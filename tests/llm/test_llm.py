@@ -4,12 +4,11 @@ import hashlib
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from oracle import check
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, caps, chat, langid, lm, media, minhash, mixing, pii, queries
+from terrane.llm import bpe, caps, chat, langid, media, minhash, mixing, pii, queries
 
 SF = "/root/testdata/sf0.001"
 HARD = ["", " ", "a", "A@b.c_d@e.f 300.1.1.1 1.2.3.4", "4111 1111 1111 1111", "+1 (512) 555-4564", "\x01\\<s>[INST]", "é" * 300, "x " * 5000, "Ünï \U0001f600", "<|endoftext|>I'm"]
@@ -65,14 +64,6 @@ def test_bpe_equals_library(spark):
         assert " ".join(map(str, e.ids)).encode() == a and library.decode(e.ids, skip_special_tokens=False).encode() == b
 
 
-def test_lm_classes_add_up_and_rows(docs):
-    rows = lm.lm_scores(docs).collect()
-    assert len(rows) == len(HARD) + 2 and all(r["score"] <= 1e-9 and r["n_tokens"] >= 1 for r in rows)
-    m = lm.Model({}, 10, 3, 1, np.full(lm.CLASSES, 1 / lm.CLASSES), 0.5, np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)).start()
-    total = sum(10 ** lm.Scorer(m).score(np.array([5]), np.array([c]))[0] for c in range(lm.CLASSES))
-    assert abs(total - 1) < 1e-4
-
-
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 16))
@@ -153,10 +144,6 @@ def test_personal_data_against_brute_force(docs):
     assert all(not base_spans(r["text"]) for r in pii.redact(docs).collect())
 
 
-def test_array_slices_are_copied():
-    assert [w for w in lm.split_words(pa.array(["Ab é", "É b c", None]).slice(1))[1] if w] == ["É", "b", "c"]
-
-
 def test_packed_signatures_agree_as_their_low_bits_do():
     rng = np.random.default_rng(3)
     full = rng.integers(0, 1 << 63, (20, 64), dtype=np.uint64)
