@@ -1,34 +1,130 @@
-"""Forward values of training losses as aggregations."""
+"""Forward values of training losses over batches of pairs, as aggregations; spanning trees inside a batch's task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.vectors import as_doubles, distance, dot, unit
 
 
-def batch_pairs(vectors: DataFrame, size: int = 32) -> DataFrame:
-    """(batch, a, p, same, c, d): all pairs of a vector and another's follower inside batches of ``size``; rows grow with
-    the vectors times ``size``."""
-    rows = vectors.select(F.floor(F.col("vec_id") / size).alias("batch"), F.col("vec_id"), unit(as_doubles(F.col("embedding"))).alias("e"))
-    a, p = rows.select("batch", F.col("vec_id").alias("a"), F.col("e").alias("ea")), rows.select("batch", F.col("vec_id").alias("p"), F.col("e").alias("ep"))
-    return a.join(p, "batch").select("batch", "a", "p", dot(F.col("ea"), F.col("ep")).alias("c"), distance(F.col("ea"), F.col("ep")).alias("d"))
+def batched(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(batch, i, ea, ep) of pairs (batch, i, anchor_id, positive_id), with unit vectors of (vec_id, embedding)."""
+    side = lambda key, out: vectors.select(F.col("vec_id").alias(key), unit(as_doubles(F.col("embedding"))).alias(out))
+    return pairs.join(side("anchor_id", "ea"), "anchor_id").join(side("positive_id", "ep"), "positive_id").select("batch", "i", "ea", "ep")
 
 
-def cosine_stats(pairs: DataFrame) -> DataFrame:
-    """(batch, pos_cos, neg_cos): mean cosine of a pair of one, and of two."""
-    return pairs.groupBy("batch").agg(F.avg(F.when(F.col("a") == F.col("p"), F.col("c"))).alias("pos_cos"), F.avg(F.when(F.col("a") != F.col("p"), F.col("c"))).alias("neg_cos"))
+def in_batch(rows: DataFrame) -> DataFrame:
+    """(batch, a, p, c): cosines of every anchor with every positive of its batch; rows grow with pairs times the batch."""
+    return rows.select("batch", F.col("i").alias("a"), "ea").join(rows.select("batch", F.col("i").alias("p"), "ep"), "batch").select("batch", "a", "p", dot(F.col("ea"), F.col("ep")).alias("c"))
 
 
-def contrastive(pairs: DataFrame, tau: float = 0.05) -> DataFrame:
-    """(batch, loss): mean negative log share of a vector's own follower among those of its batch."""
-    each = pairs.groupBy("batch", "a").agg(F.log(F.sum(F.exp(F.col("c") / tau - 1 / tau))).alias("z"), F.max(F.when(F.col("a") == F.col("p"), F.col("c") / tau - 1 / tau)).alias("own"))
+def cosine_stats(cosines: DataFrame) -> DataFrame:
+    """(batch, pos_cos, neg_cos): mean cosine of an anchor with its own positive, and with others' (NULL for one pair)."""
+    return cosines.groupBy("batch").agg(F.avg(F.when(F.col("a") == F.col("p"), F.col("c"))).alias("pos_cos"), F.avg(F.when(F.col("a") != F.col("p"), F.col("c"))).alias("neg_cos"))
+
+
+def contrastive(cosines: DataFrame, tau: float = 0.05) -> DataFrame:
+    """(batch, loss): mean negative log share of an anchor's own positive among those of its batch."""
+    each = cosines.groupBy("batch", "a").agg(F.log(F.sum(F.exp(F.col("c") / tau - 1 / tau))).alias("z"), F.max(F.when(F.col("a") == F.col("p"), F.col("c") / tau - 1 / tau)).alias("own"))
     return each.groupBy("batch").agg(F.avg(F.col("z") - F.col("own")).alias("loss"))
 
 
-def distance_preservation(pairs: DataFrame) -> DataFrame:
-    """(batch, loss): mean squared difference of cosine and Euclidean distances, the latter scaled to the same mean."""
-    up = pairs.where("a < p").withColumn("x", 1 - F.col("c"))
-    scale = up.groupBy("batch").agg(F.when(F.avg("d") > 0, F.avg("x") / F.avg("d")).otherwise(1.0).alias("s"))
-    return up.join(scale, "batch").groupBy("batch").agg(F.avg(F.pow(F.col("x") - F.col("s") * F.col("d"), 2)).alias("loss"))
+def triplet(rows: DataFrame, margin: float = 5.0) -> DataFrame:
+    """(batch, loss) of (batch, ea, ep, en): mean excess of the anchor's distance to its positive over that to its negative, with a margin."""
+    return rows.groupBy("batch").agg(F.avg(F.greatest(distance(F.col("ea"), F.col("ep")) - distance(F.col("ea"), F.col("en")) + margin, F.lit(0.0))).alias("loss"))
+
+
+def cosent(rows: DataFrame, scale: float = 20.0) -> DataFrame:
+    """(batch, loss) of (batch, ea, ep, en): log(1 + sum of exp(scale (negative's cosine - positive's cosine))) over all
+    positives and negatives of the batch; the sum over both is a product of two sums."""
+    high = rows.groupBy("batch").agg(F.log(F.sum(F.exp(scale * (dot(F.col("ea"), F.col("en")) - 1)))).alias("n"), F.log(F.sum(F.exp(-scale * (dot(F.col("ea"), F.col("ep")) + 1)))).alias("p"))
+    x = F.col("n") + F.col("p") + 2 * scale  # log of the sum of all exps
+    return high.select("batch", (F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))).alias("loss"))
+
+
+def scaled(mode: str | float, live: Column, reference: Column) -> Column:
+    """What reference distances are multiplied by, as an aggregate: "match_mean", "none" or a number."""
+    if isinstance(mode, (int, float)) and not isinstance(mode, bool):
+        return F.lit(float(mode))
+    if mode == "none":
+        return F.lit(1.0)
+    if mode == "match_mean":
+        return F.when(F.avg(reference) > 0, F.avg(live) / F.avg(reference)).otherwise(1.0)
+    raise ValueError(f"unknown reference scale {mode!r}")
+
+
+def distances(rows: DataFrame, size: int = 32) -> DataFrame:
+    """(batch, a, b, x, d): cosine distances (0 at least) and feature distances of all points a < b of a batch, from
+    (batch, i, e, z), e being unit vectors and z standardized features."""
+    a = rows.select("batch", F.col("i").alias("a"), F.col("e").alias("ea"), F.col("z").alias("za"))
+    b = rows.select("batch", F.col("i").alias("b"), F.col("e").alias("eb"), F.col("z").alias("zb"))
+    return a.join(b, "batch").where("a < b").select("batch", "a", "b", F.greatest(1 - dot(F.col("ea"), F.col("eb")), F.lit(0.0)).alias("x"), distance(F.col("za"), F.col("zb")).alias("d"))
+
+
+def distance_preservation(pairs: DataFrame, mode: str | float = "match_mean") -> DataFrame:
+    """(batch, loss): mean squared difference of both distances, the features' brought to scale."""
+    scale = pairs.groupBy("batch").agg(scaled(mode, F.col("x"), F.col("d")).alias("s"))
+    return pairs.join(scale, "batch").groupBy("batch").agg(F.avg(F.pow(F.col("x") - F.col("s") * F.col("d"), 2)).alias("loss"))
+
+
+def spanning_tree(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (i, j) of the least spanning tree of a distance matrix and their lengths, by Prim."""
+    n = len(d)
+    inside, best, near = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
+    at, edges = 0, []
+    for _ in range(n - 1):
+        inside[at] = True
+        closer = (d[at] < best) & ~inside
+        best[closer], near[closer] = d[at][closer], at
+        at = int(np.where(inside, np.inf, best).argmin())
+        edges.append((near[at], at))
+    i, j = np.array(edges, int).reshape(-1, 2).T
+    return i, j, d[i, j]
+
+
+def tree_losses(pairs: DataFrame, mode: str | float = "match_mean", top_k: int | None = 32) -> DataFrame:
+    """(batch, persistence, topoae): of every batch's ``distances``, in a task of its own (batches are of bounded size).
+
+    persistence: mean squared difference of both spaces' sorted tree edges, the ``top_k`` longest.  topoae: mean squared
+    differences of both distances at the one tree's edges plus those at the other's.  A batch of one point has no pairs.
+    """
+    scale = pairs.groupBy("batch").agg(scaled(mode, F.col("x"), F.col("d")).alias("s"))
+    rows = pairs.join(scale, "batch").select("batch", "a", "b", "x", (F.col("d") * F.col("s")).alias("d"))
+
+    def task(key, t):
+        names, place = np.unique(np.concatenate((t["a"].to_numpy(), t["b"].to_numpy())), return_inverse=True)
+        half, n = len(place) // 2, len(names)
+        live, ref = np.zeros((n, n)), np.zeros((n, n))
+        for m, c in ((live, "x"), (ref, "d")):
+            m[place[:half], place[half:]] = t[c].to_numpy()
+            m += m.T
+        (il, jl, dl), (ir, jr, dr) = spanning_tree(live), spanning_tree(ref)
+        top = slice(None, top_k)
+        persistence = float(np.mean((np.sort(dl)[::-1][top] - np.sort(dr)[::-1][top]) ** 2))
+        topoae = float(np.mean((live[ir, jr] - dr) ** 2) + np.mean((dl - ref[il, jl]) ** 2))
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([persistence]), pa.array([topoae])], ["batch", "persistence", "topoae"])
+
+    return rows.groupBy("batch").applyInArrow(task, "batch bigint, persistence double, topoae double")
+
+
+def named(name: str):
+    """A loss by its name."""
+    found = {"mnrl": contrastive, "triplet": triplet, "cosent": cosent, "dist_preserve": distance_preservation, "persist0_h0": tree_losses, "topoae_h0": tree_losses}
+    if name not in found:
+        raise ValueError(f"unknown loss {name!r}")
+    return found[name]
+
+
+def linear_head(rows: DataFrame, targets: tuple[str, ...]) -> DataFrame:
+    """(target, mse): a linear map from the vector ``features`` to each standardized target, fitted by least squares."""
+    from pyspark.ml.regression import LinearRegression
+
+    out = None
+    for t in targets:
+        model = LinearRegression(labelCol=t, regParam=1e-6, solver="normal").fit(rows)
+        one = model.transform(rows).agg(F.lit(t).alias("target"), F.avg(F.pow(F.col("prediction") - F.col(t), 2)).alias("mse"))
+        out = one if out is None else out.union(one)
+    return out

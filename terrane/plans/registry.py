@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.functions import losses, text
+from terrane.functions import text
 from terrane.functions.vectors import hash_rank
-from terrane.operators import agreement, classify, corpus, cover, geometry, graph, pairs, results
+from terrane.operators import agreement, corpus, cover, geometry, graph, pairs, results
 from terrane.plans.base import DIGITS, QUERIES, SQL, query, rounded
 from terrane.sources.tables import stored, table
 
@@ -273,10 +273,13 @@ def components(spark, d):
     return graph.components(n, cover.nerve(n))
 
 
-@query(f"""WITH RECURSIVE {COMPS}, s AS (SELECT seed, node, count(*) AS n FROM nodes GROUP BY ALL), g AS (SELECT seed, count(*) AS n_nodes, avg(n) AS mean_size, quantile_cont(n, 0.5) AS median_size FROM s GROUP BY seed),
-k AS (SELECT seed, count(*) AS n_components, max(n) AS largest FROM (SELECT seed, component, count(*) AS n FROM comps GROUP BY ALL) GROUP BY seed), w AS (SELECT seed, count(*) AS n_edges FROM edges GROUP BY seed), cov AS (SELECT seed, count(DISTINCT vec_id) / (SELECT count(*) FROM embeddings) AS coverage FROM nodes GROUP BY seed)
-SELECT seed::INTEGER AS seed, n_nodes, coalesce(n_edges, 0) AS n_edges, n_components, round(coverage, 6) AS coverage, round(mean_size, 6) AS mean_size, median_size::DOUBLE AS median_size, round(largest / n_nodes, 6) AS largest_share,
- greatest(coalesce(n_edges, 0) - n_nodes + n_components, 0) AS b1, round(2 * coalesce(n_edges, 0) / n_nodes, 6) AS avg_degree, round(CASE WHEN n_nodes > 1 THEN 2 * coalesce(n_edges, 0) / (n_nodes * (n_nodes - 1)) ELSE 0 END, 6) AS density FROM g JOIN k USING (seed) JOIN cov USING (seed) LEFT JOIN w USING (seed)""")
+STATISTICS = f"""{COMPS}, s AS (SELECT seed, node, count(*) AS n FROM nodes GROUP BY ALL), g AS (SELECT seed, count(*) AS n_nodes, avg(n) AS mean_size, quantile_cont(n, 0.5) AS median_size FROM s GROUP BY seed),
+k AS (SELECT seed, count(*) AS n_components, max(n) AS largest FROM (SELECT seed, component, count(*) AS n FROM comps GROUP BY ALL) GROUP BY seed), w AS (SELECT seed, count(*) AS n_edges FROM edges GROUP BY seed), cov AS (SELECT seed, count(DISTINCT vec_id) / (SELECT count(*) FROM embeddings) AS coverage FROM nodes GROUP BY seed),
+statistics AS (SELECT seed::INTEGER AS seed, n_nodes, coalesce(n_edges, 0) AS n_edges, n_components, coverage, mean_size, median_size::DOUBLE AS median_size, largest / n_nodes AS largest_share,
+ greatest(coalesce(n_edges, 0) - n_nodes + n_components, 0) AS b1, 2 * coalesce(n_edges, 0) / n_nodes AS avg_degree, CASE WHEN n_nodes > 1 THEN 2 * coalesce(n_edges, 0) / (n_nodes * (n_nodes - 1)) ELSE 0 END AS density FROM g JOIN k USING (seed) JOIN cov USING (seed) LEFT JOIN w USING (seed))"""
+
+
+@query(f"WITH RECURSIVE {STATISTICS} SELECT seed, n_nodes, n_edges, n_components, round(coverage, 6) AS coverage, round(mean_size, 6) AS mean_size, median_size, round(largest_share, 6) AS largest_share, b1, round(avg_degree, 6) AS avg_degree, round(density, 6) AS density FROM statistics")
 def graph_stats(spark, d):
     n = stored(nodes(spark, d))
     out = graph.statistics(n, stored(cover.nerve(n)), table(spark, d, "embeddings").count())
@@ -319,7 +322,9 @@ def feature_rank_correlation(spark, d):
     return rounded(agreement.spearman(features(spark, d), ["subset"], "lexicon_count", "avg_sentence_length"), "rho")
 
 
-RUNS = """runs AS (SELECT 'm' || (user_id % 7) AS model, event_type AS pair_set, 0.01::DOUBLE * (1 + event_id % 4) AS tau, (event_id % 3)::INTEGER AS seed, (event_id % 5) / 4.0::DOUBLE AS ckpt_frac, event_id, value AS gap, value / 2 - event_id % 11 AS rho, (event_id % 100) / 100.0::DOUBLE AS coverage, (event_id % 40)::DOUBLE AS nodes FROM events)"""
+RUNS = """runs AS (SELECT 'm' || (user_id % 7) AS model, event_type AS pair_set, 0.01::DOUBLE * (1 + event_id % 4) AS tau, (event_id % 3)::INTEGER AS seed, (event_id % 5) / 4.0::DOUBLE AS ckpt_frac, event_id, value AS gap, value / 2 - event_id % 11 AS rho, (event_id % 100) / 100.0::DOUBLE AS coverage, (event_id % 40)::DOUBLE AS nodes,
+ 'exp' || (1 + event_id % 4) AS exp, CASE WHEN event_id % 3 = 0 THEN 'triplet' ELSE 'mnrl' END AS loss, CASE event_id % 7 WHEN 0 THEN 'dist_preserve' WHEN 1 THEN NULL ELSE '' END AS aux, CASE WHEN event_id % 7 = 0 THEN 0.1::DOUBLE * (1 + event_id % 2) END AS lam, CASE WHEN event_id % 7 < 4 THEN 'S' ELSE 'M' END AS corpus,
+ '0.0' || (1 + event_id % 4) || CASE WHEN event_id % 3 = 0 THEN '0' ELSE '' END AS tau_text, (468 + CASE WHEN user_id % 7 = 3 THEN event_id % 2 ELSE 0 END)::DOUBLE AS total_steps, value / 3 AS router FROM events)"""
 _DIS = "(coverage IS NULL OR nodes IS NULL OR coverage < 0.05 OR nodes < 5)"
 
 
@@ -332,9 +337,14 @@ def disintegrated_flag(spark, d):
     return runs(spark, d).groupBy("model", results.disintegrated(F.col("coverage"), F.col("nodes")).alias("disintegrated")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {RUNS} SELECT model, pair_set, round(tau, 6) AS tau, seed, min(event_id) AS pos, max(event_id) AS event_id, round(arg_max(gap, event_id), 6) AS gap FROM runs GROUP BY model, pair_set, tau, seed")
+_IDENTITY = "exp, model, loss, round(TRY_CAST(tau_text AS DOUBLE), 10), pair_set, coalesce(aux, ''), coalesce(lam, -1), ckpt_frac, seed, corpus"
+
+
+@query(f"WITH {RUNS} SELECT arg_max(exp, event_id) AS exp, arg_max(model, event_id) AS model, arg_max(tau_text, event_id) AS tau, min(event_id) AS pos, max(event_id) AS event_id, round(arg_max(gap, event_id), 6) AS gap FROM runs GROUP BY {_IDENTITY}")
 def upsert_results(spark, d):
-    return rounded(results.upsert(runs(spark, d)).select(*results.KEY, "pos", "event_id", "gap"), "tau", "gap")
+    """Result rows by their ten identifying columns, temperatures being texts of unequal form and nothing being NULL or empty."""
+    rows = runs(spark, d).drop("tau").withColumnRenamed("tau_text", "tau")
+    return rounded(results.upsert(rows).select("exp", "model", "tau", "pos", "event_id", "gap"), "gap")
 
 
 _GRID = "g AS (SELECT model, pair_set, round(tau, 2) AS tau, seed FROM (SELECT unnest(['m0', 'm1', 'm9']) AS model), (SELECT unnest(['view', 'click', 'none']) AS pair_set), (SELECT unnest([0.01, 0.02, 0.05]::DOUBLE[]) AS tau), (SELECT unnest([0, 1, 2]) AS seed))"
@@ -391,34 +401,6 @@ def checkpoint_steps(spark, d):
     return results.checkpoint_steps(rows, "ckpt_frac", "total").select("event_id", "step")
 
 
-BATCH = "n AS (SELECT vec_id, vec_id // 32 AS batch, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings), p AS (SELECT x.batch, x.vec_id AS a, y.vec_id AS p, list_dot_product(x.e, y.e) AS c, list_distance(x.e, y.e) AS d FROM n x JOIN n y USING (batch))"
-
-
-@query(f"WITH {BATCH} SELECT batch, round(avg(c) FILTER (a = p), 6) AS pos_cos, round(avg(c) FILTER (a <> p), 6) AS neg_cos FROM p GROUP BY batch")
-def batch_cosine_stats(spark, d):
-    return rounded(losses.cosine_stats(losses.batch_pairs(table(spark, d, "embeddings"))), "pos_cos", "neg_cos")
-
-
-@query(f"WITH {BATCH}, z AS (SELECT batch, a, ln(sum(exp(c / 0.05 - 20))) AS z, max(c / 0.05 - 20) FILTER (a = p) AS own FROM p GROUP BY ALL) SELECT batch, round(avg(z - own), 6) AS loss FROM z GROUP BY batch")
-def contrastive_loss(spark, d):
-    return rounded(losses.contrastive(losses.batch_pairs(table(spark, d, "embeddings"))), "loss")
-
-
-@query(f"WITH {BATCH}, s AS (SELECT batch, CASE WHEN avg(d) > 0 THEN avg(1 - c) / avg(d) ELSE 1 END AS s FROM p WHERE a < p GROUP BY batch) SELECT batch, round(avg(pow(1 - c - s * d, 2)), 6) AS loss FROM p JOIN s USING (batch) WHERE a < p GROUP BY batch")
-def distance_preservation_loss(spark, d):
-    return rounded(losses.distance_preservation(losses.batch_pairs(table(spark, d, "embeddings"))), "loss")
-
-
-@query()
-def lr_holdout(spark, d):
-    return rounded(classify.accuracy(table(spark, d, "embeddings")), "accuracy")
-
-
-@query()
-def lr_cv(spark, d):
-    return rounded(classify.accuracy(table(spark, d, "embeddings"), folds=3, only=None), "accuracy")
-
-
 @query("""WITH c AS (SELECT doc_id AS id, string_split('  ' || lower(text) || '  ', '') AS c FROM documents WHERE text IS NOT NULL),
 t AS (SELECT id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM c), n AS (SELECT id, g, count(*) AS n FROM t GROUP BY ALL),
 h AS (SELECT id, n, ('0x' || substr(md5('3:' || g), 1, 4))::BIGINT % 16 AS dim, md5('4:' || g)[1] < '8' AS up FROM n) SELECT id, dim, sum(CASE WHEN up THEN n ELSE -n END)::BIGINT AS x FROM h GROUP BY ALL""")

@@ -1,7 +1,9 @@
-"""Scans and sinks: tables, question trees, JSON lines, result files, hashes of files, manifests."""
+"""Scans and sinks: tables, question trees, JSON lines, result files, settings, hashes of files, manifests."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 
@@ -34,15 +36,92 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that are there, by whatever file system they name, in order."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return [p for p in sorted(paths) if (at := path(p)).getFileSystem(conf).exists(at)]
+
+
+def corpus_source(spark: SparkSession, prepared: str | None, cached: str, root: str, dataset: str, schema: str, depth: int = 2) -> DataFrame:
+    """A prepared file of JSON lines if it is there, else the cached one, else the tree, which is then cached."""
+    for p in (prepared, cached):
+        if p and existing(spark, [p]):
+            return json_lines(spark, p, schema)
+    write_json_lines(question_tree(spark, root, dataset, depth), cached)
+    return json_lines(spark, cached, schema)
+
+
 def result_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every file's rows as texts, one below the other; columns that a file lacks are empty."""
-    frames = [spark.read.option("header", True).option("inferSchema", False).csv(p) for p in sorted(paths)]
+    """Every file's rows as texts, one below the other; columns that a file lacks are empty, missing files are left out.
+
+    No file that is there is an error.
+    """
+    found = existing(spark, paths)
+    if not found:
+        raise FileNotFoundError("none of the result files is there")
+    frames = [spark.read.option("header", True).option("inferSchema", False).csv(p) for p in found]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out.na.fill("")
 
 
+def append_rows(df: DataFrame, path: str) -> None:
+    """Rows of a log, added below those that are there."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def published(spark: SparkSession, path: str, key: str, numbers: tuple[str, ...]) -> DataFrame:
+    """A CSV's key and number columns; texts that aren't numbers are NULL."""
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return raw.select(key, *[F.col(c).try_cast("double").alias(c) for c in numbers])
+
+
+def metric_files(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """(model, corpus, <schema>): documents <root>/<model>/<corpus>.metrics.json, the keys from their paths."""
+    raw = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/*.metrics.json")
+    part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)\.metrics\.json$", i)
+    return raw.select(part(1).alias("model"), part(2).alias("corpus"), *raw.columns)
+
+
+def cached_metrics(spark: SparkSession, root: str, schema: str, key: str) -> DataFrame:
+    """The documents whose cache_key is the one asked for; those that can't be read, or lack it, count as misses."""
+    return metric_files(spark, root, schema).where(F.col("cache_key") == key)
+
+
+def keys_of_all(found: DataFrame) -> DataFrame:
+    """(key) of (corpus, key): the keys that every corpus has."""
+    n = found.agg(F.countDistinct("corpus").alias("n"))
+    return found.groupBy("key").agg(F.countDistinct("corpus").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("key")
+
+
+def merged(base: dict, over: dict) -> dict:
+    """Settings of ``over`` on top of ``base``; maps merge, all else is replaced."""
+    out = dict(base)
+    for k, v in over.items():
+        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def settings(spark: SparkSession, path: str) -> dict:
+    """A JSON file of settings, on top of the one that its "base" names, from the same folder."""
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one file
+    own = json.loads(text)
+    base = own.pop("base", None)
+    return merged(settings(spark, f"{path.rsplit('/', 1)[0]}/{base}"), own) if base else own
+
+
+def fingerprint(options: dict, without: tuple[str, ...] = ("n_workers", "batch_size", "device")) -> str:
+    """A digest of settings that decide a result, leaving out those that only decide its speed."""
+    return hashlib.sha256(json.dumps({k: v for k, v in options.items() if k not in without}, sort_keys=True).encode()).hexdigest()
+
+
+def write_manifest(spark: SparkSession, path: str, **facts) -> None:
+    """Facts about how something was made, with Spark's version and the time in UTC, as one JSON document."""
+    row = spark.range(1).select(*[F.lit(json.dumps(v) if isinstance(v, (dict, list)) else v).alias(k) for k, v in facts.items()], F.lit(spark.version).alias("spark"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
