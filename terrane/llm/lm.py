@@ -43,7 +43,7 @@ WIDTH, BEFORE = 16, 3
 #: At most this many words are broadcast, none longer than LONGEST bytes.
 HOT_SHARE, LONGEST = 1_000_000, 64
 #: Rounds of training, the largest batch, noise samples of a batch at either level, and the adaptive rate of the first round.
-ROUNDS, BATCH, NOISE, RATE = 2, 16384, 32, 0.1
+ROUNDS, BATCH, NOISE, RATE = 1, 16384, 32, 0.1
 #: Bytes of texts, and tokens, that are worked on at once.
 SLICE, TOKENS = 1 << 22, 1 << 18
 #: The end as a token: no word contains a blank.
@@ -237,38 +237,54 @@ def vectors(p: dict[str, np.ndarray], before: np.ndarray) -> np.ndarray:
 
 def contrast(v: np.ndarray, out: np.ndarray, bias: np.ndarray, share: np.ndarray, noise: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The gradient by the scores of every outcome: noise says how often each was drawn as noise for the whole batch."""
-    scores = v @ out.T + (bias - np.log(share * noise.sum()).astype(np.float32))
-    by_data = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+    x = v @ out.T
+    x += bias - np.log(share * noise.sum()).astype(np.float32)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)  # the chance that an outcome comes from the data
     own = np.arange(len(v)), target
-    grad = -by_data * noise.astype(np.float32)
-    grad[own] += 1 - by_data[own]
-    return grad
+    up = 1 - x[own]
+    x *= -noise.astype(np.float32)
+    x[own] += up
+    return x
+
+
+def _summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by index, as an array of n rows."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    starts = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[index[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
 
 
 def train_step(m: Model, before: np.ndarray, target: np.ndarray, rng: np.random.Generator, sums: dict[str, np.ndarray], rate: float) -> None:
     """One noise-contrastive step at both levels, the noise shared by the batch; adaptive rates."""
     p, (share, inner), n = m.params, m.shares(), len(target)
-    parts = [p["inputs"][before[:, j]] for j in range(BEFORE)]
-    v = sum(x * w for x, w in zip(parts, p["near"], strict=True))
+    order = np.argsort((target // EACH).astype(np.int16), kind="stable")  # a group's tokens side by side
+    before, target = before[order], target[order]
     group = target // EACH
-    by_head = contrast(v, p["heads"], p["head_bias"], share, rng.multinomial(NOISE, share), group)
-    dv = by_head @ p["heads"]
-    grads = {"heads": by_head.T @ v, "head_bias": by_head.sum(axis=0), "outputs": np.zeros_like(p["outputs"]), "bias": np.zeros_like(p["bias"])}
-    order = np.argsort(group.astype(np.int16), kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    noise = rng.multinomial(NOISE, inner)
-    for g in range(GROUPS):
-        own = order[cuts[g] : cuts[g + 1]]
-        if len(own):
-            at = slice(g * EACH, (g + 1) * EACH)
-            by_out = contrast(v[own], p["outputs"][at], p["bias"][at], inner[g], noise[g], target[own] - g * EACH)
-            dv[own] += by_out @ p["outputs"][at]
-            grads["outputs"][at], grads["bias"][at] = by_out.T @ v[own], by_out.sum(axis=0)
-    grads["near"] = np.stack([(dv * x).sum(axis=0) for x in parts])
-    index, rows = before.T.ravel(), np.concatenate([dv * w for w in p["near"]])
-    grads["inputs"] = np.stack([np.bincount(index, rows[:, k], OUTPUTS + 1) for k in range(WIDTH)], axis=1)
+    parts = [p["inputs"][before[:, j]] for j in range(BEFORE)]
+    v = parts[0] * p["near"][0]
+    for x, w in zip(parts[1:], p["near"][1:], strict=True):
+        v += x * w
+    with np.errstate(over="ignore"):
+        by_head = contrast(v, p["heads"], p["head_bias"], share, rng.multinomial(NOISE, share), group)
+        dv = by_head @ p["heads"]
+        grads = {"heads": by_head.T @ v, "head_bias": by_head.sum(axis=0), "outputs": np.zeros_like(p["outputs"]), "bias": np.zeros_like(p["bias"])}
+        cuts, noise = np.searchsorted(group, np.arange(GROUPS + 1)), rng.multinomial(NOISE, inner)
+        for g in range(GROUPS):
+            a, z, at = cuts[g], cuts[g + 1], slice(g * EACH, (g + 1) * EACH)
+            if z > a:
+                by_out = contrast(v[a:z], p["outputs"][at], p["bias"][at], inner[g], noise[g], target[a:z] - g * EACH)
+                dv[a:z] += by_out @ p["outputs"][at]
+                grads["outputs"][at], grads["bias"][at] = by_out.T @ v[a:z], by_out.sum(axis=0)
+    grads["near"] = np.stack([np.einsum("ij,ij->j", dv, x) for x in parts])
+    grads["inputs"] = _summed(before.T.astype(np.int16).ravel(), np.concatenate([dv * w for w in p["near"]]), OUTPUTS + 1)
     for name, g in grads.items():
-        g = (g / n).astype(np.float32)
+        g /= n
         s = sums[name]
         s += g * g
         p[name] += rate * g / np.sqrt(s)
@@ -312,21 +328,26 @@ def log_probabilities(p: dict[str, np.ndarray], before: np.ndarray, target: np.n
     """Natural logarithms of the outcomes' probabilities, normalised at both levels."""
 
     def chosen(v, out, bias, own):
-        scores = v @ out.T + bias
-        high = scores.max(axis=1)
-        picked = scores[np.arange(len(v)), own]
-        scores -= high[:, None]
-        return picked - high - np.log(np.exp(scores, out=scores).sum(axis=1))
-
-    v, group, out = vectors(p, before), target // EACH, np.empty(len(target))
-    order = np.argsort(group.astype(np.int16), kind="stable")
-    v, own = v[order], target[order]
-    got = chosen(v, p["heads"], p["head_bias"], own // EACH).astype(np.float64)
-    cuts = np.searchsorted(own // EACH, np.arange(GROUPS + 1))
+        x = v @ out.T
+        x += bias
+        picked = x[np.arange(len(v)), own]
+        high = x.max(axis=1)
+        x -= high[:, None]
+        np.exp(x, out=x)
+        return picked - high - np.log(x.sum(axis=1))
+
+    order = np.argsort((target // EACH).astype(np.int16), kind="stable")
+    own, v = target[order], vectors(p, before[order])
+    got, group = np.empty(len(target)), own // EACH
+    for a in range(0, len(own), BATCH):  # batches that fit into the processor's cache
+        got[a : a + BATCH] = chosen(v[a : a + BATCH], p["heads"], p["head_bias"], group[a : a + BATCH])
+    cuts = np.searchsorted(group, np.arange(GROUPS + 1))
     for g in range(GROUPS):
-        a, z, at = cuts[g], cuts[g + 1], slice(g * EACH, (g + 1) * EACH)
-        if z > a:
+        at = slice(g * EACH, (g + 1) * EACH)
+        for a in range(cuts[g], cuts[g + 1], BATCH):
+            z = min(a + BATCH, cuts[g + 1])
             got[a:z] += chosen(v[a:z], p["outputs"][at], p["bias"][at], own[a:z] - g * EACH)
+    out = np.empty(len(target))
     out[order] = got
     return out
 
