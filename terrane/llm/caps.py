@@ -5,6 +5,11 @@ codes, one per block of coordinates, so that a vector's filters are list-decoded
 can't reach the bound any more.  Vectors that share a filter are compared, blocks of rows by matrix products in double
 precision.  Filters with many vectors are dealt as pairs of bounded blocks, so that none meets in one task.
 
+The code is fitted on a sample of about SAMPLE vectors of each length: the bound is lowered until planted partners at
+exactly the cosine asked for share a filter with RECALL of them, and vectors are centred by the sample's mean before
+they are decoded if that makes fewer comparisons, since a direction that all vectors have in common would fill the
+filters along it.  Cosines are always those of the vectors themselves.  Every vector is decoded.
+
 A pair is counted at the smallest filter that its vectors share, found from a product of incidence matrices; tasks
 return counts and a spanning forest, never pairs.  Exact copies are one vector with a multiplicity.
 
@@ -16,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +34,34 @@ COSINE = 0.95
 #: Filters a random vector passes on average, and at least: a vector that passes fewer has its bound lowered.  With
 #: these a pair at cosine 0.95 of random vectors of 64 dimensions shares a filter with probability 0.999.
 PASSED = LEAST = 16
+#: Vectors that a code is fitted on, the share of planted partners that share a filter with them, and vectors of a length
+#: that are too few for a code and share one filter.
+SAMPLE, RECALL, FEW = 1024, 0.997, 32
 #: Vectors of a filter that are compared in one task, at most about twice as many.
 BLOCK = 768
 
 
 @dataclass(frozen=True)
 class Code:
-    """rotation (d, d), per block its codes (B, width), and the bound that a filter's score has to exceed."""
+    """rotation (d, d), per block its codes (B, width), the bound that a filter's score has to exceed, and the centre."""
 
     rotation: np.ndarray
     codes: list[np.ndarray]
     bound: float
+    centre: np.ndarray
 
     def passed(self, x: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-        """``decode`` with the bound lowered in steps for the vectors that pass fewer than ``least`` filters."""
-        rows, names, todo, code = [], [], np.arange(len(x)), self
+        """The filters of unit vectors, with the bound lowered in steps for those that pass fewer than ``least``."""
+        z = x - self.centre
+        size = np.linalg.norm(z, axis=1, keepdims=True)
+        z = np.where(size > 1e-9, z / np.maximum(size, 1e-9), x)
+        rows, names, todo, code = [], [], np.arange(len(z)), self
         while len(todo):
-            row, name = code.decode(x[todo])
+            row, name = code.decode(z[todo])
             enough = np.bincount(row, minlength=len(todo)) >= (least if code.bound > 0 else 0)
             rows.append(todo[row[enough[row]]])
             names.append(name[enough[row]])
-            todo, code = todo[~enough], Code(self.rotation, self.codes, code.bound - 0.02)
+            todo, code = todo[~enough], replace(code, bound=code.bound - 0.02)
         row, name = np.concatenate(rows), np.concatenate(names)
         order = np.lexsort((name, row))
         return row[order], name[order]
@@ -69,25 +81,37 @@ class Code:
         return row, name
 
 
-def make_code(d: int, n: int, seed: int = 5, passed: float = PASSED) -> Code:
-    """A code for n vectors of d dimensions, with about n / 8 filters; the bound is set on random vectors."""
-    rng = np.random.default_rng(seed)
+def make_code(n: int, sample: np.ndarray, cosine: float = COSINE, seed: int = 5) -> Code:
+    """A code for n vectors like the unit vectors ``sample``, with about n / 8 filters."""
+    rng, d = np.random.default_rng(seed), sample.shape[1]
     filters = max(512, n // 8)
     blocks = max(1, min(d, 3 if filters <= 64**3 else 4))
     each = max(2, math.ceil(filters ** (1 / blocks)))
     rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
     widths = [len(w) for w in np.array_split(np.arange(d), blocks)]
     codes = [c / np.linalg.norm(c, axis=1, keepdims=True) for c in (rng.normal(size=(each, w)) for w in widths)]
-    low, high = 0.0, 1.0
-    probe = rng.normal(size=(256, d))
-    probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-    for _ in range(20):
-        bound = (low + high) / 2
-        if len(Code(rotation, codes, bound).decode(probe)[0]) > passed * len(probe):
-            low = bound
-        else:
-            high = bound
-    return Code(rotation, codes, low)
+    partner = rng.normal(size=sample.shape)
+    partner -= (partner * sample).sum(axis=1, keepdims=True) * sample
+    size = np.linalg.norm(partner, axis=1, keepdims=True)
+    partner = cosine * sample + math.sqrt(1 - cosine * cosine) * np.divide(partner, size, out=np.zeros_like(partner), where=size > 1e-9)
+    partner /= np.linalg.norm(partner, axis=1, keepdims=True)
+    best = None
+    for centre in (np.zeros(d), sample.mean(axis=0)):
+        code = Code(rotation, codes, 1.0, centre)
+        while True:
+            row, name = code.passed(sample)
+            if len(row) >= PASSED * len(sample) or code.bound <= 0:
+                other, theirs = code.passed(partner)
+                own = np.unique(np.concatenate((row, other)) * (1 << 40) + np.concatenate((name, theirs)), return_counts=True)
+                met = len(np.unique(own[0][own[1] > 1] >> 40))
+                if met >= RECALL * len(sample) or code.bound <= 0:
+                    break
+            code = replace(code, bound=code.bound - 0.02)
+        _, full = np.unique(name, return_counts=True)
+        cost = float(n) * n * (full / len(sample)) @ (full / len(sample)) / 64 + float(n) * len(row) / len(sample)
+        if best is None or cost < best[0]:
+            best = cost, code
+    return best[1]
 
 
 FOREST = pa.schema([("key", pa.string()), ("links", pa.int64()), ("root", pa.string())])
@@ -128,7 +152,7 @@ def compare(x: np.ndarray, lower: list[np.ndarray], weight: np.ndarray, names: n
     return pa.table([pa.array(names.tolist(), pa.string()), pa.array(links.astype(np.int64)), pa.array(by_order[label].tolist(), pa.string())], FOREST)
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, code: Code | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row."""
 
     form = np.float32 if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else np.float64
@@ -148,13 +172,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     kind = vectors.select(id_col).schema[0].dataType.simpleString()
     rows = stored(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(clean, f"id {kind}, key string, x binary, d int"))
     reps = stored(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.first("x").alias("x"), F.first("d").alias("d"), F.min("id").alias("least")))
-    sizes = {r["d"]: r["n"] for r in reps.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1000).collect()}
-    linked = None
-    for d, n in sizes.items():
-        found = _one_size(reps.where(F.col("d") == d), code or make_code(d, n), cosine, form)
-        linked = found if linked is None else linked.unionByName(found)
-    if linked is None:
+    sizes = reps.groupBy("d").agg(F.count("*").alias("n"))
+    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32)  # keys are digests
+    part = reps.join(sizes.where(F.col("n") >= FEW).withColumnRenamed("d", "d_"), F.col("d") == F.col("d_")).where(place * F.col("n") < 2 * SAMPLE)
+    sample: dict[int, tuple[int, list]] = {}
+    for r in part.select("d", "n", "key", "x").orderBy("d", "key").collect():  # about 2 SAMPLE vectors of a length
+        sample.setdefault(r["d"], (r["n"], []))[1].append(bytes(r["x"]))
+    if reps.isEmpty():
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    linked = _linked(reps, {d: make_code(n, _unit(x[:SAMPLE], form), cosine) for d, (n, x) in sample.items()}, cosine, form)
     linked = stored(linked)
     parts = connected_components(linked.select(F.col("root").alias("src"), F.col("key").alias("dst")))
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
@@ -174,34 +200,35 @@ def _unit(data: list[bytes], form: type) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _one_size(reps: DataFrame, code: Code, cosine: float, form: type) -> DataFrame:
-    """(key, links, root): counts of links and a forest, of vectors of one length."""
-    spark = reps.sparkSession
-    shared = spark.sparkContext.broadcast(code)
+def _linked(reps: DataFrame, codes: dict[int, Code], cosine: float, form: type) -> DataFrame:
+    """(key, links, root): counts of links and a forest.  Vectors of a length without a code share one filter."""
+    shared = reps.sparkSession.sparkContext.broadcast(codes)
 
     def filters(batches):
         for b in batches:
-            x = _unit(b.column(1).to_pylist(), form)
-            for a in range(0, len(x), 1024):
-                row, name = shared.value.passed(x[a : a + 1024])
-                n = np.bincount(row, minlength=len(x[a : a + 1024]))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(name.astype(np.int32)))
-                part = b.slice(a, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], ["key", "x", "weight", "passed"])
-
-    listed = stored(reps.select("key", "x", "weight").mapInArrow(filters, "key string, x binary, weight bigint, passed array<int>"))
+            dims = b.column(3).to_numpy()
+            for d in np.unique(dims):
+                own = b.take(pa.array(np.flatnonzero(dims == d)))
+                for a in range(0, own.num_rows, 1024):
+                    part, code = own.slice(a, 1024), shared.value.get(int(d))
+                    row, name = code.passed(_unit(part.column(1).to_pylist(), form)) if code else (np.arange(part.num_rows), np.zeros(part.num_rows, np.int64))
+                    n = np.bincount(row, minlength=part.num_rows)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(name.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], ["key", "x", "weight", "d", "passed"])
+
+    listed = stored(reps.select("key", "x", "weight", "d").mapInArrow(filters, "key string, x binary, weight bigint, d int, passed array<int>"))
     flat = listed.select("*", F.posexplode("passed").alias("nth", "filter")).withColumn("lower", F.slice("passed", F.lit(1), F.col("nth")))
-    sizes = listed.select(F.explode("passed").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = stored(sizes.select(F.bitwise_not("filter").alias("other"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    dealt = flat.withColumn("other", F.bitwise_not("filter")).join(sizes, "other").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sizes = listed.select("d", F.explode("passed").alias("filter")).groupBy("d", "filter").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = stored(sizes.select(F.col("d").alias("d_"), F.bitwise_not("filter").alias("other"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    dealt = flat.withColumn("other", F.bitwise_not("filter")).join(sizes.withColumnRenamed("other", "other_"), (F.col("other") == F.col("other_")) & (F.col("d") == F.col("d_"))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # a row meets every block of its filter, as the lower or the upper of the two
     paired = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("filter", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "own", "key", "x", "weight", "lower")
+    paired = paired.select("d", "filter", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "own", "key", "x", "weight", "lower")
 
     def task(name, rows):
-        _, lo, hi = (v.as_py() for v in name)
+        lo, hi = (v.as_py() for v in name[2:])
         x = _unit(rows["x"].to_pylist(), form)
         half = None if lo == hi else rows["own"].to_numpy() == hi
         return compare(x, [np.array(p, np.int64) for p in rows["lower"].to_pylist()], rows["weight"].to_numpy(), np.array(rows["key"].to_pylist(), object), half, cosine)
 
-    return paired.groupBy("filter", "lo", "hi").applyInArrow(task, "key string, links bigint, root string")
+    return paired.groupBy("d", "filter", "lo", "hi").applyInArrow(task, "key string, links bigint, root string")

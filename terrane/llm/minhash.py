@@ -9,8 +9,8 @@ one (a star, not all pairs).  Members that this leaves in several components mee
 pairs of different components that are left then are compared one by one, so that no candidate link between different
 texts is lost: tasks compare signatures and return the pairs that may be links.  Links are verified on the shingles themselves, and the classes are the components of the links.
 
-Similarity is the weighted Jaccard of shingles of five lower-case words between white space, each shingle weighing 1
-(or as often as it occurs, with counts=True).  A text with fewer words is one shingle; null, empty and blank texts are
+Similarity is the weighted Jaccard of shingles of five lower-case words between white space, each shingle weighing as
+much as it occurs (1 with counts=False).  A text with fewer words is one shingle; null, empty and blank texts are
 one text without words.  A class's document with the smallest id stays (null ids last); of repeated rows one stays.
 """
 
@@ -183,7 +183,7 @@ def raw_key(text) -> F.Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, counts: bool = False) -> DataFrame:
+def signed(docs: DataFrame, id_col: str, text_col: str, counts: bool = True) -> DataFrame:
     """(id, raw, key, bands array<long>) of every row; texts without words have no bands."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
@@ -203,33 +203,40 @@ def signed(docs: DataFrame, id_col: str, text_col: str, counts: bool = False) ->
     return rows.mapInArrow(run, f"id {kind}, raw bigint, key string, bands array<bigint>")
 
 
-def shingled(texts: DataFrame, counts: bool = False) -> DataFrame:
-    """(key, s array<long>, n array<int>): each text's distinct shingles and, with counts, how often they occur."""
+def expanded(s: np.ndarray, times: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets whose Jaccard similarity is the weighted one: an element that occurs n times becomes n elements."""
+    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    out = np.repeat(s, times)
+    more = np.flatnonzero(nth)
+    out[more] = mix(out[more] ^ nth[more].astype(np.uint64) * GOLDEN)
+    ends = np.concatenate(([0], np.cumsum(times)))[np.concatenate(([0], np.cumsum(each)))]
+    return out, np.diff(ends)
+
+
+def shingled(texts: DataFrame, counts: bool = True) -> DataFrame:
+    """(key, s array<long>): each text's distinct shingles or, with counts, all of them, ``expanded``."""
 
     def run(batches):
         for b in byte_slices(batches):
             h, words = word_hashes(b.column(0))
-            s, n, each = distinct_shingles(*shingle_hashes(h, words))
+            s, times, each = distinct_shingles(*shingle_hashes(h, words))
+            if counts:
+                s, each = expanded(s, times, each)
             offsets = pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32))
-            times = pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))) if counts else pa.array([[]] * len(words), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([text_keys(h, words), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64))), times], ["key", "s", "n"])
+            yield pa.RecordBatch.from_arrays([text_keys(h, words), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64)))], ["key", "s"])
 
-    return texts.select("text").mapInArrow(run, "key string, s array<bigint>, n array<int>")
+    return texts.select("text").mapInArrow(run, "key string, s array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, counts: bool, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose weighted Jaccard similarity reaches the bound."""
-    a, b = (sets.select(F.col("key").alias(f"k{x}"), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    a, b = (sets.select(F.col("key").alias(f"k{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
     both = pairs.join(a, F.col("src") == F.col("ka")).join(b, F.col("dst") == F.col("kb"))
-    if counts:
-        least = F.expr("aggregate(transform(filter(arrays_zip(sa, na), x -> array_contains(sb, x.sa)), x -> least(x.na, element_at(nb, array_position(sb, x.sa)))), 0L, (t, x) -> t + x)")
-        whole = F.expr("aggregate(na, 0L, (t, x) -> t + x) + aggregate(nb, 0L, (t, x) -> t + x)")
-    else:
-        least, whole = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    least, whole = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     return both.where(least >= similarity * (whole - least) - 1e-9).select("src", "dst")
 
 
-def _likely(apart: DataFrame, sets: DataFrame, counts: bool, similarity: float) -> DataFrame:
+def _likely(apart: DataFrame, sets: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """(src, dst): pairs of one bucket and different components whose signatures agree almost as often as links do.
 
     The smaller components' members are compared with all members, in tasks of bounded blocks of both, which return
@@ -240,14 +247,14 @@ def _likely(apart: DataFrame, sets: DataFrame, counts: bool, similarity: float)
     def signatures(batches):
         for b in batches:
             s = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            n = b.column(2).flatten().to_numpy(zero_copy_only=False) if counts else np.ones(len(s))
             each = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            full = packed(dart_signatures(s, n, each, COMPARED, seed=2))
-            bands = band_hashes(dart_signatures(s, n, each, BANDS * ROWS))
+            full = packed(dart_signatures(s, np.ones(len(s)), each, COMPARED, seed=2))
+            bands = np.ascontiguousarray(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(each), -1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (full, bands))], ["k", "sig", "bands"])
 
     wanted = apart.select(F.col("key").alias("id")).distinct()
-    signed_sets = sets.join(wanted, F.col("key") == F.col("id"), "left_semi").select("key", "s", "n").mapInArrow(signatures, "k string, sig binary, bands binary")
+    chosen = reps.join(wanted, F.col("key") == F.col("id"), "left_semi").select(F.col("key").alias("key_"), "bands")
+    signed_sets = sets.join(chosen, F.col("key") == F.col("key_")).select("key", "s", "bands").mapInArrow(signatures, "k string, sig binary, bands binary")
     rows = apart.join(signed_sets, F.col("key") == F.col("k")).select("*", F.bitwise_not(F.reverse("b").cast("long")).alias("band"), (F.col("part") == F.col("main")).alias("major"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("key"), blocks(n)).cast("int")
@@ -282,7 +289,7 @@ def _likely(apart: DataFrame, sets: DataFrame, counts: bool, similarity: float)
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
-def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, similarity: float = SIMILARITY) -> DataFrame:
+def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True, similarity: float = SIMILARITY) -> DataFrame:
     """(key, class): of every different text that is like another one, its class's smallest key; rows: see ``signed``."""
     order = F.struct(F.col("id").isNull(), "id", "raw")
     reps = stored(rows.groupBy("key").agg(F.min_by(F.struct("id", "raw", "bands"), order).alias("r")).select("key", "r.*"))
@@ -298,8 +305,8 @@ def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_
     few = small_or_none(chosen, SMALL)
     wanted = docs.select(F.col(id_col).alias("id"), raw_key(F.col(text_col)).alias("raw"), F.col(text_col).alias("text"))
     wanted = wanted.join(few if few is not None else chosen, (F.col("raw") == F.col("raw_")) & F.col("id").eqNullSafe(F.col("own")), "left_semi")
-    sets = stored(shingled(wanted, counts).groupBy("key").agg(F.first("s").alias("s"), F.first("n").alias("n")))
-    links = stored(_verified(stars, sets, counts, similarity))
+    sets = stored(shingled(wanted, counts).groupBy("key").agg(F.first("s").alias("s")))
+    links = stored(_verified(stars, sets, similarity))
     found = connected_components(links)
     # Buckets whose members the links so far leave in several components: the smaller components' members meet one
     # member of the largest, another one every round, as long as that joins components.
@@ -317,14 +324,14 @@ def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_
             break
         before = pairs
         tried = stored(apart.where("part <> main").select(F.least("hub", "key").alias("src"), F.greatest("hub", "key").alias("dst")).distinct())
-        links = stored(links.unionByName(_verified(tried, sets, counts, similarity)))
+        links = stored(links.unionByName(_verified(tried, sets, similarity)))
         found = connected_components(links)
-    rest = stored(_likely(apart, sets, counts, similarity).distinct())
-    found = connected_components(stored(links.union(_verified(rest, sets, counts, similarity))))
+    rest = stored(_likely(apart, sets, reps, similarity).distinct())
+    found = connected_components(stored(links.union(_verified(rest, sets, similarity))))
     return found.select(F.col("node").alias("key"), F.col("component").alias("class"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """(id_col, class_id, kept) for every row: class_id is the smallest id of its class, kept whether it is the row's own."""
     rows = stored(signed(docs, id_col, text_col, counts))
     classes = near_classes(docs, rows, id_col, text_col, counts)
@@ -335,10 +342,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return keyed.join(final, "turned").select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """The documents that stay: of every class the row with the smallest id, its smallest text and only once."""
-    rows = stored(signed(docs, id_col, text_col))
-    classes = near_classes(docs, rows, id_col, text_col)
+    rows = stored(signed(docs, id_col, text_col, counts))
+    classes = near_classes(docs, rows, id_col, text_col, counts)
     named = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "raw")).alias("m")).join(classes, "key", "left")
     stay = named.groupBy(F.coalesce("class", "key")).agg(F.min("m").alias("m")).select(F.col("m.id").alias("stay_id"), F.col("m.raw").alias("stay_raw"))
     raw = fresh(docs, "raw_key")

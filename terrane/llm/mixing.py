@@ -3,7 +3,8 @@
 A source with the share p of all tokens gets a weight in proportion to p ** alpha.  alpha is 1 where that meets the
 targets, else it is searched for between 0 and 1: the largest exponent whose weights reach the target entropy, raised
 to the smallest one that keeps every source within the repetition limit.  Weights times the budget are token budgets,
-and a source's budget is met by whole permutations of its documents and the start of one more.
+and a source's budget is met by whole permutations of its documents, the blocks, and the start of one more.  Every
+block has an order of its own.
 
 All counting is done by Spark: each step of the search tries many exponents in one aggregation over the sources'
 totals, and the last permutation's cut is found through bounded hash buckets, so that no source's documents meet in
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import fresh, small_or_none, stored
+from terrane.operators.ranks import placed
 
 #: Exponents tried at once, and how often; together the search is finer than 1e-9.
 TRIED, DEEP = 32, 6
@@ -34,10 +36,12 @@ SMALL, SALTS = 100_000, 64
 
 @dataclass(frozen=True)
 class Target:
-    """entropy: the least entropy of the weights as a share of the logarithm of the number of sources; repetition: how
-    often a source's documents may be used on average; budget: tokens of the mixture as a share of the input's."""
+    """entropy: the least entropy of the weights as a share of the logarithm of the number of sources; close: the share
+    of the gap between the sources' own entropy and that logarithm that the weights close at least; repetition: how often
+    a source's documents may be used on average; budget: tokens of the mixture as a share of the input's."""
 
     entropy: float = 0.95
+    close: float = 0.5
     repetition: float = 2.0
     budget: float = 1.0
     seed: int = 17
@@ -85,7 +89,9 @@ def solve_exponent(totals: DataFrame, target: Target) -> float:
             lo, hi = grid[first - 1][0], grid[first][0]
         return lo, hi
 
-    spread = edge(lambda g: g[1] >= target.entropy * math.log(n))[0]
+    own, most = next(h for a, h, _ in measure(0.0, 1.0) if a == 1.0), math.log(n)
+    least = max(target.entropy * most, own + target.close * (most - own)) - 1e-12
+    spread = edge(lambda g: g[1] >= least)[0]
     within = edge(lambda g: g[2] > target.repetition)[1]
     return max(spread, within)
 
@@ -140,9 +146,13 @@ def _by_key(rows: DataFrame, plan: DataFrame, left: str = "key", right: str = "k
 
 
 def mixture(docs: DataFrame, target: Target = Target()) -> DataFrame:
-    """(doc_id, source, block, weight): a row for every use of a document; block is the permutation, from 0."""
+    """(doc_id, source, block, place, weight): a row for every use of a document; block is the permutation, from 0, and
+    place the document's place in its source's block, from 0."""
     used = with_copies(docs.select("doc_id", "source", "text"), target=target)
-    return used.where("copies > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("block"), F.round("copies_weight", 9).alias("weight"))
+    rows = used.where("copies > 0").select("doc_id", "source", _key(F.col("source")).alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("block"), F.round("copies_weight", 9).alias("weight"))
+    order = F.md5(F.concat_ws("|", F.lit(str(target.seed)), "block", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    at = placed(rows.withColumn("h", order), ["key", "block"], ["h", "doc_id"])
+    return at.select("doc_id", "source", "block", F.col("place").cast("long").alias("place"), "weight")
 
 
 def mixed_documents(docs: DataFrame, target: Target = Target()) -> DataFrame:

@@ -1,23 +1,29 @@
-"""Personal data: high-recall span generators, boosted trees over format and context, calibrated redaction.
+"""Personal data and secrets: high-recall span generators, boosted trees over format and context, calibrated redaction.
 
 Everything on the main path is a DataFrame expression.  A generator is a pattern; its matches are found by marking
 them in the text, splitting at the marks and adding up the lengths of the pieces, which costs one pass of the pattern.
 Base spans (a pattern's match that passes its check) always stay.  Further generators run over the text in which base
 spans are blanked out, so that an added span never overlaps one.  What they propose is scored by boosted trees of depth
-two over a few yes/no features, and accepted from a threshold on.
-
-The trees learn from the base patterns' matches: those that pass their check are examples of personal data, those
-that fail, and other runs of digits, are not.  Spark counts the examples of every combination of features (at most
-4 kinds times 2^10 rows, whatever the input), and the boosting runs on that table; documents whose crc32(doc_id)
-modulo 5 is 0 are kept for the calibration, which takes each kind's lowest threshold with precision 0.95.
-
-Defined results: null texts count as empty and have no spans; U+0001 in a text is read as U+0002; rows are treated
-one by one, so repeated rows give repeated results; other columns pass through ``redact`` unchanged.
+two over yes/no features of format and context, and accepted from a threshold on.
+
+Nobody labels spans, so the trees learn from what can be told without them, never from a feature that is the label.
+A wide generator per kind takes everything that resembles it.  Positive are base spans, and for secrets the runs that a
+word such as "token" and a sign assign; negative are runs that can't be of the kind by their count of parts or digits;
+all else, such as card numbers that fail their check, is unlabelled: it is scored, not learned from.  The checks
+themselves (Luhn, octets) aren't features, nor is the assignment for secrets.  A few fixed examples are always learned
+from, so that a table without any personal data gets a model too.  Spark counts the examples of every combination of
+features, at most 5 kinds times 2^14 rows, whatever the input, and the boosting runs on that table; documents whose
+crc32(id) modulo 5 is 0 are kept for the calibration, which takes each kind's lowest threshold with precision 0.95.  Every tree chooses among its own part of the features.
+
+Defined results: null texts count as empty and have no spans (``redact`` leaves them null); rows are treated one by one,
+so repeated rows give repeated results; an empty table gives no rows; other columns pass through ``redact`` unchanged, as
+do all characters outside spans.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,18 +41,39 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: All kinds of spans.
+ALL = (*KINDS, "secret")
 #: Generators beyond the base patterns: (kind, pattern).
 MORE = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}+){1,8}+"),
-    ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])"),
-    ("phone", r"(?<![0-9A-Za-z.=+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
-    ("card", r"(?<![0-9A-Za-z.=+-])[0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{1,7}(?![0-9A-Za-z])"),
+    ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}+:){2,7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])"),
+    ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"),
+    ("card", r"(?<![0-9A-Za-z.=+-])[0-9](?:[\x20.-]?[0-9]){12,18}+(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z.=+-])(?:\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
 )
+#: What resembles a kind at all, for learning.
+WIDE = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]*+",
+    "ip": r"(?<![0-9.])[0-9]++(?:\.[0-9]++)++",
+    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])*+",
+    "phone": r"(?<![0-9().+-])[+(]?[0-9][\x20().0-9-]*+",
+    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+",
+}
 #: Texts without a match of this hold nothing that any generator proposes.
 ANY = r"[0-9@]|[\[(] ?at ?[\])]|[0-9A-Fa-f]:[0-9A-Fa-f]"
-NEAR = 24
-FEATURES = ("luhn", "octets", "digits_9_15", "digits_13_19", "brackets", "grouped", "word_before", "word_after", "named", "at_sign")
-ROUNDS, RATE, PRECISION = 24, 0.5, 0.95
+#: What assigns a secret, at the end of the text before it; words near a kind.
+ASSIGNED = r"(?i)(?:token|key|secret|passw(?:or)?d|pwd|credential|bearer)[\"']?\s*[:=]?\s*[\"']?$"
+NAMED = {"email": r"(?i)mail|contact", "ip": r"(?i)\bip\b|host|addr", "card": r"(?i)card|visa|pay|account", "phone": r"(?i)phone|tel|call|mobile|fax", "secret": r"(?i)auth|api|login"}
+#: Fixed examples that are always learned from.
+EXAMPLES = (
+    "mail jo.doe@mail.example.org or a1@b.example.com now", "reach x@ or @home or 5 @ 3 there", "host 10.20.30.40 and 192.0.2.17, 8.8.4.4 up", "version 4.0 of 2.11, 1.2.3 or 3.14159",
+    "card 4111 1111 1111 1111 and 5500000000000004, 4012888888881881 ok", "in 2024 we had 12 of 300 and 65536", "call +1 (555) 010-9999 or +44 20 7946 0958 now", "pages 3-7, (12) and 10 000",
+    'token = "9f86d081884c7d659a2feaa0c55ad015" and api_key: c29tZS1sb25nLXNlY3JldC0x', "an extraordinarilylongcompoundword and internationalization_of_everything",
+)
+NEAR = 32
+FEATURES = ("digits_1_3", "digits_4_6", "digits_7_9", "digits_10_12", "digits_13_16", "digits_17_24", "grouped", "opened", "letters", "parts", "named", "joined", "quoted", "domain")
+#: Trees of a kind, features that each may use, learning rate, and the precision that thresholds are set for.
+ROUNDS, PART, RATE, PRECISION = 24, 8, 0.5, 0.95
 
 
 def digits_of(m: Column) -> Column:
@@ -78,6 +105,8 @@ def valid(kind: str, m: Column) -> Column:
         return octets(m)
     if kind == "card":
         return luhn(digits_of(m))
+    if kind == "secret":
+        return F.lit(False)
     return F.length(digits_of(m)).between(9, 15)
 
 
@@ -86,11 +115,11 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, F.lit(pattern), F.lit("\x01$0\x01")), "\x01", -1)
 
 
-def with_matches(df: DataFrame, found: list[tuple[str, str, Column, str]], chunk: int = 256) -> DataFrame:
+def with_matches(df: DataFrame, found: list[tuple[str, str, Column, str]], check=None, chunk: int = 256) -> DataFrame:
     """``df`` with an array<struct<m, at, bits, good>> per (column, kind, text, pattern): a pattern's matches.
 
-    ``at`` is where a match starts, in characters, ``bits`` its features, ``good`` whether it passes the check of its
-    kind.  Every step is a column of its own, so that Spark works it out once a row.  The running sum of the pieces'
+    ``at`` is where a match starts, in characters, ``bits`` its features, ``good`` what ``check`` (kind, match) says of it,
+    which by default is the check of its kind.  Every step is a column of its own, so that Spark works it out once a row.  The running sum of the pieces'
     lengths has two levels, chunks of pieces and pieces in a chunk, so that it stays cheap for very many matches.
     """
     rest, names = df.columns, [x[0] for x in found]
@@ -102,7 +131,7 @@ def with_matches(df: DataFrame, found: list[tuple[str, str, Column, str]], chunk
     def match(kind, parts):
         def made(row, i):
             near = F.struct(row.p.alias("m"), row.s.alias("at"), F.right(F.get(parts, i - 1), F.lit(NEAR)).alias("pre"), F.coalesce(F.left(F.get(parts, i + 1), F.lit(1)), F.lit("")).alias("post"))
-            return F.when(i % 2 == 1, F.struct(row.p.alias("m"), row.s.alias("at"), feature_bits(kind, near).alias("bits"), valid(kind, row.p).alias("good")))
+            return F.when(i % 2 == 1, F.struct(row.p.alias("m"), row.s.alias("at"), feature_bits(kind, near).alias("bits"), (check(kind, near) if check else valid(kind, row.p)).alias("good")))
 
         return made
 
@@ -124,23 +153,40 @@ def _slice(sizes: Column, chunk: int):
 
 def feature_bits(kind: str, r: Column) -> Column:
     """The yes/no features of a match as the bits of an integer, in the order of FEATURES."""
-    m, digits = r.m, digits_of(r.m)
-    n = F.length(digits)
+    m, n = r.m, F.length(digits_of(r.m))
     flags = (
-        luhn(digits),
-        octets(m) if kind == "ip" else F.lit(False),
-        n.between(9, 15),
-        n.between(13, 19),
-        m.contains("("),
+        n.between(1, 3),
+        n.between(4, 6),
+        n.between(7, 9),
+        n.between(10, 12),
+        n.between(13, 16),
+        n.between(17, 24),
         m.rlike(r"[0-9][\x20.-][0-9]"),
-        r.pre.rlike(r"[0-9A-Za-z=_/.-]$"),
-        r.post.rlike(r"^[0-9A-Za-z_/]"),
-        r.pre.rlike({"email": r"(?i)mail|contact", "ip": r"(?i)\bip\b|host|addr", "card": r"(?i)card|visa|pay", "phone": r"(?i)phone|tel|call|mobile|fax"}[kind]),
-        m.rlike(r"@|[\[(] ?at ?[\])]"),
+        m.rlike(r"^[+(]"),
+        m.rlike("[A-Za-z]"),
+        m.rlike(r"(?:[^.:]*+[.:]){3}|\bdot\b"),
+        r.pre.rlike(NAMED[kind]),
+        r.pre.rlike(r"[0-9A-Za-z_/-]$") | r.post.rlike(r"^[0-9A-Za-z_/]"),
+        r.pre.rlike("[\"']$") & r.post.rlike("^[\"']"),
+        m.rlike(r"(?:@|\bat\b)[^@]*[.\[( ]"),
     )
     return sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(flags)), F.lit(0))
 
 
+def label(kind: str, r: Column) -> Column:
+    """Whether a wide match is of its kind; NULL where that can't be told.  ``r`` has m, pre."""
+    m, n = r.m, F.length(digits_of(r.m))
+    if kind == "email":
+        return m.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\.?$")
+    if kind == "ip":
+        return F.when(F.size(F.split(m, r"\.")) == 4, F.when(octets(m), True)).otherwise(False)
+    if kind == "card":
+        return F.when(n.between(13, 19), F.when(luhn(digits_of(m)), True)).otherwise(False)
+    if kind == "phone":
+        return F.when(n.between(9, 15), F.when(m.startswith("+"), True)).when(n.between(7, 15), F.lit(None)).otherwise(False)
+    return F.when(r.pre.rlike(ASSIGNED), True).when(n == 0, False)
+
+
 @dataclass
 class Trees:
     """Per kind a start value and trees (feature, left, right), a side being (feature, no, yes); and the thresholds."""
@@ -180,23 +226,25 @@ def boost(rows: list[tuple[int, float, float]]) -> tuple[float, list]:
     def gain(own, g, h):
         return sum(g[i] for i in own) ** 2 / (sum(h[i] for i in own) + 1.0)
 
-    def best(own, g, h):
+    def best(own, g, h, among):
         def worth(f):
             yes = [i for i in own if rows[i][0] >> f & 1]
             no = [i for i in own if not rows[i][0] >> f & 1]
             return gain(yes, g, h) + gain(no, g, h)
 
-        f = max(range(len(FEATURES)), key=worth)
+        f = max(among, key=worth)
         return f, [i for i in own if not rows[i][0] >> f & 1], [i for i in own if rows[i][0] >> f & 1]
 
+    rng = random.Random(7)
     for _ in range(ROUNDS if rows else 0):
+        among = sorted(rng.sample(range(len(FEATURES)), PART))
         prob = [1 / (1 + math.exp(-s)) for s in score]
         g = [(rows[i][1] + rows[i][2]) * prob[i] - rows[i][1] for i in every]
         h = [(rows[i][1] + rows[i][2]) * prob[i] * (1 - prob[i]) for i in every]
-        f, no, yes = best(every, g, h)
+        f, no, yes = best(every, g, h, among)
         sides = []
         for own in (no, yes):
-            k, a, b = best(own, g, h)
+            k, a, b = best(own, g, h, among)
             sides.append((k, leaf(a, g, h), leaf(b, g, h)))
             for part, v in ((a, sides[-1][1]), (b, sides[-1][2])):
                 for i in part:
@@ -212,31 +260,32 @@ def _prepared(docs: DataFrame, text_col: str, out: str) -> DataFrame:
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Trees:
-    """Count the base matches by kind, features and check, then boost and calibrate."""
-    base = _prepared(docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("i")), "t", "clean").where("clean <> ''")
-    base = base.select((F.crc32(F.coalesce(F.col("i").cast("string"), F.lit(""))) % 5 == 0).alias("kept"), "clean")
-    found = with_matches(base, [(f"m_{k}", k, F.col("clean"), BASE[k]) for k in KINDS])
+    """Count the wide matches by kind, features and label, then boost and calibrate."""
+    kept = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
+    both = docs.sparkSession.createDataFrame([(t, k) for t in EXAMPLES for k in (True, False)], "t string, kept boolean")
+    base = _prepared(docs.select(F.col(text_col).alias("t"), kept.alias("kept")).unionByName(both), "t", "clean").where("clean <> ''").select("kept", "clean")
+    found = with_matches(base, [(f"m_{k}", k, F.col("clean"), WIDE[k]) for k in ALL], label)
 
     def example(k):
         return lambda r: F.struct(F.lit(k).alias("kind"), r.bits.alias("bits"), r.good.alias("good"))
 
-    rows = F.concat(*[F.transform(f"m_{k}", example(k)) for k in KINDS])
-    counted = found.select("kept", F.inline(rows)).groupBy("kept", "kind", "bits").agg(F.count_if("good").alias("p"), F.count_if(~F.col("good")).alias("n"))
-    # at most two times four times 2^10 rows
+    rows = F.concat(*[F.transform(f"m_{k}", example(k)) for k in ALL])
+    counted = found.select("kept", F.inline(rows)).where("good is not null").groupBy("kept", "kind", "bits").agg(F.count_if("good").alias("p"), F.count_if(~F.col("good")).alias("n"))
+    # at most two times five times 2^14 rows
     table = counted.collect()
     start, trees, threshold = {}, {}, {}
-    for k in KINDS:
+    for k in ALL:
         learn = sorted((r["bits"], r["p"], r["n"]) for r in table if r["kind"] == k and not r["kept"])
         start[k], trees[k] = boost(learn)
     out = Trees(start, trees, threshold)
-    for k in KINDS:
+    for k in ALL:
         held = sorted(((out.score(k, r["bits"]), r["p"], r["n"]) for r in table if r["kind"] == k and r["kept"]), reverse=True)
         p = n = 0
         threshold[k] = 1.0
-        for s, a, b in held:
+        for (s, a, b), (below, _, _) in zip(held, [*held[1:], (0.0, 0, 0)], strict=True):
             p, n = p + a, n + b
-            if p and p / (p + n) >= PRECISION:
-                threshold[k] = min(max(s, 0.5), 1 - 1e-9)
+            if p and p / (p + n) >= PRECISION:  # halfway to the next lower score
+                threshold[k] = min(max((s + below) / 2, 0.5), 1 - 1e-9)
     return out
 
 
@@ -245,7 +294,7 @@ def _bounds(found: Column) -> Column:
 
 
 def find_spans(docs: DataFrame, trees: Trees, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, and per kind K the arrays base_K and more_K of struct<begin, end>.  No shuffle."""
+    """The columns ``keep``, and per kind K the arrays base_K (not for secrets) and more_K of struct<begin, end>.  No shuffle."""
     df = _prepared(docs.select(F.col(text_col).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]), "_t", "_clean").drop("_t")
     ids = [f"_k{i}" for i in range(len(keep))]
     df = with_matches(df, [(f"_m_{k}", k, F.col("_clean"), BASE[k]) for k in KINDS])
@@ -256,8 +305,8 @@ def find_spans(docs: DataFrame, trees: Trees, text_col: str = "text", keep: tupl
         df = with_matches(df, [("_m", kind, F.col("_masked"), pattern)])
         df = df.withColumn(f"_more{j}", _bounds(F.filter("_m", _accepted(trees, kind)))).drop("_m")
         df = df.withColumn("_masked", _blanked(F.col("_masked"), F.col(f"_more{j}")))
-    more = {k: F.array_sort(F.concat(F.array().cast("array<struct<begin:int,end:int>>"), *[F.col(f"_more{j}") for j, (kind, _) in enumerate(MORE) if kind == k])) for k in KINDS}
-    return df.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"base_{k}") for k in KINDS], *[more[k].alias(f"more_{k}") for k in KINDS])
+    more = {k: F.array_sort(F.concat(F.array().cast("array<struct<begin:int,end:int>>"), *[F.col(f"_more{j}") for j, (kind, _) in enumerate(MORE) if kind == k])) for k in ALL}
+    return df.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"base_{k}") for k in KINDS], *[more[k].alias(f"more_{k}") for k in ALL])
 
 
 def _accepted(trees: Trees, kind: str):
@@ -280,25 +329,27 @@ def _blanked(text: Column, spans: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every document, then n_spans (all spans) and n_secret."""
     found = find_spans(docs, train(docs))
+
     def texts(spans, k):
         return F.transform(spans, lambda s: F.concat_ws(":", F.lit(k), s.begin, s.end))
 
     base = F.concat(*[texts(F.col(f"base_{k}"), k) for k in KINDS])
-    every = F.concat(*[texts(F.array_sort(F.concat(f"base_{k}", f"more_{k}")), k) for k in KINDS])
-    return found.select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
+    every = F.concat(*[texts(F.array_sort(F.concat(f"base_{k}", f"more_{k}") if k in KINDS else F.col(f"more_{k}")), k) for k in ALL])
+    return found.select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"), F.size(every).cast("long").alias("n_spans"), F.size("more_secret").cast("long").alias("n_secret"))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with every base span and every accepted span of the text replaced by its kind in angle brackets.
 
     The generators run one after the other over the text as redacted so far, since a tag matches none of them.
-    A null text stays null.
+    A null text stays null.  U+0001 and U+0002 are spelled as two control characters while U+0001 marks matches.
     """
-    trees = train(docs, text_col, docs.columns[0])
-
+    trees = train(docs, text_col, id_col)
     work, parts, bits = fresh(docs, "pii_text"), fresh(docs, "pii_parts"), fresh(docs, "pii_bits")
+    spelled = F.replace(F.replace(F.col(text_col), F.lit("\x02"), F.lit("\x02\x04")), F.lit("\x01"), F.lit("\x02\x03"))
+    plain = F.replace(F.replace(F.col(work), F.lit("\x02\x03"), F.lit("\x01")), F.lit("\x02\x04"), F.lit("\x02"))
 
     def features(kind):
         def of(p, i):
@@ -314,9 +365,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         take = (lambda b: b == 1) if base else (lambda b: trees.accepts(kind, b))
         return lambda p, b: F.when(b.isNotNull() & take(b), F.lit(f"<{kind.upper()}>")).otherwise(p)
 
-    df = docs.withColumn(work, F.when(F.col(text_col).rlike(ANY), F.translate(F.col(text_col), "\x01", "\x02")))
+    df = docs.withColumn(work, F.when(F.col(text_col).rlike(ANY), spelled))
     for kind, pattern, base in [*((k, BASE[k], True) for k in KINDS), *((k, p, False) for k, p in MORE)]:
         df = df.withColumn(parts, pieces(F.col(work), pattern))
         df = df.withColumn(bits, F.when(F.size(parts) > 1, F.transform(F.col(parts), checked(kind) if base else features(kind))))
         df = df.withColumn(work, F.when(F.size(parts) > 1, F.array_join(F.zip_with(parts, bits, replaced(kind, base)), "")).otherwise(F.col(work)))
-    return df.withColumn(text_col, F.coalesce(work, text_col)).select(*docs.columns)
+    return df.withColumn(text_col, F.coalesce(plain, text_col)).select(*docs.columns)

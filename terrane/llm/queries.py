@@ -92,9 +92,9 @@ FROM embeddings"""
 OP8_SQL = f"""
 WITH RECURSIVE texts AS MATERIALIZED (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS t FROM documents),
 reps AS MATERIALIZED (SELECT min(doc_id) AS id, t, string_split(t, ' ') AS w FROM texts GROUP BY t),
-sh AS MATERIALIZED (SELECT DISTINCT id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM reps WHERE t <> '')),
-n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
-both_have AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.id <> y.id GROUP BY ALL),
+sh AS MATERIALIZED (SELECT id, array_to_string(w[p:p + 4], ' ') AS s, count(*) AS w FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM reps WHERE t <> '') GROUP BY ALL),
+n AS (SELECT id, sum(w) AS n FROM sh GROUP BY id),
+both_have AS (SELECT x.id AS a, y.id AS b, sum(least(x.w, y.w)) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.id <> y.id GROUP BY ALL),
 links AS MATERIALIZED (SELECT a, b FROM both_have JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),{_COMPONENTS},
 classes AS (SELECT reps.t, least(reps.id, coalesce((SELECT min(b) FROM reach WHERE a = reps.id), reps.id)) AS class_id FROM reps)
 SELECT doc_id, class_id, doc_id = class_id AS kept FROM texts JOIN classes USING (t)"""

@@ -4,6 +4,8 @@ Documents are aggregated by source and encoded length; the histogram has a row p
 documents there are.  Sums from the long end answer, for every limit, how many documents are longer and how many
 tokens remain when texts are cut at the limit; the same sums give exact quantiles.
 
+The report has a row for every length that occurs, one for each of LIMITS, and one for each of SHARES.
+
 Defined results: a null text is empty and has no tokens, a null source is a group of its own, repeated rows count each
 time, an empty table gives no rows.
 """
@@ -18,6 +20,8 @@ from terrane.llm.common import stored
 
 #: Lengths of a group are dealt to at most this many ranges, so that running sums never meet in one task.
 RANGES = 4096
+#: Context limits and shares of documents that are always reported.
+LIMITS, SHARES = (512, 1024, 2048, 4096, 8192, 16384, 32768, 131072), (0.5, 0.9, 0.95, 0.99, 1.0)
 
 
 def lengths(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -45,19 +49,46 @@ def with_suffix_sums(hist: DataFrame) -> DataFrame:
     return inner.join(above, ["k", "part"]).select("source", "tokens", "documents", (F.col("di") + F.col("d")).alias("longer"), (F.col("ti") + F.col("t")).alias("longer_tokens"))
 
 
+def _key(c: str = "source"):
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+
+
+def at_limits(sums: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """(source, tokens, documents, longer, longer_tokens) for given limits: documents of that length, and those that are as
+    long or longer with their tokens."""
+    limit = F.explode(F.array(*[F.lit(n).cast("long") for n in limits]))
+    rows = sums.withColumn("limit", limit)
+    over = F.col("tokens") >= F.col("limit")
+    first = F.min_by(F.when(over, F.struct("tokens", "documents", "longer", "longer_tokens")), F.when(over, F.col("tokens")))
+    found = rows.groupBy(_key().alias("k"), "limit").agg(F.first("source").alias("source"), first.alias("f"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return found.select("source", F.col("limit").alias("tokens"), zero(F.when(F.col("f.tokens") == F.col("limit"), F.col("f.documents"))).alias("documents"), zero(F.col("f.longer")).alias("longer"), zero(F.col("f.longer_tokens")).alias("longer_tokens"))
+
+
+def quantiles(sums: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(source, share, tokens): the smallest length that at least a share of the source's documents don't exceed."""
+    n = sums.groupBy(_key().alias("k")).agg(F.max("longer").alias("n"))
+    rows = sums.withColumn("k", _key()).join(n, "k").withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
+    at = rows.where((F.col("n") - F.col("longer") + F.col("documents")) >= F.col("share") * F.col("n") - 1e-9)
+    return at.groupBy("k", "share").agg(F.first("source").alias("source"), F.min("tokens").alias("tokens")).select("source", "share", "tokens")
+
+
 def token_report(docs: DataFrame) -> DataFrame:
-    """(source, tokens, documents, longer, longer_tokens, kept_tokens): a row for every context limit that occurs.
+    """(source, kind, share, tokens, documents, longer, longer_tokens, kept_tokens): kind is "length" for every length that
+    occurs, "limit" for LIMITS, and "quantile" for SHARES, whose tokens are the quantile.
 
     kept_tokens is what remains of the source when every document is cut at ``tokens``.
     """
-    sums = with_suffix_sums(stored(histogram(lengths(docs))))
-    whole = sums.groupBy(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("k")).agg(F.max("longer_tokens").alias("all_tokens"))
-    rows = sums.withColumn("k", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))).join(whole, "k")
-    return rows.select("source", "tokens", "documents", "longer", "longer_tokens", (F.col("all_tokens") - F.col("longer_tokens") + F.col("longer") * F.col("tokens")).alias("kept_tokens"))
-
-
-def quantile(sums: DataFrame, share: float) -> DataFrame:
-    """(source, tokens): the smallest length that at least ``share`` of the source's documents don't exceed."""
-    n = sums.groupBy(F.col("source").alias("s")).agg(F.max("longer").alias("n"))
-    at = sums.join(n, F.col("source").eqNullSafe(F.col("s"))).where((F.col("n") - F.col("longer") + F.col("documents")) >= share * F.col("n"))
-    return at.groupBy("source").agg(F.min("tokens").alias("tokens"))
+    sums = stored(with_suffix_sums(stored(histogram(lengths(docs)))))
+    names = ["source", "tokens", "documents", "longer", "longer_tokens"]
+    cut = quantiles(sums, SHARES).withColumn("k", _key())
+    same = sums.withColumn("k", _key()).drop("source")
+    parts = (
+        sums.select(*names, F.lit("length").alias("kind"), F.lit(None).cast("double").alias("share")),
+        at_limits(sums, LIMITS).select(*names, F.lit("limit").alias("kind"), F.lit(None).cast("double").alias("share")),
+        cut.join(same, ["k", "tokens"]).select(*names, F.lit("quantile").alias("kind"), "share"),
+    )
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("k", _key())
+    whole = sums.groupBy(_key().alias("k")).agg(F.max("longer_tokens").alias("all_tokens"))
+    kept = F.col("all_tokens") - F.col("longer_tokens") + F.col("longer") * F.col("tokens")
+    return rows.join(whole, "k").select("source", "kind", "share", "tokens", "documents", "longer", "longer_tokens", kept.alias("kept_tokens"))

@@ -1,0 +1,277 @@
+"""Brute-force versions, edge cases and properties of the training-data operators."""
+
+import collections
+import hashlib
+import math
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from terrane.llm import bpe, caps, langid, media, minhash, mixing, pii, queries, token_counts
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    more = [(9001, None, None, None, None), (9002, "", "en", "odd", 0), (9003, "   ", None, "odd", 3), (9004, "x" * 70_000, "en", "odd", 70_000), (9005, rows[0][1], "en", "odd", 1), (9005, rows[0][1], "en", "odd", 1)]
+    return spark.createDataFrame(rows + more, SCHEMA).withColumn("score", F.lit("clash")).withColumn("key", F.lit(1)).withColumn("copies", F.lit(2))
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_no_rows_give_no_rows(spark, name, tmp_path):
+    for table, schema in (("documents", SCHEMA), ("embeddings", "vec_id long, embedding array<float>, label int"), ("conversations", "conv_id long, turn long, role string, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert queries.queries()[name](spark, str(tmp_path)).count() == (1 if name == "op2_chat" else 0)
+
+
+def test_media_contract(docs):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    for r in media.media_digest(docs).collect():
+        raw = texts[r["doc_id"]]
+        full = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+
+
+def test_bpe_contract(docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    rows = [r for r in docs.collect() if len(r["text"] or "") < 60_000]
+    want = {r["doc_id"]: library.encode(r["text"] or "", add_special_tokens=False).ids for r in rows}
+    for r in bpe.bpe_digest(docs).collect():
+        if r["doc_id"] in want:
+            ids = want[r["doc_id"]]
+            assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_stages_agree_and_tables_stay_small(docs, monkeypatch):
+    whole = {(r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.bpe_digest(docs).collect()}
+    back = bpe.decode_ids(bpe.encode_texts(docs, "text", ["doc_id"]), "ids", ["doc_id"])
+    assert {(r["doc_id"], r["ids_sha256"], r["d"]) for r in back.withColumn("d", F.sha2("decoded", 256)).collect()} == whole
+    monkeypatch.setattr(bpe, "REMEMBERED", 5_000)
+    c, texts = bpe.Codec(bpe.vocabulary_path()), [r["text"] or "" for r in docs.limit(50).collect()]
+    one = [c.encode([t]) for t in texts]
+    assert (np.concatenate([x for x, _ in one]) == bpe.Codec(bpe.vocabulary_path()).encode(texts)[0]).all()
+
+
+def test_token_report_against_brute_force(docs):
+    n = collections.defaultdict(list)
+    codec = bpe.Codec(bpe.vocabulary_path())
+    rows = docs.collect()
+    for r, k in zip(rows, codec.encode([r["text"] or "" for r in rows])[1].tolist(), strict=True):
+        n[r["source"]].append(k)
+    got = {(r["source"], r["kind"], r["share"], r["tokens"]): (r["documents"], r["longer"], r["longer_tokens"], r["kept_tokens"]) for r in token_counts.token_report(docs).collect()}
+    want = {}
+    for s, ks in n.items():
+        at = lambda t: (sum(k == t for k in ks), sum(k >= t for k in ks), sum(k for k in ks if k >= t), sum(min(k, t) for k in ks))  # noqa: B023, E731
+        want |= {(s, "length", None, t): at(t) for t in set(ks)} | {(s, "limit", None, t): at(t) for t in token_counts.LIMITS}
+        want |= {(s, "quantile", q, t): at(t) for q in token_counts.SHARES for t in [sorted(ks)[max(math.ceil(q * len(ks) - 1e-9), 1) - 1]]}
+    assert got == want
+
+
+def test_language_held_out_accuracy(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = langid.language_of(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    assert r["a"] >= 0.99 and 0 <= r["lo"] and r["hi"] <= 1
+
+
+@pytest.mark.parametrize("many", [2, 4, 60])
+def test_every_language_is_learned_and_strangers_are_rejected(spark, many):
+    rng = np.random.default_rng(many)
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x3B1, 0x3C9)]
+    own = [["".join(rng.choice(letters[i % 20 : i % 20 + 12], 3)) + letters[(7 * i) % len(letters)] for _ in range(40)] for i in range(many)]
+    text = lambda i, n: " ".join(rng.choice(own[i], n))
+    rows = [(k * many + i, text(i, int(rng.integers(8, 120))), f"l{i:02d}") for i in range(many) for k in range(30)]
+    df = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], SCHEMA)
+    model = langid.train(df, "text", "lang", F.lit(True), rows=many * 8)
+    assert sorted(n for f in model.families for n in f) == sorted({lang for _, _, lang in rows})
+    fresh = [text(i, 60) for i in range(many)]
+    names, _, clear = model.predict(fresh)
+    assert clear.mean() >= 0.95 and np.mean([n == f"l{i:02d}" for i, n in enumerate(names)]) >= 0.9
+    assert not model.predict(["".join(chr(0x430 + int(c)) for c in rng.integers(0, 30, 40)) + " 7781 " * 3 for _ in range(5)] + ["одно другое третье " * 20])[2].any()
+
+
+def test_language_of_a_text_does_not_depend_on_its_neighbours_or_its_length():
+    texts = ["abc", "ein kurzer satz", "z" * 10, "långt " * 400_000]
+    whole = langid.features(texts)
+    assert all(np.allclose(langid.features([t])[0], x) for t, x in zip(texts, whole, strict=True))
+
+
+def test_caps_recall(spark):
+    rng = np.random.default_rng(5)
+    for d, n in ((2, 300), (4, 1500), (64, 1500)):
+        for common in (0.0, 1.7):
+            x = rng.normal(size=(n, d)) + common * math.sqrt(d) * np.eye(d)[0] * (d > 2)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            y = rng.normal(size=x.shape)
+            y -= (y * x).sum(axis=1, keepdims=True) * x
+            y /= np.linalg.norm(y, axis=1, keepdims=True)
+            c = rng.uniform(0.9501, 0.97, (n, 1))
+            v = np.vstack([x, c * x + np.sqrt(1 - c * c) * y])
+            df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+            got = {r["vec_id"]: r["n_links"] for r in caps.near_vectors(df).collect()}
+            want = (v @ v.T >= 0.95).sum(axis=1) - 1
+            found = np.array([got[i] for i in range(len(v))])
+            assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(2 * d + k, [1.0 + d % 7] * d) for d in range(1, 1102, 11) for k in range(2)]
+    got = caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert all(r["n_links"] == 1 for r in got)
+
+
+def test_weighted_near_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    line = " ".join(words[:12])
+    rows = [(1, " ".join(words)), (2, " ".join(words + [line] * 8)), (3, " ".join(words + [line] * 7)), (4, " ".join(words[:59] + ["z"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    get = lambda counts: {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df, counts=counts).collect()}
+    assert get(True) == {1: 1, 2: 2, 3: 2, 4: 1}
+
+    def weights(t):
+        w = t.split()
+        return collections.Counter(" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1)))
+
+    for a, b in ((1, 2), (2, 3), (1, 4)):
+        x, y = weights(rows[a - 1][1]), weights(rows[b - 1][1])
+        assert (sum((x & y).values()) / sum((x | y).values()) >= 0.8) == (get(True)[a] == get(True)[b])
+
+
+def test_near_copies_keep_other_columns(docs):
+    kept = minhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id = 9005").count() == 0
+    assert kept.where("text is null or trim(text) = ''").count() == 1
+
+
+def brute_mixture(rows, target):
+    """(doc_id, block) of every use and the weights, by one long calculation."""
+    key = lambda s: "-" if s is None else f"={s}"
+    tokens = {i: len((t or "").split()) for i, t, _ in rows}
+    total = collections.Counter()
+    for i, _, s in rows:
+        total[key(s)] += tokens[i]
+    whole = sum(total.values())
+    have = {s: n / whole for s, n in total.items() if n}
+    n = len(have)
+
+    def weights(a):
+        w = {s: p**a for s, p in have.items()}
+        return {s: x / sum(w.values()) for s, x in w.items()}
+
+    entropy = lambda w: -sum(x * math.log(x) for x in w.values())
+    least = max(target.entropy * math.log(n), entropy(have) + target.close * (math.log(n) - entropy(have)))
+    repeated = lambda a: max(x / have[s] for s, x in weights(a).items()) * target.budget
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if entropy(weights(mid)) >= least else (lo, mid)
+    alpha, lo, hi = lo, 0.0, 1.0
+    if repeated(0.0) > target.repetition:
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if repeated(mid) > target.repetition else (lo, mid)
+        alpha = max(alpha, hi)
+    w, out = weights(alpha), []
+    for s in {key(s) for _, _, s in rows}:
+        ids = [i for i, _, k in rows if key(k) == s]
+        rank = lambda i: int(hashlib.md5(f"{target.seed}|{s}|{i}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        budget = math.floor(w.get(s, 0) * target.budget * whole + 1e-6)
+        blocks, rest = divmod(budget, total[s]) if total[s] else (1, 0)
+        out += [(i, b) for i in ids for b in range(blocks)]
+        end = 0
+        for i in sorted(ids, key=rank) if rest else []:
+            end += tokens[i]
+            if end > rest:
+                break
+            out.append((i, blocks))
+    return out, w
+
+
+@pytest.mark.parametrize("target", [mixing.Target(), mixing.Target(entropy=0.99, repetition=1.5), mixing.Target(budget=2.5, close=0.2)])
+def test_mixture_against_brute_force(spark, target):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(1, 30)), s) for i, s in enumerate(["big"] * 700 + ["mid"] * 200 + ["small"] * 40 + [None] * 20)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), target).collect()
+    want, weights = brute_mixture(rows, target)
+    differ = set(want) ^ {(r["doc_id"], r["block"]) for r in got}
+    assert len(differ) <= 4 and len(got) == len({(r["doc_id"], r["block"]) for r in got})  # budgets are cut by a float's last digit
+    assert all(abs(r["weight"] - weights["-" if r["source"] is None else f"={r['source']}"]) < 1e-6 for r in got)
+    places, key = collections.defaultdict(list), lambda r: (r["source"], r["block"])
+    for r in got:
+        places[key(r)].append(r["place"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    one = {b: [r["doc_id"] for r in sorted((r for r in got if key(r) == ("small", b)), key=lambda r: r["place"])] for b in (0, 1)}
+    assert sorted(one[0]) == list(range(900, 940)) and one[0] != sorted(one[0]) and one[0] != one[1]
+
+
+def test_given_sources_are_tempered(spark):
+    """The driver's sources need an exponent under 1, whole blocks and partial ones."""
+    got = mixing.mixture(spark.read.parquet(f"{SF}/documents.parquet"))
+    per = got.groupBy("source").agg(F.max("block").alias("b"), F.count("*").alias("n"), F.max("weight").alias("w"))
+    assert per.where("b > 0").count() > 0 and got.groupBy("source", "block").count().groupBy("source").agg(F.min("count"), F.max("count")).where("min(count) < max(count) or max(count) < 10").count() > 0
+
+
+def test_mixed_documents_of_odd_tables(docs):
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.where("doc_id = 9001").count() == 1
+
+
+PII = [
+    ("write to jo at example dot org", 0, ""), ("mail jo [at] example [dot] org now", 1, "email"), ("see fe80:0:0:0:202:b3ff:fe1e:8329 there", 1, "ip"), ("number 1234567812345678 here", 1, "card"), ("ring (555) 123-4567 today", 1, "phone"),
+    ('token = "44e15e09fd311c3cf3163b66d5a9875b883d8ceb"', 1, "secret"), ("version 4.0 of 300.1.1.1 or 1.2.3", 0, ""), ("in 1999 or 2024, pages 3-17 of 12345", 0, ""), ("donaudampfschifffahrtsgesellschaft", 0, ""), ("", 0, ""), (None, 0, ""), ("\x01 and \x02 with 7 @ all", 0, ""),
+]
+
+
+def test_generators_beyond_the_base_are_accepted_next_to_near_misses(spark):
+    noise = [(100 + i, f"host 300.{i}.1.1 or 256.256.{i}.1 and 10.0.0.{i} or +1 555 010 {1000 + i}", None, None, 0) for i in range(60)]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, (t, _, _) in enumerate(PII)] + noise, SCHEMA)
+    got = {r["doc_id"]: r for r in pii.pii_digest(df).collect()}
+    for i, (t, n, kind) in enumerate(PII):
+        assert (got[i]["n_spans"], got[i]["spans"].split(":")[0]) == (n, kind), t
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert all(clean[i] == t for i, (t, n, _) in enumerate(PII) if not n)
+    assert clean[3] == "number <CARD> here" and clean[5] == 'token = "<SECRET>"'
+
+
+def test_trees_use_several_features_that_are_not_the_label(spark):
+    model = pii.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert not {"luhn", "octets", "digits_9_15", "digits_13_19"} & set(pii.FEATURES)
+    for k in pii.ALL:
+        used = {f for t in model.trees[k] for f in (t[0], t[1][0], t[2][0])}
+        assert len(model.trees[k]) == pii.ROUNDS and len(used) >= 3 and 0.5 <= model.threshold[k] < 1
+
+
+def test_boosting_finds_what_two_features_decide_together():
+    rows = [(a | b << 1 | c << 2, 50.0 * (a ^ b) + 1, 50.0 * (1 - (a ^ b)) + 1) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+    start, trees = pii.boost(rows)
+    model = pii.Trees({"ip": start}, {"ip": trees}, {"ip": 0.5})
+    assert all((model.score("ip", bits) > 0.5) == (p > n) for bits, p, n in rows)
+
+
+def test_pipeline_against_its_operators_one_by_one(spark, docs, tmp_path):
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = langid.keep_identified(table)
+    assert kept.where("text is null").count() == 0 and kept.where("doc_id = 9004").count() == kept.where("length(text) = 70000").count()
+    classes = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(kept).collect()}
+    heads = {c for c in classes.values()}
+    rows = {r["doc_id"]: r for r in pii.redact(kept).collect() if r["doc_id"] in heads}
+    used, _ = brute_mixture([(i, r["text"], r["source"]) for i, r in rows.items()], mixing.Target())
+    codec = bpe.Codec(bpe.vocabulary_path())
+    want = collections.Counter()
+    for i, _ in used:
+        ids, n = codec.encode([rows[i]["text"]])
+        want[i, int(n[0])] += 1
+    have = collections.Counter((r["doc_id"], r["n_tokens"]) for r in got)
+    assert sum(((want - have) + (have - want)).values()) <= 4
