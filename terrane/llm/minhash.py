@@ -252,8 +252,8 @@ def _likely(apart: DataFrame, sets: DataFrame, reps: DataFrame, similarity: floa
             bands = np.ascontiguousarray(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(each), -1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (full, bands))], ["k", "sig", "bands"])
 
-    wanted = apart.select(F.col("key").alias("id")).distinct()
-    chosen = reps.join(wanted, F.col("key") == F.col("id"), "left_semi").select(F.col("key").alias("key_"), "bands")
+    wanted = apart.select(F.col("key").alias("key_w")).distinct()
+    chosen = reps.join(wanted, F.col("key") == F.col("key_w"), "left_semi").select(F.col("key").alias("key_"), "bands")
     signed_sets = sets.join(chosen, F.col("key") == F.col("key_")).select("key", "s", "bands").mapInArrow(signatures, "k string, sig binary, bands binary")
     rows = apart.join(signed_sets, F.col("key") == F.col("k")).select("*", F.bitwise_not(F.reverse("b").cast("long")).alias("band"), (F.col("part") == F.col("main")).alias("major"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
