@@ -63,8 +63,9 @@ def clusters(members: DataFrame, vectors: DataFrame, radius: float = RADIUS, lea
     reps = stored(copies.groupBy("h", "x").agg(F.min("vec_id").alias("rep")))
     owner = stored(copies.join(reps, ["h", "x"]).select("vec_id", "rep"))
     cell = ["seed", "cx", "cy"]
+    members = stored(members.join(reps.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi"))
     points = members.join(reps.select(F.col("rep").alias("vec_id"), "x"), "vec_id")
-    sizes = stored(points.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    sizes = stored(members.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     most = sizes.agg(F.max("blocks")).first()[0] or 1
     own = points.join(sizes, cell).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*cell, F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "vec_id", "x")
@@ -86,9 +87,8 @@ def clusters(members: DataFrame, vectors: DataFrame, radius: float = RADIUS, lea
         n = len(ids)
         return pa.table([pa.array([seed] * n, pa.int32()), pa.array([cx] * n, pa.int32()), pa.array([cy] * n, pa.int32()), pa.array(ids[label], pa.int64()), pa.array(ids, pa.int64())], ["seed", "cx", "cy", "root", "rep"])
 
-    forest = dealt.groupBy(*cell, "lo", "hi").applyInArrow(task, "seed int, cx int, cy int, root bigint, rep bigint")
+    forest = stored(dealt.groupBy(*cell, "lo", "hi").applyInArrow(task, "seed int, cx int, cy int, root bigint, rep bigint"))
     if most > 1:
-        forest = stored(forest)
         labels = min_labels(forest.select(*cell, F.col("root").alias("src"), F.col("rep").alias("dst")), tuple(cell))
         labels = labels.select(*cell, F.col("node").alias("rep"), F.col("component").alias("root"))
         forest = forest.select(*cell, "rep").distinct().join(labels, [*cell, "rep"], "left").select(*cell, F.coalesce("root", "rep").alias("root"), "rep")
