@@ -262,7 +262,7 @@ def _prepared(docs: DataFrame, text_col: str, out: str) -> DataFrame:
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Trees:
     """Count the wide matches by kind, features and label, then boost and calibrate."""
     kept = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
-    both = docs.sparkSession.createDataFrame([(t, k) for t in EXAMPLES for k in (True, False)], "t string, kept boolean")
+    both = docs.sparkSession.range(2).select(F.explode(F.array(*[F.lit(t) for t in EXAMPLES])).alias("t"), (F.col("id") == 0).alias("kept"))
     base = _prepared(docs.select(F.col(text_col).alias("t"), kept.alias("kept")).unionByName(both), "t", "clean").where("clean <> ''").select("kept", "clean")
     found = with_matches(base, [(f"m_{k}", k, F.col("clean"), WIDE[k]) for k in ALL], label)
 

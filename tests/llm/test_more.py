@@ -90,9 +90,9 @@ def test_every_language_is_learned_and_strangers_are_rejected(spark, many):
     letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x3B1, 0x3C9)]
     own = [["".join(rng.choice(letters[i % 20 : i % 20 + 12], 3)) + letters[(7 * i) % len(letters)] for _ in range(40)] for i in range(many)]
     text = lambda i, n: " ".join(rng.choice(own[i], n))
-    rows = [(k * many + i, text(i, int(rng.integers(8, 120))), f"l{i:02d}") for i in range(many) for k in range(30)]
+    rows = [(k * many + i, text(i, int(rng.integers(8, 120))), f"l{i:02d}") for i in range(many) for k in range(max(30, 400 // many))]
     df = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], SCHEMA)
-    model = langid.train(df, "text", "lang", F.lit(True), rows=many * 8)
+    model = langid.train(df, "text", "lang", F.lit(True), rows=max(many * 8, 400))
     assert sorted(n for f in model.families for n in f) == sorted({lang for _, _, lang in rows})
     fresh = [text(i, 60) for i in range(many)]
     names, _, clear = model.predict(fresh)
