@@ -13,7 +13,6 @@ their order, and repeated rows repeat.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -380,8 +379,3 @@ def media_digest(docs: DataFrame) -> DataFrame:
         F.crc32(F.expr("substring(payload, length(payload) - 63, 64)")).alias("tail_crc32"), "media_bytes", "media_sha256",
         F.concat_ws(":", F.concat_ws("x", "width", "height"), F.concat_ws("x", "thumb_width", "thumb_height"), "thumb_hash").alias("feature"),
     )
-
-
-def crc32_of(data: bytes) -> int:
-    """The checksum that ``media_digest`` gives, for tests."""
-    return zlib.crc32(data)
