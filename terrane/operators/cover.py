@@ -11,7 +11,7 @@ from terrane.functions.vectors import as_doubles, dot, hash_rank
 from terrane.operators.graph import min_labels
 from terrane.sources.tables import stored
 
-CELLS, OVERLAP, RADIUS, LEAST = 4, 0.3, 0.72, 3
+CELLS, OVERLAP, RADIUS, LEAST = 15, 0.3, 0.72, 3
 #: Seeds of the bootstrap, and points of a cell that one task compares with as many others.
 SEEDS, BLOCK = 25, 2048
 
