@@ -58,8 +58,8 @@ def string_hashes(words: pa.Array) -> np.ndarray:
 def byte_slices(batches, column: int = 0, most: int = 1 << 21, rows: int = 2048):
     """The batches in slices of at most ``most`` bytes in a text column and ``rows`` rows; a longer text is a slice of its own."""
     for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends, a = np.cumsum(sizes.astype(np.int64)), 0
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, a = np.cumsum(sizes), 0
         while a < b.num_rows:
             z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
             z = min(z, a + rows)

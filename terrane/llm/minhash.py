@@ -52,8 +52,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' lower-case words between white space, and how many words a text has."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(unsliced(texts).cast(pa.large_string()), "")))
     n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    words = lists.values
-    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    words = unsliced(pc.utf8_trim_whitespace(lists.values))  # a text's last blank may be left as a word
+    size = np.diff(np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]) if len(words) else np.zeros(0, np.int64)
     if (size == 0).any():  # blanks at a text's ends split off empty words
         n = np.bincount(np.repeat(np.arange(len(n)), n)[size > 0], minlength=len(n))
         words = words.filter(pa.array(size > 0))
