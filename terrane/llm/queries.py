@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from terrane.llm import bpe, caps, chat, langid, lm, media, minhash, mixing, pii, token_counts, whitening
+from terrane.llm import bpe, caps, chat, langid, lm, media, minhash, mixing, pii, secret_scan, token_counts, whitening
 from terrane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,12 +57,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening_digest(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_media, op2_chat, op3_bpe, op4_lm, op5_token_counts, op6_caps, op7_langid, op8_minhash, op9_mixing, op10_pii, op13_whitening)}
+    return {f.__name__: f for f in (op1_media, op2_chat, op3_bpe, op4_lm, op5_token_counts, op6_caps, op7_langid, op8_minhash, op9_mixing, op10_pii, op12_secrets, op13_whitening)}
 
 
 def _escaped_length() -> str:
