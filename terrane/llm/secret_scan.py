@@ -3,9 +3,9 @@
 Words of the whole corpus are counted by Spark; the most frequent become the identifier dictionary, of at most
 ``DICTIONARY`` bytes, that zstandard is primed with.  High-recall generators propose strings: what stands behind a
 sensitive name, the password of an address, tokens with a known beginning, the body of a private key.  A candidate's
-novelty is the number of bytes by which the compressed size of the text around it grows when it is put in its place;
-names, words, paths and whatever stands nearby as well compress to little, random strings don't.  Strings that are novel
-for ``NOVELTY`` bytes a character and ``LEAST`` bytes in all are reported as ``novel``.
+novelty is its marginal compressed size: the bytes that it adds where the dictionary and the text around it are known.
+Names, words, paths and parts of what stands nearby add little, random strings nearly all their bytes.  Strings of
+``NOVELTY`` bytes a character (``NOVEL_BEYOND`` beyond ``SHORT``) and ``LEAST`` bytes in all are reported as ``novel``.
 
 Compression looks at lower case, ``AROUND`` characters to either side.  Words of the dictionary have 4 to 15 letters, so
 that a secret that occurs often doesn't become a word.  The driver holds the dictionary, nothing else of the corpus.
@@ -18,6 +18,7 @@ rows; other columns are left out by ``find_secrets`` and kept, whatever their na
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -27,9 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import byte_slices, fresh
+from terrane.llm.common import byte_slices, fresh, release, stored
 
-DICTIONARY, AROUND, NOVELTY, LEAST = 1 << 16, 160, 0.62, 9
+DICTIONARY, AROUND, LEVEL, NOVELTY, NOVEL_BEYOND, LEAST, SHORT = 1 << 16, 160, 13, 0.78, 0.6, 8, 256
 #: Different words that a task counts before it hands them on.
 COUNTED = 1 << 18
 KINDS = ("assign", "access", "hex", "novel")
@@ -68,7 +69,15 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def identifier_dictionary(df: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> bytes:
     """The corpus's most frequent words, the rarest first, as zstandard finds what is last most cheaply."""
-    words = [r["word"] for r in word_counts(df, text_col).where("n > 1").orderBy(F.desc("n"), "word").limit(most // 5).collect()]
+    many, bucket = most // 5, F.floor(F.log2("n") * 8).cast("int").alias("bucket")
+    counts = stored(word_counts(df, text_col).where("n > 1").select("word", "n", bucket))
+    bound, seen = 0, 0
+    for r in counts.groupBy("bucket").count().orderBy(F.desc("bucket")).collect():  # at most 504 of them
+        bound, seen = r["bucket"], seen + r["count"]
+        if seen >= many:
+            break
+    words = [r["word"] for r in counts.where(F.col("bucket") >= bound).orderBy(F.desc("n"), "word").limit(many).collect()]
+    release(counts)
     out, size = [], 0
     for w in words:
         size += len(w) + 1
@@ -79,19 +88,35 @@ def identifier_dictionary(df: DataFrame, text_col: str = "text", most: int = DIC
 
 
 class Novelty:
-    """Marginal compressed bytes of strings inside their surroundings, under a dictionary of words."""
+    """Marginal compressed bytes of strings inside their surroundings, under a dictionary of words.
+
+    Noise and a repetition of it go before every text: with them zstandard neither codes letters by their frequency nor
+    gives up compressing, in a short text, so that what it can't find costs a byte a character.
+    """
+
+    noise = hashlib.shake_256(b"noise").digest(512)
 
     def __init__(self, dictionary: bytes):
-        options = {"level": 9, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         if len(dictionary) >= 8:
             primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            primed.precompute_compress(level=9)
+            primed.precompute_compress(level=LEVEL)
             options["dict_data"] = primed
         self.compress = zstandard.ZstdCompressor(**options).compress
 
+    def size(self, text: str) -> int:
+        return len(self.compress(self.noise + self.noise[:128] + text.lower().encode()))
+
     def __call__(self, text: str, start: int, end: int) -> int:
-        before, own, after = text[max(0, start - AROUND) : start].lower(), text[start:end].lower(), text[end : end + AROUND].lower()
-        return len(self.compress(f"{before}{own}{after}".encode())) - len(self.compress(f"{before}{after}".encode()))
+        own = text[start:end]
+        before, after = (t.replace(own, " ") for t in (text[max(0, start - AROUND) : start], text[end : end + AROUND]))  # a secret may be said twice
+        return self.size(before + own + after) - self.size(before + after)
+
+
+def enough(size: int) -> float:
+    """Bytes from which a string of this many characters is novel: zstandard codes the letters of strings beyond SHORT
+    characters by their frequency, random ones too."""
+    return max(LEAST, NOVELTY * min(size, SHORT) + NOVEL_BEYOND * max(0, size - SHORT))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -131,7 +156,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
         if any(a < e and s < z for s, e in taken):
             continue
         more = novelty(text, a, z)
-        if more >= LEAST and more >= NOVELTY * (z - a):
+        if more >= enough(z - a):
             taken.append((a, z))
             out.append((a, 3, z, more))
     return out

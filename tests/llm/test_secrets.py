@@ -88,9 +88,10 @@ def test_compression_decides(words):
     novelty = secret_scan.Novelty(words)
     known, strange = "key: readUserProfileCacheManager", "key: rxadUqerPrzfileCbcheMwnagqr"
     assert secret_scan.candidates(known) and not secret_scan.novel_spans(known, [], novelty) and secret_scan.novel_spans(strange, [], novelty)
-    near = "x7Qp2Lw9Zk4Tn8Vb; key: x7Qp2Lw9Zk4Tn8Vb"  # what the text around holds as well is no news
-    assert not secret_scan.novel_spans(near, [], novelty) and secret_scan.novel_spans(near[18:], [], novelty)
-    assert words.split()[-1] == b"session" or b"profile" in words
+    twice = "key: x7Qp2Lw9Zk4Tn8Vb; confirmed key: x7Qp2Lw9Zk4Tn8Vb"
+    assert [twice[a:z] for a, _, z, _ in secret_scan.novel_spans(twice, [], novelty)] == ["x7Qp2Lw9Zk4Tn8Vb"] * 2
+    near = "Zk4Tn8VbX7Qp2Lw9 = load(); key: loadZk4Tn8VbX7Qp2Lw9"  # a part of the text around
+    assert not secret_scan.novel_spans(near, [], novelty)
 
 
 def test_words_in_order(spark):
