@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from terrane.llm import bpe, caps, chat, langid, lm, media, minhash, mixing, pii, secret_scan, token_counts, whitening
+from terrane.llm import bpe, caps, chat, langid, lm, media, minhash, mixing, pii, prefix_trie, secret_scan, token_counts, whitening
 from terrane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_digest(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_media, op2_chat, op3_bpe, op4_lm, op5_token_counts, op6_caps, op7_langid, op8_minhash, op9_mixing, op10_pii, op12_secrets, op13_whitening)}
+    return {f.__name__: f for f in (op1_media, op2_chat, op3_bpe, op4_lm, op5_token_counts, op6_caps, op7_langid, op8_minhash, op9_mixing, op10_pii, op11_prefix_trie, op12_secrets, op13_whitening)}
 
 
 def _escaped_length() -> str:
@@ -108,5 +112,26 @@ classes AS (SELECT reps.t, least(reps.id, coalesce((SELECT min(b) FROM reach WHE
 SELECT doc_id, class_id, doc_id = class_id AS kept FROM texts JOIN classes USING (t)"""
 
 
+OP11_SQL = """
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+crc(c, i, v) AS (SELECT c, 1, 4294967295::UBIGINT FROM ids UNION ALL
+  SELECT c, i + 1, list_reduce(list_prepend(xor(v, ascii(substr(c::VARCHAR, i, 1))::UBIGINT), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) FROM crc WHERE i <= length(c::VARCHAR)),
+h AS (SELECT c, (xor(v, 4294967295::UBIGINT) % 9)::BIGINT AS h FROM crc WHERE i = length(c::VARCHAR) + 1),
+turns AS (
+  SELECT ids.c, o.r, o.t, o.p AS p FROM ids JOIN h USING (c) JOIN own o ON o.c = ids.c - ids.c % 5 AND o.p <= h.h
+  UNION ALL SELECT o.c, o.r, o.t, 1000 + o.p FROM own o JOIN h USING (c) WHERE o.p > h.h),
+placed AS (SELECT c, octet_length(encode(t)) AS n, row_number() OVER w AS d, string_agg(length(r) || ':' || length(t) || ':' || r || t, '') OVER (PARTITION BY c ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM turns WINDOW w AS (PARTITION BY c ORDER BY p)),
+paths AS MATERIALIZED (SELECT c, 0 AS d, 0 AS n, '' AS k FROM ids UNION ALL SELECT c, d, n, md5(k) FROM placed),
+sizes AS (SELECT c, max(d) AS len FROM paths GROUP BY c),
+nodes AS MATERIALIZED (SELECT k, d, any_value(n) AS n, min(c) AS c, count(*) AS m, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len), '') AS ends FROM paths JOIN sizes USING (c) GROUP BY k, d),
+ups AS (SELECT x.k, x.d, y.k AS pk, y.d AS pd FROM nodes x JOIN paths y ON y.c = x.c AND y.d <= x.d),
+children AS (SELECT pk, pd, count(*) AS n FROM ups WHERE pd = d - 1 GROUP BY ALL),
+below AS (SELECT u.pk, u.pd, sum((v.m - 1) * v.n) AS saved, count(*) FILTER (ch.n IS NULL) AS leaves FROM ups u JOIN nodes v ON v.k = u.k AND v.d = u.d LEFT JOIN children ch ON ch.pk = u.k AND ch.pd = u.d GROUP BY ALL)
+SELECT x.c AS conv_id, x.d::BIGINT AS depth, p.c AS parent_conv_id, x.m AS n_convs, coalesce(ch.n, 0) AS n_children, b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN below b ON b.pk = x.k AND b.pd = x.d LEFT JOIN children ch ON ch.pk = x.k AND ch.pd = x.d
+LEFT JOIN ups u ON u.k = x.k AND u.d = x.d AND u.pd = x.d - 1 LEFT JOIN nodes p ON p.k = u.pk AND p.d = u.pd"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op6_caps": OP6_SQL, "op8_minhash": OP8_SQL}
+    return {"op2_chat": OP2_SQL, "op6_caps": OP6_SQL, "op8_minhash": OP8_SQL, "op11_prefix_trie": OP11_SQL}
