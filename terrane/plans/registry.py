@@ -17,7 +17,7 @@ CELLS = 4
 
 
 def queries() -> dict:
-    from terrane.plans import layers, reports  # noqa: F401  they register theirs
+    from terrane.plans import layers, mapper, reports  # noqa: F401  they register theirs
 
     return dict(QUERIES)
 
