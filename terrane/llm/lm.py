@@ -8,9 +8,12 @@ group, by matrix products over many contexts at once.  Within a class of other w
 (c - D) / N_class, c being its count in the training texts, and unknown words together the rest, D V_class / N_class
 (absolute discounting), so that the probabilities of all known words and of an unknown one add up to one.
 
-Texts are split twice: to count words, and to turn every text into the numbers of its outcomes, which are stored.  Each
-training round is a pass over all stored numbers of the training texts: a task takes noise-contrastive steps over all of
-its tokens, in batches that grow up to BATCH, and Spark averages the tasks' parameters, weighted by tokens.  Words whose
+Texts are split twice: to count words, and to turn every text into the numbers of its outcomes, which are stored.
+Training texts are dealt to shards of about SHARD tokens by a hash of id and text, so that a model depends on the texts
+and not on how a table is split or how often a task is tried.  A round trains each of its shards from where the last
+round ended, in noise-contrastive steps over all of its tokens and batches that grow up to BATCH, and Spark averages the
+shards' parameters and step sizes, weighted by tokens.  The first round has one shard, which settles what the vectors'
+directions mean; the second a quarter of all, the last one all.  Words whose
 share of all tokens is at least one in HOT_SHARE (so at most HOT_SHARE words) are broadcast as sorted hashes; the counts
 of all others meet the texts by a shuffled join.
 
@@ -42,8 +45,9 @@ WORDS = OUTPUTS - 1 - OTHERS
 WIDTH, BEFORE = 16, 3
 #: At most this many words are broadcast, none longer than LONGEST bytes.
 HOT_SHARE, LONGEST = 1_000_000, 64
-#: Rounds of training, the largest batch, noise samples of a batch at either level, and the adaptive rate of the first round.
-ROUNDS, BATCH, NOISE, RATE = 1, 16384, 32, 0.1
+#: Tokens of a shard unless there would be more than SHARDS, shares of the shards in each round of training (0: one), the
+#: largest batch, noise samples of a batch at either level, and the adaptive rate.
+SHARD, SHARDS, ROUNDS, BATCH, NOISE, RATE = 1 << 21, 1024, (0.0, 0.25, 1.0), 16384, 32, 0.1
 #: Bytes of texts, and tokens, that are worked on at once.
 SLICE, TOKENS = 1 << 22, 1 << 18
 #: The end as a token: no word contains a blank.
@@ -71,6 +75,8 @@ class Model:
     mass: np.ndarray
     unknown: np.ndarray
     params: dict[str, np.ndarray] = field(default_factory=dict)
+    #: Sums of squared gradients, from which steps take their size.
+    squares: dict[str, np.ndarray] = field(default_factory=dict)
 
     def start(self, seed: int = 3) -> Model:
         """Random vectors; biases that give every outcome its share."""
@@ -78,6 +84,7 @@ class Model:
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         share, inner = self.shares()
         self.params = {"inputs": draw(OUTPUTS + 1, WIDTH), "near": np.ones((BEFORE, WIDTH), np.float32), "heads": draw(GROUPS, WIDTH), "head_bias": np.log(share).astype(np.float32), "outputs": draw(OUTPUTS, WIDTH), "bias": np.log(inner).ravel().astype(np.float32)}
+        self.squares = {k: np.full_like(v, 1e-6) for k, v in self.params.items()}
         return self
 
     def shares(self) -> tuple[np.ndarray, np.ndarray]:
@@ -290,38 +297,63 @@ def train_step(m: Model, before: np.ndarray, target: np.ndarray, rng: np.random.
         p[name] += rate * g / np.sqrt(s)
 
 
-def train_round(ids: DataFrame, model: Model, number: int) -> Model:
-    """A pass over all training texts (one column ids) and the average of the tasks' parameters, weighted by tokens."""
-    shared = ids.sparkSession.sparkContext.broadcast(replace(model, hot=None, hot_count=None, hot_out=None))
-    width = 2 * WIDTH + 1
+def _table(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Parameters as rows: outcomes and the start, groups, places."""
+    out = np.zeros((OUTPUTS + 1 + GROUPS + BEFORE, 2 * WIDTH + 1))
+    out[: OUTPUTS + 1, :WIDTH], out[:OUTPUTS, WIDTH:-1], out[:OUTPUTS, -1] = p["inputs"], p["outputs"], p["bias"]
+    out[OUTPUTS + 1 : -BEFORE, :WIDTH], out[OUTPUTS + 1 : -BEFORE, -1], out[-BEFORE:, :WIDTH] = p["heads"], p["head_bias"], p["near"]
+    return out
+
+
+def _params(t: np.ndarray) -> dict[str, np.ndarray]:
+    heads = t[OUTPUTS + 1 : -BEFORE]
+    parts = {"inputs": t[: OUTPUTS + 1, :WIDTH], "outputs": t[:OUTPUTS, WIDTH:-1], "bias": t[:OUTPUTS, -1], "heads": heads[:, :WIDTH], "head_bias": heads[:, -1], "near": t[-BEFORE:, :WIDTH]}
+    return {k: v.astype(np.float32) for k, v in parts.items()}
+
+
+def train_round(rows: DataFrame, model: Model, number: int, shards: int) -> Model:
+    """A pass over ``rows`` (ids, shard, key), each shard in one task's stream, in the order of keys; parameters and step
+    sizes are averaged, weighted by tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast(replace(model, hot=None, hot_count=None, hot_out=None))
 
     def run(batches):
-        base = shared.value
+        base, shard, rng, seen = shared.value, None, None, 0
         m = replace(base, params={k: v.copy() for k, v in base.params.items()})
-        sums = {k: np.full_like(v, 1e-6) for k, v in m.params.items()}
-        rng, seen = np.random.default_rng((number, TaskContext.get().partitionId() if TaskContext.get() else 0)), 0
-        for _, flat, sizes in _lists(batches, 0):
+        sums = {k: v.copy() for k, v in base.squares.items()}
+        for b, flat, sizes in _lists(batches, 0):
+            if rng is None:
+                shard = b.column(1)[0].as_py()
+                rng = np.random.default_rng((number, shard))
             before, order, a = contexts(flat, sizes), rng.permutation(len(flat)), 0
             while a < len(order):
                 own = order[a : a + min(BATCH, 256 + seen // 16)]
-                train_step(m, before[own], flat[own], rng, sums, RATE / (1 + number))
+                train_step(m, before[own], flat[own], rng, sums, RATE)
                 a, seen = a + len(own), seen + len(own)
         if not seen:
             return
-        # rows: outcomes and the start, groups, places
-        p, table = m.params, np.zeros((OUTPUTS + 1 + GROUPS + BEFORE, width))
-        table[: OUTPUTS + 1, :WIDTH], table[:OUTPUTS, WIDTH:-1], table[:OUTPUTS, -1] = p["inputs"], p["outputs"], p["bias"]
-        table[OUTPUTS + 1 : -BEFORE, :WIDTH], table[OUTPUTS + 1 : -BEFORE, -1], table[-BEFORE:, :WIDTH] = p["heads"], p["head_bias"], p["near"]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table)), pa.int32()), pa.array(np.full(len(table), float(seen))), *(pa.array(c * seen) for c in table.T)], ["row", "weight", *(f"v{j}" for j in range(width))])
-
-    cols = [f"v{j}" for j in range(width)]
-    parts = ids.mapInArrow(run, "row int, weight double, " + ", ".join(f"{c} double" for c in cols))
-    rows = parts.groupBy("row").agg(*[(F.sum(c) / F.sum("weight")).alias(c) for c in cols]).collect()  # OUTPUTS + GROUPS + 4 rows
-    if not rows:
+        table = np.concatenate([_table(m.params), _table(sums)], axis=1) * seen
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table)), pa.int32()), pa.array(np.full(len(table), float(seen))), *map(pa.array, table.T)], ["row", "weight", *cols])
+
+    cols = [f"v{j}" for j in range(2 * (2 * WIDTH + 1))]
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("key").select("ids", "shard")  # a shard a partition
+    parts = dealt.mapInArrow(run, "row int, weight double, " + ", ".join(f"{c} double" for c in cols))
+    found = parts.groupBy("row").agg(*[(F.sum(c) / F.sum("weight")).alias(c) for c in cols]).collect()  # OUTPUTS + GROUPS + 4 rows
+    if not found:
         return model
-    table = np.array([[r[c] for c in cols] for r in sorted(rows, key=lambda r: r["row"])], np.float32)
-    heads = table[OUTPUTS + 1 : -BEFORE]
-    return replace(model, params={"inputs": table[: OUTPUTS + 1, :WIDTH].copy(), "outputs": table[:OUTPUTS, WIDTH:-1].copy(), "bias": table[:OUTPUTS, -1].copy(), "heads": heads[:, :WIDTH].copy(), "head_bias": heads[:, -1].copy(), "near": table[-BEFORE:, :WIDTH].copy()})
+    table = np.array([[r[c] for c in cols] for r in sorted(found, key=lambda r: r["row"])])
+    params, squares = np.split(table, 2, axis=1)
+    return replace(model, params=_params(params), squares=_params(squares))
+
+
+def train(rows: DataFrame, model: Model) -> Model:
+    """The model after all rounds over ``rows`` (id, ids)."""
+    shards = max(1, min(SHARDS, -(-model.tokens // SHARD)))
+    key = F.xxhash64("id", "ids")
+    dealt = rows.select("ids", key.alias("key"), F.pmod(key, F.lit(shards)).cast("int").alias("shard"))
+    for number, share in enumerate(ROUNDS):
+        some = max(1, int(shards * share))
+        model = train_round(dealt.where(F.col("shard") < some), model, number, some)
+    return model
 
 
 def log_probabilities(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -358,8 +390,7 @@ def score_texts(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_c
     counts = stored(count_words(docs.where(learned).select(F.col(text_col).alias("text"))))
     model = prepare(counts)
     rows = stored(numbered(docs, learned, model, id_col, text_col))
-    for number in range(ROUNDS):
-        model = train_round(rows.where("learned").select("ids"), model, number)
+    model = train(rows.where("learned"), model)
     shared = docs.sparkSession.sparkContext.broadcast(model.params)
 
     def run(batches):
