@@ -118,13 +118,41 @@ def named(name: str):
     return found[name]
 
 
-def linear_head(rows: DataFrame, targets: tuple[str, ...]) -> DataFrame:
-    """(target, mse): a linear map from the vector ``features`` to each standardized target, fitted by least squares."""
-    from pyspark.ml.regression import LinearRegression
-
-    out = None
-    for t in targets:
-        model = LinearRegression(labelCol=t, regParam=1e-6, solver="normal").fit(rows)
-        one = model.transform(rows).agg(F.lit(t).alias("target"), F.avg(F.pow(F.col("prediction") - F.col(t), 2)).alias("mse"))
-        out = one if out is None else out.union(one)
-    return out
+def linear_head(rows: DataFrame, targets: tuple[str, ...], features: str = "features", ridge: float = 0.0) -> DataFrame:
+    """(target, mse, weights, intercept): linear maps from the array ``features`` to all targets, by least squares.
+
+    One pass: tasks add up the products of features, of targets and of both, shifted by the first row's values so that
+    nothing cancels, and hand on d + targets rows each; Spark sums them and one factorisation in a task serves all
+    targets.  Where features depend on each other it gives the shortest weights.  Rows with a null are left out, as are
+    arrays that aren't as long as most (the longer of equally many); no rows give no targets.
+    """
+    whole = rows.select(F.col(features).cast("array<double>").alias("x"), F.array(*[F.col(t).cast("double") for t in targets]).alias("y"))
+    whole = whole.where("x is not null and size(x) > 0 and not exists(x, v -> v is null) and not exists(y, v -> v is null)")
+    sizes = whole.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if sizes is None:
+        return rows.sparkSession.createDataFrame([], "target string, mse double, weights array<double>, intercept double")
+    d, k = sizes["d"], len(targets)
+    whole = whole.where(F.size("x") == d)
+    origin = np.array([*(first := whole.select("x", "y").first())["x"], *first["y"]])
+
+    def products(batches):
+        total = np.zeros((1 + d + k, 1 + d + k))
+        for b in batches:
+            z = np.concatenate([b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for i in (0, 1)], axis=1) - origin
+            z = np.concatenate([np.ones((len(z), 1)), z], axis=1)
+            total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(1 + d + k), 1 + d + k), pa.int32()), pa.array(np.tile(np.arange(1 + d + k), 1 + d + k), pa.int32()), pa.array(total.ravel())], ["i", "j", "v"])
+
+    sums = whole.select("x", "y").mapInArrow(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+    def solve(key, t):
+        m = np.zeros((1 + d + k, 1 + d + k))
+        m[t["i"].to_numpy(), t["j"].to_numpy()] = t["v"].to_numpy()
+        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+        c = m[1:, 1:] / n - np.outer(mean, mean)
+        w = np.linalg.pinv(c[:d, :d] + ridge * np.eye(d), rcond=1e-12, hermitian=True) @ c[:d, d:]
+        mse = np.diag(c)[d:] - 2 * np.einsum("ij,ij->j", w, c[:d, d:]) + np.einsum("ij,ik,kj->j", w, c[:d, :d], w)
+        intercept = (mean + origin)[d:] - (mean + origin)[:d] @ w
+        return pa.table([pa.array(list(targets)), pa.array(np.maximum(mse, 0)), pa.array(w.T.tolist(), pa.list_(pa.float64())), pa.array(intercept)], ["target", "mse", "weights", "intercept"])
+
+    return sums.groupBy(F.lit(0).alias("all")).applyInArrow(solve, "target string, mse double, weights array<double>, intercept double")  # (1 + d + k)^2 rows

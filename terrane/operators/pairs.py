@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Generator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.functions.vectors import distance, hash_rank
 from terrane.operators.corpus import largest_remainder
 from terrane.operators.ranks import placed
-from terrane.sources.tables import stored
+from terrane.sources.tables import release, stored
 
 #: Partners that an anchor is offered first: those that follow it in its subset's permutation.  Where they give too few
 #: pairs, the rest of the subset is searched.
 OFFERED = 24
 BANDS = {"random": (0.0, float("inf")), "matched": (0.0, 0.5), "mismatched": (1.5, float("inf"))}
-#: Rows of a block that a task compares with another one, and the width of the cells by whose order rows become blocks.
-BLOCK, CELL = 2048, 0.5
+#: The largest of the windows that follow, each FASTER times the one before, for anchors with too few pairs so far.
+WINDOW, FASTER = 384, 4
+#: Rows of a block that a task compares with another one, the width of the cells by whose order rows become blocks, and
+#: how many blocks, as a power of two, share an upper box.
+BLOCK, CELL, UPPER = 2048, 0.5, 3
 
 
 def ring(rows: DataFrame, seed: int) -> DataFrame:
@@ -37,9 +41,10 @@ def partners(ranked: DataFrame, steps: DataFrame) -> DataFrame:
     return at.join(other, ["subset", "r"]).select("subset", "anchor_id", "positive_id", distance(F.col("za"), F.col("zp")).alias("d"), "step")
 
 
-def offered(ranked: DataFrame, many: int = OFFERED) -> DataFrame:
-    """(subset, anchor_id, positive_id, d, step): every row with the ``many`` rows after it in its ring."""
-    steps = ranked.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(many)).cast("array<bigint>"))).where("step < n")
+def offered(ranked: DataFrame, anchors: DataFrame, after: int, many: int) -> DataFrame:
+    """(subset, anchor_id, positive_id, d, step): each anchor (subset, id, z, r, n) with the rows from the one behind
+    ``after`` to the ``many``-th after it in its ring."""
+    steps = anchors.withColumn("step", F.explode(F.sequence(F.lit(after + 1), F.lit(many)).cast("array<bigint>"))).where("step < n")
     return partners(ranked, steps.select("subset", F.col("id").alias("anchor_id"), F.col("z").alias("za"), "r", "step", "n"))
 
 
@@ -72,20 +77,42 @@ def blocks(rows: DataFrame) -> DataFrame:
     return stored(packed.withColumn("block", F.monotonically_increasing_id()))
 
 
+def touching(anchors: DataFrame, every: DataFrame, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+    """(near, uppers): pairs (a, c) of blocks of a subset that can hold rows within the band, by their bounding boxes, and
+    the pairs of upper boxes that they were looked for in.
+
+    2^UPPER blocks in a row share an upper box.  Upper boxes of a subset meet each other; blocks only meet where their
+    upper boxes do, keyed by both, so that no subset is one key of the larger join.
+    """
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)
+
+    def reach(a: str, c: str) -> Column:
+        up, down = F.zip_with(f"lo_{c}", f"hi_{a}", lambda x, y: x - y), F.zip_with(f"lo_{a}", f"hi_{c}", lambda x, y: x - y)
+        least = square(F.zip_with(up, down, lambda x, y: F.greatest(x, y, F.lit(0.0))))
+        most = square(F.zip_with(up, down, lambda x, y: F.greatest(-x, -y)))
+        return (least <= high * high * (1 + 1e-9)) & (most >= low * low * (1 - 1e-9))
+
+    box = lambda df, p: df.select("subset", F.shiftright("block", UPPER).alias(f"u{p}"), F.col("block").alias(p), F.col("lo").alias(f"lo_{p}"), F.col("hi").alias(f"hi_{p}"))
+
+    def upper(lower: DataFrame, p: str) -> DataFrame:
+        sides = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size(f"lo_{p}") - 1).alias("i"), F.col(f"lo_{p}").alias("lo"), F.col(f"hi_{p}").alias("hi"))).alias("s")
+        ends = lower.select("subset", f"u{p}", sides).groupBy("subset", f"u{p}", "s.i").agg(F.min("s.lo").alias("lo"), F.max("s.hi").alias("hi"))
+        whole = ends.groupBy("subset", f"u{p}").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("b"))  # a row a dimension
+        return whole.select("subset", f"u{p}", F.col("b.lo").alias(f"lo_u{p}"), F.col("b.hi").alias(f"hi_u{p}"))
+
+    la, lc = box(anchors, "a"), box(every, "c")
+    uppers = stored(upper(la, "a").join(upper(lc, "c"), "subset").where(reach("ua", "uc")).select("subset", "ua", "uc"))
+    return uppers.join(la, ["subset", "ua"]).join(lc, ["subset", "uc"]).where(reach("a", "c")).select("a", "c"), uppers
+
+
 def searched(ranked: DataFrame, short: DataFrame, low: float, high: float, many: int = OFFERED) -> DataFrame:
-    """(subset, r, step): the next admissible rows in the ring after the offered ones, for (subset, n, z, r, need).
+    """(subset, r, step): the next admissible rows in the ring after the ``many`` offered ones, for (subset, n, z, r, need).
 
-    Exact: a block of anchors meets every block of its subset that can have a row within the band, by their bounding
-    boxes.  A block returns at most the need of each anchor, so rows grow with anchors, not pairs.
+    Exact: a block of anchors meets every block of its subset that can have a row within the band.  A block returns at
+    most the need of each anchor, so rows grow with anchors, not pairs.
     """
     anchors, every = blocks(short), blocks(ranked.select("subset", "n", "z", "r", F.lit(0).alias("need")))
-    box = lambda df, p: df.select("subset", F.col("block").alias(p), F.col("lo").alias(f"lo_{p}"), F.col("hi").alias(f"hi_{p}"))
-    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)
-    up, down = F.zip_with("lo_c", "hi_a", lambda x, y: x - y), F.zip_with("lo_a", "hi_c", lambda x, y: x - y)
-    least = square(F.zip_with(up, down, lambda x, y: F.greatest(x, y, F.lit(0.0))))
-    most = square(F.zip_with(up, down, lambda x, y: F.greatest(-x, -y)))
-    reach = (least <= high * high * (1 + 1e-9)) & (most >= low * low * (1 - 1e-9))
-    near = box(anchors, "a").join(box(every, "c"), "subset").where(reach).select("a", "c")
+    near, _ = touching(anchors, every, low, high)
     left = anchors.select(F.col("block").alias("a"), "subset", "n", F.col("z").alias("za"), F.col("r").alias("ra"), "need")
     both = near.join(every.select(F.col("block").alias("c"), F.col("z").alias("zc"), F.col("r").alias("rc")), "c").join(left.hint("merge"), "a")  # sorted by a, so a task merges what a block of anchors finds
 
@@ -129,26 +156,36 @@ def searched(ranked: DataFrame, short: DataFrame, low: float, high: float, many:
 def build(rows: DataFrame, kind: str, uses: int, seed: int) -> DataFrame:
     """(subset, anchor_id, positive_id, ts_dist, use, r): each anchor's first ``uses`` admissible partners and its place.
 
-    Partners come in the order of the ring from the anchor on.  The first OFFERED are tried by a join; an anchor with
-    too few of them gets the next ones of its whole subset, so that one has fewer than ``uses`` only if the subset has
-    no more.
+    Partners come in the order of the ring from the anchor on.  Windows of the ring are tried by joins, from OFFERED rows
+    on, each for the anchors that have too few pairs so far; what is short behind WINDOW rows is searched for in the whole
+    subset, so that an anchor has fewer than ``uses`` only if the subset has no more.
     """
     low, high = BANDS[kind]
     ranked = stored(ring(rows, seed))
-    fit = offered(ranked).where((F.col("d") >= low) & (F.col("d") <= high))
-    use = F.row_number().over(W.partitionBy("anchor_id").orderBy("step"))
     names = ["subset", "anchor_id", "positive_id", F.col("d").alias("ts_dist"), "use"]
-    first_ = stored(fit.withColumn("use", use).where(F.col("use") <= uses).select(*names))
-    have = first_.groupBy(F.col("anchor_id").alias("id")).agg(F.count("*").alias("have"))
-    short = ranked.where(F.col("n") > OFFERED + 1).join(have, "id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < uses)
-    short = stored(short.select("subset", "id", "n", "z", "r", "have", (F.lit(uses) - F.col("have")).alias("need")))
-    out = first_
-    if not short.isEmpty():
-        found = searched(ranked, short.select("subset", "n", "z", "r", "need"), low, high)
+    short = ranked.select("subset", "id", "n", "z", "r", F.lit(0).cast("long").alias("have"), F.lit(uses).alias("need"))
+    parts, after, many = [], 0, OFFERED
+    while many <= WINDOW:
+        fit = offered(ranked, short, after, many).where((F.col("d") >= low) & (F.col("d") <= high))
+        fit = fit.join(short.select(F.col("id").alias("anchor_id"), "have"), "anchor_id")
+        use = F.col("have") + F.row_number().over(W.partitionBy("anchor_id").orderBy("step"))
+        parts.append(stored(fit.withColumn("use", use.cast("int")).where(F.col("use") <= uses).select(*names)))
+        got = parts[-1].groupBy(F.col("anchor_id").alias("id")).agg(F.count("*").alias("got"))
+        have = F.col("have") + F.coalesce("got", F.lit(0))
+        left = short.where(F.col("n") > many + 1).join(got, "id", "left").withColumn("have", have).where(F.col("have") < uses)
+        left = stored(left.select("subset", "id", "n", "z", "r", "have", (F.lit(uses) - F.col("have")).alias("need")))
+        short, after, many = left, many, many * FASTER
+        if short.isEmpty():
+            break
+    else:
+        found = searched(ranked, short.select("subset", "n", "z", "r", "need"), low, high, after)
         steps = found.withColumn("k", F.row_number().over(W.partitionBy("subset", "r").orderBy("step"))).join(short, ["subset", "r"]).where(F.col("k") <= F.col("need"))
         more = partners(ranked, steps.select("subset", F.col("id").alias("anchor_id"), F.col("z").alias("za"), "r", "step", "n"))
         uses_of = steps.select(F.col("subset"), F.col("id").alias("anchor_id"), "step", (F.col("have") + F.col("k")).cast("int").alias("use"))
-        out = first_.unionByName(more.join(uses_of, ["subset", "anchor_id", "step"]).select(*names))
+        parts.append(more.join(uses_of, ["subset", "anchor_id", "step"]).select(*names))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out.join(ranked.select(F.col("id").alias("anchor_id"), "r"), "anchor_id").select("subset", "anchor_id", "positive_id", "ts_dist", "use", "r")
 
 
@@ -217,35 +254,55 @@ def negatives(pairs: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
     return fit.groupBy("anchor_id", "positive_id").agg(F.min_by("id", "i").alias("negative_id"))
 
 
-def batches(pairs: DataFrame, size: int, seed: int, shards: int = 1) -> DataFrame:
-    """(shard, batch, anchor_id, positive_id): batches of ``size`` pairs in which no id comes twice; what is left at the
-    end of a shard is dropped.
+def matchings(pairs: DataFrame) -> Generator[DataFrame, DataFrame | None]:
+    """Maximal sets of ``pairs`` (anchor_id, positive_id, h) in which no id comes twice, one after the other, until none are
+    left; each is stored.
 
-    Filling batches is sequential: a pair whose ids its batch holds waits for the next one.  A task fills the batches of
-    a shard, pairs being dealt to ``shards`` by hash, so take shards in proportion to the pairs.
+    A pair wins if no pair that shares an id with it has a smaller ``h``; winners take their ids out, and the rest go on
+    until none is left.  Each step is an aggregation by id and joins with it, whatever order rows are in.
+    """
+    pool = stored(pairs)
+    while not pool.isEmpty():
+        alive, won = pool, None
+        while not alive.isEmpty():
+            ends = alive.select(F.explode(F.array("anchor_id", "positive_id")).alias("id"), "h")
+            least = ends.groupBy("id").agg(F.min("h").alias("least"))
+            side = lambda c: least.select(F.col("id").alias(c), F.col("least").alias(f"least_{c}"))  # noqa: B023, E731
+            held = alive.join(side("anchor_id"), "anchor_id").join(side("positive_id"), "positive_id")
+            new = stored(held.where("h = least_anchor_id and h = least_positive_id").select("anchor_id", "positive_id", "h"))
+            won = new if won is None else stored(won.unionByName(new))
+            gone = new.select(F.explode(F.array("anchor_id", "positive_id")).alias("gone"))
+            alive = alive.join(gone, F.col("anchor_id") == F.col("gone"), "left_anti").join(gone, F.col("positive_id") == F.col("gone"), "left_anti")
+            alive = stored(alive.select("anchor_id", "positive_id", "h"))
+        used = yield won
+        left = stored(pool.join((won if used is None else used).select("h"), "h", "left_anti"))
+        release(pool)
+        pool = left
+
+
+def batches(pairs: DataFrame, size: int, seed: int) -> DataFrame:
+    """(batch, anchor_id, positive_id): batches of ``size`` pairs in which no id comes twice.
+
+    Pairs are ordered by hash.  A round takes a maximal set of pairs that share no id, of which ``size`` in a row are a
+    batch; pairs behind its last full batch wait for the next round.  It ends with a round that doesn't fill one batch;
+    what is left then is dropped.  A pair of an id with itself fills no place.  Equal pairs count once.
     """
-    hashed = pairs.select("anchor_id", "positive_id", hash_rank(seed, F.col("anchor_id"), F.col("positive_id")).alias("h"))
-    dealt = hashed.withColumn("shard", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % shards).cast("int"))
-
-    def fill(key, rows):
-        order = np.argsort(np.array(rows["h"].to_pylist(), object))
-        a, p = (np.array(rows[c].to_pylist(), object)[order] for c in ("anchor_id", "positive_id"))
-        waiting, out, number = range(len(order)), [], 0
-        while len(waiting) >= size:
-            batch, used, later = [], set(), []
-            for i in waiting:
-                if len(batch) == size or a[i] in used or p[i] in used:
-                    later.append(i)
-                else:
-                    batch.append(i)
-                    used |= {a[i], p[i]}
-            if len(batch) < size:
-                break
-            out += [(number, i) for i in batch]
-            waiting, number = later, number + 1
-        at = [i for _, i in out]
-        kind = rows.schema.field("anchor_id").type
-        return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([b for b, _ in out], pa.int32()), pa.array(a[at].tolist(), kind), pa.array(p[at].tolist(), kind)], ["shard", "batch", "anchor_id", "positive_id"])
-
-    kind = pairs.schema["anchor_id"].dataType.simpleString()
-    return dealt.groupBy("shard").applyInArrow(fill, f"shard int, batch int, anchor_id {kind}, positive_id {kind}")
+    fit = pairs.where("anchor_id <> positive_id").select("anchor_id", "positive_id").distinct()
+    hashed = fit.withColumn("h", F.concat_ws(":", hash_rank(seed, F.col("anchor_id"), F.col("positive_id")), F.col("anchor_id").cast("string"), F.col("positive_id").cast("string")))
+    out, done, found = [], 0, matchings(hashed)
+    won = next(found, None)
+    while won is not None:
+        full = won.count() // size
+        if not full:
+            break
+        numbered = placed(won, [], ["h"], "place").where(F.col("place") < full * size)
+        out.append(stored(numbered.select((F.floor(F.col("place") / size) + done).cast("long").alias("batch"), "anchor_id", "positive_id", "h")))
+        done += full
+        try:
+            won = found.send(out[-1])
+        except StopIteration:
+            break
+    whole = hashed.limit(0).select(F.lit(0).cast("long").alias("batch"), "anchor_id", "positive_id")
+    for part in out:
+        whole = whole.unionByName(part.drop("h"))
+    return whole

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from terrane.functions import losses
 from terrane.functions.vectors import as_doubles, hash_rank, unit
 from terrane.operators import agreement, anchor, classify, cover, encoders, geometry, graph
+from terrane.operators.ranks import placed
 from terrane.plans import registry as r
 from terrane.plans.base import query, rounded
 from terrane.sources.tables import stored, table
@@ -112,8 +112,6 @@ c AS MATERIALIZED (SELECT x.batch, x.i AS a, y.i AS p, list_dot_product(x.ea, y.
 
 def class_pairs(spark, d):
     """(batch, i, anchor_id, positive_id, negative_id): places by hash instead of windows over all rows."""
-    from terrane.operators.ranks import placed
-
     rows = table(spark, d, "embeddings").select("vec_id", "label", hash_rank(5, F.col("vec_id")).alias("h"), hash_rank(6, F.col("vec_id")).alias("g"))
     own = stored(placed(rows, ["label"], ["h", "vec_id"], "k"))
     free = stored(placed(rows, [], ["g", "vec_id"], "k"))
@@ -183,11 +181,22 @@ def spanning_tree_losses(spark, d):
     return rounded(losses.tree_losses(_distances(spark, d)), "persistence", "topoae")
 
 
+def _headed(spark, d, many=None):
+    x = as_doubles(F.col("embedding"))
+    return table(spark, d, "embeddings").join(doc_features(spark, d), "vec_id").select((F.slice(x, 1, many) if many else x).alias("features"), *NAMES)
+
+
 @query()
 def textstat_head(spark, d):
     """Mean squared error of a linear map from vectors to each standardized feature."""
-    rows = table(spark, d, "embeddings").join(doc_features(spark, d), "vec_id").select(array_to_vector(as_doubles(F.col("embedding"))).alias("features"), *NAMES)
-    return rounded(losses.linear_head(rows.persist(), NAMES), "mse")
+    return rounded(losses.linear_head(_headed(spark, d), NAMES).select("target", "mse"), "mse")
+
+
+@query(f"WITH {HAVE}, x AS (SELECT embedding[1]::DOUBLE AS x, zf.* FROM embeddings JOIN zf USING (vec_id)) " + " UNION ALL ".join(f"SELECT '{c}' AS target, round(regr_syy({c}, x) / count(*) * (1 - regr_r2({c}, x)), 6) AS mse, round(regr_slope({c}, x), 6) AS slope, round(regr_intercept({c}, x), 6) AS intercept FROM x" for c in NAMES))
+def textstat_head_of_one(spark, d):
+    """The same from the vectors' first entry alone."""
+    out = losses.linear_head(_headed(spark, d, 1), NAMES)
+    return rounded(out.select("target", "mse", F.col("weights")[0].alias("slope"), "intercept"), "mse", "slope", "intercept")
 
 
 @query()

@@ -177,9 +177,9 @@ def pair_counts(spark, d):
 
 @query()
 def duplicate_free_batches(spark, d):
-    """Batches of 16 pairs in which no id comes twice, filled one after the other within a shard."""
+    """Batches of 16 pairs in which no id comes twice."""
     found = _wanted(spark, d, "matched")[0]
-    return pairs.batches(found, 16, 7, shards=8)
+    return pairs.batches(found, 16, 7)
 
 
 @query(f"""WITH {CORPUS}, s AS (SELECT subset, count(*) AS n FROM corpus GROUP BY 1), e AS (SELECT subset, n * 100 / (SELECT sum(n) FROM s) AS x FROM s),

@@ -1,5 +1,7 @@
 """Every registered query with SQL gives DuckDB's rows on the smallest tables; closed forms for the rest."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from oracle import check
@@ -184,13 +186,64 @@ def test_pairs_want_training_rows_only(spark):
             pairs.wanted(rows, kind, n, 1)
 
 
-def test_batches_hold_no_id_twice(spark):
-    p = spark.createDataFrame([(i // 5, 100 + i) for i in range(100)], "anchor_id long, positive_id long")
-    got = pairs.batches(p, 16, 1).collect()
-    for b in {r["batch"] for r in got}:
-        ids = [x for r in got if r["batch"] == b for x in (r["anchor_id"], r["positive_id"])]
-        assert len(ids) == len(set(ids)) == 32
-    assert len(got) >= 64 and len({(r["anchor_id"], r["positive_id"]) for r in got}) == len(got)
+def plain_batches(ids, size, seed):
+    """Greedy sets in the order of hashes, cut into batches, until a set doesn't fill one."""
+    key = lambda p: f"{hashlib.md5(f'{seed}:{p[0]}:{p[1]}'.encode()).hexdigest()}:{p[0]}:{p[1]}"
+    pool, out = sorted({p for p in ids if p[0] != p[1]}, key=key), []
+    while True:
+        used, won = set(), []
+        for p in pool:
+            if not used & set(p):
+                won.append(p)
+                used |= set(p)
+        full = len(won) // size
+        if not full:
+            return {(i // size, *p) for i, p in enumerate(out)}
+        out += won[: full * size]
+        taken = set(out)
+        pool = [p for p in pool if p not in taken]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_batches_hold_no_id_twice(spark, seed):
+    rng = np.random.default_rng(seed)
+    ids = [(i // 5, 100 + i) for i in range(100)] + [tuple(map(int, rng.integers(0, 60, 2))) for _ in range(150)] + [(3, 3), (0, 100)]
+    want = plain_batches(ids, 8, seed)
+    for parts in (1, 9):
+        got = pairs.batches(spark.createDataFrame(ids, "anchor_id long, positive_id long").repartition(parts), 8, seed).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
+    assert pairs.batches(spark.createDataFrame(ids[:3], "anchor_id long, positive_id long"), 8, 1).count() == 0
+
+
+def test_upper_boxes_spare_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    z = rng.integers(-7, 8, (60, 6))[np.arange(1920) // 32] + rng.normal(size=(1920, 6)) * 0.01
+    rows = spark.createDataFrame([(i, "s", [float(v) for v in r], 1920, i, 1) for i, r in enumerate(z)], "id long, subset string, z array<double>, n long, r long, need int")
+    boxes = pairs.blocks(rows.select("subset", "n", "z", "r", "need"))
+    near, uppers = pairs.touching(boxes, boxes, 0.0, 0.5)
+    got = {tuple(r) for r in near.collect()}
+    lo, hi = ({r["block"]: np.array(r[c]) for r in boxes.collect()} for c in ("lo", "hi"))
+    want = {(a, c) for a in lo for c in lo if (np.maximum(np.maximum(lo[c] - hi[a], lo[a] - hi[c]), 0) ** 2).sum() <= 0.25}
+    assert got == want
+    n, tried = len(lo), uppers.count() << 2 * pairs.UPPER
+    assert n >= 200 and tried + (n >> pairs.UPPER) ** 2 < n * n / 2
+
+
+def test_linear_head_of_all_targets(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 5)) + 1000
+    x[:, 4] = x[:, 3] * 2 - 1  # depends on another one
+    y = x[:, :3] @ rng.normal(size=(3, 2)) + rng.normal(size=(200, 2)) + 7
+    rows = [([float(v) for v in a], float(b[0]), float(b[1])) for a, b in zip(x, y, strict=True)] + [(None, 1.0, 1.0), ([1.0] * 5, None, 1.0), ([1.0], 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "features array<double>, s double, t double").repartition(5)
+    got = {r["target"]: r for r in losses.linear_head(df, ("s", "t")).collect()}
+    for k, c in enumerate("st"):
+        full = np.concatenate([x - 1000, np.ones((200, 1))], axis=1)
+        want = y[:, k] - full @ np.linalg.lstsq(full, y[:, k], rcond=1e-10)[0]
+        assert got[c]["mse"] == pytest.approx((want**2).mean(), rel=1e-6)
+        assert np.mean((x @ got[c]["weights"] + got[c]["intercept"] - y[:, k]) ** 2) == pytest.approx((want**2).mean(), rel=1e-5)
+    assert losses.linear_head(df.limit(0), ("s",)).count() == 0
 
 
 def test_losses_in_closed_form(spark):
