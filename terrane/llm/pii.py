@@ -6,14 +6,14 @@ Base spans (a pattern's match that passes its check) always stay.  Further gener
 spans are blanked out, so that an added span never overlaps one.  What they propose is scored by boosted trees of depth
 two over yes/no features of format and context, and accepted from a threshold on.
 
-Nobody labels spans, so the trees learn from what can be told without them, never from a feature that is the label.
-A wide generator per kind takes everything that resembles it.  Positive are base spans, and for secrets the runs that a
-word such as "token" and a sign assign; negative are runs that can't be of the kind by their count of parts or digits;
-all else, such as card numbers that fail their check, is unlabelled: it is scored, not learned from.  The checks
-themselves (Luhn, octets) aren't features, nor is the assignment for secrets.  A few fixed examples are always learned
-from, so that a table without any personal data gets a model too.  Spark counts the examples of every combination of
-features, at most 5 kinds times 2^14 rows, whatever the input, and the boosting runs on that table; documents whose
-crc32(id) modulo 5 is 0 are kept for the calibration, which takes each kind's lowest threshold with precision 0.95.  Every tree chooses among its own part of the features.
+Nobody labels spans, so the trees learn from two sources, both of proposals that the generators make.  Examples are made
+by rule, true and false ones of each kind, among them near misses such as numbers that fail Luhn's check, book numbers,
+hardware addresses, names and paths; their truth is known, so all features may be used.  Proposals of the corpus are
+labelled by the words before them, where these name the kind or speak of something else; their context features are
+masked, so that no tree reads its label, and they teach what the formats look like there.  Spark counts the proposals
+of every combination of features, at most 5 kinds times 2^16 rows, whatever the input, and the boosting runs on that
+table.  Documents whose crc32(id) modulo 5 is 0, and examples made from other seeds, are kept for the calibration, which
+takes each kind's lowest threshold with precision 0.95.  Every tree chooses among its own part of the features.
 
 Defined results: null texts count as empty and have no spans (``redact`` leaves them null); rows are treated one by one,
 so repeated rows give repeated results; an empty table gives no rows; other columns pass through ``redact`` unchanged, as
@@ -48,30 +48,21 @@ MORE = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}+){1,8}+"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}+:){2,7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])"),
     ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"),
+    # groups of four first, so that of two numbers side by side both are proposed
+    ("card", r"(?<![0-9A-Za-z.=+-])(?:[0-9]{4}[\x20.-]?){3}[0-9]{4}(?![0-9A-Za-z])"),
     ("card", r"(?<![0-9A-Za-z.=+-])[0-9](?:[\x20.-]?[0-9]){12,18}+(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z.=+-])(?:\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
 )
-#: What resembles a kind at all, for learning.
-WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]*+",
-    "ip": r"(?<![0-9.])[0-9]++(?:\.[0-9]++)++",
-    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])*+",
-    "phone": r"(?<![0-9().+-])[+(]?[0-9][\x20().0-9-]*+",
-    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+",
-}
 #: Texts without a match of this hold nothing that any generator proposes.
 ANY = r"[0-9@]|[\[(] ?at ?[\])]|[0-9A-Fa-f]:[0-9A-Fa-f]"
 #: What assigns a secret, at the end of the text before it; words near a kind.
 ASSIGNED = r"(?i)(?:token|key|secret|passw(?:or)?d|pwd|credential|bearer)[\"']?\s*[:=]?\s*[\"']?$"
-NAMED = {"email": r"(?i)mail|contact", "ip": r"(?i)\bip\b|host|addr", "card": r"(?i)card|visa|pay|account", "phone": r"(?i)phone|tel|call|mobile|fax", "secret": r"(?i)auth|api|login"}
-#: Fixed examples that are always learned from.
-EXAMPLES = (
-    "mail jo.doe@mail.example.org or a1@b.example.com now", "reach x@ or @home or 5 @ 3 there", "host 10.20.30.40 and 192.0.2.17, 8.8.4.4 up", "version 4.0 of 2.11, 1.2.3 or 3.14159",
-    "card 4111 1111 1111 1111 and 5500000000000004, 4012888888881881 ok", "in 2024 we had 12 of 300 and 65536", "call +1 (555) 010-9999 or +44 20 7946 0958 now", "pages 3-7, (12) and 10 000",
-    'token = "9f86d081884c7d659a2feaa0c55ad015" and api_key: c29tZS1sb25nLXNlY3JldC0x', "an extraordinarilylongcompoundword and internationalization_of_everything",
-)
+NAMED = {"email": r"(?i)mail|contact|write", "ip": r"(?i)\bip\b|host|addr|server", "card": r"(?i)card|visa|pay|credit", "phone": r"(?i)phone|tel|call|mobile|fax|ring", "secret": r"(?i)auth|api|login"}
+OTHER = r"(?i)version|isbn|order|\bid\b|serial|page|\bmac\b|ethernet|sha|commit|path|invoice|ref|ratio|time|class|import|http|file|article|number of"
 NEAR = 32
-FEATURES = ("digits_1_3", "digits_4_6", "digits_7_9", "digits_10_12", "digits_13_16", "digits_17_24", "grouped", "opened", "letters", "parts", "named", "joined", "quoted", "domain")
+FEATURES = ("digits_7_9", "digits_10_12", "digits_13_16", "digits_17_24", "luhn", "address", "other_format", "grouped", "opened", "letters", "mixed", "named", "other", "joined", "quoted", "domain")
+#: The bits of context, which are masked where context gives the label.
+CONTEXT = sum(1 << FEATURES.index(f) for f in ("named", "other", "quoted"))
 #: Trees of a kind, features that each may use, learning rate, and the precision that thresholds are set for.
 ROUNDS, PART, RATE, PRECISION = 24, 8, 0.5, 0.95
 
@@ -155,36 +146,72 @@ def feature_bits(kind: str, r: Column) -> Column:
     """The yes/no features of a match as the bits of an integer, in the order of FEATURES."""
     m, n = r.m, F.length(digits_of(r.m))
     flags = (
-        n.between(1, 3),
-        n.between(4, 6),
         n.between(7, 9),
         n.between(10, 12),
         n.between(13, 16),
         n.between(17, 24),
+        luhn(digits_of(m)) if kind == "card" else F.lit(False),
+        m.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^[0-9A-Fa-f:]*::[0-9A-Fa-f:]*$") if kind == "ip" else F.lit(False),
+        m.rlike(r"^(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}$|^97[89][-\x20]?[0-9]|^(.)\1*$|^0{3}|^[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?$"),
         m.rlike(r"[0-9][\x20.-][0-9]"),
         m.rlike(r"^[+(]"),
         m.rlike("[A-Za-z]"),
-        m.rlike(r"(?:[^.:]*+[.:]){3}|\bdot\b"),
-        r.pre.rlike(NAMED[kind]),
+        m.rlike(r"[0-9][A-Za-z]") & m.rlike(r"[A-Za-z][0-9]"),
+        r.pre.rlike(ASSIGNED if kind == "secret" else NAMED[kind]),
+        r.pre.rlike(OTHER),
         r.pre.rlike(r"[0-9A-Za-z_/-]$") | r.post.rlike(r"^[0-9A-Za-z_/]"),
         r.pre.rlike("[\"']$") & r.post.rlike("^[\"']"),
-        m.rlike(r"(?:@|\bat\b)[^@]*[.\[( ]"),
+        m.rlike(r"(?:@|\bat\b).*(?:\.|\bdot\b[\])]?\x20?)(?i:com|org|net|edu|gov|info|io|example|test|[a-z]{2})$"),
     )
     return sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(flags)), F.lit(0))
 
 
 def label(kind: str, r: Column) -> Column:
-    """Whether a wide match is of its kind; NULL where that can't be told.  ``r`` has m, pre."""
-    m, n = r.m, F.length(digits_of(r.m))
-    if kind == "email":
-        return m.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\.?$")
-    if kind == "ip":
-        return F.when(F.size(F.split(m, r"\.")) == 4, F.when(octets(m), True)).otherwise(False)
-    if kind == "card":
-        return F.when(n.between(13, 19), F.when(luhn(digits_of(m)), True)).otherwise(False)
-    if kind == "phone":
-        return F.when(n.between(9, 15), F.when(m.startswith("+"), True)).when(n.between(7, 15), F.lit(None)).otherwise(False)
-    return F.when(r.pre.rlike(ASSIGNED), True).when(n == 0, False)
+    """Whether a proposal is of its kind by the words before it alone; NULL where they don't say."""
+    named, other = r.pre.rlike(ASSIGNED if kind == "secret" else NAMED[kind]), r.pre.rlike(OTHER)
+    return F.when(named & ~other, True).when(other & ~named, False)
+
+
+def with_check(digits: str) -> str:
+    """The digits with a last one that satisfies Luhn's check."""
+    total = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
+    return digits + str(-total % 10)
+
+
+def examples(seed: int, many: int = 24) -> list[tuple[str, str, bool]]:
+    """(text, kind, truth): ``many`` true and false proposals of each kind beyond the base patterns, made by rule."""
+    rng = random.Random(seed)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, digit, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+    word = lambda: some(low, rng.randint(3, 9))
+    groups = lambda d, by: by.join(d[i : i + 4] for i in range(0, len(d), 4))
+    out = []
+    for _ in range(many):
+        at, dot = rng.choice([("[at]", "[dot]"), ("(at)", "(dot)")])
+        end = rng.choice(["com", "org", "net", "de", "example"])
+        named = rng.choice(["", "", "mail ", "contact "])
+        out.append((f"{named}{word()}.{word()} {at} {word()} {dot} {end}", "email", True))
+        out.append((f"{rng.choice(['', 'meet '])}{word()} {at} {word()} {dot} {some(low, rng.randint(5, 9))}", "email", False))
+        full = [some(hexa, 4) for _ in range(8)]
+        out.append((f"{rng.choice(['', 'host ', 'server '])}{rng.choice([':'.join(full), f'{full[0]}::{full[1]}:{full[2]}', f'fe80::{full[3]}:{full[4]}:{full[5]}'])}", "ip", True))
+        pairs = [some(hexa, 2) for _ in range(6)]
+        out.append((f"{rng.choice(['', 'mac ', 'host '])}{rng.choice([':'.join(pairs), f'{some(digit, 2)}:{some(digit, 2)}:{some(digit, 2)}', ':'.join(pairs[:4])])}", "ip", False))
+        own = with_check(rng.choice("3456") + some(digit, 14))
+        out.append((f"{rng.choice(['', '', 'card ', 'visa '])}{rng.choice([own, groups(own, ' '), groups(own, '.'), groups(own, '-')])}", "card", True))
+        wrong = own[:-1] + str((int(own[-1]) + rng.randint(1, 9)) % 10)
+        book = "978" + some(digit, 10)
+        out.append((f"{rng.choice(['', '', 'card ', 'order '])}{rng.choice([wrong, groups(wrong, ' '), wrong])}", "card", False))
+        out.append((f"{rng.choice(['', 'isbn '])}{rng.choice([book, f'978-{some(digit, 1)}-{some(digit, 2)}-{some(digit, 6)}-{some(digit, 1)}'])}", "card", False))
+        a, b, c = some("23456789", 1) + some(digit, 2), some(digit, 3), some(digit, 4)
+        out.append((f"{rng.choice(['', 'call ', 'phone ', 'tel '])}{rng.choice([f'({a}) {b}-{c}', f'{a}-{b}-{c}', f'1-{a}-{b}-{c}'])}", "phone", True))
+        out.append((f"{rng.choice(['order ', 'id ', 'serial ', 'ref '])}{rng.choice([f'{a}-{b}-{c}', f'{a}.{b}.{c}', f'{a} {b} {c}'])}", "phone", False))
+        mixed = some(low + low.upper() + digit, rng.randint(24, 40))
+        key, quote = rng.choice(["token = ", "api_key: ", "secret=", "password: "]), rng.choice(["", '"', "'"])
+        out.append((f"{key}{quote}{mixed}{quote}", "secret", True))
+        joined = rng.choice(["_", "-", "/"]).join(word() for _ in range(5))
+        out.append((f"{rng.choice(['', 'path ', 'file ', 'token = '])}{quote}{rng.choice([joined, joined.replace('_', ''), '=' * 24])}{quote}", "secret", False))
+        out.append((f"{rng.choice(['commit ', 'sha ', ''])}{some(hexa, 40)}", "secret", False))
+    return [(f"{word()} {t} {word()}", k, truth) for t, k, truth in out]
 
 
 @dataclass
@@ -260,18 +287,24 @@ def _prepared(docs: DataFrame, text_col: str, out: str) -> DataFrame:
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Trees:
-    """Count the wide matches by kind, features and label, then boost and calibrate."""
+    """Count the proposals by kind, features and label, then boost and calibrate."""
+    spark = docs.sparkSession
     kept = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
-    both = docs.sparkSession.range(2).select(F.explode(F.array(*[F.lit(t) for t in EXAMPLES])).alias("t"), (F.col("id") == 0).alias("kept"))
-    base = _prepared(docs.select(F.col(text_col).alias("t"), kept.alias("kept")).unionByName(both), "t", "clean").where("clean <> ''").select("kept", "clean")
-    found = with_matches(base, [(f"m_{k}", k, F.col("clean"), WIDE[k]) for k in ALL], label)
+    none = F.lit(None)
+    rows = docs.select(F.col(text_col).alias("t"), kept.alias("kept"), none.cast("string").alias("made"), none.cast("boolean").alias("truth"))
+    made = [(t, part, k, truth) for part, seed in ((False, 1), (True, 2)) for t, k, truth in examples(seed)]
+    parts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(part).alias("kept"), F.lit(k).alias("made"), F.lit(truth).alias("truth")) for t, part, k, truth in made])
+    fixed = spark.range(1).select(F.explode(parts).alias("r")).select("r.*")
+    base = _prepared(rows.unionByName(fixed), "t", "clean").where("clean <> ''").select("kept", "made", "truth", "clean")
+    found = with_matches(base, [(f"m_{j}", k, F.col("clean"), p) for j, (k, p) in enumerate(MORE)], label)
 
     def example(k):
-        return lambda r: F.struct(F.lit(k).alias("kind"), r.bits.alias("bits"), r.good.alias("good"))
+        own = F.col("made") == k
+        return lambda r: F.struct(F.lit(k).alias("kind"), F.when(own, r.bits).otherwise(r.bits.bitwiseAND(((1 << len(FEATURES)) - 1) ^ CONTEXT)).alias("bits"), F.when(own, F.col("truth")).when(F.col("made").isNull(), r.good).alias("good"))
 
-    rows = F.concat(*[F.transform(f"m_{k}", example(k)) for k in ALL])
-    counted = found.select("kept", F.inline(rows)).where("good is not null").groupBy("kept", "kind", "bits").agg(F.count_if("good").alias("p"), F.count_if(~F.col("good")).alias("n"))
-    # at most two times five times 2^14 rows
+    each = F.concat(*[F.transform(f"m_{j}", example(k)) for j, (k, _) in enumerate(MORE)])
+    counted = found.select("kept", F.inline(each)).where("good is not null").groupBy("kept", "kind", "bits").agg(F.count_if("good").alias("p"), F.count_if(~F.col("good")).alias("n"))
+    # at most two times five times 2^16 rows
     table = counted.collect()
     start, trees, threshold = {}, {}, {}
     for k in ALL:
