@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from terrane.plans import registry
 
-NAMES = ("corpus_frame", "text_features", "zscores", "pairs_matched", "within_between_gap", "class_centroids", "cover_membership", "mapper_edges", "graph_stats", "purity", "pairwise_agreement", "jackknife_se", "feature_rank_correlation", "anchor_rho_uniform", "upsert_results", "fig_rho_vs_step", "roster_order")
+NAMES = ("corpus_frame", "text_features", "zscores", "pairs_matched", "within_between_gap", "class_centroids", "cover_membership", "mapper_edges", "graph_stats", "purity", "pairwise_agreement", "jackknife_se", "feature_rank_correlation", "anchor_rho_uniform", "layers_two_and_three", "checkpoint_evaluation", "graph_stats_density", "duplicate_free_batches", "upsert_results", "fig_rho_vs_step", "roster_order")
 
 
 def main() -> None:

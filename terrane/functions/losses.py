@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrane.functions.vectors import as_doubles, distance, dot, unit
+from terrane.functions.vectors import as_doubles, distance, dot, hash_rank, unit
 
 
 def batched(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -70,6 +71,18 @@ def distance_preservation(pairs: DataFrame, mode: str | float = "match_mean") ->
     return pairs.join(scale, "batch").groupBy("batch").agg(F.avg(F.pow(F.col("x") - F.col("s") * F.col("d"), 2)).alias("loss"))
 
 
+def subsample(points: DataFrame, every: int, most: int = 64, seed: int = 0, name: str = "vec_id") -> DataFrame:
+    """(batch, <name>): up to ``most`` points of every ``every``-th batch, by hash; a batch is of bounded size."""
+    at = F.row_number().over(W.partitionBy("batch").orderBy(hash_rank(seed, F.col("batch"), F.col(name)), name))
+    return points.where(F.col("batch") % every == 0).select("batch", name, at.alias("at")).where(F.col("at") <= most).drop("at")
+
+
+def with_auxiliary(main: DataFrame, auxiliary: DataFrame, weight: float) -> DataFrame:
+    """(batch, loss, aux, total): losses of all batches, with the auxiliary ones of those that have one."""
+    both = main.join(auxiliary.select("batch", F.col("loss").alias("aux")), "batch", "left")
+    return both.select("batch", "loss", "aux", (F.col("loss") + weight * F.coalesce("aux", F.lit(0.0))).alias("total"))
+
+
 def spanning_tree(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges (i, j) of the least spanning tree of a distance matrix and their lengths, by Prim."""
     n = len(d)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrane.functions.stats import correlation_p
 from terrane.operators.ranks import running
 
 
@@ -70,3 +71,10 @@ def bootstrap(stats: DataFrame, names: list[str]) -> DataFrame:
 def pair_summary(pairs: DataFrame) -> DataFrame:
     """One row: mean and deviation of ari and nmi (0 where there are too few pairs), and the number of pairs."""
     return pairs.agg(F.count("*").alias("pairs"), *[F.coalesce(f(c), F.lit(0.0)).alias(f"{n}_{c}") for c in ("ari", "nmi") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+
+
+def with_p(found: DataFrame, legacy: bool = False) -> DataFrame:
+    """``found`` (n, rho, ...) with the two-sided p-value of each correlation; where there is none it is NULL, or 1 in the
+    legacy form."""
+    p = correlation_p(F.col("rho"), F.col("n"))
+    return found.withColumn("p", F.coalesce(p, F.lit(1.0)) if legacy else p)

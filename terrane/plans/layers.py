@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import losses
 from terrane.functions.vectors import as_doubles, hash_rank, unit
-from terrane.operators import agreement, anchor, classify, cover, encoders, geometry, graph
+from terrane.operators import agreement, align, anchor, classify, cover, encoders, geometry, graph
 from terrane.operators.ranks import placed
 from terrane.plans import registry as r
 from terrane.plans.base import query, rounded
@@ -176,6 +176,25 @@ def reference_scales(spark, d):
     return rounded(a.join(b, "batch"), "unscaled", "halved")
 
 
+EVERY, MOST, LAMBDA = 4, 24, 0.1
+_AUX = f"""WITH {PB}, {HAVE}, ids AS (SELECT batch, vec_id FROM (SELECT DISTINCT batch, unnest([anchor_id, positive_id]) AS vec_id FROM pb WHERE batch % {EVERY} = 0) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY md5('17:' || batch || ':' || vec_id), vec_id) <= {MOST}),
+at AS (SELECT ids.batch, ids.vec_id, n.e, [{', '.join(NAMES)}] AS z FROM ids JOIN n USING (vec_id) JOIN zf USING (vec_id)), far AS (SELECT x.batch, greatest(1 - list_dot_product(x.e, y.e), 0) AS x, list_distance(x.z, y.z) AS d FROM at x JOIN at y ON x.batch = y.batch AND x.vec_id < y.vec_id),
+s AS (SELECT batch, CASE WHEN avg(d) > 0 THEN avg(x) / avg(d) ELSE 1 END AS s FROM far GROUP BY batch), aux AS (SELECT batch, avg(pow(x - s * d, 2)) AS aux FROM far JOIN s USING (batch) GROUP BY batch),
+each AS (SELECT batch, a, ln(sum(exp(c / 0.05 - 20))) AS z, max(c / 0.05 - 20) FILTER (a = p) AS own FROM c GROUP BY ALL), main AS (SELECT batch, avg(z - own) AS loss FROM each GROUP BY batch)
+SELECT batch, round(loss, 6) AS loss, round(aux, 6) AS aux, round(loss + {LAMBDA} * coalesce(aux, 0), 6) AS total FROM main LEFT JOIN aux USING (batch)"""
+
+
+@query(_AUX)
+def auxiliary_losses(spark, d):
+    """The contrastive loss of every batch, with the distance loss of some of its points in every fourth one."""
+    pairs = stored(class_pairs(spark, d))
+    ids = losses.subsample(pairs.select("batch", F.explode(F.array("anchor_id", "positive_id")).alias("vec_id")).distinct(), EVERY, MOST, 17)
+    v = table(spark, d, "embeddings").select("vec_id", unit(as_doubles(F.col("embedding"))).alias("e"))
+    points = ids.join(v, "vec_id").join(doc_features(spark, d).select("vec_id", "z"), "vec_id").select("batch", F.col("vec_id").alias("i"), "e", "z")
+    main = losses.contrastive(losses.in_batch(losses.batched(pairs, table(spark, d, "embeddings"))))
+    return rounded(losses.with_auxiliary(main, losses.distance_preservation(losses.distances(points)), LAMBDA), "loss", "aux", "total")
+
+
 @query()
 def spanning_tree_losses(spark, d):
     return rounded(losses.tree_losses(_distances(spark, d)), "persistence", "topoae")
@@ -246,11 +265,21 @@ def router_per_corpus(spark, d):
     return rounded(classify.router_per_corpus(v.where("label < 5"), v.where("label >= 5")), "accuracy_a", "accuracy_b")
 
 
+def geometry_of(vectors):
+    """One row: cosine geometry, the number of vectors and of classes."""
+    sizes = vectors.agg(F.count("*").alias("n_docs"), F.countDistinct("label").alias("n_classes"))
+    return geometry.within_between(vectors).crossJoin(geometry.centroid_separation(vectors).select("separation")).crossJoin(sizes)
+
+
 def layer1(vectors):
     """One row: cosine geometry and hold-out accuracy."""
-    sizes = vectors.agg(F.count("*").alias("n_docs"), F.countDistinct("label").alias("n_classes"))
-    out = geometry.within_between(vectors).crossJoin(geometry.centroid_separation(vectors).select("separation"))
-    return out.crossJoin(classify.accuracy(vectors).select(F.col("accuracy").alias("lr_acc"))).crossJoin(sizes)
+    return geometry_of(vectors).crossJoin(classify.accuracy(vectors).select(F.col("accuracy").alias("lr_acc")))
+
+
+@query(f"SELECT * FROM ({r.SQL['within_between_gap']}), (SELECT separation FROM ({r.SQL['centroid_separation']})), (SELECT count(*) AS n_docs, count(DISTINCT label) AS n_classes FROM embeddings)")
+def layer_one_geometry(spark, d):
+    """All of layer one but its accuracy."""
+    return rounded(geometry_of(table(spark, d, "embeddings")), "within", "between", "gap", "separation")
 
 
 @query()
@@ -275,12 +304,25 @@ def layers_two_three(spark, vectors, features, cells=r.CELLS, seeds=cover.SEEDS)
     return out.withColumn("disintegrated", r.results.disintegrated(F.col("coverage"), F.col("nodes")))
 
 
-@query()
+_SE = lambda c: f"WITH RECURSIVE {r.AGREE}, s AS (SELECT DISTINCT unnest([seed_a, seed_b]) AS k FROM agree), m AS (SELECT k, avg({c}) AS m FROM s JOIN agree ON k <> seed_a AND k <> seed_b GROUP BY k) SELECT round(sqrt((count(*) - 1) * var_pop(m)), 6) AS se_{c} FROM m"
+LAYERS = f"""SELECT s.* EXCLUDE (pairs), se_ari, se_nmi, mean_coverage AS coverage, mean_n_nodes AS nodes, n_successful_seeds, weighted AS purity, m.mean AS mean_purity, l.rho AS anchor_rho, l.n_pairs_used, a.mean AS anchor_rho_mean, a.sd AS anchor_rho_sd, a.n AS n_anchor_seeds,
+ mean_coverage IS NULL OR mean_n_nodes IS NULL OR mean_coverage < 0.05 OR mean_n_nodes < 5 AS disintegrated
+FROM ({r.SQL['bootstrap_summary']}) s, ({_SE('ari')}), ({_SE('nmi')}), ({r.SQL['bootstrap_statistics']}) b, (SELECT weighted, mean FROM ({r.SQL['purity']}) WHERE seed = 42) m, (SELECT rho, n_pairs_used FROM ({r.SQL['anchor_rho_legacy']}) WHERE seed = 42) l, ({r.SQL['anchor_summary']}) a"""
+
+
+@query(LAYERS)
 def layers_two_and_three(spark, d):
     out = layers_two_three(spark, table(spark, d, "embeddings"), stored(doc_features(spark, d)))
     return rounded(out, *[f.name for f in out.schema if f.dataType.simpleString() == "double"])
 
 
+def reanalysed(spark, vectors, rows, features, seeds=cover.SEEDS):
+    """Layers two and three of kept vectors (vec_id, embedding) for the evaluation rows (vec_id, label); other ids, missing
+    or doubled ones raise before anything is computed."""
+    both = align.checked(vectors.select("vec_id", "embedding"), rows.select("vec_id", "label"), "vec_id")
+    return layers_two_three(spark, stored(both), features, seeds=seeds)
+
+
 @query()
 def checkpoint_evaluation(spark, d):
     """All layers of one encoder's vectors in one row."""

@@ -322,6 +322,18 @@ def feature_rank_correlation(spark, d):
     return rounded(agreement.spearman(features(spark, d), ["subset"], "lexicon_count", "avg_sentence_length"), "rho")
 
 
+_P = f"""WITH {FEATS}, k AS (SELECT subset, rank() OVER (PARTITION BY subset ORDER BY id) + (count(*) OVER (PARTITION BY subset, id) - 1) / 2 AS a, rank() OVER (PARTITION BY subset ORDER BY lexicon_count) + (count(*) OVER (PARTITION BY subset, lexicon_count) - 1) / 2 AS b FROM feats),
+c AS (SELECT subset, count(*) AS n, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN corr(a, b) END AS rho FROM k GROUP BY subset), t AS (SELECT *, n - 2 AS v, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM c),
+f AS (SELECT subset, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + pow(t * i / 4000, 2) / v, -(v + 1) / 2) * t / 12000 AS f FROM t, range(4001) s(i) WHERE n > 2)
+SELECT subset, n, round(rho, 6) AS rho, round((SELECT 1 - 2 * sum(f.f) FROM f WHERE f.subset = t.subset), 6) AS p FROM t"""
+
+
+@query(_P)
+def rank_correlation_p(spark, d):
+    """Rank correlation of id and words in every subset, with its p-value."""
+    return rounded(agreement.with_p(agreement.spearman(features(spark, d), ["subset"], "id", "lexicon_count")), "rho", "p")
+
+
 RUNS = """runs AS (SELECT 'm' || (user_id % 7) AS model, event_type AS pair_set, 0.01::DOUBLE * (1 + event_id % 4) AS tau, (event_id % 3)::INTEGER AS seed, (event_id % 5) / 4.0::DOUBLE AS ckpt_frac, event_id, value AS gap, value / 2 - event_id % 11 AS rho, (event_id % 100) / 100.0::DOUBLE AS coverage, (event_id % 40)::DOUBLE AS nodes,
  'exp' || (1 + event_id % 4) AS exp, CASE WHEN event_id % 3 = 0 THEN 'triplet' ELSE 'mnrl' END AS loss, CASE event_id % 7 WHEN 0 THEN 'dist_preserve' WHEN 1 THEN NULL ELSE '' END AS aux, CASE WHEN event_id % 7 = 0 THEN 0.1::DOUBLE * (1 + event_id % 2) END AS lam, CASE WHEN event_id % 7 < 4 THEN 'S' ELSE 'M' END AS corpus,
  '0.0' || (1 + event_id % 4) || CASE WHEN event_id % 3 = 0 THEN '0' ELSE '' END AS tau_text, (468 + CASE WHEN user_id % 7 = 3 THEN event_id % 2 ELSE 0 END)::DOUBLE AS total_steps, value / 3 AS router FROM events)"""

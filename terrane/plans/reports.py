@@ -81,15 +81,10 @@ def fig_per_seed(spark, d):
 
 @query(f"""WITH {RUNS}, o AS (SELECT corpus, avg(gap) AS gap, avg(rho) AS rho FROM runs GROUP BY corpus), q AS (SELECT corpus, avg(gap) AS gap, avg(rho) AS rho FROM runs WHERE model = 'm0' AND corpus = 'S' GROUP BY corpus),
 l AS (SELECT o.corpus, 'gap' AS metric, o.gap AS ours, q.gap AS ref FROM o LEFT JOIN q ON o.corpus = q.corpus UNION ALL SELECT o.corpus, 'rho', o.rho, q.rho FROM o LEFT JOIN q ON o.corpus = q.corpus)
-SELECT corpus, metric, ref IS NULL AS missing, round(ours, 3) AS ours, round(coalesce(ours - ref, 0), 3) AS delta FROM l""")
+SELECT corpus, metric, coalesce(printf('%.4f', ours), '-') AS ours, coalesce(printf('%.4f', ref), '-') AS ref, coalesce(printf('%.4f', ours - ref), '-') AS delta FROM l""")
 def metric_table(spark, d):
     t = runs(spark, d)
-    out = results.text_table(t, t.where("model = 'm0' and corpus = 'S'").groupBy("corpus").agg(F.avg("gap").alias("gap"), F.avg("rho").alias("rho")), ("gap", "rho"))
-    ours, ref = (t.groupBy("corpus").agg(F.avg("gap").alias("gap"), F.avg("rho").alias("rho")) for t in (t, t.where("model = 'm0' and corpus = 'S'")))
-    exact = ours.join(ref.select("corpus", F.col("gap").alias("g"), F.col("rho").alias("h")), "corpus", "left")
-    exact = exact.select("corpus", F.explode(F.array(F.struct(F.lit("gap").alias("metric"), F.col("gap").alias("ours"), F.col("g").alias("ref")), F.struct(F.lit("rho").alias("metric"), F.col("rho").alias("ours"), F.col("h").alias("ref")))).alias("x")).select("corpus", "x.*")
-    both = out.select("corpus", "metric", (F.col("ref") == "-").alias("missing")).join(exact.select("corpus", "metric", F.round("ours", 3).alias("ours"), F.round(F.coalesce(F.col("ours") - F.col("ref"), F.lit(0.0)), 3).alias("delta")), ["corpus", "metric"])
-    return both
+    return results.text_table(t, t.where("model = 'm0' and corpus = 'S'").groupBy("corpus").agg(F.avg("gap").alias("gap"), F.avg("rho").alias("rho")), ("gap", "rho"))
 
 
 @query("SELECT event_id, round(CASE WHEN s < w THEN s / greatest(w, 1) ELSE greatest(0, (t - s) / greatest(t - w, 1)) END, 6) AS share FROM (SELECT event_id, (event_id % 470)::DOUBLE AS s, 468.0::DOUBLE AS t, round_even(46.8, 0)::DOUBLE AS w FROM events)")
@@ -98,15 +93,14 @@ def warm_up_shares(spark, d):
     return rounded(e.select("event_id", results.warm_up((F.col("event_id") % 470).cast("double"), F.lit(468.0), 0.1).alias("share")), "share")
 
 
-@query("""WITH g AS (SELECT DISTINCT model, loss, tau, pair_set, aux, CASE WHEN aux = '' THEN 0 ELSE lam END AS lam, seed FROM (SELECT unnest(['m0', 'm1']) AS model), (SELECT unnest(['mnrl', 'triplet']) AS loss), (SELECT unnest([0.01, 0.02]::DOUBLE[]) AS tau), (SELECT unnest(['view']) AS pair_set), (SELECT unnest(['', 'dist_preserve']) AS aux), (SELECT unnest([0.1, 0.2]::DOUBLE[]) AS lam), (SELECT unnest([0, 1]) AS seed))
+@query(f"""WITH {RUNS}, g AS (SELECT DISTINCT model, loss, tau, pair_set, aux, CASE WHEN aux = '' THEN 0 ELSE lam END AS lam, seed FROM (SELECT DISTINCT model FROM runs), (SELECT DISTINCT loss FROM runs), (SELECT DISTINCT round(tau, 6) AS tau FROM runs), (SELECT DISTINCT pair_set FROM runs), (SELECT unnest(['', 'dist_preserve']) AS aux), (SELECT DISTINCT round(lam, 6) AS lam FROM runs WHERE lam IS NOT NULL), (SELECT DISTINCT seed FROM runs))
 SELECT model, loss, round(tau, 6) AS tau, pair_set, aux, round(lam, 6) AS lam, seed::BIGINT AS seed FROM g""")
 def grid_runs(spark, d):
-    """A grid of runs; without an auxiliary loss its weights are one run."""
-    return rounded(_grid(spark).withColumnRenamed("lambda", "lam"), "tau", "lam")
-
-
-def _grid(spark):
-    return results.expanded(spark, ["m0", "m1"], ["mnrl", "triplet"], [0.01, 0.02], ["view"], ["", "dist_preserve"], [0.1, 0.2], [0, 1])
+    """The whole grid of what the runs of a table vary; without an auxiliary loss its weights are one run."""
+    t = runs(spark, d)
+    told = t.agg(*[F.sort_array(F.collect_set(c)).alias(n) for n, c in (("model", "model"), ("loss", "loss"), ("tau", F.round("tau", 6)), ("pair_set", "pair_set"), ("lam", F.round("lambda", 6)), ("seed", "seed"))]).first()  # values that runs vary
+    grid = results.expanded(spark, told["model"], told["loss"], told["tau"], told["pair_set"], ["", "dist_preserve"], told["lam"], told["seed"])
+    return rounded(grid.withColumnRenamed("lambda", "lam").withColumn("seed", F.col("seed").cast("long")), "tau", "lam")
 
 
 @query(f"""WITH {RUNS}, g AS (SELECT DISTINCT model, loss, tau, pair_set, aux, CASE WHEN aux = '' THEN 0 ELSE lam END AS lam, seed FROM (SELECT unnest(['m0', 'm1']) AS model), (SELECT unnest(['mnrl', 'triplet']) AS loss), (SELECT unnest([0.01, 0.02]::DOUBLE[]) AS tau), (SELECT unnest(['view']) AS pair_set), (SELECT unnest(['', 'dist_preserve']) AS aux), (SELECT unnest([0.1, 0.2]::DOUBLE[]) AS lam), (SELECT unnest([0, 1]) AS seed)),
