@@ -20,8 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.common import byte_slices
+
 #: Bytes of payload that are coded together; bounds the memory of a task.
 SLICE = 1 << 20
+#: Bytes of a payload, and of a scan, that are coded or read at once.
+PIECE = 1 << 20
 
 # Fixed values of the baseline format: the zigzag order isn't needed, as coefficients are stored in scan order.
 #: Huffman tables of the writer: counts of codes by length 1 to 16, then symbols.  Letters are size 7, blanks and
@@ -135,26 +139,44 @@ def _scans(blocks: np.ndarray, last: np.ndarray, nth: np.ndarray) -> tuple[np.nd
 
 
 def encode_jpegs(payloads: list[bytes], n_bytes: list[int]) -> list[bytes]:
-    """One baseline JPEG per payload (whose length is a positive multiple of 64)."""
-    heads, parts, last, nth = [], [], [], []
-    for p, n in zip(payloads, n_bytes, strict=True):
+    """One baseline JPEG per payload (whose length is a positive multiple of 64).
+
+    Every block ends at a restart, so blocks are coded PIECE bytes of payload at a time, whatever a payload's length.
+    """
+    out: list[list[bytes]] = []
+    todo: list[tuple[int, bytes, np.ndarray, bool]] = []
+    held = 0
+
+    def coded() -> None:
+        blocks = np.frombuffer(b"".join(x[1] for x in todo), np.int8).reshape(-1, 64)
+        ends = np.cumsum([len(x[1]) // 64 for x in todo])
+        flag = np.zeros(len(blocks), bool)
+        flag[ends[[x[3] for x in todo]] - 1] = True
+        scan, cut = _scans(blocks, flag, np.concatenate([x[2] for x in todo]))
+        cut = np.concatenate(([0], cut[ends - 1])).tolist()
+        scan = scan.tobytes()
+        for (i, *_), a, z in zip(todo, cut, cut[1:], strict=False):
+            out[i].append(scan[a:z])
+        todo.clear()
+
+    for i, (p, n) in enumerate(zip(payloads, n_bytes, strict=True)):
         used = len(p) // 64
         wide = int(np.ceil(np.sqrt(used)))
         high = -(-used // wide)
         note = f"bytes={n};payload={len(p)}".encode()
         frame = b"\x08" + (high * 8).to_bytes(2, "big") + (wide * 8).to_bytes(2, "big") + b"\1\1\x11\0"
-        heads.append(b"\xff\xd8" + _segment(0xFE, note) + _TABLES[0] + _segment(0xC0, frame) + _TABLES[1])
-        parts += [p, bytes(64 * (wide * high - used))]
-        nth.append(np.arange(wide * high))
-        last.append(wide * high)
-    ends = np.cumsum(last)
-    flag = np.zeros(int(ends[-1]), bool)
-    flag[ends - 1] = True
-    blocks = np.frombuffer(b"".join(parts), np.int8).reshape(-1, 64)
-    scan, cut = _scans(blocks, flag, np.concatenate(nth))
-    cut = np.concatenate(([0], cut[ends - 1])).tolist()
-    scan = scan.tobytes()
-    return [h + scan[a:b] + b"\xff\xd9" for h, a, b in zip(heads, cut, cut[1:], strict=False)]
+        out.append([b"\xff\xd8" + _segment(0xFE, note) + _TABLES[0] + _segment(0xC0, frame) + _TABLES[1]])
+        whole = wide * high * 64
+        for a in range(0, whole, PIECE):
+            z = min(a + PIECE, whole)
+            todo.append((i, p[a:z] + bytes(z - max(a, min(z, len(p)))), np.arange(a // 64, z // 64), z == whole))
+            held += z - a
+            if held >= PIECE:
+                coded()
+                held = 0
+    if todo:
+        coded()
+    return [b"".join([*x, b"\xff\xd9"]) for x in out]
 
 
 def parse_markers(data: bytes) -> dict:
@@ -286,6 +308,24 @@ def _lockstep(files: list[dict], luma_only: bool) -> list[np.ndarray]:
     return [coef[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def _parts(h: dict) -> Iterator[dict]:
+    """A file's scan in parts of about PIECE bytes, cut at restarts, which depend on nothing before them."""
+    a, z = h["scan"]
+    if not h["interval"] or z - a <= PIECE:
+        yield h
+        return
+    raw = np.frombuffer(h["data"], np.uint8, z - a, a)
+    ff = np.flatnonzero(raw[:-1] == 255)
+    marks = ff[(raw[ff + 1] >= 0xD0) & (raw[ff + 1] <= 0xD7)]
+    step, segments = h["interval"], -(-h["mcus"] // h["interval"])
+    if len(marks) + 1 != segments:
+        raise ValueError("restart markers don't match the interval")
+    per = max(1, segments * PIECE // (z - a))
+    for s in range(0, segments, per):
+        begin, end = a + int(marks[s - 1]) + 2 if s else a, a + int(marks[s + per - 1]) if s + per < segments else z
+        yield {**h, "scan": (begin, end), "mcus": min(per * step, h["mcus"] - s * step)}
+
+
 def decode_jpegs(files: list[bytes], luma_only: bool = False) -> list[dict]:
     """For each file: width, height, note, coef (blocks, 64) of the luminance, and the DC-only thumbnail."""
     heads = [parse_markers(f) for f in files]
@@ -296,8 +336,13 @@ def decode_jpegs(files: list[bytes], luma_only: bool = False) -> list[dict]:
         h["mcus"] = h["grid"][0] * h["grid"][1]
         groups.setdefault((tuple(h["comps"]), tuple(h["tables"]), *(x for kv in sorted(h["huff"].items()) for x in kv)), []).append(i)
     for members in groups.values():
-        for i, coef in zip(members, _lockstep([heads[i] for i in members], luma_only), strict=True):
-            heads[i]["coef"] = coef
+        parts = [(i, p) for i in members for p in _parts(heads[i])]
+        found: dict[int, list[np.ndarray]] = {}
+        for a, z in _slices([p["scan"][1] - p["scan"][0] for _, p in parts], 2 * PIECE):
+            for (i, _), coef in zip(parts[a:z], _lockstep([p for _, p in parts[a:z]], luma_only), strict=True):
+                found.setdefault(i, []).append(coef)
+        for i, coefs in found.items():
+            heads[i]["coef"] = coefs[0] if len(coefs) == 1 else np.concatenate(coefs)
     for h in heads:
         _, fh, fv, q = h["comps"][0]
         fh, fv = (fh, fv) if len(h["comps"]) > 1 else (1, 1)
@@ -330,14 +375,11 @@ def write_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, n_bytes, media): each text's UTF-8 bytes as a JPEG file.  No shuffle."""
 
     def run(batches):
-        for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            data = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts.cast(pa.large_binary())]
-            for lo, hi in _slices([len(x) + 64 for x in data]):
-                part = data[lo:hi]
-                full = [x + bytes(-len(x) % 64 or (0 if x else 64)) for x in part]
-                media = encode_jpegs(full, [len(x) for x in part])
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([len(x) for x in part], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+        for b in byte_slices(batches, 1, SLICE):
+            part = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(1).cast(pa.large_binary())]
+            sizes = [len(x) for x in part]
+            media = encode_jpegs([x + bytes(-len(x) % 64 or (0 if x else 64)) for x in part], sizes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
@@ -349,22 +391,20 @@ def read_media(df: DataFrame, id_col: str, media_col: str = "media") -> DataFram
     def run(batches):
         names = ["id", "n_bytes", "payload", "width", "height", "thumb_width", "thumb_height", "thumb_hash", "media_bytes", "media_sha256"]
         kinds = [None, pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.string()]
-        for b in batches:
-            data = [x.as_py() for x in b.column(1)]
-            for lo, hi in _slices([len(x or b"") for x in data]):
-                part = data[lo:hi]
-                found = iter(decode_jpegs([x for x in part if x is not None]))
-                rows = []
-                for x in part:
-                    if x is None:
-                        rows.append([None] * 9)
-                        continue
-                    h = next(found)
-                    note = dict(kv.split(b"=") for kv in h["note"].split(b";") if b"=" in kv)
-                    payload = h["coef"].astype(np.int8).tobytes()[: int(note.get(b"payload", h["coef"].size))]
-                    rows.append([int(note.get(b"bytes", len(payload))), payload, h["width"], h["height"], h["thumb"].shape[1], h["thumb"].shape[0], thumbnail_hash(h["thumb"]), len(x), hashlib.sha256(x).hexdigest()])
-                cols = [b.column(0).slice(lo, hi - lo)] + [pa.array([r[i] for r in rows], kinds[i + 1]) for i in range(9)]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for b in byte_slices(batches, 1, SLICE):
+            part = b.column(1).to_pylist()
+            found = iter(decode_jpegs([x for x in part if x is not None]))
+            rows = []
+            for x in part:
+                if x is None:
+                    rows.append([None] * 9)
+                    continue
+                h = next(found)
+                note = dict(kv.split(b"=") for kv in h["note"].split(b";") if b"=" in kv)
+                payload = h["coef"].astype(np.int8).tobytes()[: int(note.get(b"payload", h["coef"].size))]
+                rows.append([int(note.get(b"bytes", len(payload))), payload, h["width"], h["height"], h["thumb"].shape[1], h["thumb"].shape[0], thumbnail_hash(h["thumb"]), len(x), hashlib.sha256(x).hexdigest()])
+                h.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([r[i] for r in rows], kinds[i + 1]) for i in range(9)], names)
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
     out = f"id {kind}, n_bytes bigint, payload binary, width bigint, height bigint, thumb_width bigint, thumb_height bigint, thumb_hash string, media_bytes bigint, media_sha256 string"

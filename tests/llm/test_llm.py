@@ -1,7 +1,10 @@
 """The training-data operators against brute force, exact round trips and edge cases."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -36,6 +39,30 @@ def test_media_round_trip():
         media.parse_markers(b"none")
 
 
+def test_media_in_pieces_is_the_same_file(monkeypatch):
+    data = [b"", np.random.default_rng(1).integers(0, 256, 30_000).astype(np.uint8).tobytes(), b"hello world " * 900, b"x" * 64]
+    full = [x + bytes(-len(x) % 64 or (0 if x else 64)) for x in data]
+    whole = media.encode_jpegs(full, [len(x) for x in data])
+    monkeypatch.setattr(media, "PIECE", 1024)
+    assert media.encode_jpegs(full, [len(x) for x in data]) == whole
+    for h, p in zip(media.decode_jpegs(whole), full, strict=True):
+        assert h["coef"].astype(np.int8).tobytes()[: len(p)] == p
+
+
+def test_a_text_of_20_mb_takes_little_memory():
+    code = """
+import resource, sys
+sys.path.insert(0, sys.argv[1])
+from terrane.llm import media
+text = (b" ".join(str(i * i).encode() for i in range(3_000_000)))[:20_000_000]
+h = media.decode_jpegs(media.encode_jpegs([text], [len(text)]))[0]
+assert h["coef"].astype("int8").tobytes()[: len(text)] == text
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1000)
+"""
+    root = os.path.dirname(os.path.dirname(media.__file__)).rsplit("/", 1)[0]
+    assert int(subprocess.run([sys.executable, "-c", code, root], capture_output=True, text=True, check=True).stdout) < 600
+
+
 def test_media_rows(docs):
     for r in media.media_digest(docs).collect():
         if r["doc_id"] == 99:
