@@ -178,7 +178,7 @@ def reference_scales(spark, d):
 
 EVERY, MOST, LAMBDA = 4, 24, 0.1
 _AUX = f"""WITH {PB}, {HAVE}, ids AS (SELECT batch, vec_id FROM (SELECT DISTINCT batch, unnest([anchor_id, positive_id]) AS vec_id FROM pb WHERE batch % {EVERY} = 0) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY md5('17:' || batch || ':' || vec_id), vec_id) <= {MOST}),
-at AS (SELECT ids.batch, ids.vec_id, n.e, [{', '.join(NAMES)}] AS z FROM ids JOIN n USING (vec_id) JOIN zf USING (vec_id)), far AS (SELECT x.batch, greatest(1 - list_dot_product(x.e, y.e), 0) AS x, list_distance(x.z, y.z) AS d FROM at x JOIN at y ON x.batch = y.batch AND x.vec_id < y.vec_id),
+spot AS (SELECT ids.batch, ids.vec_id, n.e, [{', '.join(NAMES)}] AS z FROM ids JOIN n USING (vec_id) JOIN zf USING (vec_id)), far AS (SELECT x.batch, greatest(1 - list_dot_product(x.e, y.e), 0) AS x, list_distance(x.z, y.z) AS d FROM spot x JOIN spot y ON x.batch = y.batch AND x.vec_id < y.vec_id),
 s AS (SELECT batch, CASE WHEN avg(d) > 0 THEN avg(x) / avg(d) ELSE 1 END AS s FROM far GROUP BY batch), aux AS (SELECT batch, avg(pow(x - s * d, 2)) AS aux FROM far JOIN s USING (batch) GROUP BY batch),
 each AS (SELECT batch, a, ln(sum(exp(c / 0.05 - 20))) AS z, max(c / 0.05 - 20) FILTER (a = p) AS own FROM c GROUP BY ALL), main AS (SELECT batch, avg(z - own) AS loss FROM each GROUP BY batch)
 SELECT batch, round(loss, 6) AS loss, round(aux, 6) AS aux, round(loss + {LAMBDA} * coalesce(aux, 0), 6) AS total FROM main LEFT JOIN aux USING (batch)"""
