@@ -24,6 +24,12 @@ def unit(v: Column, least: float = 1e-12) -> Column:
     return F.transform(v, lambda x: x / n)
 
 
+def unit_or_self(v: Column) -> Column:
+    """The vector over its length as floats; a zero vector stays as it is."""
+    n = norm(as_doubles(v))
+    return F.transform(as_doubles(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n)).cast("array<float>")
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 

@@ -13,9 +13,9 @@ from terrane.sources.tables import stored
 
 
 def encoded(rows: DataFrame, label: str = "label", out: str = "y") -> DataFrame:
-    """``rows`` with the label's place among the sorted distinct labels, from 0; a row per label is ordered."""
+    """``rows`` with the label's place among the sorted distinct labels, from 0; Spark broadcasts the labels if they are few."""
     names = placed(rows.select(F.col(label).alias("l_")).distinct(), [], ["l_"], "p_")
-    return rows.join(F.broadcast(names), F.col(label) == F.col("l_")).withColumn(out, F.col("p_").cast("int")).drop("l_", "p_")
+    return rows.join(names, F.col(label) == F.col("l_")).withColumn(out, F.col("p_").cast("int")).drop("l_", "p_")
 
 
 def prefixed(rows: DataFrame, side: str, label: str = "label") -> DataFrame:
@@ -84,7 +84,7 @@ def router(a: DataFrame, b: DataFrame, folds: int = 5, seed: int = 42) -> DataFr
     """
     both = stored(stratified_folds(stacked(a.select("vec_id", "label", "embedding"), b.select("vec_id", "label", "embedding")).withColumn("id_", F.concat_ws(":", "side", "vec_id")), folds, seed, row_id="id_"))
     rows = _features(both).select("features", "y", "label", "side", "fold").persist()
-    names = F.broadcast(rows.select(F.col("y").alias("prediction"), F.col("label").alias("predicted")).distinct())  # a row per label
+    names = rows.select(F.col("y").alias("prediction"), F.col("label").alias("predicted")).distinct()  # a row per label
     out = predicted(rows.where("fold <> 0"), rows.where("fold = 0")).join(names, "prediction")
     return routes(out).crossJoin(rows.agg(F.countDistinct("label").alias("classes")))
 

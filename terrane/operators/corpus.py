@@ -16,6 +16,24 @@ def corpus(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").rlike(r"\S")).select(F.col("doc_id").alias("id"), "text", F.coalesce("source", F.lit("unknown")).alias("subset"), F.coalesce("lang", F.lit("unknown")).alias("domain"))
 
 
+def contrast(conversations: DataFrame) -> DataFrame:
+    """(id, text, subset, domain) of the turns whose text isn't blank, for evaluation next to the documents."""
+    rows = conversations.where(F.col("text").rlike(r"\S"))
+    return rows.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text", F.coalesce("role", F.lit("unknown")).alias("subset"), F.lit("conversation").alias("domain"))
+
+
+#: Corpora by name: the table that each is read from, and how.
+CORPORA = {"documents": ("documents", corpus), "conversations": ("conversations", contrast)}
+
+
+def load(name: str, read) -> DataFrame:
+    """A corpus by its name; ``read`` gives a table by its name.  Unknown names are an error."""
+    if name not in CORPORA:
+        raise ValueError(f"unknown corpus {name!r}; there are {', '.join(sorted(CORPORA))}")
+    source, make = CORPORA[name]
+    return make(read(source))
+
+
 def stratified(rows: DataFrame, cap: int, label: str = "subset", row_id: str = "id", seed: int = SEED) -> DataFrame:
     """At most ``cap`` rows of each label, with their place ``rn`` in the draw; Spark limits groups before the shuffle."""
     order = W.partitionBy(label).orderBy(hash_rank(seed, F.col(row_id)), row_id)

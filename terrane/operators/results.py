@@ -39,9 +39,12 @@ def disintegrated(coverage: Column, nodes: Column, least_coverage: float = 0.05,
 
 
 def canonical(c: Column) -> Column:
-    """A key's text: numbers by ten significant digits, blanks and names of nothing as an empty text."""
+    """A key's text: numbers by ten significant digits, blanks and names of nothing as an empty text.
+
+    Only texts that begin as numbers do are tried as such: a failed attempt is dear.
+    """
     t = F.trim(c.cast("string"))
-    number = t.try_cast("double")
+    number = F.when(t.rlike(r"^[+-]?\.?[0-9]"), t.try_cast("double"))
     rounded = F.format_string("%.9e", number).cast("double").cast("string")
     return F.when(t.isNull() | F.lower(t).isin("", "nan", "none", "null"), "").otherwise(F.when(number.isNotNull() & (F.abs(number) < float("inf")), rounded).otherwise(t))
 
@@ -107,11 +110,15 @@ def baseline_of(table: DataFrame, rows: DataFrame) -> DataFrame:
 def density(values: DataFrame, group: list[str], points: int = 200) -> DataFrame:
     """(group, x, y): a Gaussian kernel density of ``v`` on a grid between its ends, with Scott's width.
 
-    Groups without two different values have none.  Rows grow with the values times the points.
+    Groups without two different values have none.  Equal values are one with a weight; rows grow with the different
+    values times the points.
     """
-    ends = values.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), (F.stddev_samp("v") * F.pow(F.count("v"), -0.2)).alias("w")).where("hi > lo")
+    values = values.groupBy(*group, "v").agg(F.count("*").alias("times_"))
+    ends = values.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("times_").alias("n_"), (F.sum(F.col("v") * F.col("times_")) / F.sum("times_")).alias("mean_")).where("hi > lo")
+    spread = values.join(ends.select(*group, "n_", "mean_"), group).groupBy(*group).agg((F.sqrt(F.sum(F.col("times_") * F.pow(F.col("v") - F.col("mean_"), 2)) / (F.max("n_") - 1)) * F.pow(F.max("n_"), -0.2)).alias("w"))
+    ends = ends.join(spread, group)
     grid = ends.select(*group, "w", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + i * (F.col("hi") - F.col("lo")) / (points - 1))).alias("x"))
-    return grid.join(values, group).groupBy(*group, "x").agg((F.avg(F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("w"), 2))) / (F.max("w") * math.sqrt(2 * math.pi))).alias("y"))
+    return grid.join(values, group).groupBy(*group, "x").agg((F.sum(F.col("times_") * F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("w"), 2))) / F.sum("times_") / (F.max("w") * math.sqrt(2 * math.pi))).alias("y"))
 
 
 def warm_up(step: Column, total: Column, ratio: float) -> Column:
@@ -237,3 +244,25 @@ def trade_off(table: DataFrame) -> DataFrame:
     with_aux = last.where(F.coalesce("aux", F.lit("")) != "")
     rows = with_aux.unionByName(baseline_of(last, with_aux))
     return rows.groupBy(F.coalesce("aux", F.lit("")).alias("aux"), F.coalesce("lambda", F.lit(0.0)).alias("lambda")).agg(F.avg("gap").alias("gap"), F.avg("rho").alias("rho"), F.avg("router").alias("router"), F.count("*").alias("n"))
+
+
+def per_seed_report(rows: DataFrame, most: int = 2) -> DataFrame:
+    """(machine, model, corpus, n, mean, sd, bound) of (machine, model, corpus, seed, rho), bound being two errors of the mean.
+
+    More machines than ``most``, and a model and corpus without any seed's value on a machine, are errors: a report
+    would show halves that can't be compared.
+    """
+    machines = [r["machine"] for r in rows.select("machine").distinct().orderBy("machine").limit(most + 1).collect()]
+    if len(machines) > most:
+        raise ValueError(f"a report compares {most} machines at most")
+    out = rows.groupBy("machine", "model", "corpus").agg(F.count("rho").alias("n"), F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("sd"), (2 * F.stddev_samp("rho") / F.sqrt(F.count("rho"))).alias("bound"))
+    name = F.concat_ws("/", "machine", "model", "corpus")
+    return out.where(F.when(F.col("n") > 0, True).otherwise(F.raise_error(F.concat(F.lit("no seed has a value: "), name)).cast("boolean")))
+
+
+def figures_of(table: DataFrame) -> dict[str, list[str]]:
+    """The figures that a table's experiments allow, in order, and ``missing``: those whose rows it lacks, to be warned of."""
+    wanted = {"exp1": ["rho_vs_step", "gap_vs_step"], "exp2": ["pair_sets"], "exp3": ["losses"], "exp4": ["trade_off"]}
+    there = {r["exp"] for r in table.select("exp").distinct().collect()}  # experiments
+    made = [f for e, names in wanted.items() if e in there for f in names]
+    return {"made": made, "missing": [f for e, names in wanted.items() if e not in there for f in names]}

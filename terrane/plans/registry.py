@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrane.functions import text
-from terrane.functions.vectors import hash_rank
+from terrane.functions.vectors import hash_rank, unit_or_self
 from terrane.operators import agreement, corpus, cover, geometry, graph, pairs, results
 from terrane.plans.base import DIGITS, QUERIES, SQL, query, rounded
 from terrane.sources.tables import stored, table
@@ -69,6 +69,18 @@ def train_rows(spark, d):
     return z_rows(spark, d).where("split = 'train'")
 
 
+@query(f"WITH {CORPUS} SELECT 'documents' AS corpus, subset, count(*) AS n FROM corpus GROUP BY subset UNION ALL SELECT 'conversations', coalesce(role, 'unknown'), count(*) FROM conversations WHERE regexp_matches(text, '\\S') GROUP BY ALL")
+def corpora_by_name(spark, d):
+    """How many rows each subset of each corpus has."""
+    rows = [corpus.load(n, lambda t: table(spark, d, t)).groupBy("subset").agg(F.count("*").alias("n")).select(F.lit(n).alias("corpus"), "subset", "n") for n in sorted(corpus.CORPORA)]
+    return rows[0].union(rows[1])
+
+
+@query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round((x / CASE WHEN sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) = 0 THEN 1 ELSE sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) END)::FLOAT::DOUBLE, 5) + 0.0) AS e FROM embeddings")
+def unit_floats(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.transform(unit_or_self(F.col("embedding")), lambda x: F.round(x.cast("double"), 5) + F.lit(0.0)).alias("e"))
+
+
 @query(f"WITH {SPLIT} SELECT id, subset, domain, split, eval_order, length(text)::BIGINT AS chars FROM split")
 def corpus_frame(spark, d):
     return split(spark, d).select("id", "subset", "domain", "split", "eval_order", F.length("text").cast("long").alias("chars"))

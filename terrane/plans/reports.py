@@ -75,7 +75,7 @@ def seed_density(spark, d):
 def fig_per_seed(spark, d):
     t = runs(spark, d).withColumn("machine", F.concat(F.lit("box"), F.col("event_id") % 2))
     each = t.groupBy("machine", "model", "corpus", "seed").agg(F.avg("rho").alias("rho"))
-    out = each.groupBy("machine", "model", "corpus").agg(F.count("*").alias("n"), F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("sd"), (2 * F.stddev_samp("rho") / F.sqrt(F.count("*"))).alias("bound"))
+    out = results.per_seed_report(each)
     return rounded(out, "mean", "sd", "bound")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import tempfile
 import uuid
+from importlib.metadata import PackageNotFoundError, version
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,9 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+log = logging.getLogger(__name__)
+
+
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """The paths that are there, by whatever file system they name, in order."""
     conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
@@ -57,6 +62,8 @@ def result_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     No file that is there is an error.
     """
     found = existing(spark, paths)
+    for p in sorted(set(paths) - set(found)):
+        log.warning("no result file %s", p)
     if not found:
         raise FileNotFoundError("none of the result files is there")
     frames = [spark.read.option("header", True).option("inferSchema", False).csv(p) for p in found]
@@ -116,8 +123,21 @@ def fingerprint(options: dict, without: tuple[str, ...] = ("n_workers", "batch_s
     return hashlib.sha256(json.dumps({k: v for k, v in options.items() if k not in without}, sort_keys=True).encode()).hexdigest()
 
 
-def write_manifest(spark: SparkSession, path: str, **facts) -> None:
-    """Facts about how something was made, with Spark's version and the time in UTC, as one JSON document."""
+def versions(names: tuple[str, ...] = ("pyspark", "pyarrow", "numpy", "pandas")) -> dict[str, str]:
+    """Versions of packages; those that aren't there are left out."""
+    out = {}
+    for n in names:
+        try:
+            out[n] = version(n)
+        except PackageNotFoundError:
+            log.info("%s isn't installed", n)
+    return out
+
+
+def write_manifest(spark: SparkSession, path: str, commit: str = "", **facts) -> None:
+    """Facts about how something was made, with the versions of Spark and of packages, the commit, and the time in UTC, as
+    one JSON document."""
+    facts = facts | {"packages": versions()} | ({"commit": commit} if commit else {})
     row = spark.range(1).select(*[F.lit(json.dumps(v) if isinstance(v, (dict, list)) else v).alias(k) for k, v in facts.items()], F.lit(spark.version).alias("spark"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
     row.coalesce(1).write.mode("overwrite").json(path)
 
@@ -139,6 +159,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def roster(spark: SparkSession, path: str, keys: tuple[str, ...] = ("id", "pooling", "dim")) -> DataFrame:
+    """(model, <keys>): a JSON map of models to their entries, in the order of their names; a key that an entry lacks is NULL."""
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one file of settings
+    rows = [(m, *[None if (e or {}).get(k) is None else str(e[k]) for k in keys]) for m, e in sorted(json.loads(text or "{}").items())]
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in ("model", *keys)))
+
+
+def reference_rows(spark: SparkSession, path: str, metrics: tuple[str, ...]) -> DataFrame:
+    """(model, corpus, <metrics>): a JSON map of models to corpora to published metrics; what isn't a number is NULL."""
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    number = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+    rows = [(m, c, *[number(e.get(k)) for k in metrics]) for m, by in sorted(json.loads(text or "{}").items()) for c, e in sorted(by.items()) if isinstance(e, dict)]
+    return spark.createDataFrame(rows, ", ".join(["model string", "corpus string", *(f"`{c}` double" for c in metrics)]))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: ``df`` written to the shared folder and read back, which outlives lost executors."""
     spark = df.sparkSession

@@ -9,11 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from terrane.operators.results import IDENTITY, canonical, upsert
 from terrane.sources.tables import drop_path
 
+#: Buckets of a table unless told otherwise: take one for some 100 MB of it, and never change their number later.
 BUCKETS = 64
 
 
 def _versions(spark: SparkSession, target: str, number: int) -> dict[int, int]:
-    """The batch that last wrote each bucket (BUCKETS rows at most)."""
+    """The batch that last wrote each bucket (a row each)."""
     if number < 0:
         return {}
     return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{target}/manifest/{number}").collect()}
@@ -24,10 +25,10 @@ def _read(spark: SparkSession, target: str, versions: dict[int, int], schema) ->
     return spark.read.schema(schema).parquet(*paths) if paths else None
 
 
-def merge_batches(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: tuple[str, ...] = IDENTITY, order: str = "event_id", files: int | None = None) -> StreamingQuery:
+def merge_batches(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: tuple[str, ...] = IDENTITY, order: str = "event_id", files: int | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Reads JSON lines as they arrive in ``source`` and keeps the last row of every key, with its first place ``pos``.
 
-    A batch rewrites only the buckets that it touches, under a number of its own, and then the list of the buckets'
+    Keys are dealt to ``buckets`` by hash.  A batch rewrites only the buckets that it touches, under a number of its own, and then the list of the buckets'
     versions; a batch that is repeated after a failure writes the same files again.  Versions that the last list
     doesn't name any more are deleted.
     """
@@ -36,7 +37,7 @@ def merge_batches(spark: SparkSession, source: str, schema: str, target: str, ch
         if batch.isEmpty() and number:
             versions = _versions(spark, target, number - 1)
         else:
-            bucket = F.pmod(F.xxhash64(*[canonical(F.col(k)) for k in key]), F.lit(BUCKETS)).cast("int")
+            bucket = F.pmod(F.xxhash64(*[canonical(F.col(k)) for k in key]), F.lit(buckets)).cast("int")
             new = batch.withColumn("pos", F.col(order)).withColumn("bucket", bucket)
             touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
             before = _versions(spark, target, number - 1)

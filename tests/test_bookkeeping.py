@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import losses, stats
-from terrane.operators import agreement, align, classify
+from terrane.operators import agreement, align, classify, corpus, results
 from terrane.plans import layers, registry
-from terrane.sources import cache, ledger
+from terrane.sources import cache, ledger, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,6 +116,30 @@ def test_subsample_of_batches(spark):
     assert sorted(map(tuple, losses.with_auxiliary(main, aux, 0.1).collect())) == [(0, 1.0, 5.0, 1.5), (1, 2.0, None, 2.0)]
 
 
+def test_rosters_and_reference_rows(spark, tmp_path):
+    (tmp_path / "models.json").write_text('{"b": {"id": "x/b", "dim": 384}, "a": {"id": "x/a", "pooling": "mean"}}')
+    assert list(map(tuple, tables.roster(spark, f"{tmp_path}/models.json").collect())) == [("a", "x/a", "mean", None), ("b", "x/b", None, "384")]
+    (tmp_path / "ref.json").write_text('{"a": {"S": {"rho": 0.5, "gap": "?"}, "M": {"rho": 1}, "note": "text"}}')
+    assert sorted(map(tuple, tables.reference_rows(spark, f"{tmp_path}/ref.json", ("rho", "gap")).collect())) == [("a", "M", 1.0, None), ("a", "S", 0.5, None)]
+    tables.write_manifest(spark, f"{tmp_path}/m", commit="abc", step=3)
+    said = spark.read.json(f"{tmp_path}/m").first()
+    assert said["commit"] == "abc" and '"numpy"' in said["packages"] and said["step"] == 3
+
+
+def test_reports_refuse_what_cannot_be_compared(spark):
+    rows = [(m, "x", "S", s, 0.1 * s) for m in ("one", "two") for s in range(3)]
+    schema = "machine string, model string, corpus string, seed int, rho double"
+    got = results.per_seed_report(spark.createDataFrame(rows, schema)).collect()
+    assert {(r["machine"], r["n"]) for r in got} == {("one", 3), ("two", 3)} and got[0]["bound"] == pytest.approx(2 * 0.1 / math.sqrt(3))
+    with pytest.raises(ValueError, match="2 machines"):
+        results.per_seed_report(spark.createDataFrame([*rows, ("three", "x", "S", 1, 0.0)], schema))
+    with pytest.raises(Exception, match="no seed has a value: one/y/S"):
+        results.per_seed_report(spark.createDataFrame([*rows, ("one", "y", "S", 1, None)], schema)).collect()
+    assert results.figures_of(spark.createDataFrame([("exp1",), ("exp4",)], "exp string")) == {"made": ["rho_vs_step", "gap_vs_step", "trade_off"], "missing": ["pair_sets", "losses"]}
+    with pytest.raises(ValueError, match="unknown corpus"):
+        corpus.load("none", None)
+
+
 def blobs(spark, seed=0):
     rng = np.random.default_rng(seed)
     centre = rng.normal(size=(4, 8)) * 6
