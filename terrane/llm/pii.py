@@ -47,7 +47,7 @@ ALL = (*KINDS, "secret")
 MORE = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}+){1,8}+"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}+:){2,7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])"),
-    ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"),
+    ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+"),
     # groups of four first, so that of two numbers side by side both are proposed
     ("card", r"(?<![0-9A-Za-z.=+-])(?:[0-9]{4}[\x20.-]?){3}[0-9]{4}(?![0-9A-Za-z])"),
     ("card", r"(?<![0-9A-Za-z.=+-])[0-9](?:[\x20.-]?[0-9]){12,18}+(?![0-9A-Za-z])"),
@@ -154,7 +154,7 @@ def feature_bits(kind: str, r: Column) -> Column:
         m.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^[0-9A-Fa-f:]*::[0-9A-Fa-f:]*$") if kind == "ip" else F.lit(False),
         m.rlike(r"^(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}$|^97[89][-\x20]?[0-9]|^(.)\1*$|^0{3}|^[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?$"),
         m.rlike(r"[0-9][\x20.-][0-9]"),
-        m.rlike(r"^[+(]"),
+        m.rlike(r"^AKIA|^ASIA|^gh[pousr]_|^sk_|^xox[a-z]-" if kind == "secret" else r"^[+(]"),
         m.rlike("[A-Za-z]"),
         m.rlike(r"[0-9][A-Za-z]") & m.rlike(r"[A-Za-z][0-9]"),
         r.pre.rlike(ASSIGNED if kind == "secret" else NAMED[kind]),
@@ -205,9 +205,10 @@ def examples(seed: int, many: int = 24) -> list[tuple[str, str, bool]]:
         a, b, c = some("23456789", 1) + some(digit, 2), some(digit, 3), some(digit, 4)
         out.append((f"{rng.choice(['', 'call ', 'phone ', 'tel '])}{rng.choice([f'({a}) {b}-{c}', f'{a}-{b}-{c}', f'1-{a}-{b}-{c}'])}", "phone", True))
         out.append((f"{rng.choice(['order ', 'id ', 'serial ', 'ref '])}{rng.choice([f'{a}-{b}-{c}', f'{a}.{b}.{c}', f'{a} {b} {c}'])}", "phone", False))
-        mixed = some(low + low.upper() + digit, rng.randint(24, 40))
+        mixed = rng.choice([some(low + low.upper() + digit, rng.randint(20, 40)), some(hexa, rng.randint(16, 40))])
         key, quote = rng.choice(["token = ", "api_key: ", "secret=", "password: "]), rng.choice(["", '"', "'"])
         out.append((f"{key}{quote}{mixed}{quote}", "secret", True))
+        out.append((f"{rng.choice(['', 'key ', 'at '])}AKIA{some(low.upper() + digit, 16)}", "secret", True))
         joined = rng.choice(["_", "-", "/"]).join(word() for _ in range(5))
         out.append((f"{rng.choice(['', 'path ', 'file ', 'token = '])}{quote}{rng.choice([joined, joined.replace('_', ''), '=' * 24])}{quote}", "secret", False))
         out.append((f"{rng.choice(['commit ', 'sha ', ''])}{some(hexa, 40)}", "secret", False))
