@@ -91,6 +91,19 @@ def test_bpe_equals_library(spark):
         assert " ".join(map(str, e.ids)).encode() == a and library.decode(e.ids, skip_special_tokens=False).encode() == b
 
 
+def test_bpe_of_long_texts_equals_library():
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    library, own = Tokenizer.from_file(path), bpe.Codec(path)
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(chr(c) for c in rng.integers(97, 123, n)) for n in rng.integers(1, 12, 20_000)), "Straße 12,5 % ½ " * 8000, "ab" * 2000]
+    ids, counts = own.encode(texts)
+    assert min(map(len, texts[:2])) > 70_000
+    for e, a in zip(library.encode_batch(texts, add_special_tokens=False), own.ids_text(ids, counts), strict=True):
+        assert " ".join(map(str, e.ids)).encode() == a
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 16))

@@ -292,3 +292,8 @@ def test_pipeline_against_its_operators_one_by_one(spark, docs, tmp_path):
         want[i, int(n[0])] += 1
     have = collections.Counter((r["doc_id"], r["n_tokens"]) for r in got)
     assert sum(((want - have) + (have - want)).values()) <= 4
+
+
+def test_pipeline_of_an_empty_table(spark, docs, tmp_path):
+    docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
