@@ -323,11 +323,15 @@ def reanalysed(spark, vectors, rows, features, seeds=cover.SEEDS):
     return layers_two_three(spark, stored(both), features, seeds=seeds)
 
 
+def checkpoint(spark, vectors, features, first=5, seeds=cover.SEEDS):
+    """All layers of one encoder's vectors in one row, the router being between the labels below ``first`` and the others."""
+    two, router = layers_two_three(spark, vectors, features, seeds=seeds), classify.router(vectors.where(F.col("label") < first), vectors.where(F.col("label") >= first))
+    return layer1(vectors).crossJoin(two).crossJoin(router)
+
+
 @query()
 def checkpoint_evaluation(spark, d):
-    """All layers of one encoder's vectors in one row."""
-    v = table(spark, d, "embeddings")
-    out = layer1(v).crossJoin(layers_two_three(spark, v, stored(doc_features(spark, d)))).crossJoin(classify.router(v.where("label < 5"), v.where("label >= 5")))
+    out = checkpoint(spark, table(spark, d, "embeddings"), stored(doc_features(spark, d)))
     return rounded(out, *[f.name for f in out.schema if f.dataType.simpleString() == "double"])
 
 

@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from terrane.functions import losses, stats
 from terrane.operators import agreement, align, classify, corpus, results
-from terrane.plans import layers, registry
+from terrane.plans import layers
 from terrane.sources import cache, ledger, tables
 
-SF = "/root/testdata/sf0.001"
-
 
 def pair(spark, left, right):
     return spark.createDataFrame([(i, 1.0) for i in left], "id long, a double"), spark.createDataFrame([(i, 2.0) for i in right], "id long, b double")
@@ -158,13 +156,8 @@ def test_layers_on_blobs(spark):
     kept = layers.stored(v.select("vec_id", "embedding"))
     got, want = layers.reanalysed(spark, kept, ids, features, seeds=3).first(), layers.layers_two_three(spark, v, features, seeds=3).first()
     assert got.asDict() == pytest.approx(want.asDict(), nan_ok=True) and got["n_successful_seeds"] == 3 and got["purity"] > 0.9
+    whole = layers.checkpoint(spark, v, features, 2, seeds=3).first().asDict()
+    assert {k: whole[k] for k in want.asDict()} == pytest.approx(want.asDict(), nan_ok=True) and whole["lr_acc"] == whole["accuracy_a"] == 1.0 and whole["a_to_b"] == 0 and whole["classes"] == 4
     for wrong in (kept.where("vec_id <> 5"), kept.union(kept.limit(1))):
         with pytest.raises(align.Misaligned):
             layers.reanalysed(spark, wrong, ids, features)
-
-
-def test_checkpoint_in_one_row(spark):
-    row = registry.queries()["checkpoint_evaluation"](spark, SF)
-    parts = registry.queries()["layers_two_and_three"](spark, SF).first().asDict()
-    got = row.first().asDict()
-    assert {k: got[k] for k in parts} == parts and {"lr_acc", "gap", "a_to_b", "accuracy_a"} <= set(got)
