@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import GOLDEN, M1, M2, byte_slices, connected_components, fresh, mix, small_or_none, stored, string_hashes, unsliced
+from terrane.llm.common import GOLDEN, M1, M2, byte_slices, connected_components, fresh, mix, small_or_none, release, stored, string_hashes, unsliced
 
 WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair misses all bands with probability (1 - 0.8^5)^32 = 3e-6.
@@ -229,7 +229,11 @@ def shingled(texts: DataFrame, counts: bool = True) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (src, dst) whose weighted Jaccard similarity reaches the bound."""
+    """The pairs (src, dst) whose weighted Jaccard similarity reaches the bound; where they are of few texts, only those
+    texts' sets are shuffled."""
+    need = pairs.select(F.col("src").alias("needed")).union(pairs.select("dst")).distinct()
+    few = small_or_none(need, SMALL)
+    sets = sets if few is None else sets.join(few, F.col("key") == F.col("needed"), "left_semi")
     a, b = (sets.select(F.col("key").alias(f"k{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
     both = pairs.join(a, F.col("src") == F.col("ka")).join(b, F.col("dst") == F.col("kb"))
     least, whole = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
@@ -307,6 +311,7 @@ def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_
     wanted = wanted.join(few if few is not None else chosen, (F.col("raw") == F.col("raw_")) & F.col("id").eqNullSafe(F.col("own")), "left_semi")
     sets = stored(shingled(wanted, counts).groupBy("key").agg(F.first("s").alias("s")))
     links = stored(_verified(stars, sets, similarity))
+    release(stars, ids)
     found = connected_components(links)
     # Buckets whose members the links so far leave in several components: the smaller components' members meet one
     # member of the largest, another one every round, as long as that joins components.
@@ -324,7 +329,9 @@ def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_
             break
         before = pairs
         tried = stored(apart.where("part <> main").select(F.least("hub", "key").alias("src"), F.greatest("hub", "key").alias("dst")).distinct())
-        links = stored(links.unionByName(_verified(tried, sets, similarity)))
+        more = stored(links.unionByName(_verified(tried, sets, similarity)))
+        release(links, tried, placed, split, found)
+        links = more
         found = connected_components(links)
     rest = stored(_likely(apart, sets, reps, similarity).distinct())
     found = connected_components(stored(links.union(_verified(rest, sets, similarity))))
