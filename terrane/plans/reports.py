@@ -108,7 +108,8 @@ k AS (SELECT g.*, f, c FROM g, (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS f),
 SELECT model, loss, round(tau, 6) AS tau, pair_set, aux, round(lam, 6) AS lam, seed::BIGINT AS seed, count(*) FILTER (NOT EXISTS (SELECT 1 FROM runs r WHERE r.model = k.model AND r.loss = k.loss AND abs(r.tau - k.tau) < 1e-9 AND r.pair_set = k.pair_set AND coalesce(r.aux, '') = k.aux AND coalesce(r.lam, 0) = k.lam AND r.seed = k.seed AND r.ckpt_frac = k.f AND r.corpus = k.c)) AS todo, count(*) AS total FROM k GROUP BY model, loss, k.tau, pair_set, aux, k.lam, seed""")
 def plan_rows(spark, d):
     """How many results each run of a grid still lacks."""
-    return rounded(results.plan(_grid(spark), [0.0, 0.5, 1.0], ["S", "M"], runs(spark, d)).withColumnRenamed("lambda", "lam"), "tau", "lam")
+    grid = results.expanded(spark, ["m0", "m1"], ["mnrl", "triplet"], [0.01, 0.02], ["view"], ["", "dist_preserve"], [0.1, 0.2], [0, 1])
+    return rounded(results.plan(grid, [0.0, 0.5, 1.0], ["S", "M"], runs(spark, d)).withColumnRenamed("lambda", "lam"), "tau", "lam")
 
 
 @query("WITH r AS (SELECT 'u' || user_id AS run, CASE WHEN max(event_id) % 3 = 0 THEN 'running' ELSE 'complete' END AS status, count(DISTINCT event_id % 5) FILTER (event_id % 5 IN (0, 1, 2, 3, 4)) AS n FROM events GROUP BY user_id) SELECT run, status = 'complete' AND n = 5 AS complete FROM r")

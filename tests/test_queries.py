@@ -22,6 +22,12 @@ def test_rows_equal_sql(spark, con, name):
     assert not said and (n > 0 or name in NO_ROWS)
 
 
+def test_plan_rows_of_a_whole_grid(spark):
+    got = registry.queries()["plan_rows"](spark, SF).collect()
+    assert len(got) == 48 and {r["total"] for r in got} == {6} and {r["aux"]: r["lam"] for r in got if r["lam"] < 0.2} == {"": 0.0, "dist_preserve": 0.1}
+    assert any(r["todo"] < 6 for r in got) and all(0 <= r["todo"] <= 6 for r in got)
+
+
 def test_largest_remainder_ties_by_name(spark):
     sizes = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "subset string, n long")
     assert {r["subset"]: r["quota"] for r in corpus.largest_remainder(sizes, 4).collect()} == {"a": 2, "b": 1, "c": 1}
