@@ -34,8 +34,9 @@ BANDS, ROWS = 32, 5
 SMALL = 1_000_000
 #: Rounds in which split buckets meet hubs, and the pairs per member that are then compared as they are.
 HUB_ROUNDS, FEW_PAIRS = 8, 4
-#: Members of either side that are compared in one task.
-BLOCK = 1024
+#: Members of either side that are compared in one task; members of split buckets above which these are compared in
+#: passes, each over a part of the buckets, and the most passes.
+BLOCK, PASS, PASSES = 1024, 20_000, 6
 #: Coordinates of the signatures that are compared there, of 2 bits each: two sets of similarity s agree in a share
 #: s + (1 - s) / 4 of them.
 COMPARED = 1024
@@ -240,12 +241,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(least >= similarity * (whole - least) - 1e-9).select("src", "dst")
 
 
-def _likely(apart: DataFrame, sets: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+def _likely(apart: DataFrame, sets: DataFrame, reps: DataFrame, similarity: float, passes: int = 1) -> DataFrame:
     """(src, dst): pairs of one bucket and different components whose signatures agree almost as often as links do.
 
     The smaller components' members are compared with all members, in tasks of bounded blocks of both, which return
     only the pairs whose share of equal coordinates is at most five standard deviations under the similarity.  A pair
-    that shares several buckets is returned by that of the first band they agree in, and once.
+    that shares several buckets is returned by that of the first band they agree in, and once.  The buckets are dealt
+    to passes, one after the other, so that the rows of all of them are never on disk together.
     """
 
     def signatures(batches):
@@ -258,7 +260,7 @@ def _likely(apart: DataFrame, sets: DataFrame, reps: DataFrame, similarity: floa
 
     wanted = apart.select(F.col("key").alias("key_w")).distinct()
     chosen = reps.join(wanted, F.col("key") == F.col("key_w"), "left_semi").select(F.col("key").alias("key_"), "bands")
-    signed_sets = sets.join(chosen, F.col("key") == F.col("key_")).select("key", "s", "bands").mapInArrow(signatures, "k string, sig binary, bands binary")
+    signed_sets = stored(sets.join(chosen, F.col("key") == F.col("key_")).select("key", "s", "bands").mapInArrow(signatures, "k string, sig binary, bands binary"))
     rows = apart.join(signed_sets, F.col("key") == F.col("k")).select("*", F.bitwise_not(F.reverse("b").cast("long")).alias("band"), (F.col("part") == F.col("main")).alias("major"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("key"), blocks(n)).cast("int")
@@ -289,8 +291,14 @@ def _likely(apart: DataFrame, sets: DataFrame, reps: DataFrame, similarity: floa
             dst += key[y[here]].tolist()
         return pa.table([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
 
-    found = minor.unionByName(every).groupBy("b", "i", "j").applyInArrow(task, "src string, dst string")
-    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    found = None
+    for turn in range(passes):
+        own = minor.unionByName(every).where(F.pmod(F.xxhash64("b"), F.lit(passes)) == turn)
+        some = own.groupBy("b", "i", "j").applyInArrow(task, "src string, dst string")
+        some = stored(some.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+        found = some if found is None else found.union(some)
+    release(signed_sets)
+    return found
 
 
 def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True, similarity: float = SIMILARITY) -> DataFrame:
@@ -333,7 +341,7 @@ def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_
         release(links, tried, placed, split, found)
         links = more
         found = connected_components(links)
-    rest = stored(_likely(apart, sets, reps, similarity).distinct())
+    rest = stored(_likely(apart, sets, reps, similarity, min(PASSES, 1 + rows_left // PASS)).distinct())
     found = connected_components(stored(links.union(_verified(rest, sets, similarity))))
     return found.select(F.col("node").alias("key"), F.col("component").alias("class"))
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terrane.llm import bpe, caps, langid, media, minhash, mixing, pii, queries, token_counts
+from terrane.sources.tables import stored
 from test_llm import base_spans
 
 SF = "/root/testdata/sf0.001"
@@ -148,6 +150,39 @@ def test_weighted_near_copies(spark):
         assert (sum((x & y).values()) / sum((x | y).values()) >= 0.8) == (get(True)[a] == get(True)[b])
 
 
+def test_pairs_compared_in_passes_are_those_of_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for v in range(14):
+            own = list(base)
+            for at in rng.choice(80, size=1 + v % 3, replace=False):
+                own[at] = f"v{v}at{at}"
+            texts.append(own)
+    sets = [{tuple(t[i : i + 5]) for i in range(76)} for t in texts]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(sets):
+            least[i] = min(least[j] for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y) - 1e-9)
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "PASS", 30)
+    passes, likely = [], minhash._likely
+    monkeypatch.setattr(minhash, "_likely", lambda *a: passes.append(a[4]) or likely(*a))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == dict(enumerate(least)) and len(set(least)) > 4 and passes[0] > 1
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = files()
+    t = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert t.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert len([f for f in files() - before if f.endswith(".data")]) <= 1  # that of the count itself
+
+
 def test_near_copies_keep_other_columns(docs):
     kept = minhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 9005").count() == 0
