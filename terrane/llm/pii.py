@@ -22,6 +22,7 @@ do all characters outside spans.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from dataclasses import dataclass
@@ -287,15 +288,19 @@ def _prepared(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     return docs.withColumn(out, F.when(text.rlike(ANY), F.translate(text, "\x01", "\x02")).otherwise(""))
 
 
+def _example_rows(spark) -> DataFrame:
+    """(t, kept, made, truth) of all examples.  They are one literal: a plan with four of each would fill the driver."""
+    made = [{"t": t, "kept": part, "made": k, "truth": truth} for part, seed in ((False, 1), (True, 2)) for t, k, truth in examples(seed)]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(made)), "array<struct<t:string,kept:boolean,made:string,truth:boolean>>")))
+
+
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Trees:
     """Count the proposals by kind, features and label, then boost and calibrate."""
     spark = docs.sparkSession
     kept = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
     none = F.lit(None)
     rows = docs.select(F.col(text_col).alias("t"), kept.alias("kept"), none.cast("string").alias("made"), none.cast("boolean").alias("truth"))
-    made = [(t, part, k, truth) for part, seed in ((False, 1), (True, 2)) for t, k, truth in examples(seed)]
-    parts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(part).alias("kept"), F.lit(k).alias("made"), F.lit(truth).alias("truth")) for t, part, k, truth in made])
-    fixed = spark.range(1).select(F.explode(parts).alias("r")).select("r.*")
+    fixed = _example_rows(spark)
     base = _prepared(rows.unionByName(fixed), "t", "clean").where("clean <> ''").select("kept", "made", "truth", "clean")
     found = with_matches(base, [(f"m_{j}", k, F.col("clean"), p) for j, (k, p) in enumerate(MORE)], label)
 

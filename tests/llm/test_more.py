@@ -183,6 +183,13 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert len([f for f in files() - before if f.endswith(".data")]) <= 1  # that of the count itself
 
 
+def test_examples_are_one_literal(spark):
+    made = [(t, part, k, truth) for part, seed in ((False, 1), (True, 2)) for t, k, truth in pii.examples(seed)]
+    rows = pii._example_rows(spark)
+    assert sorted(map(tuple, rows.select("t", "kept", "made", "truth").collect())) == sorted(made)
+    assert rows._jdf.queryExecution().analyzed().toJSON().count("catalyst.expressions.Literal") == 1
+
+
 def test_near_copies_keep_other_columns(docs):
     kept = minhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 9005").count() == 0
