@@ -261,12 +261,13 @@ def _likely(apart: DataFrame, sets: DataFrame, reps: DataFrame, similarity: floa
     wanted = apart.select(F.col("key").alias("key_w")).distinct()
     chosen = reps.join(wanted, F.col("key") == F.col("key_w"), "left_semi").select(F.col("key").alias("key_"), "bands")
     signed_sets = stored(sets.join(chosen, F.col("key") == F.col("key_")).select("key", "s", "bands").mapInArrow(signatures, "k string, sig binary, bands binary"))
-    rows = apart.join(signed_sets, F.col("key") == F.col("k")).select("*", F.bitwise_not(F.reverse("b").cast("long")).alias("band"), (F.col("part") == F.col("main")).alias("major"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("key"), blocks(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    minor = rows.where("part <> main").select("b", place("few").alias("i"), each("all").alias("j"), F.lit(True).alias("minor"), "major", "band", "key", "part", "sig", "bands")
-    every = rows.select("b", each("few").alias("i"), place("all").alias("j"), F.lit(False).alias("minor"), "major", "band", "key", "part", "sig", "bands")
+    each = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    at = lambda i, j, minor: F.struct(i.alias("i"), j.alias("j"), F.lit(minor).alias("minor"))
+    minor = F.when(F.col("part") != F.col("main"), each("all")).otherwise(F.array().cast("array<int>"))
+    minor = F.transform(minor, lambda x: at(place("few"), x, True))
+    every = F.transform(each("few"), lambda x: at(x, place("all"), False))
     share = similarity + (1 - similarity) / 4
     least = (share - 5 * math.sqrt(share * (1 - share) / COMPARED)) * COMPARED
 
@@ -293,8 +294,10 @@ def _likely(apart: DataFrame, sets: DataFrame, reps: DataFrame, similarity: floa
 
     found = None
     for turn in range(passes):
-        own = minor.unionByName(every).where(F.pmod(F.xxhash64("b"), F.lit(passes)) == turn)
-        some = own.groupBy("b", "i", "j").applyInArrow(task, "src string, dst string")
+        rows = apart.where(F.pmod(F.xxhash64("b"), F.lit(passes)) == turn).join(signed_sets, F.col("key") == F.col("k"))
+        band = F.bitwise_not(F.reverse("b").cast("long")).alias("band")
+        rows = rows.select("b", F.inline(F.concat(every, minor)), (F.col("part") == F.col("main")).alias("major"), band, "key", "part", "sig", "bands")
+        some = rows.groupBy("b", "i", "j").applyInArrow(task, "src string, dst string")
         some = stored(some.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
         found = some if found is None else found.union(some)
     release(signed_sets)
@@ -310,25 +313,28 @@ def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_
     other = lambda df: df.withColumn("bucket", F.bitwise_not("band")).drop("band")
     shared = other(flat.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"))
     shared = stored(other(flat).join(shared, "bucket"))
+    places = shared.count()
     members = shared.join(shared.groupBy("bucket").agg(F.min("key").alias("head")), "bucket")
-    stars = stored(members.where("key <> head").select(F.col("head").alias("src"), F.col("key").alias("dst")).distinct())
-    ids = stored(stars.select("src").union(stars.select("dst")).distinct().withColumnRenamed("src", "id_"))
-    chosen = reps.join(ids, F.col("key") == F.col("id_"), "left_semi").select(F.col("id").alias("own"), F.col("raw").alias("raw_"))
+    stars = stored(members.where("key <> head").select(F.col("head").alias("src"), F.col("key").alias("dst")).distinct(), places)
+    ids = stars.select("src").union(stars.select("dst")).distinct().withColumnRenamed("src", "id_")
+    chosen = stored(reps.join(ids, F.col("key") == F.col("id_"), "left_semi").select(F.col("id").alias("own"), F.col("raw").alias("raw_")), places)
     few = small_or_none(chosen, SMALL)
     wanted = docs.select(F.col(id_col).alias("id"), raw_key(F.col(text_col)).alias("raw"), F.col(text_col).alias("text"))
     wanted = wanted.join(few if few is not None else chosen, (F.col("raw") == F.col("raw_")) & F.col("id").eqNullSafe(F.col("own")), "left_semi")
     sets = stored(shingled(wanted, counts).groupBy("key").agg(F.first("s").alias("s")))
     links = stored(_verified(stars, sets, similarity))
-    release(stars, ids)
+    release(stars, chosen)
     found = connected_components(links)
+    release(links)
+    joined = lambda classes: classes.select(F.col("component").alias("src"), F.col("node").alias("dst"))  # noqa: E731  # in the links' stead: fewer, and paths are short
     # Buckets whose members the links so far leave in several components: the smaller components' members meet one
     # member of the largest, another one every round, as long as that joins components.
     before = None
     for turn in range(HUB_ROUNDS + 1):
-        placed = stored(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("part")))
+        placed = stored(shared.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("part")), places)
         by_part = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("hub"))
         split = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by(F.struct("part", "hub"), F.struct("n", "part")).alias("main")).where("parts > 1")
-        split = stored(split.select(F.reverse(F.col("bucket").cast("string")).alias("b"), F.col("main.part").alias("main"), "main.hub", "all", (F.col("all") - F.col("most")).alias("few")))
+        split = stored(split.select(F.reverse(F.col("bucket").cast("string")).alias("b"), F.col("main.part").alias("main"), "main.hub", "all", (F.col("all") - F.col("most")).alias("few")), places)
         pairs, rows_left = split.agg(F.sum(F.expr("few * all")), F.sum("all")).first()
         if not pairs:
             return found.select(F.col("node").alias("key"), F.col("component").alias("class"))
@@ -336,13 +342,18 @@ def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_
         if pairs <= FEW_PAIRS * rows_left or turn == HUB_ROUNDS or before and pairs > 0.7 * before:
             break
         before = pairs
-        tried = stored(apart.where("part <> main").select(F.least("hub", "key").alias("src"), F.greatest("hub", "key").alias("dst")).distinct())
-        more = stored(links.unionByName(_verified(tried, sets, similarity)))
-        release(links, tried, placed, split, found)
-        links = more
+        tried = stored(apart.where("part <> main").select(F.least("hub", "key").alias("src"), F.greatest("hub", "key").alias("dst")).distinct(), places)
+        links = stored(joined(found).union(_verified(tried, sets, similarity)))
+        release(tried, placed, split, found)
         found = connected_components(links)
+        release(links)
+    apart = stored(apart, rows_left)
+    release(placed, split)
     rest = stored(_likely(apart, sets, reps, similarity, min(PASSES, 1 + rows_left // PASS)).distinct())
-    found = connected_components(stored(links.union(_verified(rest, sets, similarity))))
+    links = stored(joined(found).union(_verified(rest, sets, similarity)))
+    release(apart, rest, found)
+    found = connected_components(links)
+    release(links)
     return found.select(F.col("node").alias("key"), F.col("component").alias("class"))
 
 

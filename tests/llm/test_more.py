@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terrane.llm import bpe, caps, langid, media, minhash, mixing, pii, queries, token_counts
+from terrane.operators import graph
 from terrane.sources.tables import stored
 from test_llm import base_spans
 
@@ -174,6 +175,32 @@ def test_pairs_compared_in_passes_are_those_of_brute_force(spark, monkeypatch):
     assert got == dict(enumerate(least)) and len(set(least)) > 4 and passes[0] > 1
 
 
+def test_small_graphs_take_few_tasks(spark, monkeypatch):
+    """Rounds of labels neither shuffle few labels thrice nor write them as a file a partition."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    edges = stored(spark.createDataFrame([(f"{c}{i}", f"{c}{i + 1}") for c in "ab" for i in range(20)], "src string, dst string").coalesce(1))
+    tracker, tasks, got = spark.sparkContext.statusTracker(), [], []
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for most in (graph.FEW_LABELS, 0):
+            monkeypatch.setattr(graph, "FEW_LABELS", most)
+            spark.sparkContext.setJobGroup(f"labels{most}", "")
+            labels = graph.min_labels(edges)
+            stages = {s for j in tracker.getJobIdsForGroup(f"labels{most}") for s in tracker.getJobInfo(j).stageIds}
+            tasks.append(sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))))
+            got.append({r["node"]: r["component"] for r in labels.collect()})
+            files = labels.stored_path.removeprefix("file:")
+            assert sum(f.endswith(".parquet") for f in os.listdir(files)) <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[0] == got[1] == {f"{c}{i}": f"{c}0" for c in "ab" for i in range(21)}
+    assert tasks[0] < 0.75 * tasks[1]
+
+
 def test_stored_tables_leave_no_shuffle_files(spark):
     folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
     files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
