@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import byte_slices, fresh, stored
+from terrane.llm.common import byte_slices, fresh, release, stored
 from terrane.operators.ranks import placed
 
 #: Hash buckets of the n-grams, and how many different texts of each language are learned from at most.
@@ -172,11 +172,8 @@ def families(mean: np.ndarray) -> list[list[int]]:
     return sorted(sorted(g) for g in groups.values())
 
 
-def fit(x: np.ndarray, langs: list[str], near: np.ndarray | None = None, sizes: np.ndarray | None = None) -> Model:
-    """The two layers from features and their languages.
-
-    near, sizes: features and bytes of windows of the same texts, for the bounds; without them every text is clear.
-    """
+def fit(x: np.ndarray, langs: list[str]) -> Model:
+    """The two layers from features and their languages; without bounds, so that every text is clear."""
     names = sorted(set(langs))
     none = np.full(len(LENGTHS) + 1, -1.0)
     if not names:
@@ -185,13 +182,6 @@ def fit(x: np.ndarray, langs: list[str], near: np.ndarray | None = None, sizes:
     mean = np.array([x[y == n].mean(axis=0) for n in names])
     groups = [[names[i] for i in g] for g in families(mean)]
     mean /= np.linalg.norm(mean, axis=1, keepdims=True)
-    bounds = none.copy()
-    if near is not None:
-        cosines = (near * mean[np.searchsorted(names, y)]).sum(axis=1)
-        for c in range(1, len(bounds)):
-            own = cosines[length_class(sizes) == c]
-            # under what all learned texts of the length have; too few of them: the bound of the next shorter ones
-            bounds[c] = SLACK * own.min() if len(own) >= SEEN else bounds[c - 1]
 
     def machine(positive: np.ndarray, rows: np.ndarray) -> np.ndarray:
         w, b, slope = svm(x[rows], np.where(positive[rows], 1.0, -1.0))
@@ -201,7 +191,7 @@ def fit(x: np.ndarray, langs: list[str], near: np.ndarray | None = None, sizes:
     one = np.concatenate((np.zeros(BUCKETS), [1.0, 1.0]))
     gates = np.array([machine(np.isin(y, g), every) if len(groups) > 1 else one for g in groups])
     pairs = {(p, q): machine(y == p, np.flatnonzero((y == p) | (y == q))) for g in groups for p, q in combinations(g, 2)}
-    return Model(groups, gates, pairs, dict(zip(names, mean, strict=True)), bounds)
+    return Model(groups, gates, pairs, dict(zip(names, mean, strict=True)), none)
 
 
 def train(docs: DataFrame, text_col: str, lang_col: str, usable: Column, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Model:
@@ -209,7 +199,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, usable: Column, per_lan
     of ``rows``, whichever is less (all, where there are fewer).
 
     Copies count once, so every language with a text that has a letter is learned, however its rows repeat.  More
-    languages than ``rows`` are an error.  The driver gathers features, never texts.
+    languages than ``rows`` are an error.  The driver gathers features, never texts; windows' features stay in tasks.
     """
     labelled = docs.where(usable & F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("h", F.xxhash64("text"))
 
@@ -248,10 +238,42 @@ def train(docs: DataFrame, text_col: str, lang_col: str, usable: Column, per_lan
             near, sizes = features(parts).astype(np.float32), [len(p.encode("utf-8", "replace")) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array([k for _, k, _ in new], pa.string()), pa.array([h for _, _, h in new], pa.int64()), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (whole, near)), pa.array(sizes, pa.int64())], ["lang", "h", "x", "near", "size"])
 
-    found = chosen.mapInArrow(run, "lang string, h bigint, x binary, near binary, size bigint").dropDuplicates(["lang", "h"]).toArrow().to_pydict()
-    order = sorted(range(len(found["lang"])), key=lambda i: (found["lang"][i], found["x"][i]))
-    x, near = (np.array([np.frombuffer(found[c][i], np.float32) for i in order]).reshape(-1, BUCKETS) for c in ("x", "near"))
-    return fit(x, [found["lang"][i] for i in order], near, np.array([found["size"][i] for i in order], np.int64))
+    found = stored(chosen.mapInArrow(run, "lang string, h bigint, x binary, near binary, size bigint").dropDuplicates(["lang", "h"]))
+    model = fit(*_gathered(found))
+    model.bounds = _bounds(found, model)
+    release(smallest_ones, found)
+    return model
+
+
+def _gathered(found: DataFrame) -> tuple[np.ndarray, list[str]]:
+    """The features of the chosen texts, and their languages."""
+    rows = found.select("lang", "x").toArrow()
+    langs, x, at = rows["lang"].to_pylist(), np.empty((len(rows), BUCKETS), np.float32), 0
+    for v in rows["x"]:
+        x[at] = np.frombuffer(v.as_buffer(), np.float32)
+        at += 1
+    del rows
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))
+    pa.default_memory_pool().release_unused()
+    return x[order], [langs[i] for i in order]
+
+
+def _bounds(found: DataFrame, model: Model) -> np.ndarray:
+    """Under what all learned texts' windows of a length have; too few of them: the bound of the next shorter ones."""
+    shared = found.sparkSession.sparkContext.broadcast(model.means)
+
+    def least(batches):
+        for b in batches:
+            near = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, BUCKETS)
+            cosines = (near * np.array([shared.value[n] for n in b.column(0).to_pylist()], np.float32).reshape(-1, BUCKETS)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(length_class(b.column(2).to_numpy())), pa.array(cosines.astype(np.float64))], ["c", "cosine"])
+
+    rows = found.select("lang", "near", "size").mapInArrow(least, "c bigint, cosine double").groupBy("c").agg(F.count("*").alias("n"), F.min("cosine").alias("least"))
+    seen = {r["c"]: r for r in rows.collect()}
+    bounds = model.bounds.copy()
+    for c in range(1, len(bounds)):
+        bounds[c] = SLACK * np.float32(seen[c]["least"]) if c in seen and seen[c]["n"] >= SEEN else bounds[c - 1]
+    return bounds
 
 
 def _window(text: str, h: int) -> str:

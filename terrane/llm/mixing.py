@@ -6,8 +6,8 @@ to the smallest one that keeps every source within the repetition limit.  Weight
 and a source's budget is met by whole permutations of its documents, the blocks, and the start of one more.  Every
 block has an order of its own.
 
-All counting is done by Spark: each step of the search tries many exponents in one aggregation over the sources'
-totals, and the last permutation's cut is found through bounded hash buckets, so that no source's documents meet in
+All counting is done by Spark: each step of the two searches tries many exponents of both in one aggregation over the
+sources' totals, and the last permutation's cut is found through bounded hash buckets, so that no source's documents meet in
 one task.
 
 Defined results: a null source is a source of its own; a document without tokens is in every whole permutation and
@@ -68,31 +68,36 @@ def solve_exponent(totals: DataFrame, target: Target) -> float:
         return 1.0
     share = totals.select((F.col("tokens") / float(whole)).alias("p"))
 
-    def measure(lo: float, hi: float) -> list[tuple[float, float, float]]:
-        """(exponent, entropy, largest repetition) on a grid, by one aggregation."""
-        grid = [lo + (hi - lo) * i / TRIED for i in range(TRIED + 1)]
-        at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in enumerate(grid)]))
+    def measure(tried: list[float]) -> list[tuple[float, float, float]]:
+        """(exponent, entropy, largest repetition) of all tried, by one aggregation."""
+        at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in enumerate(tried)]))
         raw = share.select("p", at.alias("g")).select("p", "g.i", F.pow("p", F.col("g.a")).alias("w"))
         rows = raw.groupBy("i").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("w")).alias("s"), F.max(F.col("w") / F.col("p")).alias("r")).collect()
-        return [(grid[r["i"]], math.log(r["z"]) - r["s"] / r["z"], target.budget * r["r"] / r["z"]) for r in sorted(rows, key=lambda r: r["i"])]
-
-    def edge(good) -> tuple[float, float]:
-        """The last exponent of a run of good ones from 0, and the first bad one."""
-        lo, hi = 0.0, 1.0
-        for _ in range(DEEP):
-            grid = measure(lo, hi)
-            first = next((k for k, g in enumerate(grid) if not good(g)), None)
-            if first is None:
-                return hi, hi
-            if first == 0:
-                return lo, lo
-            lo, hi = grid[first - 1][0], grid[first][0]
-        return lo, hi
-
-    own, most = next(h for a, h, _ in measure(0.0, 1.0) if a == 1.0), math.log(n)
+        return [(tried[r["i"]], math.log(r["z"]) - r["s"] / r["z"], target.budget * r["r"] / r["z"]) for r in sorted(rows, key=lambda r: r["i"])]
+
+    def grid(lo: float, hi: float) -> list[float]:
+        return [lo + (hi - lo) * i / TRIED for i in range(TRIED + 1)]
+
+    def edge(measured: list[tuple[float, float, float]], good) -> tuple[float, float]:
+        """The last exponent of a run of good ones from the first, and the first bad one; the same twice where there is none."""
+        first = next((k for k, g in enumerate(measured) if not good(g)), None)
+        if first is None or first == 0:
+            return (measured[-1 if first is None else 0][0],) * 2
+        return measured[first - 1][0], measured[first][0]
+
+    whole_range = measure(grid(0.0, 1.0))
+    own, most = next(h for a, h, _ in whole_range if a == 1.0), math.log(n)
     least = max(target.entropy * most, own + target.close * (most - own)) - 1e-12
-    spread = edge(lambda g: g[1] >= least)[0]
-    within = edge(lambda g: g[2] > target.repetition)[1]
+    goods = (lambda g: g[1] >= least), (lambda g: g[2] > target.repetition)
+    found = [edge(whole_range, good) for good in goods]
+    for _ in range(DEEP - 1):  # both searches go on together
+        going = [k for k, (lo, hi) in enumerate(found) if lo < hi]
+        if not going:
+            break
+        finer = measure([a for k in going for a in grid(*found[k])])
+        for j, k in enumerate(going):
+            found[k] = edge(finer[j * (TRIED + 1) : (j + 1) * (TRIED + 1)], goods[k])
+    spread, within = found[0][0], found[1][1]
     return max(spread, within)
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import os
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -366,3 +367,40 @@ def test_pipeline_against_its_operators_one_by_one(spark, docs, tmp_path):
 def test_pipeline_of_an_empty_table(spark, docs, tmp_path):
     docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_languages_are_learned_with_little_in_the_driver(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(500)]
+    rows = [(" ".join(rng.choice(words[i * 250 : i * 250 + 250], 40)), f"l{i}") for i in range(2) for _ in range(400)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    held, fit = [], langid.fit
+    langid.fit = lambda x, *more: held.append((x.nbytes, tracemalloc.get_traced_memory()[0])) or fit(x, *more)
+    tracemalloc.start()
+    try:
+        model = langid.train(df, "text", "lang", F.lit(True))
+    finally:
+        langid.fit = fit
+        tracemalloc.stop()
+    (size, now), = held
+    assert size == 800 * langid.BUCKETS * 4 and now < 1.5 * size  # windows' features aren't gathered
+    assert (model.bounds[1:] > 0).all()
+
+
+def test_exponent_is_searched_for_in_few_jobs(spark):
+    totals = stored(spark.createDataFrame([(f"s{i}", 3**i) for i in range(9)], "key string, tokens long"))
+    spark.sparkContext.setJobGroup("exponent", "")
+    alpha = mixing.solve_exponent(totals, mixing.Target(entropy=0.9, repetition=5.0))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("exponent"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    p = np.array([3.0**i for i in range(9)]) / sum(3**i for i in range(9))
+
+    def shares(a):
+        return p**a / (p**a).sum()
+
+    grid = np.linspace(0, 1, 1_000_001)
+    least = max(0.9 * math.log(9), (math.log(9) - (p * np.log(p)).sum()) / 2)
+    spread = max(a for a in grid[::100] if -(shares(a) * np.log(shares(a))).sum() >= least)
+    within = min(a for a in grid[::100] if (shares(a) / p).max() <= 5)
+    assert abs(alpha - max(spread, within)) < 2e-4
+    assert jobs <= 2 * (mixing.DEEP + 1)
