@@ -190,3 +190,10 @@ def test_queries_of_density_graphs(spark):
     rows = registry.queries()["graph_stats_density"](spark, SF).collect()
     assert all(r["n_nodes"] >= 1 and 0 <= r["coverage"] <= 1 for r in rows)
     assert registry.queries()["mapper_nodes_density"](spark, SF).columns == ["seed", "node", "vec_id"]
+
+
+def test_a_failed_cell_fails_the_query_of_nodes(spark, monkeypatch):
+    whole = mapper.nodes
+    monkeypatch.setattr(mapper, "nodes", lambda spark, d, lens, seeds: whole(spark, d, lens, 2, broken(43)))
+    with pytest.raises(Exception, match="no clusters for 43"):
+        registry.queries()["mapper_nodes_density"](spark, SF).collect()
