@@ -92,6 +92,24 @@ def test_cells_are_split_into_blocks(spark, monkeypatch):
     assert {tuple(r) for r in cover.clusters(members, vectors, 0.3).collect()} == whole and whole
 
 
+@pytest.mark.parametrize("radius", [0.002, 0.01, 0.5])
+def test_components_across_blocks(spark, monkeypatch, radius):
+    """Arcs of a circle are components; where all points hang together, only blocks and their visitors are compared."""
+    monkeypatch.setattr(cover, "BLOCK", 24)
+    met = []
+    monkeypatch.setattr(cover, "against", lambda *a, whole=cover.against: met.append(1) or whole(*a))
+    angles = np.sort(np.random.default_rng(8).uniform(0, 2 * np.pi, 150))
+    gaps = np.append(np.diff(angles), angles[0] + 2 * np.pi - angles[-1])
+    cuts = np.flatnonzero(1 - np.cos(gaps) > radius)
+    want = sorted(sorted((np.arange(a + 1, b + 1) % 150).tolist()) for a, b in zip(cuts, [*cuts[1:], cuts[0] + 150], strict=True)) if len(cuts) else [list(range(150))]
+    vectors = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in cover.clusters(vectors.select(F.lit(42).alias("seed"), F.lit(0).alias("cx"), F.lit(0).alias("cy"), "vec_id"), vectors, radius, 1).collect():
+        got.setdefault(r["node"], []).append(r["vec_id"])
+    assert sorted(map(sorted, got.values())) == want and all(k == f"0-0-{min(v)}" for k, v in got.items())
+    assert bool(met) == (radius < 0.5)
+
+
 def test_jackknife_closed_forms(spark):
     same = spark.createDataFrame([(i, j, 1.0) for i in range(5) for j in range(i + 1, 5)], "seed_a int, seed_b int, value double")
     assert agreement.jackknife(same).first()["se"] == 0.0
