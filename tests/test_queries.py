@@ -317,6 +317,36 @@ def test_encoders(spark):
         v.select(encoders.checked_unit(F.transform("v", lambda x: (x * 2).cast("float")))).collect()
 
 
+def test_trigrams_are_counted_in_their_task(spark):
+    rng = np.random.default_rng(5)
+    many = "".join(map(chr, rng.integers(0x4E00, 0x5000, 3000)))  # more letters than a task has a table for
+    texts = [(1, "Hello, hello"), (2, ""), (3, None), (4, "\U0001f600x\U0001f600 \u0130"), (5, many), (6, "ab" * 600_000), (7, "twice"), (7, "twice so"), (None, "x"), (None, "y")]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    lower = {r["id"]: r["t"] for r in df.where("id not in (7)").select("id", F.lower("text").alias("t")).collect()} | {}
+    want = {}
+    for i, t in texts:
+        for g in [] if t is None else (lambda p: [p[k : k + 3] for k in range(len(p) - 2)])(f"  {lower.get(i, t) if i is not None and i != 7 else t}  "):
+            h = want.setdefault(i, {}).setdefault(g, 0)
+            want[i][g] = h + 1
+    md5 = lambda seed, g: hashlib.md5(f"{seed}:{g}".encode()).hexdigest()
+    counts, signed = {}, {}
+    for i, grams in want.items():
+        for g, n in grams.items():
+            b = int(md5(3, g)[:4], 16)
+            counts[i, b % 4096] = counts.get((i, b % 4096), 0) + n
+            signed[i, b % 16] = signed.get((i, b % 16), 0) + (n if md5(4, g)[0] < "8" else -n)
+    assert {(r["id"], r["bucket"]): r["n"] for r in encoders.bucket_counts(df).collect()} == counts
+    assert {(r["id"], r["dim"]): r["x"] for r in encoders.signed_buckets(df).collect()} == signed
+    each = {i: [n for (j, _), n in counts.items() if j == i] for i in want}
+    assert {r["id"]: tuple(r)[1:] for r in encoders.bucket_figures(df).collect()} == {i: (len(v), sum(v), max(v)) for i, v in each.items()}
+    matrix = np.random.default_rng(0).normal(0, 4096**-0.5, (4096, 64))
+    got = {r["id"]: r["embedding"] for r in encoders.random_projection(df).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], sum(matrix[b] * n for (j, b), n in counts.items() if j == i), rtol=1e-5, atol=1e-4) for i in want)
+    own = df.where("id < 7")
+    plans = [f(own)._jdf.queryExecution().optimizedPlan().toString() for f in (encoders.bucket_figures, encoders.random_projection)]
+    assert not any(w in p for p in plans for w in ("Aggregate", "Generate"))  # no list of a text's buckets, no row a trigram
+
+
 @pytest.mark.parametrize("kind", ["matched", "mismatched"])
 def test_pairs_search_the_whole_subset(spark, kind):
     rng = np.random.default_rng(0)
