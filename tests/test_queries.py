@@ -239,6 +239,17 @@ def test_batches_hold_no_id_twice(spark, seed):
     assert pairs.batches(spark.createDataFrame(ids[:3], "anchor_id long, positive_id long"), 8, 1).count() == 0
 
 
+def test_rows_that_grow_are_not_sent_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    ids = [tuple(map(int, p)) for p in rng.integers(0, 40, (120, 2))]
+    df = spark.createDataFrame(ids, "anchor_id long, positive_id long")
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "id long, text string")
+    joined = pairs.with_texts(df, texts)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 120
+    monkeypatch.setattr(pairs, "FEW_PAIRS", 0)
+    assert {tuple(r) for r in pairs.batches(df, 8, 3).collect()} == plain_batches(ids, 8, 3)
+
+
 def test_upper_boxes_spare_comparisons(spark, monkeypatch):
     monkeypatch.setattr(pairs, "BLOCK", 8)
     rng = np.random.default_rng(3)
