@@ -40,17 +40,17 @@ def neighbour_lens(vectors: DataFrame, by_seed: DataFrame, many: int = MANY, ste
     parts that hang together loosely end up apart; how far depends on the seed, as the iteration isn't run to its end.
     Equal vectors are one point; null vectors have no row; results are rounded to DIGITS digits.
     """
-    own = vectors.where("embedding is not null").select("vec_id", F.xxhash64("embedding").alias("h"), F.col("embedding").cast("array<double>").alias("x"))
+    own = vectors.where("embedding is not null").select("vec_id", F.xxhash64("embedding").alias("h"), F.col("embedding").alias("x"))
     reps = stored(own.groupBy("h", "x").agg(F.min("vec_id").alias("node"), F.lit(1).cast("long").alias("weight")))
     owner = stored(own.join(reps, ["h", "x"]).select("vec_id", "node"))
-    near = neighbours(reps.select(F.col("node").alias("vec_id"), "x", "weight"), many, block)
+    near = stored(neighbours(reps.select(F.col("node").alias("vec_id"), "x", "weight"), many, block).select("vec_id", "other"))
     pairs = stored(near.select(F.col("vec_id").alias("src"), F.col("other").alias("dst")).union(near.select("other", "vec_id")).distinct())
     degree = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").cast("double").alias("degree"))
     to = degree.select(F.col("node").alias("dst"), F.col("degree").alias("far"))
     edges = stored(pairs.join(degree.withColumnRenamed("node", "src"), "src").join(to, "dst").select("src", "dst", (1 / F.sqrt(F.col("degree") * F.col("far"))).alias("w")))
     nodes = reps.select("node").join(degree, "node", "left").select("node", F.coalesce("degree", F.lit(1.0)).alias("degree"))
     state = stored(apart(nodes.crossJoin(F.broadcast(by_seed)).select("seed", "node", "degree", start(1).alias("u"), start(2).alias("v"))))  # seeds are few
-    release(pairs)
+    release(pairs, near)
     for first in range(0, steps, every):
         moved = state
         for _ in range(min(every, steps - first)):

@@ -115,6 +115,28 @@ def test_neighbours(spark):
         assert {(r["vec_id"], r["other"]) for r in blocks.neighbours(points, 4, block).collect()} == want
 
 
+def test_shares_meet_their_group_few_times(spark):
+    points = frame(spark, blobs(9, (200, 200), (0.5, 0.5))).select("vec_id", F.col("embedding").alias("x"), F.lit(1).cast("long").alias("weight"))
+    left, right, parts = blocks.shared(points, points, [], blocks.share(400, 4))
+    assert left.count() == 400 and right.count() == 400 * parts and 20 < parts <= blocks.SHARES + 2  # of 100 blocks
+    assert blocks.share(10**6) == 31250 and blocks.share(10**9) == blocks.SHARE * blocks.BLOCK
+
+
+@pytest.mark.parametrize("block", [16, 500])
+def test_spanning_trees_across_shares(spark, block):
+    x = np.vstack([blobs(10, (60, 50), (0.3, 1.0)), np.tile(np.eye(4), (20, 1)) + np.repeat(np.arange(20), 4)[:, None] * 1e-3])  # distances that tie
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    core = np.sort(np.round(1 - np.einsum("id,jd->ij", u, u), 12), axis=1)[:, 4].clip(0)
+    rows = [(42, c, 0, i, [float(v) for v in x[i]], float(core[i])) for c in (0, 1) for i in range(len(x))]
+    points = spark.createDataFrame(rows, "seed int, cx int, cy int, vec_id long, x array<double>, core double").repartition(5)
+    a, b, w = density.spanning_tree(u, core)
+    got = density.spanning_trees(points, block).collect()
+    for c in (0, 1):
+        mine = sorted((r["a"], r["b"]) for r in got if r["cx"] == c)
+        assert len(mine) == len(x) - 1 and abs(sum(r["w"] for r in got if r["cx"] == c) - w.sum()) < 1e-9
+        assert len(set(mine) & set(zip(a.tolist(), b.tolist(), strict=True))) > len(x) * 0.95
+
+
 def test_lens_keeps_blobs_apart_whatever_the_partitions(spark):
     x = blobs(7, (30, 30), (0.2, 0.2), far=8.0)
     seeds = cover.seeds(spark, 42, 2)
